@@ -1,6 +1,16 @@
 """Operators that prepare training data."""
 
-from . import mixing
+from . import lines, mixing, secrets, warc
 
-QUERIES = {"op1_source_mixing": mixing.op1_source_mixing}
-ORACLES = {"op1_source_mixing": mixing.OP1_SQL}
+QUERIES = {
+    "op1_source_mixing": mixing.op1_source_mixing,
+    "op4_line_dedup": lines.op4_line_dedup,
+    "op5_warc_salvage": warc.op5_warc_salvage,
+    "op8_secret_ownership": secrets.op8_secret_ownership,
+}
+ORACLES = {
+    "op1_source_mixing": mixing.OP1_SQL,
+    "op4_line_dedup": lines.OP4_SQL,
+    "op5_warc_salvage": warc.OP5_SQL,
+    "op8_secret_ownership": secrets.OP8_SQL,
+}
