@@ -1,16 +1,19 @@
 """Operators that prepare training data."""
 
-from . import lines, mixing, secrets, warc
+from . import lines, mixing, ngram_join, packing, secrets, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_warc_salvage": warc.op5_warc_salvage,
     "op8_secret_ownership": secrets.op8_secret_ownership,
+    "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
+    "op10_mixture_packing": packing.op10_mixture_packing,
 }
 ORACLES = {
     "op1_source_mixing": mixing.OP1_SQL,
     "op4_line_dedup": lines.OP4_SQL,
     "op5_warc_salvage": warc.OP5_SQL,
     "op8_secret_ownership": secrets.OP8_SQL,
+    "op9_ngram_jaccard": ngram_join.OP9_SQL,
 }
