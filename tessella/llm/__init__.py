@@ -1,19 +1,23 @@
 """Operators that prepare training data."""
 
-from . import lines, mixing, ngram_join, packing, secrets, warc
+from . import lines, mixing, ngram_join, packing, secrets, vectors, vptree, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
+    "op3_embedding_range_join": vectors.op3_embedding_range_join,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_warc_salvage": warc.op5_warc_salvage,
+    "op7_vptree_ann": vptree.op7_vptree_ann,
     "op8_secret_ownership": secrets.op8_secret_ownership,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_mixture_packing": packing.op10_mixture_packing,
 }
 ORACLES = {
     "op1_source_mixing": mixing.OP1_SQL,
+    "op3_embedding_range_join": vectors.OP3_SQL,
     "op4_line_dedup": lines.OP4_SQL,
     "op5_warc_salvage": warc.OP5_SQL,
+    "op7_vptree_ann": vptree.OP7_SQL,
     "op8_secret_ownership": secrets.OP8_SQL,
     "op9_ngram_jaccard": ngram_join.OP9_SQL,
 }
