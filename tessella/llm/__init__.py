@@ -1,12 +1,14 @@
 """Operators that prepare training data."""
 
-from . import lines, mixing, ngram_join, packing, secrets, vectors, vptree, warc
+from . import licenses, lines, mixing, ngram_join, packing, secrets, toxicity, vectors, vptree, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
+    "op2_toxicity_crf": toxicity.op2_toxicity_crf,
     "op3_embedding_range_join": vectors.op3_embedding_range_join,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_warc_salvage": warc.op5_warc_salvage,
+    "op6_license_patience": licenses.op6_license_patience,
     "op7_vptree_ann": vptree.op7_vptree_ann,
     "op8_secret_ownership": secrets.op8_secret_ownership,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
