@@ -1,0 +1,216 @@
+"""Seeded Metropolis chains over colourings, one task a chain.
+
+A chain is sequential: each step depends on the one before. Parallelism is
+the number of chains. Every chain draws from (seed, chain_id) alone, so logs
+do not depend on how chains are dealt to tasks.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+LOG = "chain_id long, step long, node_id long, old_color int, new_color int"
+#: single flips, the same with reversible weights, flows about the centre, district pairs, directed edges.
+KERNELS = ("single_node_flip", "tempered_flip", "center_of_mass", "lazy_center_of_mass", "district_to_district", "precinct_flow")
+
+
+@dataclass(frozen=True)
+class Grid:
+    """A square grid with unit populations, coloured in stripes."""
+
+    n: int
+    districts: int
+    tolerance: float
+    score: str = "cut_length"
+    keep_last_node: bool = True
+
+    def neighbours(self):
+        n = self.n
+        return [[w for w, ok in ((v - n, v >= n), (v + n, v < n * (n - 1)), (v - 1, v % n > 0), (v + 1, v % n < n - 1)) if ok] for v in range(n * n)]
+
+
+class _State:
+    def __init__(self, grid: Grid):
+        self.g, self.near, n = grid, grid.neighbours(), grid.n
+        self.colour = [min(grid.districts - 1, (v // n) * grid.districts // n) for v in range(n * n)]
+        self.size = [self.colour.count(d) for d in range(grid.districts)]
+        self.place = [(v // n, v % n) for v in range(n * n)]
+        self.centre = ((n - 1) / 2, (n - 1) / 2)
+        total = n * n
+        self.low = total / grid.districts - total * grid.tolerance / 2
+        self.high = total / grid.districts + total * grid.tolerance / 2
+
+    def flip(self, v, colour):
+        self.size[self.colour[v]] -= 1
+        self.size[colour] += 1
+        self.colour[v] = colour
+
+    def connected_without(self, v) -> bool:
+        """Whether v's neighbours of its own colour still reach each other without it."""
+        own = [w for w in self.near[v] if self.colour[w] == self.colour[v]]
+        if len(own) <= 1:
+            return bool(own) or not self.g.keep_last_node
+        seen, work, left = {v, own[0]}, [own[0]], set(own[1:])
+        while work and left:
+            for w in self.near[work.pop()]:
+                if w not in seen and self.colour[w] == self.colour[v]:
+                    seen.add(w)
+                    left.discard(w)
+                    work.append(w)
+        return not left
+
+    def centroid(self, d):
+        at = [p for p, c in zip(self.place, self.colour) if c == d]
+        return sum(p[0] for p in at) / len(at), sum(p[1] for p in at) / len(at)
+
+    def turn(self, a, b) -> float | None:
+        mx, my = (a[0] + b[0]) / 2 - self.centre[0], (a[1] + b[1]) / 2 - self.centre[1]
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        size = math.hypot(mx, my) * math.hypot(dx, dy)
+        return (dy * mx - dx * my) / size if size else None
+
+    def proposals(self, kernel: str, sign: int):
+        """{(node, old, new): score} of the moves that are allowed now."""
+        found = {}
+        centres = {}
+        for v, own in enumerate(self.colour):
+            for w in self.near[v]:
+                new = self.colour[w]
+                if new == own or (v, own, new) in found:
+                    continue
+                if not (self.size[own] - 1 > self.low and self.size[new] + 1 < self.high):
+                    continue
+                if kernel == "precinct_flow" and (1 if (self.turn(self.place[v], self.place[w]) or 0) >= 0 else -1) != sign:
+                    continue
+                if not self.connected_without(v):
+                    continue
+                if "center_of_mass" in kernel:
+                    total = 0.0
+                    for d, s in ((own, -1), (new, 1)):
+                        c = centres.setdefault(d, self.centroid(d))
+                        k = self.size[d]
+                        after = tuple((c[i] * k + s * self.place[v][i]) / (k + s) if k + s else c[i] for i in (0, 1))
+                        t = self.turn(c, after)
+                        total = math.inf if t is None else total + t
+                    if not (total == math.inf or total * sign > 0):
+                        continue
+                near = [self.colour[x] for x in self.near[v]]
+                found[(v, own, new)] = near.count(own) - near.count(new)
+        return found
+
+
+def _weight(score, beta):
+    return math.exp(min(-0.5 * beta * score, 700.0))
+
+
+def _pick(draw, weights):
+    edge, u = np.cumsum(weights), draw.random()
+    return min(int(np.searchsorted(edge, u * edge[-1], side="right")), len(weights) - 1)
+
+
+def run_chain(grid: Grid, kernel: str, chain_id: int, steps: int, beta: float, measure_beta: float, seed: int, lazy: float = 0.1):
+    """Moves of one chain; a rejected step is (None, None, None) and turns the flow round."""
+    draw, s, sign = np.random.default_rng([seed, chain_id]), _State(grid), 1
+    pair_sign: dict = {}
+
+    def pair(m):
+        return (min(m[1], m[2]), max(m[1], m[2]))
+
+    def allowed(m, signs):
+        """In a pair's flow: from the smaller to the larger colour while its sign is 1."""
+        return (m[1] < m[2]) == (signs.get(pair(m), 1) == 1)
+
+    out = []
+    for _ in range(steps):
+        if kernel == "lazy_center_of_mass" and draw.random() < lazy:
+            sign = -sign
+        moves = s.proposals(kernel, sign)
+        accepted, chosen_pair = None, None
+        if moves:
+            keys = sorted(moves)
+            ratio = 1.0
+            if kernel == "single_node_flip":
+                m = keys[int(draw.integers(len(keys)))]
+            elif kernel == "district_to_district":
+                totals: dict = {}
+                for k in keys:
+                    totals[pair(k)] = totals.get(pair(k), 0.0) + _weight(moves[k], beta)
+                pairs = sorted(totals)
+                chosen_pair = pairs[_pick(draw, [totals[p] for p in pairs])]
+                own = [k for k in keys if pair(k) == chosen_pair and allowed(k, pair_sign)]
+                m = own[_pick(draw, [_weight(moves[k], beta) for k in own])] if own else None
+                if m:
+                    forward = totals[chosen_pair] / sum(totals.values()) * _weight(moves[m], beta) / sum(_weight(moves[k], beta) for k in own)
+                    s.flip(m[0], m[2])
+                    back = s.proposals(kernel, sign)
+                    reverse, signs = (m[0], m[2], m[1]), pair_sign | {chosen_pair: -pair_sign.get(chosen_pair, 1)}
+                    totals2: dict = {}
+                    for k, v in back.items():
+                        totals2[pair(k)] = totals2.get(pair(k), 0.0) + _weight(v, beta)
+                    own2 = [k for k in back if pair(k) == chosen_pair and allowed(k, signs)]
+                    q = totals2.get(chosen_pair, 0.0) / sum(totals2.values()) * _weight(back[reverse], beta) / sum(_weight(back[k], beta) for k in own2) if reverse in own2 else 0.0
+                    s.flip(m[0], m[1])
+                    ratio = q / forward
+            else:
+                m = keys[_pick(draw, [_weight(moves[k], beta) for k in keys])]
+                forward = _weight(moves[m], beta) / sum(_weight(v, beta) for v in moves.values())
+                s.flip(m[0], m[2])
+                flow = -sign if kernel != "tempered_flip" else sign
+                back = s.proposals(kernel, flow)
+                s.flip(m[0], m[1])
+                reverse = (m[0], m[2], m[1])
+                ratio = _weight(back[reverse], beta) / sum(_weight(v, beta) for v in back.values()) / forward if reverse in back else 0.0
+            if m and draw.random() < _weight(moves[m], measure_beta) * ratio:
+                accepted = m
+        if accepted:
+            s.flip(accepted[0], accepted[2])
+            out.append(accepted)
+        else:
+            if chosen_pair is not None:
+                pair_sign[chosen_pair] = -pair_sign.get(chosen_pair, 1)
+            else:
+                sign = -sign
+            out.append((None, None, None))
+    return out
+
+
+def sample(chains: DataFrame, grid: Grid, kernel: str, seed: int = 0) -> DataFrame:
+    """(chain_id, steps, beta, measure_beta) -> move log."""
+    if kernel not in KERNELS:
+        raise ValueError(f"no kernel {kernel}")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        moves = run_chain(grid, kernel, int(r["chain_id"]), int(r["steps"]), float(r["beta"]), float(r["measure_beta"]), seed)
+        f = pd.DataFrame(moves, columns=["node_id", "old_color", "new_color"])
+        f = f.astype({"node_id": "Int64", "old_color": "Int32", "new_color": "Int32"})
+        f.insert(0, "step", range(len(f)))
+        f.insert(0, "chain_id", int(r["chain_id"]))
+        return f
+
+    return chains.groupBy("chain_id").applyInPandas(run, LOG)
+
+
+def greedy_colouring(neighbours: dict[int, list[int]], population: dict[int, float], districts: int, least: float, most: float, seed: int = 0, tries: int = 100) -> dict[int, int]:
+    """Districts take turns to draft a neighbour from random seeds until no node is left."""
+    draw, ids = np.random.default_rng(seed), sorted(neighbours)
+    for _ in range(tries):
+        colour = {int(v): d for d, v in enumerate(draw.choice(ids, districts, replace=False))}
+        while len(colour) < len(ids):
+            grown = False
+            for d in range(districts):
+                rim = sorted({w for v, c in colour.items() if c == d for w in neighbours[v] if w not in colour})
+                if rim:
+                    colour[rim[int(draw.integers(len(rim)))]] = d
+                    grown = True
+            if not grown:
+                raise ValueError("the graph is not connected")
+        sizes = [sum(population[v] for v, c in colour.items() if c == d) for d in range(districts)]
+        if min(sizes) >= least and max(sizes) <= most:
+            return colour
+    raise ValueError("no colouring within the population band")

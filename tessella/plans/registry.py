@@ -1,4 +1,554 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries, and the same results as DuckDB SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from types import SimpleNamespace
+
+from pyspark.sql import functions as F
+
+from ..functions import scores
+from ..operators import aggregates, autocorr, corners, diagnostics, graph, replay, sampler
+from ..sources import derived, lattice
+
+TOLERANCE, EVERY, THIN, LAGS, FURTHEST = 0.9, 50, 100, 20, 500
+CENTRE = (4.5, 4.5)
+
+
+def relations(spark, sf_dir) -> SimpleNamespace:
+    d = derived
+    return SimpleNamespace(
+        spark=spark, dir=sf_dir, nodes=d.nodes(spark, sf_dir), edges=d.edges(spark, sf_dir), start=d.assignment(spark, sf_dir),
+        votes=d.votes(spark, sf_dir), log=d.move_log(spark, sf_dir),
+    )
+
+
+def side(r) -> int:
+    """Side of the generated grid: it holds as many nodes as there are customers, about."""
+    n = derived.table(r.spark, r.dir, "customer").count()
+    return int(n**0.5)
+
+
+def r6(df, *names):
+    return df.withColumns({c: F.round(c, 6) for c in names})
+
+
+_B: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of the relations; ``sql`` continues the common WITH list."""
+
+    def add(f):
+        _B[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = BASE + sql
+        return f
+
+    return add
+
+
+BASE = """
+WITH RECURSIVE nodes0 AS (SELECT DISTINCT user_id AS node_id FROM events),
+nodes1 AS (SELECT node_id, node_id // 10 AS x, node_id % 10 AS y, CAST(1 + floor(abs(c_acctbal)) AS BIGINT) AS population, 1.0::DOUBLE AS area
+  FROM nodes0 JOIN customer ON c_custkey = node_id),
+nodes AS (SELECT *, CAST((x = 0)::INT + (x = (SELECT max(x) FROM nodes1))::INT + (y = 0)::INT + (y = 9)::INT AS BIGINT) AS external_border FROM nodes1),
+edges AS (SELECT u, v, 1 + (u + v) % 3 AS border_length FROM (
+    SELECT node_id AS u, node_id + 1 AS v FROM nodes WHERE node_id % 10 < 9 UNION ALL SELECT node_id, node_id + 10 FROM nodes)
+  WHERE v IN (SELECT node_id FROM nodes)),
+start AS (SELECT node_id, CAST(node_id % 5 AS INT) AS district_id FROM nodes),
+votes AS (SELECT n.node_id, count(*) FILTER (o_orderkey % 2 = 0) AS p1, count(*) FILTER (o_orderkey % 2 = 1) AS p2
+  FROM nodes n LEFT JOIN orders ON o_custkey = n.node_id GROUP BY n.node_id),
+log0 AS (SELECT event_id % 4 AS chain_id, row_number() OVER (PARTITION BY event_id % 4 ORDER BY event_id) - 1 AS step, user_id AS node_id,
+  CAST(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS INT) AS target FROM events),
+log1 AS (SELECT *, coalesce(lag(target) OVER (PARTITION BY chain_id, node_id ORDER BY step), CAST(node_id % 5 AS INT)) AS old FROM log0),
+log AS (SELECT chain_id, step, CASE WHEN old <> target THEN node_id END AS node_id, CASE WHEN old <> target THEN old END AS old_color,
+  CASE WHEN old <> target THEN target END AS new_color FROM log1),
+len AS (SELECT chain_id, max(step) + 1 AS steps FROM log GROUP BY chain_id),
+cut AS (SELECT e.*, a.district_id AS cu, b.district_id AS cv FROM edges e JOIN start a ON a.node_id = u JOIN start b ON b.node_id = v
+  WHERE a.district_id <> b.district_id),
+sym AS (SELECT u AS node_id, v AS other, border_length FROM edges UNION ALL SELECT v, u, border_length FROM edges),
+moves AS (SELECT DISTINCT node_id, old_color, new_color FROM (SELECT u AS node_id, cu AS old_color, cv AS new_color FROM cut UNION ALL SELECT v, cv, cu FROM cut)),
+dist AS (SELECT district_id, CAST(sum(population) AS BIGINT) AS population, sum(area) AS area, count(*) AS n_nodes,
+  count(*) FILTER (external_border > 0) AS boundary_nodes, sum(x) / count(*) AS cx, sum(y) / count(*) AS cy,
+  sum(x * population) / sum(population) AS wx, sum(y * population) / sum(population) AS wy
+  FROM nodes JOIN start USING (node_id) GROUP BY district_id),
+per AS (SELECT district_id, CAST(sum(l) AS BIGINT) AS perimeter FROM (SELECT cu AS district_id, border_length AS l FROM cut
+  UNION ALL SELECT cv, border_length FROM cut UNION ALL SELECT district_id, external_border FROM nodes JOIN start USING (node_id)) GROUP BY district_id),
+held0 AS (SELECT chain_id, node_id, district_id AS color, -1 AS t0 FROM start, len UNION ALL
+  SELECT chain_id, node_id, new_color, step FROM log WHERE node_id IS NOT NULL),
+held1 AS (SELECT chain_id, node_id, color, greatest(t0, 0) AS s, coalesce(lead(t0) OVER (PARTITION BY chain_id, node_id ORDER BY t0), steps) AS e FROM held0 JOIN len USING (chain_id)),
+held AS (SELECT * FROM held1 WHERE e > s),
+at_step AS (SELECT h.chain_id, l.step, h.node_id, h.color FROM held h JOIN log l ON l.chain_id = h.chain_id AND l.step >= h.s AND l.step < h.e),
+full_d AS (SELECT chain_id, step, color AS district_id, CAST(sum(p1) AS BIGINT) AS p1, CAST(sum(p2) AS BIGINT) AS p2, CAST(sum(population) AS BIGINT) AS population,
+    sum(x) AS sx, sum(y) AS sy, count(*) AS n
+  FROM at_step JOIN nodes USING (node_id) JOIN votes USING (node_id) GROUP BY ALL),
+wins AS (SELECT chain_id, step, count(*) FILTER (p1 > p2) AS wins FROM full_d GROUP BY ALL),
+marg0 AS (SELECT l.chain_id, l.step, d.district_id, p1 / nullif(p1 + p2, 0) AS share FROM log l CROSS JOIN (SELECT DISTINCT district_id FROM start UNION SELECT DISTINCT new_color FROM log WHERE new_color IS NOT NULL) d
+  LEFT JOIN full_d f ON f.chain_id = l.chain_id AND f.step = l.step AND f.district_id = d.district_id),
+marg AS (SELECT chain_id, step, CAST(row_number() OVER (PARTITION BY chain_id, step ORDER BY share NULLS LAST, district_id) - 1 AS INT) AS rank, share FROM marg0),
+pibar AS (SELECT s.state, coalesce(c, 0) / sum(coalesce(c, 0)) OVER () AS share FROM (SELECT unnest(range(6)) AS state) s LEFT JOIN
+  (SELECT wins AS state, count(*) AS c FROM wins WHERE step < (SELECT min(steps) FROM len) GROUP BY wins) USING (state)),
+runs AS (SELECT chain_id, step, state, CAST(sum((wins = state)::INT) OVER (PARTITION BY chain_id, state ORDER BY step) AS BIGINT) AS n
+  FROM wins, (SELECT unnest(range(6)) AS state)),
+wait AS (SELECT chain_id, step, step - coalesce(lag(step) OVER (PARTITION BY chain_id ORDER BY step), -1) AS wait FROM log WHERE node_id IS NULL),
+quant AS (SELECT chain_id, rank, step, round_even(share * 2 * 100, 0) / 100 / 2 AS key FROM marg WHERE share IS NOT NULL),
+rhist AS (SELECT rank, key, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY rank) AS share FROM quant GROUP BY rank, key),
+tvw AS (SELECT chain_id, w.w AS win, rank, sum(abs((SELECT count(*) FROM quant q WHERE q.chain_id = c.chain_id AND q.rank = h.rank AND q.key = h.key AND q.step < (w.w + 1) * 100) / ((w.w + 1) * 100) - h.share)) / 2 AS tv
+  FROM len c, rhist h, (SELECT unnest(range(0, (SELECT max(steps) // 100 FROM len))) AS w) w WHERE w.w < c.steps // 100 GROUP BY ALL),
+com AS (SELECT l.chain_id, l.step, district_id, sx / n AS cx, sy / n AS cy FROM log l JOIN full_d f ON f.chain_id = l.chain_id AND f.step = l.step - 1
+  UNION ALL SELECT chain_id, 0, district_id, cx, cy FROM dist, len),
+gridn AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n FROM customer),
+grid AS (SELECT CAST(i AS BIGINT) AS node_id, i // n AS x, i % n AS y, CAST((i // n = 0 OR i // n = n - 1)::INT + (i % n = 0 OR i % n = n - 1)::INT AS BIGINT) AS external_border, n
+  FROM (SELECT unnest(range(n * n)) AS i, n FROM gridn)),
+gride AS (SELECT node_id AS u, node_id + 1 AS v FROM grid WHERE y < n - 1 UNION ALL SELECT node_id, node_id + n FROM grid WHERE x < n - 1),
+inner_e AS (SELECT u, v, cu FROM (SELECT e.u, e.v, a.district_id AS cu, b.district_id AS cv FROM edges e JOIN start a ON a.node_id = u JOIN start b ON b.node_id = v) WHERE cu = cv),
+"""
+
+
+# -- generated grids ---------------------------------------------------------
+@query("s4_lattice_nodes", "z AS (SELECT 1) SELECT node_id, x, y, external_border FROM grid")
+def _(r):
+    return lattice.square_nodes(r.spark, side(r)).select("node_id", "x", "y", "external_border")
+
+
+@query("s4_lattice_edges", "z AS (SELECT 1) SELECT u, v FROM gride")
+def _(r):
+    return lattice.square_edges(r.spark, side(r)).select("u", "v")
+
+
+@query("s5_angular_assignment", "z AS (SELECT 1) SELECT node_id, CAST(floor((atan2(y - (n - 1) / 2, x - (n - 1) / 2) + pi()) / (2 * pi() / 3)) AS INT) AS district_id FROM grid")
+def _(r):
+    return lattice.angular(lattice.square_nodes(r.spark, side(r)), side(r), 3)
+
+
+@query("s12_diagonal", "z AS (SELECT 1) SELECT node_id, CAST(x > y AS INT) AS district_id FROM grid")
+def _(r):
+    return lattice.diagonal(lattice.square_nodes(r.spark, side(r)))
+
+
+@query("s6_cut_edge_assignment", """cc AS (SELECT node_id AS a, node_id AS b FROM nodes UNION SELECT cc.a, s.other FROM cc JOIN sym s ON s.node_id = cc.b
+  WHERE (least(s.node_id, s.other), greatest(s.node_id, s.other)) NOT IN (SELECT (u, v) FROM cut))
+SELECT a AS node_id, min(b) AS district_id FROM cc GROUP BY a""")
+def _(r):
+    return lattice.from_cut_edges(r.nodes, r.edges, graph.cut_edges(r.edges, r.start).select("u", "v"))
+
+
+# -- one assignment ----------------------------------------------------------
+@query("p2_cut_edges", "z AS (SELECT 1) SELECT u, v, border_length, cu, cv FROM cut")
+def _(r):
+    return graph.cut_edges(r.edges, r.start)
+
+
+@query("p3_contested_nodes", "z AS (SELECT 1) SELECT u AS node_id FROM cut UNION SELECT v FROM cut")
+def _(r):
+    return graph.contested_nodes(graph.cut_edges(r.edges, r.start))
+
+
+@query("j3_directed_edges", "z AS (SELECT 1) SELECT u AS a, v AS b, cu AS ca, cv AS cb, border_length FROM cut UNION ALL SELECT v, u, cv, cu, border_length FROM cut")
+def _(r):
+    return graph.directed_edges(graph.cut_edges(r.edges, r.start))
+
+
+@query("j4_proposals", "z AS (SELECT 1) SELECT * FROM moves")
+def _(r):
+    return graph.proposals(graph.cut_edges(r.edges, r.start))
+
+
+@query("j14_adjacency", "z AS (SELECT 1) SELECT node_id, string_agg(CAST(other AS VARCHAR), ',' ORDER BY other) AS neighbours, count(*) AS degree FROM sym GROUP BY node_id")
+def _(r):
+    return graph.adjacency(r.edges).withColumn("neighbours", F.array_join(F.col("neighbours").cast("array<string>"), ","))
+
+
+@query("j15_district_boundary", "z AS (SELECT 1) SELECT least(cu, cv) AS c1, greatest(cu, cv) AS c2, count(*) AS n_edges, CAST(sum(border_length) AS BIGINT) AS length FROM cut GROUP BY ALL")
+def _(r):
+    return graph.district_boundary(graph.cut_edges(r.edges, r.start))
+
+
+@query("j9_components", """cc AS (SELECT node_id AS a, node_id AS b FROM nodes UNION SELECT cc.a, s.v FROM cc JOIN
+  (SELECT u, v FROM inner_e UNION ALL SELECT v, u FROM inner_e) s ON s.u = cc.b) SELECT a AS node_id, min(b) AS component_id FROM cc GROUP BY a""")
+def _(r):
+    inner = graph.coloured(r.edges, r.start).where("cu = cv").select("u", "v")
+    return graph.components(r.nodes, inner)
+
+
+CUTV = """wide AS (SELECT node_id, CAST(x * 2 // ((SELECT max(x) FROM nodes) + 1) AS INT) AS district_id FROM nodes),
+we AS (SELECT e.u, e.v FROM edges e JOIN wide a ON a.node_id = u JOIN wide b ON b.node_id = v WHERE a.district_id = b.district_id),
+ws AS (SELECT u AS a, v AS b FROM we UNION ALL SELECT v, u FROM we),
+reach AS (SELECT g.node_id AS gone, (SELECT min(s.b) FROM ws s WHERE s.a = g.node_id) AS here FROM wide g
+  UNION SELECT r.gone, s.b FROM reach r JOIN ws s ON s.a = r.here WHERE s.b <> r.gone),
+cutv AS (SELECT g.node_id, g.district_id FROM wide g WHERE EXISTS (SELECT 1 FROM ws WHERE ws.a = g.node_id AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.gone = g.node_id AND r.here = ws.b)))
+"""
+
+
+def _halves(r):
+    widest = r.nodes.agg(F.max("x").alias("m"))
+    return r.nodes.join(F.broadcast(widest), how="left").select("node_id", F.expr("x * 2 div (m + 1)").cast("int").alias("district_id"))
+
+
+@query("j8_cut_vertices", CUTV + "SELECT district_id, node_id FROM cutv")
+def _(r):
+    return graph.cut_vertices(_halves(r), r.edges)
+
+
+@query("p5_feasible_proposals", CUTV + """, wc AS (SELECT e.u, e.v, a.district_id AS cu, b.district_id AS cv FROM edges e JOIN wide a ON a.node_id = u JOIN wide b ON b.node_id = v WHERE a.district_id <> b.district_id),
+wm AS (SELECT DISTINCT * FROM (SELECT u AS node_id, cu AS old_color, cv AS new_color FROM wc UNION ALL SELECT v, cv, cu FROM wc)),
+wp AS (SELECT district_id, sum(population) AS p FROM nodes JOIN wide USING (node_id) GROUP BY 1), tot AS (SELECT sum(population) AS t FROM nodes)
+SELECT wm.* FROM wm JOIN nodes USING (node_id) JOIN wp o ON o.district_id = old_color JOIN wp n ON n.district_id = new_color, tot
+WHERE o.p - population > t / 2 - t * 0.9 / 2 AND n.p + population < t / 2 + t * 0.9 / 2 AND node_id NOT IN (SELECT node_id FROM cutv)""")
+def _(r):
+    a = _halves(r)
+    return graph.feasible(graph.proposals(graph.cut_edges(r.edges, a)), r.nodes, a, r.edges, 2, TOLERANCE)
+
+
+for _name, _cols in (("g1_population", ["population"]), ("g3_area", ["area"]), ("g8_boundary_nodes", ["boundary_nodes"])):
+    query(_name, f"z AS (SELECT 1) SELECT district_id, {', '.join(_cols)} FROM dist")(lambda r, c=_cols: aggregates.by_district(r.nodes, r.start).select("district_id", *c))
+
+
+@query("g6_center_of_mass", "z AS (SELECT 1) SELECT district_id, round(cx, 6) AS cx, round(cy, 6) AS cy, round(wx, 6) AS wx, round(wy, 6) AS wy FROM dist")
+def _(r):
+    return r6(aggregates.by_district(r.nodes, r.start).select("district_id", "cx", "cy", "wx", "wy"), "cx", "cy", "wx", "wy")
+
+
+@query("g2_pop_deviation", "i AS (SELECT avg(population) AS i FROM dist) SELECT round(sqrt(sum((population - i) * (population - i))), 6) AS deviation FROM dist, i")
+def _(r):
+    return r6(aggregates.population_deviation(aggregates.by_district(r.nodes, r.start)).select("deviation"), "deviation")
+
+
+@query("g18_max_relative", "i AS (SELECT avg(population) AS i FROM dist) SELECT round(max(abs(population - i) / i), 6) AS max_relative FROM dist, i")
+def _(r):
+    return r6(aggregates.population_deviation(aggregates.by_district(r.nodes, r.start)).select("max_relative"), "max_relative")
+
+
+@query("g4_perimeter", "z AS (SELECT 1) SELECT * FROM per")
+def _(r):
+    return aggregates.perimeter(graph.cut_edges(r.edges, r.start), r.nodes, r.start)
+
+
+@query("g5_compactness", "z AS (SELECT 1) SELECT round(sum(perimeter * perimeter / area), 6) AS energy FROM per JOIN dist USING (district_id)")
+def _(r):
+    return r6(aggregates.compactness(aggregates.perimeter(graph.cut_edges(r.edges, r.start), r.nodes, r.start), aggregates.by_district(r.nodes, r.start)), "energy")
+
+
+@query("g7_global_center", "z AS (SELECT 1) SELECT round(sum(x * population) / count(*), 6) AS x, round(sum(y * population) / count(*), 6) AS y FROM nodes")
+def _(r):
+    return r6(aggregates.global_centre(r.nodes, "population"), "x", "y")
+
+
+@query("g9_cut_length", "z AS (SELECT 1) SELECT count(*) AS n_cut, CAST(coalesce(sum(border_length), 0) AS BIGINT) AS length FROM cut")
+def _(r):
+    return aggregates.cut_length(graph.cut_edges(r.edges, r.start))
+
+
+@query("g19_districts_won_start", "z AS (SELECT 1) SELECT count(*) AS won FROM (SELECT district_id FROM start JOIN votes USING (node_id) GROUP BY 1 HAVING sum(p1) > sum(p2))")
+def _(r):
+    v = r.start.join(r.votes, "node_id").groupBy("district_id").agg(F.sum("p1").alias("a"), F.sum("p2").alias("b"))
+    return v.agg(F.count_if(F.col("a") > F.col("b")).alias("won"))
+
+
+# -- scores of moves ---------------------------------------------------------
+def _moves(r):
+    return graph.proposals(graph.cut_edges(r.edges, r.start))
+
+
+M3 = """m3 AS (SELECT m.node_id, old_color, new_color, count(*) FILTER (district_id = old_color) - count(*) FILTER (district_id = new_color) AS score
+  FROM moves m JOIN sym s ON s.node_id = m.node_id JOIN start a ON a.node_id = s.other GROUP BY ALL)
+"""
+
+
+@query("m3_cut_delta", M3 + "SELECT * FROM m3")
+def _(r):
+    return scores.cut_delta(_moves(r), r.edges, r.start)
+
+
+@query("m2_acceptance_chance", M3 + "SELECT node_id, old_color, new_color, round(exp(least(-0.5 * 2 * score, 700)), 6) AS chance FROM m3")
+def _(r):
+    s = scores.cut_delta(_moves(r), r.edges, r.start)
+    return s.select("node_id", "old_color", "new_color", F.round(scores.chance(F.col("score"), 2.0), 6).alias("chance"))
+
+
+@query("m5_compactness_delta", """t AS (SELECT m.node_id, old_color, new_color, coalesce(sum(border_length) FILTER (district_id = old_color), 0) AS o, coalesce(sum(border_length) FILTER (district_id = new_color), 0) AS w,
+    coalesce(sum(border_length) FILTER (district_id NOT IN (old_color, new_color)), 0) AS th
+  FROM moves m JOIN sym s ON s.node_id = m.node_id JOIN start a ON a.node_id = s.other GROUP BY ALL)
+SELECT t.node_id, old_color, new_color, round(pow(po.perimeter + o - w - th - external_border, 2) / nullif(do_.area - n.area, 0) + pow(pn.perimeter + o - w + th + external_border, 2) / (dn.area + n.area)
+  - pow(po.perimeter, 2) / do_.area - pow(pn.perimeter, 2) / dn.area, 6) AS score
+FROM t JOIN nodes n USING (node_id) JOIN per po ON po.district_id = old_color JOIN per pn ON pn.district_id = new_color
+JOIN dist do_ ON do_.district_id = old_color JOIN dist dn ON dn.district_id = new_color""")
+def _(r):
+    return r6(scores.compactness_delta(_moves(r), r.nodes, r.edges, r.start), "score")
+
+
+@query("m6_pop_delta", """z AS (SELECT 1) SELECT m.node_id, old_color, new_color, 2 * n.population * (b.population - a.population + n.population) AS score
+FROM moves m JOIN nodes n USING (node_id) JOIN dist a ON a.district_id = old_color JOIN dist b ON b.district_id = new_color""")
+def _(r):
+    return scores.population_delta(_moves(r), r.nodes, r.start)
+
+
+FLOW = """f AS (SELECT m.*, n.x, n.y, a.cx AS ax, a.cy AS ay, a.n_nodes AS an, b.cx AS bx, b.cy AS by_, b.n_nodes AS bn FROM moves m JOIN nodes n USING (node_id)
+  JOIN dist a ON a.district_id = old_color JOIN dist b ON b.district_id = new_color),
+g AS (SELECT *, (ax * an - x) / nullif(an - 1, 0) AS ax2, (ay * an - y) / nullif(an - 1, 0) AS ay2, (bx * bn + x) / (bn + 1) AS bx2, (by_ * bn + y) / (bn + 1) AS by2 FROM f),
+h AS (SELECT node_id, old_color, new_color,
+    ((ay2 - ay) * ((ax + ax2) / 2 - 4.5) - (ax2 - ax) * ((ay + ay2) / 2 - 4.5)) / nullif(sqrt(pow((ax + ax2) / 2 - 4.5, 2) + pow((ay + ay2) / 2 - 4.5, 2)) * sqrt(pow(ax2 - ax, 2) + pow(ay2 - ay, 2)), 0)
+    + ((by2 - by_) * ((bx + bx2) / 2 - 4.5) - (bx2 - bx) * ((by_ + by2) / 2 - 4.5)) / nullif(sqrt(pow((bx + bx2) / 2 - 4.5, 2) + pow((by_ + by2) / 2 - 4.5, 2)) * sqrt(pow(bx2 - bx, 2) + pow(by2 - by_, 2)), 0) AS turn FROM g)
+SELECT node_id, old_color, new_color, round(turn, 6) AS turn FROM h"""
+
+
+@query("p7_centre_flow", FLOW)
+def _(r):
+    return r6(scores.centre_flow(_moves(r), r.nodes, r.start, CENTRE).drop("kept"), "turn")
+
+
+@query("p9_edge_orientation", """z AS (SELECT 1) SELECT u, v, CASE WHEN (b.y - a.y) * ((a.x + b.x) / 2 - 4.5) - (b.x - a.x) * ((a.y + b.y) / 2 - 4.5) >= 0 THEN 1 ELSE -1 END AS sign
+FROM edges JOIN nodes a ON a.node_id = u JOIN nodes b ON b.node_id = v""")
+def _(r):
+    return scores.orientation(r.edges, r.nodes, CENTRE)
+
+
+@query("m13_edge_keys", "z AS (SELECT 1) SELECT u, v, u * 4294967296 + v AS key FROM edges")
+def _(r):
+    return r.edges.select("u", "v", scores.pack_pair(F.col("u"), F.col("v")).alias("key"))
+
+
+# -- replay ------------------------------------------------------------------
+@query("move_log", "z AS (SELECT 1) SELECT * FROM log")
+def _(r):
+    return r.log
+
+
+@query("p1_accepted", "z AS (SELECT 1) SELECT chain_id, count(node_id) AS accepted, count(*) - count(node_id) AS rejected FROM log GROUP BY 1")
+def _(r):
+    return r.log.groupBy("chain_id").agg(F.count("node_id").alias("accepted"), F.count_if(F.col("node_id").isNull()).alias("rejected"))
+
+
+@query("p11_truncated", "z AS (SELECT 1) SELECT chain_id, count(*) AS n FROM log WHERE step < 100 GROUP BY 1")
+def _(r):
+    return replay.truncated(r.log, 100).groupBy("chain_id").agg(F.count("*").alias("n"))
+
+
+@query("p12_burn_in", "z AS (SELECT 1) SELECT chain_id, count(*) AS n FROM log WHERE step >= 100 GROUP BY 1")
+def _(r):
+    return replay.after_burn_in(r.log, 100).groupBy("chain_id").agg(F.count("*").alias("n"))
+
+
+@query("j6_intervals", "z AS (SELECT 1) SELECT chain_id, node_id, color, s AS start_step, e AS end_step FROM held")
+def _(r):
+    return replay.intervals(r.log, r.start)
+
+
+@query("g11_dwell_time", "z AS (SELECT 1) SELECT chain_id, node_id, color, CAST(sum(e - s) AS BIGINT) AS dwell FROM held GROUP BY ALL")
+def _(r):
+    return replay.dwell(r.log, r.start)
+
+
+@query("g12_flip_counts", "z AS (SELECT 1) SELECT chain_id, node_id, count(*) AS flips FROM log WHERE node_id IS NOT NULL GROUP BY ALL")
+def _(r):
+    return replay.flips(r.log)
+
+
+@query("t3_snapshot_every_k", "z AS (SELECT 1) SELECT chain_id, step, node_id, color FROM at_step WHERE step % 50 = 0")
+def _(r):
+    return replay.snapshots(replay.intervals(r.log, r.start), EVERY)
+
+
+@query("t2_colour_counts", "z AS (SELECT 1) SELECT chain_id, color, count(*) AS node_steps FROM at_step GROUP BY ALL")
+def _(r):
+    held = replay.intervals(r.log, r.start)
+    return held.groupBy("chain_id", "color").agg(F.sum(F.col("end_step") - F.col("start_step")).alias("node_steps"))
+
+
+@query("t4_contested_edges", """z AS (SELECT 1) SELECT a.chain_id, u, v, count(*) AS contested FROM edges JOIN at_step a ON a.node_id = u JOIN at_step b ON b.node_id = v AND b.chain_id = a.chain_id AND b.step = a.step
+WHERE a.color <> b.color GROUP BY ALL""")
+def _(r):
+    return replay.contested_edges(r.log, r.start, r.edges)
+
+
+CONTESTED = """con AS (SELECT a.chain_id, s.node_id, count(DISTINCT a.step) AS contested FROM sym s JOIN at_step a ON a.node_id = s.node_id JOIN at_step b ON b.node_id = s.other AND b.chain_id = a.chain_id AND b.step = a.step
+  WHERE a.color <> b.color GROUP BY ALL)
+"""
+
+
+@query("g10_contested_nodes", CONTESTED + "SELECT * FROM con")
+def _(r):
+    return replay.contested_nodes(r.log, r.start, r.edges)
+
+
+@query("g13_heatmap", CONTESTED + """, fl AS (SELECT chain_id, node_id, count(*) AS f FROM log WHERE node_id IS NOT NULL GROUP BY ALL),
+dw AS (SELECT chain_id, node_id, sum(e - s) AS d FROM held WHERE color = 1 GROUP BY ALL)
+SELECT chain_id, node_id, x, y, round(coalesce(f / (SELECT sum(f) FROM fl g WHERE g.chain_id = len.chain_id), 0), 6) AS flip_share, round(coalesce(d, 0) / steps, 6) AS colour_share, coalesce(contested, 0) AS contested
+FROM nodes CROSS JOIN len LEFT JOIN fl USING (chain_id, node_id) LEFT JOIN dw USING (chain_id, node_id) LEFT JOIN con USING (chain_id, node_id)""")
+def _(r):
+    return r6(replay.heat_map(r.log, r.start, r.edges, r.nodes), "flip_share", "colour_share")
+
+
+@query("t5_districts_won", "z AS (SELECT 1) SELECT * FROM wins")
+def _(r):
+    return replay.districts_won(r.log, r.start, r.votes)
+
+
+@query("t6_marginals", "z AS (SELECT 1) SELECT chain_id, step, rank, round(share, 6) AS share FROM marg")
+def _(r):
+    return r6(replay.marginals(r.log, r.start, r.votes), "share")
+
+
+@query("t7_apd_trace", "i AS (SELECT sum(population) / 5 AS i FROM nodes) SELECT chain_id, step, round(max(abs(population - i) / i), 6) AS apd FROM full_d, i GROUP BY ALL")
+def _(r):
+    return r6(replay.deviation_trace(r.log, r.start, r.nodes, derived.DISTRICTS), "apd")
+
+
+@query("t9_com_trace", "z AS (SELECT 1) SELECT chain_id, step, district_id, round(cx, 6) AS cx, round(cy, 6) AS cy FROM com")
+def _(r):
+    return r6(replay.centre_trace(r.log, r.start, r.nodes), "cx", "cy")
+
+
+@query("t15_energy_trace", """z AS (SELECT 1) SELECT a.chain_id, a.step, count(*) AS n_cut FROM edges JOIN at_step a ON a.node_id = u JOIN at_step b ON b.node_id = v AND b.chain_id = a.chain_id AND b.step = a.step
+WHERE a.color <> b.color AND a.step % 50 = 0 GROUP BY ALL""")
+def _(r):
+    s = replay.snapshots(replay.intervals(r.log, r.start), EVERY)
+    u = s.select("chain_id", "step", F.col("node_id").alias("u"), F.col("color").alias("cu"))
+    v = s.select("chain_id", "step", F.col("node_id").alias("v"), F.col("color").alias("cv"))
+    return r.edges.join(u, "u").join(v, ["chain_id", "step", "v"]).where("cu <> cv").groupBy("chain_id", "step").agg(F.count("*").alias("n_cut"))
+
+
+# -- diagnostics -------------------------------------------------------------
+def _wins(r):
+    return replay.districts_won(r.log, r.start, r.votes)
+
+
+def _marginals(r):
+    return replay.marginals(r.log, r.start, r.votes)
+
+
+@query("g14_pibar", "z AS (SELECT 1) SELECT state, round(share, 6) AS share FROM pibar")
+def _(r):
+    return r6(diagnostics.pooled_histogram(_wins(r), "wins"), "share")
+
+
+@query("w1_running_share", "z AS (SELECT 1) SELECT chain_id, step, state, round(n / (step + 1), 6) AS share FROM runs")
+def _(r):
+    return r6(diagnostics.running_share(_wins(r), "wins"), "share")
+
+
+@query("w2_phi", """f AS (SELECT chain_id, step, max(abs(n / (step + 1) - share)) AS phi FROM runs JOIN pibar USING (state) WHERE step < (SELECT min(steps) FROM len) GROUP BY ALL)
+SELECT step, round(avg(phi), 6) AS phi_mean, round(var_pop(phi), 6) AS phi_var FROM f GROUP BY step""")
+def _(r):
+    return r6(diagnostics.running_distance(_wins(r), "wins"), "phi_mean", "phi_var")
+
+
+@query("w3_waits", "z AS (SELECT 1) SELECT * FROM wait")
+def _(r):
+    return diagnostics.waits(r.log)
+
+
+@query("g15_wait_hist", "z AS (SELECT 1) SELECT chain_id, wait, count(*) AS n FROM wait GROUP BY ALL")
+def _(r):
+    return diagnostics.wait_histogram(r.log)
+
+
+@query("g16_rank_histogram", "z AS (SELECT 1) SELECT rank, round(key, 6) AS key, n, round(share, 6) AS share FROM rhist")
+def _(r):
+    return r6(diagnostics.rank_histogram(_marginals(r)), "key", "share")
+
+
+@query("w4_running_tv", "z AS (SELECT 1) SELECT chain_id, win, round(avg(tv), 6) AS tv FROM tvw GROUP BY ALL")
+def _(r):
+    return r6(diagnostics.running_variation(_marginals(r), THIN).withColumnRenamed("window", "win"), "tv")
+
+
+@query("g17_farthest_chain", "l AS (SELECT chain_id, rank, arg_max(tv, win) AS tv FROM tvw GROUP BY ALL), m AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY round(tv, 9) DESC, chain_id) AS k FROM l) SELECT rank, chain_id, round(tv, 6) AS tv FROM m WHERE k = 1")
+def _(r):
+    return r6(diagnostics.farthest_chain(_marginals(r), THIN), "tv")
+
+
+@query("w5_running_sup", "f AS (SELECT step, state, max(n) - min(n) AS d FROM runs WHERE step < (SELECT min(steps) FROM len) GROUP BY ALL) SELECT step, round(max(d) / (step + 1), 6) AS spread FROM f GROUP BY step")
+def _(r):
+    return r6(diagnostics.running_spread(_wins(r), "wins"), "spread")
+
+
+@query("w6_unwrap", """c AS (SELECT avg(x) AS gx, avg(y) AS gy FROM nodes), a AS (SELECT chain_id, district_id, step, atan2(cy - gy, cx - gx) AS th FROM com, c),
+b AS (SELECT *, lag(th) OVER (PARTITION BY chain_id, district_id ORDER BY step) AS p FROM a),
+d AS (SELECT *, CASE WHEN p IS NULL THEN th WHEN th * p < 0 AND abs(th - p) > pi() THEN CASE WHEN th > 0 THEN th - p - 2 * pi() ELSE th - p + 2 * pi() END ELSE th - p END AS d FROM b)
+SELECT chain_id, district_id, step, CASE WHEN abs(sum(d) OVER w) < 5e-7 THEN 0 ELSE round(sum(d) OVER w, 6) END AS angle FROM d
+WINDOW w AS (PARTITION BY chain_id, district_id ORDER BY step)""")
+def _(r):
+    out = r6(diagnostics.unwrapped(replay.centre_trace(r.log, r.start, r.nodes), aggregates.global_centre(r.nodes)), "angle")
+    return out.withColumn("angle", F.when(F.col("angle") == 0, 0.0).otherwise(F.col("angle")))  # no negative zero
+
+
+@query("w7_rank_marginals", "z AS (SELECT 1) SELECT rank, count(share) AS n, round(avg(share), 6) AS mean FROM marg GROUP BY rank")
+def _(r):
+    return r6(_marginals(r).groupBy("rank").agg(F.count("share").alias("n"), F.avg("share").alias("mean")), "mean")
+
+
+@query("w8_transitions", "w AS (SELECT chain_id, step, wins, lag(wins) OVER (PARTITION BY chain_id ORDER BY step) AS p FROM wins) SELECT chain_id, step, wins FROM w WHERE p IS NULL OR p <> wins")
+def _(r):
+    return diagnostics.transitions(_wins(r), "wins")
+
+
+@query("g20_acf", """x AS (SELECT chain_id, step, wins - avg(wins) OVER (PARTITION BY chain_id) AS x FROM wins),
+c AS (SELECT a.chain_id, b.step - a.step AS lag, avg(a.x * b.x) AS cov FROM x a JOIN x b ON a.chain_id = b.chain_id AND b.step BETWEEN a.step AND a.step + 20 GROUP BY ALL)
+SELECT chain_id, lag, round(cov / (SELECT cov FROM c z WHERE z.chain_id = c.chain_id AND z.lag = 0), 6) AS acf FROM c""")
+def _(r):
+    return r6(diagnostics.autocorrelation(_wins(r), "wins", LAGS), "acf")
+
+
+# -- long range and sides ----------------------------------------------------
+G = """s AS (SELECT * FROM at_step WHERE step % {m} = 0), p AS (SELECT a.chain_id, b.step - a.step AS dist, a.step AS loc, count(*) FILTER (a.color = b.color) AS agree
+  FROM s a JOIN len USING (chain_id) JOIN {b} b ON b.chain_id = a.chain_id AND b.node_id = a.node_id AND b.step >= a.step AND b.step < a.step + {far} {cond} GROUP BY ALL)
+SELECT chain_id, dist, count(*) AS locs, round(avg(agree) - (SELECT count(*) / 5 FROM nodes), 6) AS g FROM p GROUP BY ALL"""
+
+
+@query("t10_autocorr_agreement", G.format(m=50, b="s", far=500, cond="WHERE a.step < steps - 500"))
+def _(r):
+    return r6(autocorr.at_distances(replay.intervals(r.log, r.start), r.nodes, EVERY, FURTHEST, derived.DISTRICTS), "g")
+
+
+@query("t11_autocorr_points", G.format(m=250, b="at_step", far=100, cond="WHERE a.step < steps - 100"))
+def _(r):
+    return r6(autocorr.from_points(replay.intervals(r.log, r.start), r.nodes, 250, 100, derived.DISTRICTS), "g")
+
+
+@query("t12_autocorr_pairs", G.format(m=100, b="s", far=500, cond=""))
+def _(r):
+    return r6(autocorr.all_pairs(replay.intervals(r.log, r.start), r.nodes, 100, FURTHEST, derived.DISTRICTS), "g")
+
+
+SIDES = """e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM nodes),
+o AS (SELECT chain_id, step, {flags} FROM at_step JOIN nodes USING (node_id), e GROUP BY ALL)
+"""
+_corner = {"sw": "x = x0 AND y = y0", "nw": "x = x0 AND y = y1", "se": "x = x1 AND y = y0", "ne": "x = x1 AND y = y1"}
+
+
+@query("t8_corner_ownership", SIDES.format(flags=", ".join(f"coalesce(max((color = 0)::INT) FILTER ({c}), 0) AS {k}" for k, c in _corner.items())) + """
+SELECT chain_id, step, CASE WHEN sw = nw THEN CASE WHEN se = ne THEN 2 * sw END WHEN sw = se AND nw = ne THEN 1 + 2 * sw END AS side FROM o""")
+def _(r):
+    return corners.corner_ownership(replay.intervals(r.log, r.start), corners.corner_ids(r.nodes))
+
+
+def _probe(across, end, axis, high):
+    on = f"m.{across} = {across}{end} AND "
+    if high:
+        return f"{axis} = (SELECT min({axis}) FROM nodes m, e WHERE {on} m.{axis} < {axis}1 AND m.{axis} > ({axis}0 + {axis}1) / 2 + ({axis}1 - {axis}0) * 0.25) AND {across} = {across}{end}"
+    return f"{axis} = (SELECT max({axis}) FROM nodes m, e WHERE {on} m.{axis} > {axis}0 AND m.{axis} < ({axis}0 + {axis}1) / 2 - ({axis}1 - {axis}0) * 0.25) AND {across} = {across}{end}"
+
+
+_probes = {"sw_h": _probe("x", 0, "y", False), "nw_h": _probe("x", 0, "y", True), "se_h": _probe("x", 1, "y", False), "ne_h": _probe("x", 1, "y", True),
+           "sw_v": _probe("y", 0, "x", False), "se_v": _probe("y", 0, "x", True), "nw_v": _probe("y", 1, "x", False), "ne_v": _probe("y", 1, "x", True)}
+
+
+@query("t13_coreset", SIDES.format(flags=", ".join(f"coalesce(max((color = 0)::INT) FILTER ({c}), 0) AS {k}" for k, c in _probes.items())) + """
+SELECT chain_id, step, CASE WHEN sw_h <> nw_h AND se_h <> ne_h THEN 2 * sw_h WHEN sw_v <> se_v AND ne_v <> nw_v THEN 1 + 2 * sw_v END AS core FROM o""")
+def _(r):
+    return corners.core_sets(replay.intervals(r.log, r.start), corners.probe_ids(r.nodes, strict_reference=False))
+
+
+# -- samplers: one chain a supplier, on one grid ------------------------------
+def _chains(r):
+    s = derived.table(r.spark, r.dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("chain_id"), F.lit(50).alias("steps"), F.lit(1.0).alias("beta"), F.lit(2.0).alias("measure_beta"))
+
+
+for _kernel in sampler.KERNELS:
+    query(f"k_{_kernel}")(lambda r, k=_kernel: sampler.sample(_chains(r), sampler.Grid(6, 2, 0.9), k))
+
+
+QUERIES = {name: (lambda spark, sf_dir, f=f: f(relations(spark, sf_dir))) for name, f in _B.items()}
