@@ -52,7 +52,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html).alias("payload_digest"))
     groups = rows.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
-    shared = stored(groups.where("n > 1").select("payload_digest", "payload_bytes", "first_id"), "payloads")
+    shared = stored(groups.where("n > 1").select("payload_digest", "payload_bytes", "first_id"), "payloads").hint("merge")
     out = rows.join(shared, ["payload_digest", "payload_bytes"], "left")
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     return out.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id")))
