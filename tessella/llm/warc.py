@@ -1,8 +1,9 @@
 r"""WARC archives: a writer by SQL functions, and a reader that salvages.
 
-Records are WARC/1.1 without compression. The writer builds each record as a
-string and lets Spark's text sink end it with CRLF CRLF, so archives are
-committed like any other output and lie in any store that Spark can reach.
+Records are WARC/1.1, an archive one gzip member of a bounded number of
+records. The writer builds each record as a string and lets Spark's text sink
+end it with CRLF CRLF and compress, so archives are committed like any other
+output and lie in any store that Spark can reach.
 
 The reader takes every byte of an archive in turn. A record that fails a
 check (version line, header, length, end mark, block digest) is not trusted:
@@ -25,8 +26,8 @@ from .common import new_path, stored, table
 VERSION = b"WARC/1.1\r\n"
 VERSION_START = b"WARC/1."
 GZIP_START = b"\x1f\x8b\x08"
-#: Archives are cut to about this many bytes, so that one fits a task.
-ARCHIVE_BYTES = 8 << 20
+#: Records of an archive, at most: what a reader's task holds at once.
+ARCHIVE_RECORDS = 1000
 
 
 def base32_sha1(data: Column) -> Column:
@@ -81,13 +82,10 @@ def record_text(r: DataFrame) -> DataFrame:
     return r.select(F.concat(head, F.lit("\r\n\r\n"), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """A record a row, in archives of about ``ARCHIVE_BYTES`` under ``path``."""
-    records = plan_records(pages)
-    size = pages.agg(F.sum(F.octet_length("html") + 600)).first()[0] or 0
-    n = max(1, -(-int(size) // ARCHIVE_BYTES))
-    dealt = records.withColumn("__deal", F.xxhash64("page_id", "payload_digest"))
-    record_text(dealt.repartition(n, "__deal")).write.option("lineSep", "\r\n\r\n").text(path)
+def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> None:
+    """A record a row, in archives of ``ARCHIVE_RECORDS`` at most under ``path``."""
+    records = record_text(plan_records(pages)).write.option("lineSep", "\r\n\r\n")
+    records.option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", compression).text(path)
 
 
 def _header(data: bytes, at: int):
@@ -130,35 +128,42 @@ def _record(data: bytes, at: int):
 
 
 def _member(data: bytes, at: int):
-    """(content, end) of the valid gzip member at ``at``, else None."""
+    """(content, end, whole) of the gzip member at ``at``; of a damaged one what comes before the damage."""
     box, parts, end = zlib.decompressobj(31), [], at
     try:
         while end < len(data) and not box.eof:
-            piece = data[end : end + 65536]
+            piece = data[end : end + 4096]
             parts.append(box.decompress(piece))
             end += len(piece)
     except zlib.error:
-        return None
-    return (b"".join(parts), end - len(box.unused_data)) if box.eof else None
+        return b"".join(parts), end, False
+    return b"".join(parts), end - len(box.unused_data), box.eof
 
 
 def salvage(data: bytes):
     """Yields ("record", start, end, fields, block, "") and ("gap", start, end, None, None, reason).
 
-    Records and gaps together cover the whole archive, in order.
+    Records and gaps together cover the whole archive, in order. Records that
+    a damaged gzip member holds before its damage are given an empty range.
     """
     at, bad, reason = 0, None, ""
     while at < len(data):
         hit = None
         if data.startswith(GZIP_START, at):
-            member = _member(data, at)
-            if member:
-                inner = list(salvage(member[0]))
-                if any(x[0] == "record" for x in inner):
-                    hit = (member[1], [("record", at, member[1], x[3], x[4], "") for x in inner if x[0] == "record"])
-                failed = "member"
-            else:
-                failed = "gzip"
+            content, end, whole = _member(data, at)
+            inner = list(salvage(content)) if content else []
+            kept = [("record", at, end if whole else at, x[3], x[4], "") for x in inner if x[0] == "record"]
+            # gaps within a member are given by their place in what it holds
+            kept += [("gap", at, end, None, None, f"member {x[1]}-{x[2]} {x[5]}") for x in inner if x[0] == "gap" and whole]
+            if whole and inner:
+                hit = (end, kept)
+            elif kept:
+                # a damaged member: its records up to the damage are whole, the rest is a gap
+                if bad is not None:
+                    yield ("gap", bad, at, None, None, reason)
+                    bad = None
+                yield from kept
+            failed = "gzip"
         else:
             found = _record(data, at)
             if isinstance(found, str):
