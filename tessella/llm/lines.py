@@ -142,6 +142,8 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     gone = repeated_lines(docs, min_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("pos")).alias("__removed"))
     gone = stored(gone.withColumnsRenamed({"doc_id": "__d", "th": "__t"}), "removed")
     rows = docs.withColumn("__th", F.xxhash64("text"))
+    # few or many lines may go: texts are joined in the same way at every size
+    gone = gone.hint("merge")
     rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__d"]) & (rows["__th"] == gone["__t"]), "left")
     parts = F.split("text", "\n", -1)
     left = F.array_join(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("__removed", s["i"])).getField("x"), "\n")
