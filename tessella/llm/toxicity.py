@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Labelled documents of each class that the model is fitted on, at most.
-SAMPLE = 3000
+SAMPLE = 1500
 MAX_FEATURES, LEAST_DOCS, LEAST_ODDS = 4000, 5, 2.0
 FOLDS, HALF = 5, 5
 _TOKEN = re.compile(r"\w+")
