@@ -169,10 +169,27 @@ def _prefixes(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInPandas(run, "bucket long, pairs binary")
 
 
-def _count_shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    h, f, shared = _sorted_pairs(pdf["pairs"])
-    names, counts = np.unique(f[shared], return_counts=True)
-    return pd.DataFrame({"name": names, "c": counts})
+def _shared_counts(prefixes: DataFrame, buckets: int) -> DataFrame:
+    """(name, c): how many prefix hashes of each set occur in other sets; none at all: no row."""
+
+    def count(pdf):
+        h, f, shared = _sorted_pairs(pdf["pairs"])
+        names, counts = np.unique(f[shared], return_counts=True)
+        rows = []
+        for part in range(buckets):
+            at = names % buckets == part
+            if at.any():
+                rows.append((part, names[at].astype("<i8").tobytes() + counts[at].astype("<i8").tobytes()))
+        return pd.DataFrame(rows, columns=["part", "counts"])
+
+    def add(pdf):
+        halves = [np.frombuffer(x, dtype="<i8").reshape(2, -1) for x in pdf["counts"]]
+        names, counts = np.concatenate(halves, axis=1)
+        names, at = np.unique(names, return_inverse=True)
+        return pd.DataFrame({"name": names, "c": np.bincount(at, weights=counts).astype("int64")})
+
+    counted = prefixes.groupBy("bucket").applyInPandas(count, "part long, counts binary")
+    return counted.groupBy("part").applyInPandas(add, "name long, c long")
 
 
 def _bitmap(s: np.ndarray) -> bytes:
@@ -198,7 +215,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     rows = []
             yield pd.DataFrame(rows, columns=["name", "n", "bits", "hashes"])
 
-    one = wanted.select("name", F.col("doc_id").alias("__id"))
+    # texts are joined in the same way however many sets are wanted
+    one = wanted.select("name", F.col("doc_id").alias("__id")).hint("merge")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.join(one, F.col("doc_id").eqNullSafe(F.col("__id"))).select("name", "text")
     found = rows.mapInPandas(run, "name long, n long, bits binary, hashes binary")
@@ -264,27 +282,26 @@ def links_of(name, n, bits, hashes, foreign):
 def _verify(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """(src, dst) star edges of true links between sets of one group."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(DEN / NUM)))).cast("long")
-    rows = stored(sets.join(groups.select(F.col("node").alias("name"), "root"), "name").withColumn("band", band), "banded")
+    rows = sets.select("name", "n").join(groups.select(F.col("node").alias("name"), "root"), "name")
+    rows = stored(rows.withColumn("band", band), "banded")
     tiles = rows.groupBy("root", "band").agg(F.count("*").alias("m"), F.sum(F.col("n") * 8 + BITS // 8).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     tiles = stored(tiles.select("root", "band", blocks.alias("blocks")), "tiles")
     lower = tiles.select("root", (F.col("band") + 1).alias("band"), F.col("blocks").alias("lower"))
-    rows = rows.join(tiles, ["root", "band"]).join(lower, ["root", "band"], "left")
-    rows = rows.withColumn("mine", F.pmod("name", F.col("blocks").cast("long")).cast("int"))
-    seq = lambda n: F.sequence(F.lit(0), n - 1)
-    # at home: with every other block of the tile; and with every block of the band below
-    home = F.transform(seq(F.col("blocks")), lambda o: F.struct(F.col("band").alias("band"), F.least(F.col("mine"), o).alias("a"), F.greatest(F.col("mine"), o).alias("z"), F.lit(False).alias("up")))
-    above = F.transform(seq(F.col("lower")), lambda o: F.struct((F.col("band") - 1).alias("band"), o.alias("a"), F.col("mine").alias("z"), F.lit(True).alias("up")))
-    # a home block meets the blocks of the band above in tasks of their own
     higher = tiles.select("root", (F.col("band") - 1).alias("band"), F.col("blocks").alias("higher"))
-    rows = rows.join(higher, ["root", "band"], "left")
-    below = F.transform(seq(F.col("higher")), lambda o: F.struct(F.col("band").alias("band"), F.col("mine").alias("a"), o.alias("z"), F.lit(True).alias("up")))
-    none = F.array().cast("array<struct<band:bigint,a:int,z:int,up:boolean>>")
-    own = F.when(F.col("blocks") > 0, home)
-    dealt = rows.select(
-        "root", "name", "n", "bits", "hashes", F.col("band").alias("own_band"),
-        F.explode(F.concat(own, F.coalesce(below, none), F.coalesce(above, none))).alias("t"),
-    ).select("root", "t.*", "name", "n", "bits", "hashes", "own_band")
+    rows = rows.join(tiles, ["root", "band"]).join(lower, ["root", "band"], "left").join(higher, ["root", "band"], "left")
+    rows = rows.withColumn("mine", F.pmod("name", F.col("blocks").cast("long")).cast("int"))
+    shape = "array<struct<band:bigint,a:int,z:int,guests:int>>"
+    task = lambda d, a, z, g: F.struct((F.col("band") - d).alias("band"), a.alias("a"), z.alias("z"), g.alias("guests"))
+    # each block meets itself and every other block of its tile, and each block of the band above
+    home = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: task(0, F.least(F.col("mine"), o), F.greatest(F.col("mine"), o), F.lit(0)))
+    more = F.when(F.col("higher") > 1, F.transform(F.sequence(F.lit(1), F.col("higher") - 1), lambda g: task(0, F.col("mine"), F.col("mine"), g)))
+    above = F.transform(F.sequence(F.lit(0), F.col("lower") - 1), lambda o: task(1, o, o, F.col("mine")))
+    none = F.array().cast(shape)
+    targets = F.concat(home, F.coalesce(more, none), F.coalesce(above, none))
+    plan = stored(rows.select("name", "root", F.col("band").alias("own_band"), targets.alias("targets")), "plan").hint("merge")
+    dealt = sets.join(plan, "name").select("root", F.explode("targets").alias("t"), "name", "n", "bits", "hashes", "own_band")
+    dealt = dealt.select("root", "t.*", "name", "n", "bits", "hashes", "own_band")
 
     def tile(pdf):
         # sets of the band above are foreign: they meet each other in their own tile
@@ -292,7 +309,7 @@ def _verify(sets: DataFrame, groups: DataFrame) -> DataFrame:
         a, b = links_of(pdf["name"].to_numpy(), pdf["n"].to_numpy(), pdf["bits"].to_list(), pdf["hashes"].to_list(), foreign)
         return pd.DataFrame({"src": a, "dst": b})
 
-    return dealt.groupBy("root", "band", "a", "z", "up").applyInPandas(tile, "src long, dst long")
+    return dealt.groupBy("root", "band", "a", "z", "guests").applyInPandas(tile, "src long, dst long")
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -309,8 +326,7 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     names = name_sets(docs)
     reps = stored(names.where("name is not null").groupBy("name").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")), "reps")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), names.count() // 4000)
-    shared = _prefixes(docs, buckets).groupBy("bucket").applyInPandas(_count_shared, "name long, c long")
-    shared = shared.groupBy("name").agg(F.sum("c").alias("c"))
+    shared = _shared_counts(_prefixes(docs, buckets), buckets)
     smallest = F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}")
     need = F.greatest(F.lit(1), F.floor(smallest * EXTRA))
     wanted = stored(reps.join(shared, "name").where(F.col("c") >= need).select("name", "doc_id"), "wanted")
@@ -333,7 +349,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     Rows that repeat a kept doc_id all stay if their component is the same.
     """
     kept = jaccard_groups(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    kept = stored(kept.select(F.col("doc_id").alias("__kept")).distinct(), "kept")
+    kept = stored(kept.select(F.col("doc_id").alias("__kept")).distinct(), "kept").hint("merge")
     return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
 
 
