@@ -43,22 +43,13 @@ class _WordHashes(dict):
     def __missing__(self, word):
         if len(self) > 400_000:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
-_SPACE = {c: " " for c in (9, 10, 11, 12, 13)}
-_FOLD = _LOWER | _SPACE
-
-
-def words_of(text: str) -> list[str]:
-    """The words, lower-cased in A-Z alone, between ASCII white space."""
-    if text.isascii():
-        folded = text.lower().translate(_SPACE) if any(c in text for c in "\t\n\v\f\r") else text.lower()
-    else:
-        folded = text.translate(_FOLD)
-    return [w for w in folded.split(" ") if w]
+def words_of(text: str) -> list[bytes]:
+    """The words in UTF-8, lower-cased in A-Z alone, between ASCII white space: bytes know no other."""
+    return text.encode("utf-8", "surrogatepass").lower().split()
 
 
 def shingle_set(text: str | None, cache: _WordHashes, n: int = WORDS) -> np.ndarray:
