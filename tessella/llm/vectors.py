@@ -23,7 +23,7 @@ from .common import stored, table
 from .components import connected_components
 
 #: Rows of a cell block, rows that visit it at a time, pivots, and vectors that they are chosen from.
-BLOCK, VISITORS, MAX_PIVOTS, SAMPLE = 2048, 16384, 256, 4096
+BLOCK, VISITORS, MAX_PIVOTS, SAMPLE = 8192, 16384, 256, 4096
 #: Similarities this close to the threshold are computed again, in double precision.
 NEAR = 1e-4
 
