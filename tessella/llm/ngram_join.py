@@ -32,7 +32,8 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Prefixes are longer by this share of the set, so that as many of their hashes must be shared.
 EXTRA = 0.125
-BITS = 2048
+#: Bits of a bitmap for each hash of a tile's largest set, and the fewest of a bitmap.
+BITS_A_HASH, BITS = 4, 2048
 BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
 FLUSH_ENTRIES = 2_000_000
 
@@ -183,15 +184,19 @@ def _shared_counts(prefixes: DataFrame, buckets: int) -> DataFrame:
     return counted.groupBy("part").applyInPandas(add, "name long, c long")
 
 
-def _bitmap(s: np.ndarray) -> bytes:
-    at = np.unique(s % np.uint64(BITS)).astype(np.int64)
-    bits = np.zeros(BITS, dtype=np.uint8)
-    bits[at] = 1
-    return np.packbits(bits).tobytes()
+def _bitmaps(arrays: list[np.ndarray], largest: int) -> np.ndarray:
+    """A hashed bitmap a set, as rows of 64-bit words; the same length for all sets of a tile."""
+    size = max(BITS, 1 << (BITS_A_HASH * int(largest) - 1).bit_length())
+    out = np.empty((len(arrays), size // 64), dtype=np.uint64)
+    for row, s in zip(out, arrays):
+        bits = np.zeros(size, dtype=np.uint8)
+        bits[(s % np.uint64(size)).astype(np.int64)] = 1
+        row[:] = np.packbits(bits).view(np.uint64)
+    return out
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(name, n, bits, hashes) of one document of each wanted set, stored."""
+    """(name, n, hashes) of one document of each wanted set, stored."""
 
     def run(batches):
         cache = _WordHashes()
@@ -200,17 +205,17 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for name, text in zip(b["name"], b["text"]):
                 s = shingle_set(text, cache)
                 if set_name(s) == name:  # a repeated doc_id may have another text
-                    rows.append((name, len(s), _bitmap(s), s.tobytes()))
+                    rows.append((name, len(s), s.tobytes()))
                 if len(rows) >= 500:
-                    yield pd.DataFrame(rows, columns=["name", "n", "bits", "hashes"])
+                    yield pd.DataFrame(rows, columns=["name", "n", "hashes"])
                     rows = []
-            yield pd.DataFrame(rows, columns=["name", "n", "bits", "hashes"])
+            yield pd.DataFrame(rows, columns=["name", "n", "hashes"])
 
     # texts are joined in the same way however many sets are wanted
     one = wanted.select("name", F.col("doc_id").alias("__id")).hint("merge")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.join(one, F.col("doc_id").eqNullSafe(F.col("__id"))).select("name", "text")
-    found = rows.mapInPandas(run, "name long, n long, bits binary, hashes binary")
+    found = rows.mapInPandas(run, "name long, n long, hashes binary")
     return stored(found, "sets")
 
 
@@ -239,16 +244,25 @@ def _group_edges(sets: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(chain, "src long, dst long")
 
 
-def links_of(name, n, bits, hashes, foreign):
+def _bound(bits, n, i, j):
+    """(NUM + DEN) times an upper bound of how many hashes set i has in common with each of j."""
+    theirs = bits[j]
+    missing = np.bitwise_count(bits[i]).sum(dtype=np.int64) - np.bitwise_count(theirs & bits[i]).sum(axis=1, dtype=np.int64)
+    surplus = np.bitwise_count(theirs & ~bits[i]).sum(axis=1, dtype=np.int64)
+    return (NUM + DEN) * np.minimum(n[i] - missing, n[j] - surplus)
+
+
+def links_of(name, n, hashes, foreign):
     """Star edges (name, root) of the links in a tile block; ``foreign`` rows are not compared among themselves.
 
     Sets already joined are not compared again: only components matter.
     """
     order = np.argsort(n, kind="stable")
     name, n, foreign = name[order], n[order], foreign[order]
-    bits = np.frombuffer(b"".join(bits[i] for i in order), dtype=np.uint64).reshape(len(n), -1)
     arrays = [np.frombuffer(hashes[i], dtype=np.uint64) for i in order]
-    label = np.arange(len(n))
+    bits = _bitmaps(arrays, n.max(initial=1))
+    first = np.ascontiguousarray(bits[:, : bits.shape[1] // 4])
+    label, least = np.arange(len(n)), NUM * n
     for i in range(len(n)):
         # partners are later in order of size and at most a third larger
         stop = np.searchsorted(n, n[i] * DEN // NUM, side="right")
@@ -256,10 +270,11 @@ def links_of(name, n, bits, hashes, foreign):
         j = j[(label[j] != label[i]) & ~(foreign[i] & foreign[j])]
         if not len(j):
             continue
-        only_i = np.bitwise_count(bits[i] & ~bits[j]).sum(axis=1, dtype=np.int64)
-        only_j = np.bitwise_count(bits[j] & ~bits[i]).sum(axis=1, dtype=np.int64)
-        most = np.minimum(n[i] - only_i, n[j] - only_j)
-        for k in j[(NUM + DEN) * most >= NUM * (n[i] + n[j])]:
+        # a quarter of the bits bounds from above too; pairs that it leaves meet all bits
+        j = j[_bound(first, n, i, j) >= least[i] + least[j]]
+        if not len(j):
+            continue
+        for k in j[_bound(bits, n, i, j) >= least[i] + least[j]]:
             if label[k] == label[i]:
                 continue
             both = len(np.intersect1d(arrays[i], arrays[k], assume_unique=True))
@@ -275,7 +290,7 @@ def _verify(sets: DataFrame, groups: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(DEN / NUM)))).cast("long")
     rows = sets.select("name", "n").join(groups.select(F.col("node").alias("name"), "root"), "name")
     rows = stored(rows.withColumn("band", band), "banded")
-    tiles = rows.groupBy("root", "band").agg(F.count("*").alias("m"), F.sum(F.col("n") * 8 + BITS // 8).alias("bytes"))
+    tiles = rows.groupBy("root", "band").agg(F.count("*").alias("m"), F.sum(F.col("n") * (8 + BITS_A_HASH // 4) + BITS // 8).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     tiles = stored(tiles.select("root", "band", blocks.alias("blocks")), "tiles")
     lower = tiles.select("root", (F.col("band") + 1).alias("band"), F.col("blocks").alias("lower"))
@@ -291,13 +306,13 @@ def _verify(sets: DataFrame, groups: DataFrame) -> DataFrame:
     none = F.array().cast(shape)
     targets = F.concat(home, F.coalesce(more, none), F.coalesce(above, none))
     plan = stored(rows.select("name", "root", F.col("band").alias("own_band"), targets.alias("targets")), "plan").hint("merge")
-    dealt = sets.join(plan, "name").select("root", F.explode("targets").alias("t"), "name", "n", "bits", "hashes", "own_band")
-    dealt = dealt.select("root", "t.*", "name", "n", "bits", "hashes", "own_band")
+    dealt = sets.join(plan, "name").select("root", F.explode("targets").alias("t"), "name", "n", "hashes", "own_band")
+    dealt = dealt.select("root", "t.*", "name", "n", "hashes", "own_band")
 
     def tile(pdf):
         # sets of the band above are foreign: they meet each other in their own tile
         foreign = (pdf["own_band"] != pdf["band"]).to_numpy()
-        a, b = links_of(pdf["name"].to_numpy(), pdf["n"].to_numpy(), pdf["bits"].to_list(), pdf["hashes"].to_list(), foreign)
+        a, b = links_of(pdf["name"].to_numpy(), pdf["n"].to_numpy(), pdf["hashes"].to_list(), foreign)
         return pd.DataFrame({"src": a, "dst": b})
 
     return dealt.groupBy("root", "band", "a", "z", "guests").applyInPandas(tile, "src long, dst long")
