@@ -38,6 +38,19 @@ def default_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+class _Ranks:
+    """The quicker encoder; texts that hold the literal of an added token go to the tokenizer, which alone knows them."""
+
+    def __init__(self, exact, ranks):
+        self.exact, self.ranks = exact, ranks
+        self.literals = [t.content for t in exact.get_added_tokens_decoder().values()]
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        if any(x in text for x in self.literals):
+            return self.exact.encode(text, add_special_tokens=False).ids
+        return self.ranks.encode_ordinary(text)
+
+
 @lru_cache(maxsize=2)
 def _encoders(json_path: str, ranks_path: str | None):
     import base64
@@ -45,7 +58,6 @@ def _encoders(json_path: str, ranks_path: str | None):
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(json_path)
-    exact.encode_special_tokens = True
     quick = None
     if ranks_path:
         import public_tokenizers
@@ -53,7 +65,7 @@ def _encoders(json_path: str, ranks_path: str | None):
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        quick = _Ranks(exact, tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}))
     return exact, quick
 
 

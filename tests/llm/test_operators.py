@@ -240,6 +240,17 @@ def test_ranks_encode_like_the_tokenizer():
         assert packing.encode(text + "—日本", a, b) == exact.encode(text + "—日本", add_special_tokens=False).ids
 
 
+def test_added_tokens_are_encoded_as_by_an_unaltered_tokenizer():
+    from tokenizers import Tokenizer
+
+    a, b = packing.default_vocabulary()
+    plain = Tokenizer.from_file(a)
+    assert packing.encode("a <|endoftext|> b", a, b) == [64, 220, 50256, 275]
+    for text in ("<|endoftext|>", "x<|endoftext|><|endoftext|>y\n", "日本 <|endoftext|>", "<|endoftext|", "é <|endoftext|> <|endoftext"):
+        for ranks in (b, None):
+            assert packing.encode(text, a, ranks) == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_round_trip(docs, none):
     a, b = packing.default_vocabulary()
     got = packing.pack(docs, a, b, sequence=64, window=256).toPandas()
