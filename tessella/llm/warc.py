@@ -92,19 +92,21 @@ def _header(data: bytes, at: int):
     """(fields, start of block) of a plausible record at ``at``, else None."""
     if not data.startswith(VERSION_START, at):
         return None
-    end = data.find(b"\r\n\r\n", at)
-    if end < 0 or end - at > 65536:
-        return None
-    lines = data[at:end].split(b"\r\n")
-    fields = {}
-    for line in lines[1:]:
-        name, colon, value = line.partition(b":")
+    # line by line: a false start ends at its first line that is none of a header
+    fields, start, end = {}, at, data.find(b"\r\n", at)
+    while end >= 0:
+        start, end = end + 2, data.find(b"\r\n", end + 2)
+        if end == start:
+            break
+        name, colon, value = data[start : max(end, start)].partition(b":")
         if not colon:
             return None
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+    if end < 0:
+        return None
     if not fields.get("content-length", "").isdigit():
         return None
-    return fields, end + 4
+    return fields, end + 2
 
 
 def _sha1(data: bytes) -> str:

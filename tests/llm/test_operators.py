@@ -161,6 +161,15 @@ def test_warc_round_trip_and_salvage(spark, tmp_path):
     assert any(x[0] == "gap" for x in found)
 
 
+def test_warc_keeps_pages_with_long_urls(spark, tmp_path):
+    url = "http://host/" + "é" * 100_000
+    pages = spark.createDataFrame([(1, url, "one"), (2, "u" * 65_600, "two"), (3, url, "one")], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "w"))
+    rows = warc.read_archives(spark, str(tmp_path / "w")).collect()
+    assert [r["kind"] for r in rows] == ["record"] * 3 and [r["target_uri"] for r in rows].count(url) == 2
+    assert {r["page_id"]: r["refers_to"] for r in warc.read_pages(spark, str(tmp_path / "w")).collect()} == {1: 3, 2: None, 3: None}
+
+
 def test_patience_alignment():
     assert licenses.align("a b c d".split(), "x a c b d y".split()) in ([(0, 1), (1, 3), (3, 4)], [(0, 1), (2, 2), (3, 4)])
     known = [licenses.Template(k, v, 0.8) for k, v in licenses.TEMPLATES.items()]
