@@ -1,9 +1,10 @@
 r"""WARC archives: a writer by SQL functions, and a reader that salvages.
 
-Records are WARC/1.1, an archive one gzip member of a bounded number of
-records. The writer builds each record as a string and lets Spark's text sink
-end it with CRLF CRLF and compress, so archives are committed like any other
-output and lie in any store that Spark can reach.
+Records are WARC/1.1, each a gzip member of its own, so that damage costs no
+more than the records it lies in. Archives are bounded by bytes. The writer
+builds each record as a string, packs members into archives and hands each to
+Spark's text sink as a row and a file of its own, so archives are committed
+like any other output and lie in any store that Spark can reach.
 
 The reader takes every byte of an archive in turn. A record that fails a
 check (version line, header, length, end mark, block digest) is not trusted:
@@ -14,6 +15,7 @@ goes on from there, and logs the bytes between as a gap.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import zlib
 
@@ -26,8 +28,11 @@ from .common import new_path, stored, table
 VERSION = b"WARC/1.1\r\n"
 VERSION_START = b"WARC/1."
 GZIP_START = b"\x1f\x8b\x08"
-#: Records of an archive, at most: what a reader's task holds at once.
-ARCHIVE_RECORDS = 1000
+END = b"\r\n\r\n"
+#: An archive is closed at this many bytes: what a task holds at once, beside one record.
+ARCHIVE_BYTES = 8 << 20
+#: Bytes given to the decompressor at once, and blocks that a reader hands on at once.
+PIECE, SEND_BYTES = 4096, 8 << 20
 
 
 def base32_sha1(data: Column) -> Column:
@@ -83,9 +88,33 @@ def record_text(r: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, compression: str = "gzip") -> None:
-    """A record a row, in archives of ``ARCHIVE_RECORDS`` at most under ``path``."""
-    records = record_text(plan_records(pages)).write.option("lineSep", "\r\n\r\n")
-    records.option("maxRecordsPerFile", ARCHIVE_RECORDS).option("compression", compression).text(path)
+    """Archives of ``ARCHIVE_BYTES`` about under ``path``; a gzip member a record, or with "none" plain records.
+
+    The sink ends each archive with a separator: to gzip, a zero byte is padding; plain, it is the last end mark.
+    """
+    if compression not in ("gzip", "none"):
+        raise ValueError(f"compression {compression}")
+    gzipped = compression == "gzip"
+
+    def archives(batches):
+        held, size = [], 0
+        for batch in batches:
+            for text in batch["value"]:
+                record = text.encode("utf-8") + END
+                held.append(gzip.compress(record, 6, mtime=0) if gzipped else record)
+                size += len(held[-1])
+                if size >= ARCHIVE_BYTES:
+                    yield archive(held)
+                    held, size = [], 0
+        if held:
+            yield archive(held)
+
+    def archive(records):
+        whole = b"".join(records)
+        return pd.DataFrame({"value": [whole if gzipped else whole[: -len(END)]]})
+
+    packed = record_text(plan_records(pages)).mapInPandas(archives, "value binary").select(F.col("value").cast("string"))
+    packed.write.option("lineSep", "\0" if gzipped else END.decode()).option("maxRecordsPerFile", 1).text(path)
 
 
 def _header(data: bytes, at: int):
@@ -130,16 +159,47 @@ def _record(data: bytes, at: int):
 
 
 def _member(data: bytes, at: int):
-    """(content, end, whole) of the gzip member at ``at``; of a damaged one what comes before the damage."""
+    """(content, end, whole) of the gzip member at ``at``; of a damaged one all that comes before the damage."""
     box, parts, end = zlib.decompressobj(31), [], at
     try:
         while end < len(data) and not box.eof:
-            piece = data[end : end + 4096]
+            piece = data[end : end + PIECE]
             parts.append(box.decompress(piece))
             end += len(piece)
     except zlib.error:
-        return b"".join(parts), end, False
-    return b"".join(parts), end - len(box.unused_data), box.eof
+        return b"".join(parts) + _until_damage(data, at, end), end, False
+    end -= len(box.unused_data)
+    if box.eof and end + 1 == len(data) and data[end] == 0:
+        end += 1  # the sink's padding
+    return b"".join(parts), end, box.eof
+
+
+def _until_damage(data: bytes, at: int, end: int) -> bytes:
+    """What the piece at ``end`` of the member at ``at`` decodes to before it fails."""
+    box = zlib.decompressobj(31)
+    for i in range(at, end, PIECE):
+        box.decompress(data[i : i + PIECE])
+    # a call that fails gives nothing: the byte it fails at is found, and drawn from byte by byte of output
+    low, high = end, min(end + PIECE, len(data))
+    while high - low > 1:
+        middle = (low + high) // 2
+        try:
+            box.copy().decompress(data[end:middle])
+            low = middle
+        except zlib.error:
+            high = middle
+    parts = [box.decompress(data[end:low])]
+    try:
+        rest = data[low:high]
+        while True:
+            byte = box.decompress(rest, 1)
+            if not byte:
+                break
+            parts.append(byte)
+            rest = box.unconsumed_tail
+    except zlib.error:
+        pass
+    return b"".join(parts)
 
 
 def salvage(data: bytes):
@@ -199,15 +259,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     def parse(batches):
         for batch in batches:
             for where, data in zip(batch["path"], batch["content"]):
-                rows = []
+                rows, held = [], 0
                 for kind, start, end, f, block, reason in salvage(bytes(data)):
                     f = f or {}
                     digest = f.get("warc-payload-digest", "").partition(":")[2] or None
                     length = f.get("x-payload-length", "")
                     rows.append((where, kind, start, end, reason, f.get("warc-record-id"), f.get("warc-type"), f.get("warc-refers-to"), f.get("warc-target-uri"), digest, int(length) if length.isdigit() else None, block))
-                    if len(rows) >= 2000:
+                    held += len(block or b"")
+                    if len(rows) >= 2000 or held >= SEND_BYTES:
                         yield pd.DataFrame(rows, columns=names)
-                        rows = []
+                        rows, held = [], 0
                 yield pd.DataFrame(rows, columns=names)
 
     names = [x.split()[0] for x in READ_SCHEMA.split(",")]

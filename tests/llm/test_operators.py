@@ -170,6 +170,46 @@ def test_warc_keeps_pages_with_long_urls(spark, tmp_path):
     assert {r["page_id"]: r["refers_to"] for r in warc.read_pages(spark, str(tmp_path / "w")).collect()} == {1: 3, 2: None, 3: None}
 
 
+def _archives(path):
+    return [p.read_bytes() for p in sorted(path.iterdir()) if p.name.startswith("part-")]
+
+
+def test_warc_salvages_damaged_archives_of_the_writer(spark, tmp_path, monkeypatch):
+    rows = [(i, f"http://h/{i}", f"page {i} " + " ".join(rnd.choice(WORDS) for _ in range(200))) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"))
+    (tmp_path / "d").mkdir()
+    lost = 0
+    for k, data in enumerate(_archives(tmp_path / "w")):
+        assert b"".join(x[4] for x in warc.salvage(gzip.decompress(data))) == b"".join(x[4] for x in warc.salvage(data))
+        assert all(x[0] == "record" for x in warc.salvage(data)) and list(warc.salvage(data))[-1][2] == len(data)
+        broken, lost = bytearray(data), lost + 1
+        middle = len(data) // 2
+        broken[middle : middle + 40] = b"\xff" * 40
+        (tmp_path / "d" / f"{k}").write_bytes(bytes(broken))
+    got = warc.read_archives(spark, str(tmp_path / "d")).collect()
+    ids = {r["record_id"] for r in got if r["kind"] == "record"}
+    assert lost and len(rows) - 2 * lost <= len(ids) < len(rows) and any(r["kind"] == "gap" for r in got)
+    warc.write_archives(pages, str(tmp_path / "p"), compression="none")
+    assert [r["kind"] for r in warc.read_archives(spark, str(tmp_path / "p")).collect()] == ["record"] * 300
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 20_000)
+    warc.write_archives(pages, str(tmp_path / "s"))
+    sizes = [len(x) for x in _archives(tmp_path / "s")]
+    assert len(sizes) > 3 and max(sizes) < 25_000 and warc.read_pages(spark, str(tmp_path / "s")).count() == 300
+
+
+def test_damaged_member_gives_all_before_the_damage():
+    def record(body):
+        return b"WARC/1.1\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+    plain = b"".join(record(b"%d " % i + b"x" * (i % 50)) for i in range(1000))
+    box = zlib.compressobj(6, zlib.DEFLATED, 31)
+    head = box.compress(plain) + box.flush(zlib.Z_FULL_FLUSH)
+    data = head + b"\xff" * 3000  # no block has type 3
+    assert warc._member(data, 0)[0] == plain
+    assert sum(x[0] == "record" for x in warc.salvage(data)) == 1000
+
+
 def test_patience_alignment():
     assert licenses.align("a b c d".split(), "x a c b d y".split()) in ([(0, 1), (1, 3), (3, 4)], [(0, 1), (2, 2), (3, 4)])
     known = [licenses.Template(k, v, 0.8) for k, v in licenses.TEMPLATES.items()]
