@@ -118,7 +118,8 @@ def _sorted_pairs(blobs):
 
 
 def name_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size) and name, stored; name is null for empty sets."""
+    """doc_id, n (set size), name and, where docs have it, __row, stored; name is null for empty sets."""
+    numbered = "__row" in docs.columns
 
     def run(batches):
         cache = _WordHashes()
@@ -128,10 +129,11 @@ def name_sets(docs: DataFrame) -> DataFrame:
                 s = shingle_set(text, cache)
                 n.append(len(s))
                 names.append(set_name(s) if len(s) else None)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": n, "name": pd.array(names, dtype="Int64")})
+            out = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": n, "name": pd.array(names, dtype="Int64")})
+            yield out.assign(__row=b["__row"]) if numbered else out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return stored(rows.mapInPandas(run, "doc_id long, n long, name long"), "names")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *["__row"] * numbered)
+    return stored(rows.mapInPandas(run, "doc_id long, n long, name long" + ", __row long" * numbered), "names")
 
 
 def _prefixes(docs: DataFrame, buckets: int) -> DataFrame:
@@ -195,8 +197,8 @@ def _bitmaps(arrays: list[np.ndarray], largest: int) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(name, n, hashes) of one document of each wanted set, stored."""
+def _sets(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """(name, n, hashes) of one document of each wanted set, by its ``key``, stored."""
 
     def run(batches):
         cache = _WordHashes()
@@ -212,9 +214,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["name", "n", "hashes"])
 
     # texts are joined in the same way however many sets are wanted
-    one = wanted.select("name", F.col("doc_id").alias("__id")).hint("merge")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = rows.join(one, F.col("doc_id").eqNullSafe(F.col("__id"))).select("name", "text")
+    one = wanted.select("name", F.col(key).alias("__id")).hint("merge")
+    rows = docs.select(F.col(key).cast("long").alias(key), "text")
+    rows = rows.join(one, F.col(key).eqNullSafe(F.col("__id"))).select("name", "text")
     found = rows.mapInPandas(run, "name long, n long, hashes binary")
     return stored(found, "sets")
 
@@ -318,31 +320,37 @@ def _verify(sets: DataFrame, groups: DataFrame) -> DataFrame:
     return dealt.groupBy("root", "band", "a", "z", "guests").applyInPandas(tile, "src long, dst long")
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id.
-
-    Null and empty texts have an empty set and no links. Documents with equal
-    sets are linked. Rows that repeat a doc_id each get a row; if their texts
-    differ their components are still told apart. Null doc_ids are linked like
-    others, but a component is named by its smallest doc_id that is not null.
-    Other columns of ``docs`` are not looked at.
-    """
-    docs = docs.select("doc_id", "text")
+def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``name_sets``, and (name, doc_id, root) of every set: its least doc_id and its component; both stored."""
+    key = "__row" if "__row" in docs.columns else "doc_id"
     spark = docs.sparkSession
     names = name_sets(docs)
-    reps = stored(names.where("name is not null").groupBy("name").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id")), "reps")
+    least = [F.min(c).alias(c) for c in dict.fromkeys(["n", "doc_id", key])]
+    reps = stored(names.where("name is not null").groupBy("name").agg(*least), "reps")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), names.count() // 4000)
     shared = _shared_counts(_prefixes(docs, buckets), buckets)
     smallest = F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}")
     need = F.greatest(F.lit(1), F.floor(smallest * EXTRA))
-    wanted = stored(reps.join(shared, "name").where(F.col("c") >= need).select("name", "doc_id"), "wanted")
-    sets = _sets(docs, wanted).dropDuplicates(["name"])
+    wanted = stored(reps.join(shared, "name").where(F.col("c") >= need).select("name", key), "wanted")
+    sets = _sets(docs, wanted, key).dropDuplicates(["name"])
     sets = stored(sets, "candidates")
     groups = connected_components(_group_edges(sets, buckets))
     edges = _verify(sets, groups)
     roots = connected_components(edges)
     by_set = reps.join(roots.withColumnRenamed("node", "name"), "name", "left")
-    by_set = stored(by_set.select("name", "doc_id", F.coalesce("root", "name").alias("root")), "roots")
+    return names, stored(by_set.select("name", "doc_id", F.coalesce("root", "name").alias("root")), "roots")
+
+
+def jaccard_groups(docs: DataFrame) -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id.
+
+    Null and empty texts have an empty set and no links. Documents with equal
+    sets are linked. Rows that repeat a doc_id each get a row; if their texts
+    differ their components are still told apart. Null doc_ids are linked like
+    others, but a component is named by its smallest doc_id that is not null.
+    Other columns of ``docs`` are not looked at.
+    """
+    names, by_set = _rooted(docs.select("doc_id", "text"))
     least = stored(by_set.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     final = stored(by_set.join(least, "root").select(F.col("name").alias("__name"), "component_id"), "final")
     out = names.join(final, names["name"] == final["__name"], "left")
@@ -350,13 +358,20 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
 
 
 def distinct_documents(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id names their component: one document of each group stays.
+    """One row of ``docs`` of each component: that with the least doc_id, nulls last.
 
-    Rows that repeat a kept doc_id all stay if their component is the same.
+    Rows are told apart by their number, so rows that repeat a doc_id or have
+    none are documents of their own; of equal doc_ids the first row stays.
+    Rows with an empty set are components of their own and all stay.
     """
-    kept = jaccard_groups(docs).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
-    kept = stored(kept.select(F.col("doc_id").alias("__kept")).distinct(), "kept").hint("merge")
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi").select(*docs.columns)
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    names, by_set = _rooted(rows.select("doc_id", "text", "__row"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    first = names.where("name is not null").groupBy("name").agg(F.min(order).alias("first"))
+    first = first.join(by_set.select("name", "root"), "name").groupBy("root").agg(F.min("first").alias("first"))
+    kept = first.select("first.__row").unionByName(names.where("name is null").select("__row"))
+    kept = stored(kept, "kept").hint("merge")
+    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

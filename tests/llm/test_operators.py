@@ -108,6 +108,18 @@ def test_jaccard_equals_brute_force(spark, docs, none):
     assert 1 in kept and not {2, 3, 4, 8} & set(kept) and {5, 6, 7, 9, None} <= set(kept)
 
 
+def test_one_row_of_each_component_stays(spark):
+    base, far = " ".join(BASE), " ".join(f"x{i}" for i in range(60))
+    rows = [(None, _near(3), "a", "null copy", 1), (None, base, "a", "null copy", 2), (4, base, "b", "kept", 3), (9, _near(7), "a", "copy", 4)]
+    rows += [(4, far, "b", "copy of 2", 5), (2, far, "b", "kept", 6)] + [(7, far + " y", "c", "copy of 2", 7 + i) for i in range(20)]
+    rows += [(None, " ".join(f"z{i}" for i in range(40)), "a", "alike", 30 + i) for i in range(30)]
+    rows += [(8, "same words here", "a", "same", 70 + i) for i in range(3)] + [(5, None, "a", "empty", 80), (5, "", "a", "empty", 81), (None, " ", "a", "empty", 82)]
+    out = ngram_join.distinct_documents(spark.createDataFrame(rows, DOCS))
+    got = sorted((tuple(r) for r in out.collect()), key=lambda r: r[4])
+    assert [r for r in got if r[4] not in range(30, 60) and r[4] not in range(70, 73)] == [rows[2], rows[5], *rows[-3:]]
+    assert sum(r[3] == "alike" for r in got) == 1 and sum(r[3] == "same" for r in got) == 1 and len(got) == 7
+
+
 def test_line_dedup_removes_later_runs_alone(spark, docs, none):
     got = {r["doc_id"]: r for r in lines.dedup_lines(docs).collect()}
     assert got[10]["text"] == ROWS[10][1] and got[11]["text"] == "other\nend" and got[11]["__removed"] == [1, 2, 3, 4]
