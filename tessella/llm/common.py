@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in local tests, a temporary one is taken.
+    Only where that is unset and all runs in one local process, as in tests,
+    a temporary one is taken: executors elsewhere could not read it.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -32,22 +35,51 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tessella-{tag}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Deletes ``path`` when the application ends, if nothing has by then."""
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.delete(where, True)
+
+
 def stored(df: DataFrame, tag: str = "cut") -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there."""
+    """Writes ``df`` to the shared folder and reads it back: lineage ends there.
+
+    It is deleted at the end of the application, or before by ``drop_stored``.
+    """
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    delete_at_end(df.sparkSession, path)
     again = df.sparkSession.read.schema(df.schema).parquet(path)
     again._tessella_path = path
     return again
 
 
-def drop_stored(df: DataFrame) -> None:
+def drop_stored(*frames: DataFrame) -> None:
     """Deletes what ``stored`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_tessella_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    for df in frames:
+        path = getattr(df, "_tessella_path", None)
+        if path:
+            delete(df.sparkSession, path)
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each row as one struct column, row: names of its columns cannot clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def let(value: Column, f) -> Column:
+    """f(value), where value is computed once however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def n_words(text: Column) -> Column:

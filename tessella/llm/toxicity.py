@@ -1,8 +1,9 @@
 """Toxic spans by a linear-chain conditional random field.
 
 The labels are of documents, so tokens are labelled first: words and word
-beginnings that are far more frequent in toxic than in clean documents mark
-a token of a toxic document as toxic; all other tokens are clean. A two-state
+beginnings that stand in far more different surroundings in toxic than in
+clean documents, beyond what chance gives to any of all those tried, mark a
+token of a toxic document as toxic; all other tokens are clean. A two-state
 chain is trained on windows of these tokens. In a whole text only tokens that
 have a known feature differ, so forward-backward runs over these, and the
 stretches between them are powers of one matrix: marginals are exact for the
@@ -19,14 +20,17 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, whole_rows
 
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE = 1500
-MAX_FEATURES, LEAST_DOCS, LEAST_ODDS = 4000, 5, 2.0
+#: Bytes of text of a class that come to the driver, at most.
+SAMPLE_BYTES = 16 << 20
+#: Least log-odds of a feature, and the chance that any of all features tried is picked wrongly.
+LEAST_ODDS, CHANCE = 2.0, 0.05
 FOLDS, HALF = 5, 5
 _TOKEN = re.compile(r"\w+")
 
@@ -124,16 +128,17 @@ def _fit_windows(windows, n_features):
             rows += [i] * len(f)
             cols += [j] * len(f)
             ids += f
-    rows, cols, ids = np.array(rows, int), np.array(cols, int), np.array(ids, int)
-    known = np.zeros((size, length), bool)
-    known[rows, cols] = True
+    ids, cells = np.array(ids, int), np.array(rows, int) * length + np.array(cols, int)
+    known = np.zeros(size * length, bool)
+    known[cells] = True
+    known = known.reshape(size, length)
     w = np.zeros(n_features + 5)
     w[-5:] = -1.0, -3.0, -2.0, 0.0, 0.5  # active, idle; steps to toxic, to clean, staying
     mean, square = np.zeros_like(w), np.zeros_like(w)
     pair = np.stack([((1 - y[:, :-1]) * y[:, 1:]).sum(), (y[:, :-1] * (1 - y[:, 1:])).sum(), (y[:, :-1] * y[:, 1:]).sum()])
     for turn in range(1, 121):
         u = np.where(known, w[-5], w[-4])
-        np.add.at(u, (rows, cols), w[ids])
+        u += np.bincount(cells, weights=w[ids], minlength=size * length).reshape(size, length)
         t = np.array([[0.0, w[-3]], [w[-2], w[-1]]])
         alpha, beta = np.zeros((length, size, 2)), np.zeros((length, size, 2))
         alpha[0, :, 1] = u[:, 0]
@@ -153,8 +158,7 @@ def _fit_windows(windows, n_features):
             for n, (a, b) in enumerate(((0, 1), (1, 0), (1, 1))):
                 seen[n] += np.exp(alpha[k, :, a] + t[a, b] + nxt[:, b] - z).sum()
         off = y - chance
-        g = np.zeros_like(w)
-        np.add.at(g, ids, off[rows, cols])
+        g = np.bincount(ids, weights=off.ravel()[cells], minlength=len(w))
         g[-5], g[-4] = off[known].sum(), off[~known].sum()
         g[-3:] = pair - seen
         g = g / size - 1e-5 * w
@@ -163,25 +167,61 @@ def _fit_windows(windows, n_features):
     return w
 
 
+def _contexts(words: list[list[str]], toxic: np.ndarray) -> tuple[Counter, Counter]:
+    """By class, in how many different surroundings (the word before, the word after) each feature stands.
+
+    A passage that many documents copy is one surrounding, however often it comes. "" counts them all.
+    """
+    by_word, seen = (Counter(), Counter()), (set(), set())
+    for w, y in zip(words, toxic.tolist()):
+        for at in zip(["", *w], w, [*w[1:], ""]):
+            key = hash(at)
+            if key not in seen[y]:
+                seen[y].add(key)
+                by_word[y][at[1]] += 1
+    counts = (Counter(), Counter())
+    for y in (0, 1):
+        for word, n in by_word[y].items():
+            counts[y][""] += n
+            for f in features(word):
+                counts[y][f] += n
+    return counts
+
+
+def _surprise(a: int, b: int, share: float) -> float:
+    """-log of a bound on the chance that a of a + b trials succeed, or more, where each does with ``share``."""
+    rate = a / (a + b)
+    if rate <= share:
+        return 0.0
+    return a * math.log(rate / share) + (b * math.log((1 - rate) / (1 - share)) if b else 0.0)
+
+
 def fit(texts: list[str], toxic: list[int], share: float) -> Chain | None:
     """The chain from labelled documents; None unless both classes are there."""
     toxic = np.asarray(toxic, dtype=int)
     if not len(toxic) or toxic.min() == toxic.max():
         return None
     words = [tokens(t or "") for t in texts]
-    counts = (Counter(), Counter())
-    for w, y in zip(words, toxic):
-        counts[y].update({f for x in set(w) for f in features(x)})
+    counts = _contexts(words, toxic)
     n1, n0 = toxic.sum(), len(toxic) - toxic.sum()
-    odds = {f: math.log((c + 0.5) / (n1 + 1)) - math.log((counts[0][f] + 0.5) / (n0 + 1)) for f, c in counts[1].items() if c >= LEAST_DOCS}
-    picked = sorted((f for f, o in odds.items() if o >= LEAST_ODDS), key=lambda f: (-odds[f] * math.sqrt(counts[1][f]), f))[:MAX_FEATURES]
+    # so many surroundings are toxic ones at random; a feature must exceed that beyond doubt
+    toxic_share = counts[1][""] / max(1, counts[0][""] + counts[1][""])
+    tried = [f for f in counts[1] if f]
+    doubt = math.log(max(1, len(tried)) / CHANCE)
+
+    def odds(f: str) -> float:
+        return math.log((counts[1][f] + 0.5) / (counts[1][""] + 1)) - math.log((counts[0][f] + 0.5) / (counts[0][""] + 1))
+
+    picked = {f: odds(f) for f in tried if _surprise(counts[1][f], counts[0][f], toxic_share) >= doubt}
+    picked = sorted(f for f, o in picked.items() if o >= LEAST_ODDS)
     index = {f: i for i, f in enumerate(picked)}
+    known = {x: [index[f] for f in features(x) if f in index] for x in set().union(*words)}
     windows, draw = [], np.random.default_rng(0)
     pad = [[]] * HALF
     for w, y in zip(words, toxic):
-        feats = pad + [[index[f] for f in features(x) if f in index] for x in w] + pad
-        hot = [p for p in range(HALF, len(feats) - HALF) if feats[p]]
-        chosen = hot if len(hot) <= 20 else [hot[i] for i in draw.choice(len(hot), 20, replace=False)]
+        feats = pad + [known[x] for x in w] + pad
+        # every token with a feature, and one of any kind
+        chosen = [p for p in range(HALF, len(feats) - HALF) if feats[p]]
         if w:
             chosen = [*chosen, HALF + int(draw.integers(len(w)))]
         for p in chosen:
@@ -191,7 +231,8 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Chain | None:
         return None
     w = _fit_windows(windows, len(picked))
     model = Chain(dict(zip(picked, w.tolist())), float(w[-5]), float(w[-4]), tuple(w[-3:].tolist()), (0.0, 1.0, 0.0))
-    got = [model.evidence(np.array([model.emission(x) for x in d], dtype=float))[:2] for d in words]
+    cache = _Emissions(model)
+    got = [model.evidence(np.array([cache[x] for x in d], dtype=float))[:2] for d in words]
     x = np.array([[1.0, o, c] for o, c in got])
     weight = np.where(toxic == 1, share / n1, (1 - share) / n0)
     c = np.zeros(3)
@@ -204,23 +245,30 @@ def fit(texts: list[str], toxic: list[int], share: float) -> Chain | None:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Chain | None:
     """Fits on at most ``sample`` labelled documents of each class, drawn by hash.
 
     Labels of held-out rows are dropped before anything is learned. A document
-    with several labels is toxic if one of them says so.
+    with several labels is toxic if one of them says so; of rows that repeat
+    its doc_id one text is taken, the least. What comes to the driver is bounded
+    by bytes too: documents are taken in order of their hash as long as a class
+    has at most ``sample_bytes`` of text, but none that has a sixteenth of that alone.
     """
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
-    known = known.groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("__toxic"))
-    sizes = {r[0]: r[1] for r in known.groupBy("__toxic").count().collect()}
+    known = known.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("y"))
+    sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     if len(sizes) < 2:
         return None
-    drawn = [known.where(F.col("__toxic") == y).orderBy(F.xxhash64("__id"), "__id").limit(sample) for y in (0, 1)]
+    drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     # at most twice ``sample`` rows of two numbers
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))
-    rows = docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("long") == F.col("__id")).select("doc_id", "text", "__toxic")
-    rows = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] for r in rows], [r["__toxic"] for r in rows], sizes[1] / sum(sizes.values()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(ids, "id")
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = rows.withColumn("bytes", F.octet_length("text")).where(F.col("bytes") <= sample_bytes // 16)
+    so_far = Window.partitionBy("y").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("bytes").over(so_far)).where(F.col("upto") <= sample_bytes)
+    rows = sorted(rows.select("id", "y", "text").collect(), key=lambda r: r["id"])
+    return fit([r["text"] for r in rows], [r["y"] for r in rows], sizes[1] / sum(sizes.values()))
 
 
 class _Emissions(dict):
@@ -269,6 +317,9 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Only the text is scored. Null and empty texts get the score of a text
     without any token. Without labels of both classes the score is 0. Spans
     are code points start:end of tokens that are likelier toxic than not.
+    Rows that repeat each get a row, equal texts equal scores. A text is scored
+    whole, in time and memory in proportion to it. An empty table gives no
+    rows. Other columns, whatever their names, are not looked at.
     """
     score = scorer(train(docs, labels))
     out = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score(F.col("text")).alias("__r"))
@@ -276,9 +327,10 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that are not predicted toxic, with all their columns."""
+    """Rows of ``docs`` that are not predicted toxic, with all their columns, whatever their names."""
     score = scorer(train(docs, labels))
-    return docs.withColumn("__r", score(F.col("text"))).where(F.col("__r.score") < 0.5).select(*docs.columns)
+    rows = whole_rows(docs)
+    return rows.withColumn("score", score(F.col("row.text"))["score"]).where("score < 0.5").select("row.*")
 
 
 def op2_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
