@@ -5,8 +5,10 @@ bounded sample part the vectors into cells. A vector may have partners in
 another cell only if the border between the two pivots is within that
 distance, which the triangle inequality tells from the distances to the
 pivots; only then it is copied there, and only to cells before its own, so
-that every pair meets once. Cells are split into blocks of bounded size and
-join independently; a cell sends counts and the edges of a forest, never
+that every pair meets once. Equal vectors are one point with a count from the
+start. Cells are split into blocks of bounded bytes, and a block's visitors
+into parts; both are made only where a first pass has counted rows for them.
+Blocks join independently; each sends counts and the edges of a forest, never
 its pairs.
 """
 
@@ -19,11 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import drop_stored, stored, table
 from .components import connected_components
 
-#: Rows of a cell block, rows that visit it at a time, pivots, and vectors that they are chosen from.
-BLOCK, VISITORS, MAX_PIVOTS, SAMPLE = 8192, 16384, 256, 4096
+#: Pivots: at least, at most, rows for one more, and vectors that they are chosen from.
+MIN_PIVOTS, MAX_PIVOTS, CELL, SAMPLE = 8, 4096, 8192, 8192
+#: Bytes of a block's own rows; its visitors come in parts of four times that.
+BLOCK_BYTES = 4 << 20
 #: Similarities this close to the threshold are computed again, in double precision.
 NEAR = 1e-4
 
@@ -50,7 +54,7 @@ def units(v) -> np.ndarray:
 
 def choose_pivots(vectors: DataFrame, n: int) -> np.ndarray:
     """Far apart vectors of a sample of at most ``SAMPLE`` rows, n of them at most."""
-    rows = vectors.where("ok").select("v", F.xxhash64("rid").alias("h")).orderBy("h").limit(SAMPLE).collect()
+    rows = vectors.select("v", F.xxhash64("rid").alias("h")).orderBy("h").limit(SAMPLE).collect()
     if not rows:
         return np.empty((0, 0))
     dims = [len(r["v"]) for r in rows]
@@ -73,54 +77,105 @@ def to_pivots(x: np.ndarray, pivots: np.ndarray, reach: float):
     return home, visits
 
 
-PACKED = "cell int, block int, part int, home boolean, ids binary, vecs binary, dim int"
+class Cells:
+    """Where a batch of vectors belongs: its cells, their blocks, and the cells visited."""
 
+    def __init__(self, pivots: np.ndarray, reach: float):
+        self.pivots, self.reach, self.n = pivots, reach, len(pivots)
 
-def _deal(vectors: DataFrame, pivots: np.ndarray, blocks: dict, parts: int, reach: float) -> DataFrame:
-    """Packed rows for every cell block: its own vectors, and the visitors by part."""
-    n_cells = len(pivots)
+    def place(self, x: np.ndarray):
+        if self.n and self.pivots.shape[1] == x.shape[1]:
+            home, visits = to_pivots(x, self.pivots, self.reach)
+            return home, *np.nonzero(visits)
+        # other dimensions: a cell of their own behind the others
+        return np.full(len(x), self.n), np.empty(0, int), np.empty(0, int)
+
+    def count(self, points: DataFrame) -> dict[int, tuple[int, int, int]]:
+        """(rows, visitors, dimensions) of each cell; there are MAX_PIVOTS + 1 cells at most."""
+
+        def run(batches):
+            for b in batches:
+                dims, rows = b["v"].map(len).to_numpy(), []
+                for dim in np.unique(dims):
+                    home, _, to = self.place(units(b["v"][dims == dim]))
+                    own, guests = np.bincount(home, minlength=self.n + 1), np.bincount(to, minlength=self.n + 1)
+                    rows += [(c, int(own[c]), int(guests[c]), int(dim)) for c in np.flatnonzero(own + guests)]
+                yield pd.DataFrame(rows, columns=["cell", "rows", "guests", "dim"])
+
+        per = points.select("v").mapInPandas(run, "cell int, rows long, guests long, dim int")
+        got = per.groupBy("cell").agg(F.sum("rows").alias("r"), F.sum("guests").alias("g"), F.max("dim").alias("d")).collect()
+        return {x["cell"]: (x["r"], x["g"], x["d"]) for x in got}
+
+
+def layout(counted: dict[int, tuple[int, int, int]], block_bytes: int) -> tuple[dict[int, int], dict[int, int]]:
+    """Blocks of each cell, and parts of each block's visitors, from what was counted."""
+    blocks, parts = {}, {}
+    for cell, (rows, guests, dim) in counted.items():
+        fit = max(64, block_bytes // (8 * dim))
+        blocks[cell] = -(-rows // fit)
+        # rows of later blocks of the cell visit as well
+        parts[cell] = max(1, -(-(guests + (rows if blocks[cell] > 1 else 0)) // (4 * fit)))
+    return blocks, parts
+
+
+PACKED = "cell int, block int, part int, home boolean, ids binary, counts binary, vecs binary, dim int"
+
+
+def deal(points: DataFrame, cells: Cells, blocks: dict[int, int], parts: dict[int, int]) -> DataFrame:
+    """Packed rows for every cell block: its own vectors in each part, and each visitor in one."""
+    n_blocks = np.array([blocks.get(c, 0) for c in range(cells.n + 1)])
+    n_parts = np.array([parts.get(c, 1) for c in range(cells.n + 1)])
 
     def run(batches):
         for b in batches:
             dims = b["v"].map(len).to_numpy()
             for dim in np.unique(dims):
                 own = b[dims == dim]
-                x, rid = units(own["v"]), own["rid"].to_numpy()
-                if n_cells and pivots.shape[1] == dim:
-                    home, visits = to_pivots(x, pivots, reach)
-                else:  # other dimensions: a cell of their own behind the others
-                    home, visits = np.full(len(x), n_cells), np.zeros((len(x), n_cells), bool)
+                x, rid, weight = units(own["v"]), own["rid"].to_numpy(), own["m"].to_numpy()
+                home, row, to = cells.place(x)
                 mixed = rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                mine = (mixed % np.array([blocks.get(int(h), 1) for h in home], dtype=np.uint64)).astype(int)
-                part = (mixed >> np.uint64(7)).astype(np.int64) % parts
+                mine = (mixed % n_blocks[home].astype(np.uint64)).astype(int)
+                some = mixed.astype(np.int64) >> 7
+                at = np.arange(len(x))
+                # own rows: a copy for each part of their block
+                copies = n_parts[home]
+                own_row = np.repeat(at, copies)
+                own_part = np.arange(len(own_row)) - np.repeat(np.cumsum(copies) - copies, copies)
+                # visitors: one for each block of the cells visited, and for each earlier block of their own cell
+                row, to = np.concatenate((row, at)), np.concatenate((to, home))
+                times = np.concatenate((n_blocks[to[: len(to) - len(at)]], mine))
+                guest, cell = np.repeat(row, times), np.repeat(to, times)
+                block = np.arange(len(guest)) - np.repeat(np.cumsum(times) - times, times)
+                who = np.concatenate((own_row, guest))
+                key = np.stack((
+                    np.concatenate((home[own_row], cell)),
+                    np.concatenate((mine[own_row], block)),
+                    np.concatenate((own_part, some[guest] % n_parts[cell])),
+                    np.concatenate((np.ones(len(own_row), int), np.zeros(len(guest), int))),
+                ))
+                order = np.lexsort(key[::-1])
+                key, who = key[:, order], who[order]
+                cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
                 rows = []
+                for low, high in zip([0, *cut], [*cut, len(who)]):
+                    if high > low:
+                        c, k, p, is_home = key[:, low].tolist()
+                        w = who[low:high]
+                        rows.append((c, k, p, bool(is_home), rid[w].tobytes(), weight[w].tobytes(), x[w].tobytes(), int(dim)))
+                yield pd.DataFrame(rows, columns=["cell", "block", "part", "home", "ids", "counts", "vecs", "dim"])
 
-                def send(cell, block, p, is_home, at):
-                    if len(at):
-                        rows.append((cell, block, p, is_home, rid[at].tobytes(), x[at].tobytes(), int(dim)))
-
-                for cell in range(n_cells + 1):
-                    k = blocks.get(cell, 0)
-                    here, guests = home == cell, visits[:, cell] if cell < n_cells else np.zeros(len(x), bool)
-                    for block in range(k):
-                        own_rows = np.flatnonzero(here & (mine == block))
-                        for p in range(parts):
-                            send(cell, block, p, True, own_rows)
-                            # rows of later blocks of the same cell visit as well
-                            send(cell, block, p, False, np.flatnonzero((guests | (here & (mine > block))) & (part == p)))
-                yield pd.DataFrame(rows, columns=["cell", "block", "part", "home", "ids", "vecs", "dim"])
-
-    return vectors.where("ok").select("rid", "v").mapInPandas(run, PACKED)
+    return points.select("rid", "m", "v").mapInPandas(run, PACKED)
 
 
 def _unpacked(pdf: pd.DataFrame, dim: int):
     ids = np.frombuffer(b"".join(pdf["ids"]), dtype=np.int64)
-    return ids, np.frombuffer(b"".join(pdf["vecs"]), dtype=np.float64).reshape(len(ids), dim)
+    counts = np.frombuffer(b"".join(pdf["counts"]), dtype=np.int64)
+    return ids, counts, np.frombuffer(b"".join(pdf["vecs"]), dtype=np.float64).reshape(len(ids), dim)
 
 
-def _linked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+def _linked(a: np.ndarray, a32: np.ndarray, b: np.ndarray, b32: np.ndarray, least: float) -> np.ndarray:
     """Which pairs have cosine >= least: in single precision, near the threshold in double."""
-    sims = a.astype(np.float32) @ b.astype(np.float32).T
+    sims = a32 @ b32.T
     links = sims >= least
     i, j = np.nonzero(np.abs(sims - np.float32(least)) < NEAR)
     if len(i):
@@ -128,46 +183,32 @@ def _linked(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return links
 
 
-def _spread(links: np.ndarray, rows: np.ndarray, cols: np.ndarray):
-    """The least label that each row and column reaches along links."""
-    big = np.iinfo(np.int64).max
-    while True:
-        r = np.minimum(rows, np.where(links, cols[None, :], big).min(axis=1))
-        c = np.minimum(cols, np.where(links, r[:, None], big).min(axis=0))
-        if (r == rows).all() and (c == cols).all():
-            return r, c
-        rows, cols = r, c
-
-
-def join_block(ids_h, home, ids_f, guests, with_home: bool, least: float):
-    """(rid, links, root) of the rows that have links in this block."""
-    count_h, count_f = np.zeros(len(ids_h), np.int64), np.zeros(len(ids_f), np.int64)
-    ids = np.concatenate((ids_h, ids_f))
-    label = ids.copy()
-    while True:
-        before = label.copy()
-        first = not count_h.any() and not count_f.any()
-        for low in range(0, len(ids_h), 256):
-            rows = np.arange(low, min(low + 256, len(ids_h)))
-            links = np.zeros((len(rows), len(ids)), bool)
-            if with_home:
-                links[:, : len(ids_h)] = _linked(home[rows], home, least)
-                links[np.arange(len(rows)), rows] = False
-            if len(ids_f):
-                links[:, len(ids_h) :] = _linked(home[rows], guests, least)
-            r, c = np.flatnonzero(links.any(axis=1)), np.flatnonzero(links.any(axis=0))
-            if first:
-                count_h[rows] += links.sum(axis=1)
-                count_f += links[:, len(ids_h) :].sum(axis=0)
-            if len(r):
-                to_rows, to_cols = _spread(links[np.ix_(r, c)], label[rows[r]], label[c])
-                np.minimum.at(label, c, to_cols)
-                np.minimum.at(label, rows[r], to_rows)
-        if (label == before).all():
-            break
-    count = np.concatenate((count_h, count_f))
+def join_block(ids_h, m_h, home, ids_f, m_f, guests, with_home: bool, least: float):
+    """(rid, links, root) of the rows that have links in this block; each pair is looked at once.
+
+    ``m_h`` and ``m_f`` say how many rows a point stands for. A point's links are to other points.
+    """
+    ids, weight = np.concatenate((ids_h, ids_f)), np.concatenate((m_h, m_f))
+    whole = np.concatenate((home, guests)) if len(ids_f) else home
+    whole32 = whole.astype(np.float32)
+    count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+    for low in range(0, len(ids_h), 256):
+        high = min(low + 256, len(ids_h))
+        # home rows meet home rows after them, and all visitors
+        first = low if with_home else len(ids_h)
+        links = _linked(whole[low:high], whole32[low:high], whole[first:], whole32[first:], least)
+        if with_home:
+            own = np.arange(high - low)
+            links[:, : high - low] &= own[:, None] < own[None, :]
+        for r in np.flatnonzero(links.any(axis=1)):
+            to = np.flatnonzero(links[r]) + first
+            count[low + r] += weight[to].sum()
+            count[to] += weight[low + r]
+            joined = np.unique(np.append(root[to], root[low + r]))
+            if len(joined) > 1:
+                root[np.isin(root, joined)] = joined[0]
     keep = count > 0
-    return ids[keep], count[keep], label[keep]
+    return ids[keep], count[keep], ids[root[keep]]
 
 
 def range_join(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
@@ -175,18 +216,19 @@ def range_join(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
 
     Vectors that are null, empty, zero or hold null or non-finite components
     link with nothing; so do vectors of different dimensions. Rows that
-    repeat a vec_id are vectors of their own, and link with each other. A
-    component is named by its least vec_id that is not null; a vector
-    without links by its own. An empty table gives no rows.
+    repeat a vec_id are vectors of their own, and link with each other;
+    equal vectors link whatever their number. A component is named by its
+    least vec_id that is not null; a vector without links by its own. An
+    empty table gives no rows. Long vectors make blocks of fewer rows. Other
+    columns, whatever their names, are not looked at.
     """
     vectors = numbered(embeddings)
-    n = vectors.where("ok").count()
-    pivots = choose_pivots(vectors, min(MAX_PIVOTS, -(-n // BLOCK)))
-    reach = math.sqrt(max(0.0, 2 - 2 * least))
-    cells = _cells(vectors, pivots)
-    blocks = {c: -(-m // BLOCK) for c, m in cells.items()}
-    parts = max(1, -(-n // VISITORS))
-    dealt = _deal(vectors, pivots, blocks, parts, reach)
+    equal = vectors.where("ok").groupBy("v").agg(F.min("rid").alias("rid"), F.count("*").alias("m"))
+    points = stored(equal, "points")
+    n = points.count()
+    pivots = choose_pivots(points, min(MAX_PIVOTS, max(MIN_PIVOTS, -(-n // CELL))))
+    cells = Cells(pivots, math.sqrt(max(0.0, 2 - 2 * least)))
+    dealt = deal(points, cells, *layout(cells.count(points), BLOCK_BYTES))
 
     def join(pdf):
         out = []
@@ -194,38 +236,28 @@ def range_join(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
             home, guests = own[own["home"]], own[~own["home"]]
             if not len(home):
                 continue
-            ids_h, h = _unpacked(home, int(dim))
-            ids_f, f = _unpacked(guests, int(dim)) if len(guests) else (np.empty(0, np.int64), np.empty((0, int(dim))))
-            out.append(pd.DataFrame(dict(zip(("rid", "n", "root"), join_block(ids_h, h, ids_f, f, int(pdf["part"].iloc[0]) == 0, least)))))
+            h = _unpacked(home, int(dim))
+            f = _unpacked(guests, int(dim)) if len(guests) else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, int(dim))))
+            out.append(pd.DataFrame(dict(zip(("rid", "n", "root"), join_block(*h, *f, int(pdf["part"].iloc[0]) == 0, least)))))
         return pd.concat(out) if out else pd.DataFrame({"rid": [], "n": [], "root": []}).astype("int64")
 
     found = stored(dealt.groupBy("cell", "block", "part").applyInPandas(join, "rid long, n long, root long"), "links")
     counts = found.groupBy("rid").agg(F.sum("n").alias("n_links"))
     roots = connected_components(found.select(F.col("rid").alias("src"), F.col("root").alias("dst")))
-    marked = stored(vectors.select("vec_id", "rid").join(roots, vectors["rid"] == roots["node"], "left").join(counts, "rid", "left"), "marked")
+    about = points.select(F.col("rid").alias("point"), "m", F.col("v").alias("pv"))
+    about = about.join(roots, F.col("point") == F.col("node"), "left").join(counts, F.col("point") == F.col("rid"), "left")
+    about = about.select("pv", (F.col("m") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("root", "point").alias("root"))
+    # one row a point: copies of one vector may be any share of the rows, and such a join can be split
+    about = stored(about, "about")
+    marked = vectors.join(about.hint("merge"), vectors["ok"] & (vectors["v"] == about["pv"]), "left").select("vec_id", "n_links", "root")
+    marked = stored(marked, "marked")
     least_id = stored(marked.where("root is not null").groupBy("root").agg(F.min("vec_id").alias("component_id")), "least")
+    drop_stored(vectors, points, found, about)
     out = marked.join(least_id, "root", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-def _cells(vectors: DataFrame, pivots: np.ndarray) -> dict:
-    """Vectors in each cell; there are MAX_PIVOTS + 1 cells at most."""
-
-    def run(batches):
-        for b in batches:
-            dims = b["v"].map(len).to_numpy()
-            cell = np.full(len(b), len(pivots))
-            if len(pivots):
-                fits = dims == pivots.shape[1]
-                if fits.any():
-                    cell[fits] = to_pivots(units(b["v"][fits]), pivots, 0.0)[0]
-            yield pd.DataFrame({"cell": cell.astype("int32")})
-
-    rows = vectors.where("ok").select("v").mapInPandas(run, "cell int").groupBy("cell").count().collect()
-    return {r["cell"]: r["count"] for r in rows}
-
-
 def op3_embedding_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(table(spark, sf_dir, "embeddings"))
 
