@@ -3,7 +3,7 @@
 Inner products become Euclidean distances by one more component: with
 (x, sqrt(M^2 - |x|^2)) and (q, 0) the nearest point has the largest product.
 Candidates are dealt to shards at random; a task builds the tree of a shard
-and sends a block of queries down it together. A subtree is skipped for a
+once and sends the queries down it in batches as they pass by. A subtree is skipped for a
 query when the triangle inequality puts it beyond the query's k-th distance.
 That test is relaxed by a factor: one is the exact search, more skips more.
 """
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .vectors import numbered
 
-SHARD, QUERIES_AT_ONCE, LEAF = 8192, 2048, 256
+#: Rows of a shard while there are cores to spare, bytes of one at most, and rows of a tree's leaf.
+SHARD, SHARD_BYTES, LEAF = 2048, 32 << 20, 256
 EVERY = 20
 
 
@@ -63,42 +64,67 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(x: np.ndarray, rank: np.ndarray, q: np.ndarray, k: int, factor: float = 1.0):
-    """(scores, rows) of the k best rows of ``x`` for each query; ties by ``rank``."""
-    best = _Best(len(q), k)
-    norms = (x * x).sum(axis=1)
-    bound = norms.max()
-    flat = np.concatenate((x, np.sqrt(np.maximum(0, bound - norms))[:, None]), axis=1)
-    tree = VPTree(flat)
-    q_norms = (q * q).sum(axis=1)
-
-    def distance(rows):
-        """To the k-th best so far; products and distances go opposite ways."""
-        return np.sqrt(np.maximum(0, q_norms[rows] + bound - 2 * best.score[rows, -1]))
-
-    def visit(node, rows):
-        if not len(rows):
-            return
-        if isinstance(node, np.ndarray):
-            fast = q[rows] @ x[node].T
-            # rows that may enter: the exact sums are taken for these alone
-            some = (fast >= best.score[rows, -1][:, None] - 1e-9 * (1 + np.abs(fast))).any(axis=0)
-            if some.any():
-                best.add(rows, products(q[rows], x[node[some]]), node[some], rank)
-            return
-        vantage, children = node
-        d = np.sqrt(np.maximum(0, q_norms[rows] + bound - 2 * (q[rows] @ x[vantage])))
-        gaps = [np.maximum(0, np.maximum(low - d, d - high)) for low, high, _ in children]
-        first = gaps[0] <= gaps[1]
-        for turn in (0, 1):
-            for side in (0, 1):
-                own = first if (side == 0) == (turn == 0) else ~first
-                mine = rows[own]
-                near = gaps[side][own] * factor <= distance(mine) * (1 + 1e-9) + 1e-9
-                visit(children[side][2], mine[near])
-
-    visit(tree.root, np.arange(len(q)))
-    return best.score, best.at
+class Shard:
+    """The candidates of one shard in order of id, and the tree over their distinct vectors; built once."""
+
+    def __init__(self, candidates: pd.DataFrame, k: int):
+        last = np.iinfo(np.int64).max
+        c = candidates.assign(order_id=candidates["vec_id"].fillna(last).astype("int64")).sort_values(["order_id", "rid"])
+        x = np.stack(c["v"])
+        _, first, which = np.unique(x, axis=0, return_index=True, return_inverse=True)
+        which = which.ravel()
+        # equal vectors tie: of each, the k + 1 smallest ids hold all that can be asked for
+        turn = pd.Series(which).groupby(which).cumcount().to_numpy()
+        self.members = [[] for _ in first]
+        for pos in np.flatnonzero(turn <= k):
+            self.members[which[pos]].append(pos)
+        self.ids, self.rids, self.k = c["vec_id"].to_numpy(), c["rid"].to_numpy(), k
+        self.x, self.rank = x[first], first
+        norms = (self.x * self.x).sum(axis=1)
+        self.bound = norms.max()
+        self.tree = VPTree(np.concatenate((self.x, np.sqrt(np.maximum(0, self.bound - norms))[:, None]), axis=1))
+
+    def search(self, q: np.ndarray, k: int, factor: float = 1.0):
+        """(scores, rows) of the k best distinct vectors for each query; ties by ``rank``."""
+        x, best, q_norms = self.x, _Best(len(q), k), (q * q).sum(axis=1)
+
+        def distance(rows):
+            """To the k-th best so far; products and distances go opposite ways."""
+            return np.sqrt(np.maximum(0, q_norms[rows] + self.bound - 2 * best.score[rows, -1]))
+
+        def visit(node, rows):
+            if not len(rows):
+                return
+            if isinstance(node, np.ndarray):
+                fast = q[rows] @ x[node].T
+                # rows that may enter: the exact sums are taken for these alone
+                some = (fast >= best.score[rows, -1][:, None] - 1e-9 * (1 + np.abs(fast))).any(axis=0)
+                if some.any():
+                    best.add(rows, products(q[rows], x[node[some]]), node[some], self.rank)
+                return
+            vantage, children = node
+            d = np.sqrt(np.maximum(0, q_norms[rows] + self.bound - 2 * (q[rows] @ x[vantage])))
+            gaps = [np.maximum(0, np.maximum(low - d, d - high)) for low, high, _ in children]
+            first = gaps[0] <= gaps[1]
+            for turn in (0, 1):
+                for side in (0, 1):
+                    own = first if (side == 0) == (turn == 0) else ~first
+                    mine = rows[own]
+                    near = gaps[side][own] * factor <= distance(mine) * (1 + 1e-9) + 1e-9
+                    visit(children[side][2], mine[near])
+
+        visit(self.tree.root, np.arange(len(q)))
+        return best.score, best.at
+
+    def answers(self, queries: pd.DataFrame, factor: float) -> list[tuple]:
+        """(query_id, query_rid, vec_id, score) of the k nearest rows but the query's own."""
+        out = []
+        scores, at = self.search(np.stack(queries["v"]), min(self.k + 1, len(self.x)), factor)
+        for qid, qrid, s, a in zip(queries["vec_id"].to_numpy(), queries["rid"].to_numpy(), scores, at):
+            got = [(v, m) for v, u in zip(s, a) if u >= 0 for m in self.members[u] if self.rids[m] != qrid]
+            got.sort(key=lambda t: (-t[0], t[1]))
+            out += [(qid, qrid, self.ids[m], v) for v, m in got[: self.k]]
+        return out
 
 
 def nearest(embeddings: DataFrame, k: int = 20, factor: float = 1.0, every: int = EVERY) -> DataFrame:
@@ -109,45 +135,45 @@ def nearest(embeddings: DataFrame, k: int = 20, factor: float = 1.0, every: int
     zero vectors and those with null or non-finite components take no part,
     nor do pairs of different dimensions. Ties go to the smaller vec_id, null
     last. Rows that repeat a vec_id are candidates, and queries, of their own.
+    An empty table gives no rows. Long vectors make shards of fewer rows.
+    Other columns, whatever their names, are not looked at. With ``factor``
+    1 the search is exact; a larger one skips more and may miss neighbours.
     """
     vectors = numbered(embeddings).where("ok").select("vec_id", "rid", "v")
     is_query = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
-    n, n_queries = vectors.agg(F.count("*"), F.count_if(is_query)).first()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // QUERIES_AT_ONCE))
-    own = F.xxhash64("rid")
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    found = vectors.select("*", F.pmod(own, F.lit(shards)).cast("int").alias("shard"), each(blocks).alias("block"), F.lit(False).alias("query"))
-    asked = vectors.where(is_query).select("*", each(shards).alias("shard"), F.pmod(own, F.lit(blocks)).cast("int").alias("block"), F.lit(True).alias("query"))
-    last = np.iinfo(np.int64).max
-
-    def task(pdf):
-        out = []
-        dims = pdf["v"].map(len)
-        for _, own in pdf.groupby(dims):
-            q, c = own[own["query"]], own[~own["query"]]
-            if not len(q) or not len(c):
-                continue
-            c = c.assign(order_id=c["vec_id"].fillna(last).astype("int64")).sort_values(["order_id", "rid"])
-            x = np.stack(c["v"])
-            _, first, which = np.unique(x, axis=0, return_index=True, return_inverse=True)
-            which = which.ravel()
-            # equal vectors tie: of each, the k + 1 smallest ids hold all that can be asked for
-            turn = pd.Series(which).groupby(which).cumcount().to_numpy()
-            members = [[] for _ in first]
-            for pos in np.flatnonzero(turn <= k):
-                members[which[pos]].append(pos)
-            scores, at = search(x[first], first, np.stack(q["v"]), min(k + 1, len(first)), factor)
-            ids, rids = c["vec_id"].to_numpy(), c["rid"].to_numpy()
-            for qid, qrid, s, a in zip(q["vec_id"].to_numpy(), q["rid"].to_numpy(), scores, at):
-                got = [(v, m) for v, u in zip(s, a) if u >= 0 for m in members[u] if rids[m] != qrid]
-                got.sort(key=lambda t: (-t[0], t[1]))
-                out += [(qid, qrid, ids[m], v) for v, m in got[:k]]
-        f = pd.DataFrame(out, columns=["query_id", "query_rid", "vec_id", "score"])
-        return f.astype({"query_id": "Int64", "query_rid": "int64", "vec_id": "Int64", "score": "float64"})
-
-    tasks = found.unionByName(asked).groupBy("shard", "block").applyInPandas(task, "query_id long, query_rid long, vec_id long, score double")
+    n, length = vectors.agg(F.count("*"), F.sum(F.size("v"))).first()
+    at_once = embeddings.sparkSession.sparkContext.defaultParallelism
+    # a shard for each core while shards are not small, and none above its bytes
+    shards = max(1, min(at_once, n // SHARD), -(-8 * (length or 0) // SHARD_BYTES))
+    candidates = vectors.select("*", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"))
+    asked = vectors.where(is_query).select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"))
+    # a shard's candidates come before its queries, which then pass by in batches
+    dealt = candidates.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "query", "rid")
+    names = ["query_id", "query_rid", "vec_id", "score"]
+
+    def run(batches):
+        shard, held, trees = None, [], None
+        for batch in batches:
+            for number, part in batch.groupby("shard", sort=False):
+                if number != shard:
+                    shard, held, trees = number, [], None
+                held.append(part[~part["query"]])
+                queries = part[part["query"]]
+                if not len(queries):
+                    continue
+                if trees is None:
+                    own = pd.concat(held)
+                    trees, held = {d: Shard(c, k) for d, c in own.groupby(own["v"].map(len))}, []
+                out = []
+                for d, q in queries.groupby(queries["v"].map(len)):
+                    if d in trees:
+                        out += trees[d].answers(q, factor)
+                f = pd.DataFrame(out, columns=names)
+                yield f.astype({"query_id": "Int64", "query_rid": "int64", "vec_id": "Int64", "score": "float64"})
+
+    found = dealt.mapInPandas(run, "query_id long, query_rid long, vec_id long, score double")
     order = Window.partitionBy("query_rid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    ranked = tasks.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 

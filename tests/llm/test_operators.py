@@ -256,8 +256,7 @@ def _usable(v):
 
 
 def test_range_join_equals_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "BLOCK", 64)
-    monkeypatch.setattr(vectors, "VISITORS", 100)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 1)  # 64 rows a block
     rows = _vectors(spark)
     ok = [i for i, r in enumerate(rows) if _usable(r[1])]
     v = {i: np.array(rows[i][1], dtype=np.float32).astype(float) for i in ok}
@@ -276,6 +275,36 @@ def test_range_join_equals_brute_force(spark, monkeypatch):
     assert vectors.range_join(spark.createDataFrame([], VECS)).count() == 0
 
 
+def test_cells_are_many_and_copies_linear_on_separated_clusters(spark):
+    g = np.random.default_rng(2)
+    centres = np.eye(16)
+    copied = []
+    for n in (1000, 2000, 4000):
+        x = centres[np.arange(n) % 16] + g.normal(scale=0.01, size=(n, 16))
+        points = spark.createDataFrame([(i, 1, [float(v) for v in r]) for i, r in enumerate(x)], "rid long, m long, v array<double>").cache()
+        cells = vectors.Cells(vectors.choose_pivots(points, 16), math.sqrt(0.2))
+        counted = cells.count(points)
+        assert len(counted) >= 8 and sum(r for r, _, _ in counted.values()) == n and not any(v for _, v, _ in counted.values())
+        dealt = vectors.deal(points, cells, *vectors.layout(counted, 1))
+        copied.append(dealt.where("home").agg(F.sum(F.length("ids")) / 8).first()[0])
+    assert copied[0] == 1000 and copied[1] <= 2 * copied[0] * 1.5 and copied[2] <= 2 * copied[1] * 1.5
+
+
+def test_equal_vectors_are_one_point(spark):
+    rows = [(i, [1.0, 2.0], i) for i in range(3000)] + [(5000, [2.0, 4.0], 1), (5001, [2.0, -1.0], 2), (None, [1.0, 2.0], 3)]
+    got = {r["vec_id"]: tuple(r)[1:] for r in vectors.range_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rid int")).collect()}
+    assert got[0] == (3001, 0, True) and got[2999] == (3001, 0, False) and got[5000] == (3001, 0, False) and got[5001] == (0, 5001, True) and got[None] == (3001, 0, False)
+
+
+def test_recall_falls_as_the_factor_grows(spark):
+    g = np.random.default_rng(4)
+    x = g.normal(size=(2000, 6))
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    full = {(r["query_id"], r["vec_id"]) for r in vptree.nearest(frame).collect()}
+    recall = [len(full & {(r["query_id"], r["vec_id"]) for r in vptree.nearest(frame, factor=f).collect()}) / len(full) for f in (1.0, 1.5, 4.0)]
+    assert recall[0] == 1.0 and recall[1] >= 0.9 and recall[1] >= recall[2]
+
+
 def test_exact_search_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vptree, "SHARD", 100)
     monkeypatch.setattr(vptree, "LEAF", 16)
