@@ -46,6 +46,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+    both = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+    both._tessella_path = e._tessella_path  # goes with the edges
+    return both

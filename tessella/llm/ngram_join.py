@@ -4,9 +4,11 @@ A set is kept as sorted 64-bit hashes and named by a hash of the whole set,
 so equal sets are one from the start. In hash order, the first
 |A| - ceil(t|A|) + l hashes of A and likewise of B have at least l in common
 if their Jaccard similarity is t or more. Prefixes with l = |A|/8 are dealt by
-hash range, packed. A partner has at least t|A| hashes, so a set goes on only
+hash, packed. A partner has at least t|A| hashes, so a set goes on only
 if t|A|/8 of its prefix hashes occur in other prefixes. What is left is joined
 by its shortest prefixes (l = 1) into groups that hold all possible links.
+Before anything is dealt a task settles what it holds itself: of a hash that
+many of its sets share it sends one name, so no common hash fills a group.
 
 Within a group sets are dealt into tiles of one size band and the next:
 sizes of a link differ by less than a band. In a tile, hashed bitmaps bound
@@ -24,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import drop_stored, shuffle_partitions, stored, table, whole_rows
 from .components import connected_components
 
 WORDS = 5
@@ -34,7 +36,8 @@ NUM, DEN = 75, 100
 EXTRA = 0.125
 #: Bits of a bitmap for each hash of a tile's largest set, and the fewest of a bitmap.
 BITS_A_HASH, BITS = 4, 2048
-BLOCK_SETS, BLOCK_BYTES = 2048, 16 << 20
+#: Sets and bytes of a tile's block, bytes that a task reads, and salts of joins that texts pass through.
+BLOCK_SETS, BLOCK_BYTES, TASK_BYTES, SALTS = 512, 8 << 20, 16 << 20, 8
 FLUSH_ENTRIES = 2_000_000
 
 
@@ -84,30 +87,21 @@ def extra(n: int) -> int:
     return max(1, int(n * EXTRA))
 
 
-def _pack(hashes, names, bounds):
-    """Rows (bucket, packed pairs) of parallel lists of arrays."""
-    h, f = np.concatenate(hashes), np.concatenate(names)
-    bucket = (h >> np.uint64(32)).astype(np.int64) * bounds >> 32
-    order = np.argsort(bucket, kind="stable")
-    bucket, h, f = bucket[order], h[order], f[order]
-    cut = np.flatnonzero(np.diff(bucket)) + 1
-    edges = np.concatenate(([0], cut, [len(h)]))
-    rows = [(int(bucket[a]), h[a:b].tobytes() + f[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:]) if b > a]
-    return pd.DataFrame(rows, columns=["bucket", "pairs"])
+def _cut(key: np.ndarray):
+    """(key, from, to) of each run of equal keys."""
+    edges = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+    return [(int(key[a]), a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
 
-def _unpack(blobs) -> tuple[np.ndarray, np.ndarray]:
-    h, f = [], []
-    for x in blobs:
-        half = len(x) // 2
-        h.append(np.frombuffer(x, dtype=np.uint64, count=half // 8))
-        f.append(np.frombuffer(x, dtype=np.int64, offset=half))
-    return np.concatenate(h), np.concatenate(f)
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    """Prefixes are the smallest hashes: they are mixed again, so that all buckets fill alike."""
+    with np.errstate(over="ignore"):
+        mixed = h * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(32)).astype(np.int64) * buckets >> 32
 
 
-def _sorted_pairs(blobs):
+def _sorted_pairs(h: np.ndarray, f: np.ndarray):
     """Distinct (hash, name) pairs in order, and whether the pair's hash has two names or more."""
-    h, f = _unpack(blobs)
     order = np.lexsort((f, h))
     h, f = h[order], f[order]
     new = np.concatenate(([True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])))
@@ -117,35 +111,63 @@ def _sorted_pairs(blobs):
     return h, f, shared
 
 
-def name_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), name and, where docs have it, __row, stored; name is null for empty sets."""
-    numbered = "__row" in docs.columns
+def _pack(h, f, shared, buckets: int) -> list[tuple[int, bytes]]:
+    """(bucket, packed) of one (hash, name) pair a hash, each with a mark whether the hash is known to be shared."""
+    first = np.concatenate(([True], h[1:] != h[:-1]))
+    h, f, shared = h[first], f[first], shared[first]
+    bucket = _bucket(h, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, h, f, shared = bucket[order], h[order], f[order], shared[order]
+    return [(k, h[a:b].tobytes() + f[a:b].tobytes() + shared[a:b].tobytes()) for k, a, b in _cut(bucket)]
+
+
+def _unpack(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, f, known = [], [], []
+    for x in blobs:
+        n = len(x) // 17
+        h.append(np.frombuffer(x, dtype=np.uint64, count=n))
+        f.append(np.frombuffer(x, dtype=np.int64, offset=8 * n, count=n))
+        known.append(np.frombuffer(x, dtype=bool, offset=16 * n))
+    return np.concatenate(h), np.concatenate(f), np.concatenate(known)
+
+
+def _by_part(names: np.ndarray, values: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    part = names % parts
+    order = np.argsort(part, kind="stable")
+    part, names, values = part[order], names[order], values[order]
+    return [(k, names[a:b].astype("<i8").tobytes() + values[a:b].astype("<i8").tobytes()) for k, a, b in _cut(part)]
 
-    def run(batches):
-        cache = _WordHashes()
-        for b in batches:
-            n, names = [], []
-            for text in b["text"]:
-                s = shingle_set(text, cache)
-                n.append(len(s))
-                names.append(set_name(s) if len(s) else None)
-            out = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n": n, "name": pd.array(names, dtype="Int64")})
-            yield out.assign(__row=b["__row"]) if numbered else out
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *["__row"] * numbered)
-    return stored(rows.mapInPandas(run, "doc_id long, n long, name long" + ", __row long" * numbered), "names")
+SCANNED = "doc_id long, key long, rid long, n long, name long, bucket long, pairs binary, counts binary"
 
 
-def _prefixes(docs: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, packed (hash, name) pairs) of the longer prefixes; a task sends equal sets once."""
+def scan_sets(docs: DataFrame, buckets: int) -> DataFrame:
+    """One pass over the texts of (doc_id, key, rid, text), stored.
+
+    Rows with a bucket null: n (set size) and name of each document, null for
+    empty sets. Rows with a bucket: packed pairs of the longer prefixes, and
+    counts of prefix hashes that a task's own sets share. A task sends equal sets once.
+    """
+    columns = [x.split()[0] for x in SCANNED.split(",")]
+
+    def settle(hashes, names):
+        h, f, shared = _sorted_pairs(np.concatenate(hashes), np.concatenate(names))
+        own, counts = np.unique(f[shared], return_counts=True)
+        rows = [(k, blob, None) for k, blob in _pack(h, f, shared, buckets)] + [(k, None, blob) for k, blob in _by_part(own, counts, buckets)]
+        frame = pd.DataFrame(rows, columns=["bucket", "pairs", "counts"])
+        return frame.assign(doc_id=None, key=None, rid=None, n=None, name=None).astype({c: "Int64" for c in columns[:5]})[columns]
 
     def run(batches):
         cache, seen = _WordHashes(), set()
         hashes, names, held = [], [], 0
         for b in batches:
+            n, found = [], []
             for text in b["text"]:
                 s = shingle_set(text, cache)
-                if not len(s) or (name := set_name(s)) in seen:
+                name = set_name(s) if len(s) else None
+                n.append(len(s))
+                found.append(name)
+                if name is None or name in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
@@ -155,25 +177,35 @@ def _prefixes(docs: DataFrame, buckets: int) -> DataFrame:
                 names.append(np.full(len(p), name, dtype=np.int64))
                 held += len(p)
                 if held > FLUSH_ENTRIES:
-                    yield _pack(hashes, names, buckets)
+                    yield settle(hashes, names)
                     hashes, names, held = [], [], 0
+            out = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": b["key"], "rid": b["rid"], "n": n, "name": pd.array(found, dtype="Int64")})
+            yield out.assign(bucket=pd.array([None] * len(b), dtype="Int64"), pairs=None, counts=None)[columns]
         if held:
-            yield _pack(hashes, names, buckets)
+            yield settle(hashes, names)
 
-    return docs.select("text").mapInPandas(run, "bucket long, pairs binary")
+    return stored(docs.select("doc_id", "key", "rid", "text").mapInPandas(run, SCANNED), "scanned")
 
 
-def _shared_counts(prefixes: DataFrame, buckets: int) -> DataFrame:
-    """(name, c): how many prefix hashes of each set occur in other sets; none at all: no row."""
+def _shared_counts(scanned: DataFrame, buckets: int) -> DataFrame:
+    """(name, c): how many prefix hashes of each set occur in other sets, or more; none at all: no row.
+
+    A hash that tasks settled for a set on their own may be counted twice; only too few would matter.
+    """
 
     def count(pdf):
-        h, f, shared = _sorted_pairs(pdf["pairs"])
-        names, counts = np.unique(f[shared], return_counts=True)
-        rows = []
-        for part in range(buckets):
-            at = names % buckets == part
-            if at.any():
-                rows.append((part, names[at].astype("<i8").tobytes() + counts[at].astype("<i8").tobytes()))
+        rows = [(int(pdf["bucket"].iloc[0]), x) for x in pdf["counts"].dropna()]
+        if pdf["pairs"].notna().any():
+            h, f, known = _unpack(pdf["pairs"].dropna())
+            order = np.lexsort((~known, f, h))
+            h, f, known = h[order], f[order], known[order]
+            new = np.concatenate(([True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])))
+            h, f, known = h[new], f[new], known[new]
+            starts = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+            size = np.diff(np.append(starts, len(h)))
+            shared = np.repeat((size > 1) | np.logical_or.reduceat(known, starts), size)
+            names, counts = np.unique(f[shared & ~known], return_counts=True)
+            rows += _by_part(names, counts, buckets)
         return pd.DataFrame(rows, columns=["part", "counts"])
 
     def add(pdf):
@@ -182,7 +214,8 @@ def _shared_counts(prefixes: DataFrame, buckets: int) -> DataFrame:
         names, at = np.unique(names, return_inverse=True)
         return pd.DataFrame({"name": names, "c": np.bincount(at, weights=counts).astype("int64")})
 
-    counted = prefixes.groupBy("bucket").applyInPandas(count, "part long, counts binary")
+    sent = scanned.where("bucket is not null").select("bucket", "pairs", "counts")
+    counted = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(count, "part long, counts binary")
     return counted.groupBy("part").applyInPandas(add, "name long, c long")
 
 
@@ -197,8 +230,8 @@ def _bitmaps(arrays: list[np.ndarray], largest: int) -> np.ndarray:
     return out
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """(name, n, hashes) of one document of each wanted set, by its ``key``, stored."""
+def _sets(docs: DataFrame, wanted: DataFrame, tasks: int) -> DataFrame:
+    """(name, n, hashes) of each wanted (name, key), from one document of it, stored."""
 
     def run(batches):
         cache = _WordHashes()
@@ -206,44 +239,61 @@ def _sets(docs: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
             rows = []
             for name, text in zip(b["name"], b["text"]):
                 s = shingle_set(text, cache)
-                if set_name(s) == name:  # a repeated doc_id may have another text
+                if set_name(s) == name:  # keys are hashes: another text may have the same
                     rows.append((name, len(s), s.tobytes()))
                 if len(rows) >= 500:
                     yield pd.DataFrame(rows, columns=["name", "n", "hashes"])
                     rows = []
             yield pd.DataFrame(rows, columns=["name", "n", "hashes"])
 
-    # texts are joined in the same way however many sets are wanted
-    one = wanted.select("name", F.col(key).alias("__id")).hint("merge")
-    rows = docs.select(F.col(key).cast("long").alias(key), "text")
-    rows = rows.join(one, F.col(key).eqNullSafe(F.col("__id"))).select("name", "text")
-    found = rows.mapInPandas(run, "name long, n long, hashes binary")
-    return stored(found, "sets")
+    # rows that repeat a document share its key: they are dealt to salts, and the narrow side to all of them
+    salted = wanted.select("name", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
+    rows = docs.select("key", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), "text").repartition(tasks, "key", "salt")
+    found = rows.join(salted, ["key", "salt"]).select("name", "text").mapInPandas(run, "name long, n long, hashes binary")
+    return stored(found.dropDuplicates(["name"]), "sets")
 
 
 def _group_edges(sets: DataFrame, buckets: int) -> DataFrame:
     """(src, dst): sets that share a prefix hash, as chains."""
 
+    def chains(h, f):
+        both = h[1:] == h[:-1]
+        return np.unique(np.stack([f[:-1][both], f[1:][both]], axis=1), axis=0)
+
+    def settle(hashes, names):
+        h, f, shared = _sorted_pairs(np.concatenate(hashes), np.concatenate(names))
+        edges = chains(h, f)
+        rows = [(k, blob, None) for k, blob in _pack(h, f, shared, buckets)]
+        if len(edges):
+            rows.append((int(edges[0, 0] % buckets), None, edges.astype("<i8").tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "pairs", "edges"])
+
     def send(batches):
+        hashes, names, held = [], [], 0
         for b in batches:
-            hashes, names = [], []
             for name, blob in zip(b["name"], b["hashes"]):
                 s = np.frombuffer(blob, dtype=np.uint64)
-                p = s[: prefix_length(len(s), 1)]
+                p = s[: prefix_length(len(s), 1)].copy()
                 hashes.append(p)
                 names.append(np.full(len(p), name, dtype=np.int64))
-            if hashes:
-                yield _pack(hashes, names, buckets)
+                held += len(p)
+                if held > FLUSH_ENTRIES:
+                    yield settle(hashes, names)
+                    hashes, names, held = [], [], 0
+        if held:
+            yield settle(hashes, names)
 
     def chain(pdf):
-        h, f, shared = _sorted_pairs(pdf["pairs"])
-        h, f = h[shared], f[shared]
-        both = (h[1:] == h[:-1]) if len(h) else np.empty(0, bool)
-        pairs = np.unique(np.stack([f[:-1][both], f[1:][both]], axis=1), axis=0) if both.any() else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"src": pairs[:, 0], "dst": pairs[:, 1]})
+        pairs = [np.frombuffer(x, dtype="<i8").reshape(-1, 2) for x in pdf["edges"].dropna()]
+        if pdf["pairs"].notna().any():
+            h, f, _ = _unpack(pdf["pairs"].dropna())
+            h, f, _ = _sorted_pairs(h, f)
+            pairs.append(chains(h, f))
+        every = np.unique(np.concatenate(pairs), axis=0)
+        return pd.DataFrame({"src": every[:, 0], "dst": every[:, 1]})
 
-    sent = sets.select("name", "hashes").mapInPandas(send, "bucket long, pairs binary")
-    return sent.groupBy("bucket").applyInPandas(chain, "src long, dst long")
+    sent = sets.select("name", "hashes").mapInPandas(send, "bucket long, pairs binary, edges binary")
+    return sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(chain, "src long, dst long")
 
 
 def _bound(bits, n, i, j):
@@ -254,22 +304,27 @@ def _bound(bits, n, i, j):
     return (NUM + DEN) * np.minimum(n[i] - missing, n[j] - surplus)
 
 
-def links_of(name, n, hashes, foreign):
-    """Star edges (name, root) of the links in a tile block; ``foreign`` rows are not compared among themselves.
+def links_of(name, n, hashes, side, inside: bool):
+    """Star edges (name, root) of the links in a tile block: between sides 0 and 1, and ``inside`` side 0.
 
     Sets already joined are not compared again: only components matter.
     """
     order = np.argsort(n, kind="stable")
-    name, n, foreign = name[order], n[order], foreign[order]
+    name, n, side = name[order], n[order], side[order]
     arrays = [np.frombuffer(hashes[i], dtype=np.uint64) for i in order]
     bits = _bitmaps(arrays, n.max(initial=1))
     first = np.ascontiguousarray(bits[:, : bits.shape[1] // 4])
-    label, least = np.arange(len(n)), NUM * n
+    label, least, left = np.arange(len(n)), NUM * n, len(n)
     for i in range(len(n)):
+        if left == 1:
+            break
         # partners are later in order of size and at most a third larger
         stop = np.searchsorted(n, n[i] * DEN // NUM, side="right")
         j = np.arange(i + 1, stop)
-        j = j[(label[j] != label[i]) & ~(foreign[i] & foreign[j])]
+        meet = side[j] != side[i]
+        if inside and side[i] == 0:
+            meet |= side[j] == 0
+        j = j[meet & (label[j] != label[i])]
         if not len(j):
             continue
         # a quarter of the bits bounds from above too; pairs that it leaves meet all bits
@@ -282,7 +337,7 @@ def links_of(name, n, hashes, foreign):
             both = len(np.intersect1d(arrays[i], arrays[k], assume_unique=True))
             if DEN * both >= NUM * (n[i] + n[k] - both):
                 low, high = sorted((label[i], label[k]))
-                label[label == high] = low
+                label[label == high], left = low, left - 1
     linked = label != np.arange(len(n))
     return name[linked], name[label[linked]]
 
@@ -291,7 +346,7 @@ def _verify(sets: DataFrame, groups: DataFrame) -> DataFrame:
     """(src, dst) star edges of true links between sets of one group."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(DEN / NUM)))).cast("long")
     rows = sets.select("name", "n").join(groups.select(F.col("node").alias("name"), "root"), "name")
-    rows = stored(rows.withColumn("band", band), "banded")
+    rows = rows_stored = stored(rows.withColumn("band", band), "banded")
     tiles = rows.groupBy("root", "band").agg(F.count("*").alias("m"), F.sum(F.col("n") * (8 + BITS_A_HASH // 4) + BITS // 8).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     tiles = stored(tiles.select("root", "band", blocks.alias("blocks")), "tiles")
@@ -307,38 +362,52 @@ def _verify(sets: DataFrame, groups: DataFrame) -> DataFrame:
     above = F.transform(F.sequence(F.lit(0), F.col("lower") - 1), lambda o: task(1, o, o, F.col("mine")))
     none = F.array().cast(shape)
     targets = F.concat(home, F.coalesce(more, none), F.coalesce(above, none))
-    plan = stored(rows.select("name", "root", F.col("band").alias("own_band"), targets.alias("targets")), "plan").hint("merge")
-    dealt = sets.join(plan, "name").select("root", F.explode("targets").alias("t"), "name", "n", "hashes", "own_band")
-    dealt = dealt.select("root", "t.*", "name", "n", "hashes", "own_band")
+    plan = stored(rows.select("name", "n", "root", F.col("band").alias("own_band"), "mine", targets.alias("targets")), "plan")
+    dealt_bytes = plan.agg(F.sum(F.size("targets") * (8 * F.col("n") + 64))).first()[0] or 0
+    tasks = max(shuffle_partitions(sets.sparkSession), -(-dealt_bytes // TASK_BYTES))
+    narrow = plan.select("name", "root", "own_band", "mine", "targets").hint("merge")
+    dealt = sets.join(narrow, "name").select("root", F.explode("targets").alias("t"), "name", "n", "hashes", "own_band", "mine")
+    keys = ["root", "band", "a", "z", "guests"]
+    dealt = dealt.select("root", "t.*", "name", "n", "hashes", "own_band", "mine").repartition(tasks, *keys)
 
     def tile(pdf):
-        # sets of the band above are foreign: they meet each other in their own tile
-        foreign = (pdf["own_band"] != pdf["band"]).to_numpy()
-        a, b = links_of(pdf["name"].to_numpy(), pdf["n"].to_numpy(), pdf["hashes"].to_list(), foreign)
+        # sets of the band above are foreign: they meet each other in their own tile, as do those of a block
+        one = pdf.iloc[0]
+        foreign = (pdf["own_band"] != one["band"]).to_numpy()
+        alone = one["a"] == one["z"]
+        side = foreign if alone else (pdf["mine"] != one["a"]).to_numpy()
+        a, b = links_of(pdf["name"].to_numpy(), pdf["n"].to_numpy(), pdf["hashes"].to_list(), side, bool(alone and one["guests"] == 0))
         return pd.DataFrame({"src": a, "dst": b})
 
-    return dealt.groupBy("root", "band", "a", "z", "guests").applyInPandas(tile, "src long, dst long")
+    found = stored(dealt.groupBy(*keys).applyInPandas(tile, "src long, dst long"), "linked")
+    drop_stored(rows_stored, tiles, plan)
+    return found
 
 
 def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``name_sets``, and (name, doc_id, root) of every set: its least doc_id and its component; both stored."""
-    key = "__row" if "__row" in docs.columns else "doc_id"
-    spark = docs.sparkSession
-    names = name_sets(docs)
-    least = [F.min(c).alias(c) for c in dict.fromkeys(["n", "doc_id", key])]
-    reps = stored(names.where("name is not null").groupBy("name").agg(*least), "reps")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), names.count() // 4000)
-    shared = _shared_counts(_prefixes(docs, buckets), buckets)
+    """Names of all documents, and (name, doc_id, root) of every set: its least doc_id and its component; both stored.
+
+    ``docs``: doc_id, text, rid. A document is looked up again by a hash of its doc_id and text.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "rid", "text")
+    buckets = max(shuffle_partitions(docs.sparkSession), docs.count() // 4000)
+    scanned = scan_sets(docs, buckets)
+    names = scanned.where("bucket is null").select("doc_id", "key", "rid", "n", "name")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    reps = stored(names.where("name is not null").groupBy("name").agg(F.min("n").alias("n"), first).select("name", "n", "first.doc_id", "first.key"), "reps")
     smallest = F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}")
     need = F.greatest(F.lit(1), F.floor(smallest * EXTRA))
-    wanted = stored(reps.join(shared, "name").where(F.col("c") >= need).select("name", key), "wanted")
-    sets = _sets(docs, wanted, key).dropDuplicates(["name"])
-    sets = stored(sets, "candidates")
+    wanted = stored(reps.join(_shared_counts(scanned, buckets), "name").where(F.col("c") >= need).select("name", "key"), "wanted")
+    words = names.agg(F.sum("n")).first()[0] or 0
+    sets = _sets(docs, wanted, max(shuffle_partitions(docs.sparkSession), -(-8 * words // TASK_BYTES)))
     groups = connected_components(_group_edges(sets, buckets))
     edges = _verify(sets, groups)
     roots = connected_components(edges)
     by_set = reps.join(roots.withColumnRenamed("node", "name"), "name", "left")
-    return names, stored(by_set.select("name", "doc_id", F.coalesce("root", "name").alias("root")), "roots")
+    by_set = stored(by_set.select("name", "doc_id", F.coalesce("root", "name").alias("root")), "roots")
+    narrow = stored(names, "names")
+    drop_stored(scanned, reps, wanted, sets, groups, edges, roots)
+    return narrow, by_set
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -348,12 +417,14 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     sets are linked. Rows that repeat a doc_id each get a row; if their texts
     differ their components are still told apart. Null doc_ids are linked like
     others, but a component is named by its smallest doc_id that is not null.
-    Other columns of ``docs`` are not looked at.
+    An empty table gives no rows. A text is shingled whole, in memory in
+    proportion to it. Other columns, whatever their names, are not looked at.
     """
-    names, by_set = _rooted(docs.select("doc_id", "text"))
+    names, by_set = _rooted(docs.select("doc_id", "text", F.lit(0).cast("long").alias("rid")))
     least = stored(by_set.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    final = stored(by_set.join(least, "root").select(F.col("name").alias("__name"), "component_id"), "final")
-    out = names.join(final, names["name"] == final["__name"], "left")
+    final = stored(by_set.join(least, "root").select(F.col("name").alias("set_name"), "component_id"), "final")
+    drop_stored(by_set, least)
+    out = names.join(final, names["name"] == final["set_name"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -362,16 +433,18 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
 
     Rows are told apart by their number, so rows that repeat a doc_id or have
     none are documents of their own; of equal doc_ids the first row stays.
-    Rows with an empty set are components of their own and all stay.
+    Rows with an empty set are components of their own and all stay. All
+    columns are kept, whatever their names.
     """
-    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    names, by_set = _rooted(rows.select("doc_id", "text", "__row"))
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    rows = stored(whole_rows(docs).withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    names, by_set = _rooted(rows.select("row.doc_id", "row.text", "rid"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     first = names.where("name is not null").groupBy("name").agg(F.min(order).alias("first"))
     first = first.join(by_set.select("name", "root"), "name").groupBy("root").agg(F.min("first").alias("first"))
-    kept = first.select("first.__row").unionByName(names.where("name is null").select("__row"))
+    kept = first.select("first.rid").unionByName(names.where("name is null").select("rid"))
     kept = stored(kept, "kept").hint("merge")
-    return rows.join(kept, "__row", "left_semi").select(*docs.columns)
+    drop_stored(names, by_set)
+    return rows.join(kept, "rid", "left_semi").select("row.*")
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
