@@ -5,7 +5,8 @@ hash bits; running sums show in which bucket a source's budget ends. Only
 the documents of that boundary bucket are looked at again, by the next bits,
 until one hash value is left. A document is in the mix when its hash is at
 most its source's threshold: a filter, without sorting documents. Thresholds
-nest: a larger budget takes a superset.
+nest: a larger budget takes a superset. Rows that repeat doc_id and text share
+a hash; where the budget ends among them, as many as come nearest are taken.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, null_key, stored, table
+from .common import drop_stored, n_words, null_key, stored, table, whole_rows
 
 HASH_BITS, STEP_BITS = 60, 10
 #: Thresholds are dealt to this many salts, so a hot source never meets in one task.
@@ -52,11 +53,11 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), cap: int = 3) -> DataFra
 
 
 def thresholds(narrow: DataFrame, targets: DataFrame) -> DataFrame:
-    """(skey, size, h), (skey, source_size, target) -> targets with copies and threshold.
+    """(skey, size, h), (skey, source_size, target) -> targets with copies, threshold, edge and edge_rows.
 
-    Each document is taken ``copies`` times, and once more when h <= threshold.
-    The hash value at which the rest of the budget runs out is taken when that
-    brings the sum nearer to the budget.
+    Each document is taken ``copies`` times, and once more when h <= threshold;
+    so are ``edge_rows`` of the rows that have the hash ``edge``, at which the
+    rest of the budget runs out: as many as bring the sum nearest to the budget.
     """
     size = F.col("source_size")
     copies = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(F.lit(0)).cast("long")
@@ -68,16 +69,19 @@ def thresholds(narrow: DataFrame, targets: DataFrame) -> DataFrame:
     for low in range(HASH_BITS - STEP_BITS, -1, -STEP_BITS):
         bucket = F.shiftright("h", low)
         hist = open_docs.groupBy("skey", bucket.alias("bucket")).agg(
-            F.sum("size").alias("words"), F.min("h").alias("h_min"), F.max("h").alias("h_max")
+            F.sum("size").alias("words"), F.count("*").alias("n"), F.min("h").alias("h_min"), F.max("h").alias("h_max")
         )
         upto = F.sum("words").over(Window.partitionBy("skey").orderBy("bucket"))
         hist = hist.withColumn("upto", upto).join(left, "skey").where(F.col("upto") > F.col("rest"))
-        edge = hist.groupBy("skey").agg(F.min_by(F.struct("bucket", "words", "upto", "rest", "h_min", "h_max"), "bucket").alias("e"))
+        edge = hist.groupBy("skey").agg(F.min_by(F.struct("bucket", "words", "n", "upto", "rest", "h_min", "h_max"), "bucket").alias("e"))
         edge = stored(edge.select("skey", "e.*"), "edge")
         before = F.col("upto") - F.col("words")
-        over, under = F.col("upto") - F.col("rest"), F.col("rest") - before
         one = F.col("h_min") == F.col("h_max")
-        done = edge.where(one).select("skey", F.when(over < under, F.col("h_max")).otherwise(F.col("h_min") - 1).alias("threshold"))
+        # all rows of one hash have one size
+        size, under = F.col("words") / F.col("n"), F.col("rest") - before
+        rows = F.floor(under / size)
+        rows = rows + (((rows + 1) * size - under) < (under - rows * size)).cast("long")
+        done = edge.where(one).select("skey", (F.col("h_min") - 1).alias("threshold"), F.col("h_min").alias("edge"), rows.alias("edge_rows"), (F.col("n") > 1).alias("edge_shared"))
         known = done if known is None else known.unionByName(done)
         more = edge.where(~one)
         if low == 0 or more.isEmpty():
@@ -90,60 +94,77 @@ def thresholds(narrow: DataFrame, targets: DataFrame) -> DataFrame:
     # a budget that no bucket exceeds takes every document, an empty one none
     whole = F.when(F.col("rest") > 0, F.lit((1 << HASH_BITS) - 1)).otherwise(F.lit(-1))
     found = targets.join(known, "skey", "left").withColumn("threshold", F.coalesce("threshold", whole))
-    return stored(found.select("skey", "source_size", "target", "copies", "threshold"), "thresholds")
+    # where all rows of the edge are taken, or none, nothing has to be counted there
+    all_rows = F.coalesce(F.col("edge_rows") > 0, F.lit(False)) & ~F.coalesce("edge_shared", F.lit(False))
+    found = found.withColumn("threshold", F.when(all_rows, F.col("edge")).otherwise(F.col("threshold")))
+    edge = F.when(F.coalesce("edge_shared", F.lit(False)), F.col("edge")).otherwise(F.lit(-1))
+    return stored(found.select("skey", "source_size", "target", "copies", "threshold", edge.alias("edge"), F.coalesce("edge_rows", F.lit(0)).alias("edge_rows")), "thresholds")
 
 
 def _decide(docs: DataFrame, limits: DataFrame) -> DataFrame:
-    """Adds __taken_times and the limits to rows that have __skey and __h."""
-    salted = limits.select(*[F.col(c).alias(f"__{c}") for c in limits.columns])
-    salted = salted.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = docs.withColumn("__salt", F.pmod("__h", F.lit(SALTS)).cast("int")).join(salted, ["__skey", "__salt"])
-    once_more = (F.col("__h") <= F.col("__threshold")).cast("long")
-    return out.withColumn("__times", F.col("__copies") + once_more)
+    """Adds times, and the limits, to rows that have skey and h."""
+    salted = limits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = docs.withColumn("salt", F.pmod("h", F.lit(SALTS)).cast("int")).join(salted, ["skey", "salt"])
+    out = out.withColumn("times", F.col("copies") + (F.col("h") <= F.col("threshold")).cast("long"))
+    if limits.where("edge >= 0").isEmpty():
+        return out
+    at_edge = F.col("h") == F.col("edge")
+    plain, shared = out.where(~at_edge), out.where(at_edge)
+    # equal rows, maybe most of a source: they are numbered by partition, and partitions by running sums
+    shared = stored(shared.withColumn("number", F.monotonically_increasing_id()).withColumn("part", F.shiftright("number", 33)), "edge")
+    per = shared.groupBy("skey", "part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    per = per.select("skey", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    turn = F.row_number().over(Window.partitionBy("skey", "part").orderBy("number"))
+    shared = shared.withColumn("turn", turn).join(per, ["skey", "part"])
+    once_more = (F.col("before") + F.col("turn") <= F.col("edge_rows")).cast("long")
+    shared = shared.withColumn("times", F.col("copies") + once_more)
+    return plain.unionByName(shared.select(*plain.columns))
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"__skey": null_key(F.col("source")), "__h": hash60(F.col("doc_id"), F.col("text")), "__size": n_words(F.col("text"))})
+    """row, and skey, h and size of it."""
+    rows = whole_rows(docs)
+    text = F.col("row.text")
+    return rows.withColumns({"skey": null_key(F.col("row.source")), "h": hash60(F.col("row.doc_id"), text), "size": n_words(text)})
 
 
 def mix_plan(docs: DataFrame, weights=(1, 2, 3), cap: int = 3) -> tuple[DataFrame, DataFrame]:
     """The hashed narrow rows, stored, and each source's threshold."""
-    narrow = stored(_hashed(docs.select("doc_id", "text", "source")).select("doc_id", "source", "__skey", "__h", "__size"), "hashed")
-    plain = narrow.select(F.col("__skey").alias("skey"), "source", F.col("__size").alias("size"), F.col("__h").alias("h"))
-    targets = stored(source_targets(plain, weights, cap), "targets")
-    return narrow, thresholds(plain.select("skey", "size", "h"), targets)
+    narrow = _hashed(docs.select("doc_id", "text", "source")).select("row.doc_id", "row.source", "skey", "h", "size")
+    narrow = stored(narrow, "hashed")
+    targets = stored(source_targets(narrow.select("skey", "source", "size", "h"), weights, cap), "targets")
+    limits = thresholds(narrow.select("skey", "size", "h"), targets)
+    drop_stored(targets)
+    return narrow, limits
 
 
 def mix_sources(docs: DataFrame, weights=(1, 2, 3), cap: int = 3) -> DataFrame:
-    """One row a document: doc_id, size, source_size, target, taken.
+    """One row a document: doc_id, size, source_size, target, taken, source, times.
 
     Null and empty texts have size 0; null is a source of its own, the last.
-    Documents with equal doc_id and text share a hash and are taken together.
-    An empty table gives no rows. Other columns of ``docs`` are not looked at.
+    Rows that repeat doc_id and text are documents of their own: of those at a
+    source's edge as many are taken as its budget asks for. An empty table
+    gives no rows. Texts of any length are hashed and counted whole. Other
+    columns of ``docs``, whatever their names, are not looked at.
     """
     narrow, limits = mix_plan(docs, weights, cap)
-    return _decide(narrow, limits).select(
-        "doc_id",
-        F.col("__size").alias("size"),
-        F.col("__source_size").alias("source_size"),
-        F.col("__target").alias("target"),
-        (F.col("__size") * F.col("__times")).alias("taken"),
-        F.col("source"),
-        F.col("__times").alias("times"),
-    )
+    out = _decide(narrow, limits)
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"), "source", "times")
 
 
 def mixed_documents(docs: DataFrame, weights=(1, 2, 3), cap: int = 3) -> DataFrame:
-    """The mix itself: rows of ``docs`` with all columns, repeated as often as taken.
+    """The mix itself: rows of ``docs`` with all columns, whatever their names, repeated as often as taken.
 
     Documents without words weigh nothing and are taken ``copies`` times or more
     like the others of their source; those of sources without any words stay once.
     """
-    _, limits = mix_plan(docs, weights, cap)
+    narrow, limits = mix_plan(docs, weights, cap)
+    drop_stored(narrow)
     out = _decide(_hashed(docs), limits)
-    times = F.when(F.col("__source_size") == 0, F.lit(1)).otherwise(F.col("__times")).cast("int")
-    out = out.where(times > 0).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), times)))
-    return out.select(*[F.col(c) for c in docs.columns])
+    times = F.when(F.col("source_size") == 0, F.lit(1)).otherwise(F.col("times")).cast("int")
+    out = out.where(times > 0).select("row", F.explode(F.array_repeat(F.lit(0), times)))
+    return out.select("row.*")
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,14 +187,13 @@ s4 AS (SELECT *, CASE WHEN filled THEN most ELSE w * (SELECT arg_min(lvl, most /
 s5 AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS q FROM s4),
 c AS (SELECT d.*, s5.source_size, s5.target, s5.q, s5.target - s5.q * s5.source_size AS rest,
     CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h) AS BIGINT) AS upto,
-    CAST(sum(size) OVER (PARTITION BY d.source, h) AS BIGINT) AS own
+    CAST(sum(size) OVER (PARTITION BY d.source, h) AS BIGINT) AS own,
+    count(*) OVER (PARTITION BY d.source, h) AS same, row_number() OVER (PARTITION BY d.source, h) AS turn
   FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source),
 e AS (SELECT source, min(h) AS h FROM c WHERE upto > rest GROUP BY source),
-t AS (SELECT c.*, e.h AS eh FROM c LEFT JOIN e ON c.source IS NOT DISTINCT FROM e.source)
-SELECT doc_id, size, source_size, target,
-  size * (q + CASE WHEN eh IS NULL THEN CASE WHEN rest > 0 THEN 1 ELSE 0 END
-    WHEN h < eh OR (h = eh AND upto - rest < rest - (upto - own)) THEN 1 ELSE 0 END) AS taken,
-  q + CASE WHEN eh IS NULL THEN CASE WHEN rest > 0 THEN 1 ELSE 0 END
-    WHEN h < eh OR (h = eh AND upto - rest < rest - (upto - own)) THEN 1 ELSE 0 END AS times
-FROM t
+t AS (SELECT c.*, e.h AS eh, own / same AS one, rest - (upto - own) AS under FROM c LEFT JOIN e ON c.source IS NOT DISTINCT FROM e.source),
+u AS (SELECT *, CASE WHEN h = eh THEN floor(under / one) END AS k FROM t),
+x AS (SELECT *, q + CASE WHEN eh IS NULL THEN CASE WHEN rest > 0 THEN 1 ELSE 0 END WHEN h < eh THEN 1 WHEN h > eh THEN 0
+    WHEN turn <= k + CASE WHEN (k + 1) * one - under < under - k * one THEN 1 ELSE 0 END THEN 1 ELSE 0 END AS times FROM u)
+SELECT doc_id, size, source_size, target, size * times AS taken, times FROM x
 """
