@@ -22,10 +22,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import doc_key, drop_stored, n_words, stored, table
+from .common import drop_stored, let, n_words, stored, table, whole_rows
 
-#: Buckets of the two-step running sums.
-BUCKETS = 128
+#: Buckets of the two-step running sums, as bits: one row each meets in the first step, the rows of one in the second.
+BUCKET_BITS = 16
+BUCKETS = 1 << BUCKET_BITS
 
 
 def _smaller(groups: DataFrame, within: list[str], order: str, bucket: Column) -> DataFrame:
@@ -51,7 +52,7 @@ def _first_ranks(docs: DataFrame) -> DataFrame:
     # rows that repeat a document are the same document: its lines are counted once
     ids = lines.groupBy("lid").agg(F.count("*").alias("n")).where("n > 1")
     ids = ids.withColumn("all", F.lit(0))
-    ranked = stored(_smaller(ids, ["all"], "lid", F.shiftright("lid", 57)).select("lid", F.col("smaller").alias("rank")), "ids")
+    ranked = stored(_smaller(ids, ["all"], "lid", F.shiftright("lid", 64 - BUCKET_BITS)).select("lid", F.col("smaller").alias("rank")), "ids")
     return lines.join(ranked, "lid").select("doc_id", "th", "pos", "w", "rank").distinct()
 
 
@@ -120,59 +121,75 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         both = stored(both.select("rank", "tail", "n_lines", at.alias("at")), "members")
         firsts = stored(both.groupBy("rank", "tail", "n_lines").agg(F.min("at").alias("first")), "intervals")
         copies = both.join(firsts, ["rank", "tail", "n_lines"]).where(F.col("at") != F.col("first"))
-        copies = copies.select("at.doc_id", "at.th", F.explode(F.sequence(F.col("at.pos"), F.col("at.pos") + F.col("n_lines") - 1)).alias("pos"))
-        later = copies if later is None else later.unionByName(copies)
+        copies = stored(copies.select("at.doc_id", "at.th", F.col("at.pos").alias("pos"), "n_lines"), "copies")
+        drop_stored(both, firsts)
+        covered = copies.select("doc_id", "th", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n_lines") - 1)).alias("pos"))
+        later = covered if later is None else later.unionByName(covered)
         if 2 * h > longest:
             break
-        ranks, h = _deeper(ranks, h, total), 2 * h
-    if later is None:
-        return rows.select("doc_id", "th", "pos").limit(0)
-    return later.distinct()
+        deeper = _deeper(ranks, h, total)
+        drop_stored(ranks)
+        ranks, h = deeper, 2 * h
+    later = stored((rows.select("doc_id", "th", "pos").limit(0) if later is None else later).distinct(), "later")
+    drop_stored(rows, windows, ranks)
+    return later
+
+
+def _deduped(docs: DataFrame, min_words: int) -> DataFrame:
+    """row, kept (the text left), n_lines, removed and empty of every row of ``docs``."""
+    gone = repeated_lines(docs.select("doc_id", "text"), min_words)
+    gone = gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
+    gone = stored(gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), "removed"), "removed")
+    text = F.col("row.text")
+    rows = whole_rows(docs).withColumn("th", F.xxhash64("row.text"))
+    # few or many lines may go: texts are joined in the same way at every size
+    rows = rows.join(gone.hint("merge"), F.col("row.doc_id").eqNullSafe(F.col("gone_id")) & (F.col("th") == F.col("gone_th")), "left")
 
+    def without(parts: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("removed"))
+        return F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n")
+
+    kept = F.when(F.col("removed").isNull(), text).otherwise(let(F.split(text, "\n", -1), without))
+    n_lines = F.coalesce(F.regexp_count(text, F.lit("\n")) + 1, F.lit(0)).cast("long")
+    out = rows.select("row", kept.alias("kept"), n_lines.alias("n_lines"), "removed")
+    return out.withColumn("empty", F.col("removed").isNotNull() & (n_words(F.col("kept")) == 0))
 
-def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """``docs`` with later copies of repeated line runs deleted from text.
 
-    Adds __n_lines, __removed (line numbers from 0, ascending) and __empty:
-    deletion left no word. Null text stays null and has no lines; an empty
-    text has one empty line. Rows that repeat doc_id and text are one
-    document and get the same result. The first copy in order of doc_id
-    (null first), then of text hash and line, stays. Other columns stay.
+def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """doc_id, text with later copies of repeated line runs deleted, n_lines, removed, empty.
+
+    ``removed`` are line numbers from 0, ascending, null where nothing went;
+    ``empty`` says that deletion left no word. Null text stays null and has no
+    lines; an empty text has one empty line. Rows that repeat doc_id and text
+    are one document and get the same result. The first copy in order of
+    doc_id (null first), then of text hash and line, stays. An empty table
+    gives no rows. A text is split whole, in memory in proportion to it. Other
+    columns, whatever their names, are not looked at.
     """
-    gone = repeated_lines(docs, min_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("pos")).alias("__removed"))
-    gone = stored(gone.withColumnsRenamed({"doc_id": "__d", "th": "__t"}), "removed")
-    rows = docs.withColumn("__th", F.xxhash64("text"))
-    # few or many lines may go: texts are joined in the same way at every size
-    gone = gone.hint("merge")
-    rows = rows.join(gone, rows["doc_id"].eqNullSafe(gone["__d"]) & (rows["__th"] == gone["__t"]), "left")
-    parts = F.split("text", "\n", -1)
-    left = F.array_join(F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("__removed", s["i"])).getField("x"), "\n")
-    kept = F.when(F.col("__removed").isNull(), F.col("text")).otherwise(left)
-    out = rows.withColumn("__n_lines", F.coalesce(F.when(F.col("text").isNotNull(), F.size(parts)), F.lit(0)).cast("long"))
-    out = out.withColumn("text", kept)
-    empty = F.col("__removed").isNotNull() & (n_words(F.col("text")) == 0)
-    return out.withColumn("__empty", empty).select(*docs.columns, "__n_lines", "__removed", "__empty")
+    return _deduped(docs, min_words).select("row.doc_id", F.col("kept").alias("text"), "n_lines", "removed", "empty")
 
 
 def deduped_documents(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """The columns of ``docs``; documents that deletion left without a word go.
+    """The columns of ``docs``, whatever their names; documents that deletion left without a word go.
 
     Where there is a column n_chars it is set to the new length.
     """
-    out = dedup_lines(docs, min_words).where("not __empty")
-    if "n_chars" in docs.columns:
-        changed = F.col("__removed").isNotNull()
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = _deduped(docs, min_words).where("not empty")
+    new = {c: F.col(f"row.`{c}`").alias(c) for c in docs.columns}
+    new["text"] = F.col("kept").alias("text")
+    if "n_chars" in new:
+        length = F.char_length("kept").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("removed").isNotNull(), length).otherwise(F.col("row.n_chars")).alias("n_chars")
+    return out.select(*new.values())
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select(
         "doc_id",
-        F.col("__n_lines").alias("n_lines"),
-        F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce(F.array_join(F.col("__removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
+        "n_lines",
+        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed_lines"),
         F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"),
     )
 
