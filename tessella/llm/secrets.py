@@ -4,8 +4,9 @@ Candidates are found by patterns. Offsets come from splitting a text by the
 same pattern: piece and match lengths alternate, so running sums give every
 start. Hashes of the candidates' values are then counted over the corpus by
 distinct repositories (documents) and owners (sources): values that several
-owners hold are copied examples, values of one owner look live. Beside the
-base kinds, long mixed tokens are added as spans when one owner alone has them.
+owners or many repositories hold are copied examples, values in few
+repositories of one owner look live. Beside the base kinds, long mixed tokens
+are added as spans where they look live.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, stored, table
+from .common import doc_key, let, stored, table
 
 ASSIGN = (
     r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])"
@@ -24,8 +25,8 @@ BASE = {"assign": (ASSIGN, 2, 6), "access": (r"AKIA[A-Z0-9]+", 0, 20), "hex": (r
 #: What the scan itself adds: long tokens that mix letters and digits.
 ADDED = {"mixed": (r"[A-Za-z0-9_-]{32,}", 0, 32)}
 KINDS = [*BASE, *ADDED]
-#: A value that this many owners hold is a copied example.
-COPIED_OWNERS = 3
+#: A value that so many owners, or so many repositories, hold is a copied example.
+COPIED_OWNERS, COPIED_REPOS = 3, 20
 
 #: A run of hex digits counts from 24 on; asking for that at once skips short runs and finds the same runs.
 SEARCHED = {"hex": r"[0-9a-f]{24,}"}
@@ -38,8 +39,21 @@ def _spans(text: Column, kind: str) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     shape = "array<struct<kind:string,ord:int,b:int,e:int,value:string>>"
     none = F.array().cast(shape)
+    zero = F.lit(0)
+
+    def placed(pairs: Column) -> Column:
+        """Running sums in two steps of about the root of the number of hits each: arrays grow by copying."""
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(pairs)))).cast("int")
+
+        def chunk(k: Column) -> Column:
+            return F.slice(pairs, k * size + 1, size)
+
+        def lengths(k: Column) -> Column:
+            return F.aggregate(chunk(k), zero, lambda n, m: n + F.char_length(m["piece"]) + F.char_length(m["hit"]))
+
+        def begin(acc: Column, n: Column) -> Column:
+            return F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
 
-    def placed(x: Column) -> Column:
         def step(acc: Column, m: Column) -> Column:
             b = acc["at"] + F.char_length(m["piece"])
             e = b + F.char_length(m["hit"])
@@ -47,12 +61,13 @@ def _spans(text: Column, kind: str) -> Column:
             span = F.struct(F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("ord"), b.alias("b"), e.alias("e"), value.alias("value"))
             return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-        pairs = F.arrays_zip(F.slice(x["pieces"], 1, F.size(x["hits"])).alias("piece"), x["hits"].alias("hit"))
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+        chunks = F.sequence(zero, F.ceil(F.size(pairs) / size).cast("int") - 1)
+        starts = F.aggregate(F.transform(chunks, lengths), F.struct(zero.alias("at"), F.array().cast("array<int>").alias("out")), begin, lambda acc: acc["out"])
+        in_chunk = lambda k, at: F.aggregate(chunk(k), F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(chunks, starts, in_chunk))
 
-    parts = F.struct(F.split(text, pattern, -1).alias("pieces"), found.alias("hits"))
-    spans = F.when(F.size(found) > 0, F.get(F.transform(F.array(parts), placed), F.lit(0))).otherwise(none)
+    pairs = let(F.split(text, pattern, -1), lambda pieces: let(found, lambda hits: F.arrays_zip(F.slice(pieces, 1, F.size(hits)).alias("piece"), hits.alias("hit"))))
+    spans = F.when(F.size(found) > 0, let(pairs, placed)).otherwise(none)
     return F.filter(F.coalesce(spans, none), lambda s: F.char_length(s["value"]) >= least)
 
 
@@ -93,28 +108,33 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
-    """One row a document: its spans, which of them look live, which are copied.
+    """One row a document: its spans, how many look live or copied, and in how many repositories its widest value is.
 
     Null text counts as empty and has no spans. Documents with equal doc_id
     and text are one repository; each of their rows is returned. Offsets are
-    code points, the end exclusive. Null sources are one owner.
+    code points, the end exclusive. Null sources are one owner. An empty table
+    gives no rows. A text is scanned whole, in time about the number of hits
+    to the power 1.5. Other columns, whatever their names, are not looked at.
     """
     found = find_candidates(docs)
     owned = stored(ownership(found), "owned")
     spans = found.select("__key", F.explode(F.concat("base", "added")).alias("s")).distinct().withColumn("value_hash", F.sha2("s.value", 256))
-    judged = spans.join(owned, "value_hash")
-    live = F.col("n_owners") == 1
+    # one row a value: its spans may be any share of all, and such a join can be split
+    judged = spans.join(owned.hint("merge"), "value_hash")
+    copied = (F.col("n_owners") >= COPIED_OWNERS) | (F.col("n_repos") >= COPIED_REPOS)
+    live = (F.col("n_owners") == 1) & ~copied
     kept = judged.where(live | (F.col("s.ord") < len(BASE)))
     by_doc = kept.groupBy("__key").agg(
         F.collect_list("s").alias("all_spans"),
         F.count_if(live).alias("n_live"),
-        F.count_if(F.col("n_owners") >= COPIED_OWNERS).alias("n_copied"),
+        F.count_if(copied).alias("n_copied"),
+        F.max("n_repos").alias("most_repos"),
     )
     rows = found.withColumnRenamed("doc_id", "__doc_id")
     with_spans = rows.where(F.size(F.concat("base", "added")) > 0).join(by_doc, "__key", "left")
     none = F.array().cast(found.schema["base"].dataType)
     bare = rows.where(F.size(F.concat("base", "added")) == 0)
-    bare = bare.withColumns({"all_spans": none, "n_live": F.lit(0).cast("long"), "n_copied": F.lit(0).cast("long")})
+    bare = bare.withColumns({"all_spans": none, **{c: F.lit(0).cast("long") for c in ("n_live", "n_copied", "most_repos")}})
     out = with_spans.unionByName(bare)
     spans_of = F.coalesce("all_spans", none)
 
@@ -128,6 +148,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         _joined(spans_of).alias("spans"),
         F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).cast("long").alias("n_copied"),
+        F.coalesce("most_repos", F.lit(0)).cast("long").alias("most_repos"),
     )
 
 
@@ -154,18 +175,19 @@ base AS (SELECT * FROM s WHERE ord < {len(BASE)}),
 added AS (SELECT * FROM s WHERE ord >= {len(BASE)} AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]')
   AND NOT EXISTS (SELECT 1 FROM base t WHERE t.k = s.k AND t.b < s.e AND s.b < t.e)),
 c AS (SELECT * FROM base UNION ALL SELECT * FROM added),
-own AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS n_owners FROM c JOIN d USING (k) GROUP BY value),
-j AS (SELECT c.*, n_owners FROM c JOIN own USING (value)),
+own AS (SELECT value, count(DISTINCT coalesce(source, chr(1))) AS n_owners,
+    count(DISTINCT coalesce(source, chr(1)) || ':' || coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || md5(text)) AS n_repos FROM c JOIN d USING (k) GROUP BY value),
+j AS (SELECT c.*, n_repos, n_owners >= {COPIED_OWNERS} OR n_repos >= {COPIED_REPOS} AS copied, n_owners = 1 AND n_repos < {COPIED_REPOS} AS live FROM c JOIN own USING (value)),
 a AS (SELECT k,
     coalesce(string_agg(kind || ':' || CAST(CAST(b AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY b, ord) FILTER (ord < {len(BASE)}), '') AS base_spans,
-    string_agg(kind || ':' || CAST(CAST(b AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY b, ord) FILTER (ord < {len(BASE)} OR n_owners = 1) AS spans,
+    string_agg(kind || ':' || CAST(CAST(b AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(e AS BIGINT) AS VARCHAR), ',' ORDER BY b, ord) FILTER (ord < {len(BASE)} OR live) AS spans,
     count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
-    count(*) FILTER (n_owners = 1) AS n_live,
-    count(*) FILTER (n_owners >= {COPIED_OWNERS} AND ord < {len(BASE)}) AS n_copied
+    count(*) FILTER (live) AS n_live, count(*) FILTER (copied AND ord < {len(BASE)}) AS n_copied,
+    coalesce(max(n_repos) FILTER (ord < {len(BASE)} OR live), 0) AS most_repos
   FROM j GROUP BY k)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
   sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans,
-  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_repos, 0) AS most_repos
 FROM d LEFT JOIN a USING (k)
 """
 
