@@ -1,25 +1,29 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source is a queue of its documents' tokens. Windows of
-``window_tokens`` tokens are filled to target proportions, which are the
-sources' shares of all tokens, so that all queues drain together. In each
-window a source's deficit grows by its exact share of the window, it sends the
-whole tokens of that, and the fraction is carried on. So up to window w a
-queue has sent floor(total * w / windows) tokens: the deficits have a closed
-form at every window, and a task carries on where another partition ends
-without waiting for it. Windows follow each other without a gap and sequences
-are cut from them; only the last one is not full.
+``window_tokens`` tokens are filled to target proportions: those asked for, or
+the sources' shares of all tokens, by which all queues drain together. In each
+window a queue's deficit grows by its exact share of the window, it sends the
+whole tokens of that, and the fraction is carried on. A queue that runs dry
+leaves its share to the others, by their proportions, from that very token on.
+So what a queue has sent up to a window has a closed form, piecewise linear
+between the points at which queues run dry: a task carries on where another
+partition ends without waiting for it. Windows follow each other without a gap
+and sequences are cut from them; only the last one is not full.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
+from fractions import Fraction
 from functools import lru_cache
+from math import lcm
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import null_key, stored, table
@@ -27,8 +31,8 @@ from .common import null_key, stored, table
 SEQUENCE = 1024
 WINDOW = 64 * SEQUENCE
 END_ID = 0
-#: One total a source goes to every task; above this many the call is refused.
-MAX_SOURCES = 100_000
+#: Queues at most, beside those of sources with a proportion of their own: where there are more sources they share queues by hash.
+QUEUES = 1024
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -109,52 +113,99 @@ def tokenized(docs: DataFrame, json_path: str, ranks_path: str | None) -> DataFr
     return stored(rows, "tokens")
 
 
-def queue_offsets(tokens: DataFrame) -> tuple[DataFrame, list]:
-    """(skey, part, offset): tokens of the source in earlier partitions; and [(skey, total)] in order."""
-    from pyspark.sql import Window
+def queue_offsets(tokens: DataFrame, named: list[str]) -> tuple[DataFrame, list]:
+    """(skey, part, queue, offset): tokens of the queue before; and [(queue, total)] in order, ``QUEUES`` + ``named`` at most.
 
-    per = tokens.groupBy("skey", "part").agg(F.sum("doc_tokens").alias("n"))
-    before = Window.partitionBy("skey").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    per = stored(per.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))), "offsets")
-    totals = per.groupBy("skey").agg(F.sum("n").alias("total")).orderBy("skey").limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return per.drop("n"), [(r["skey"], r["total"]) for r in totals]
-
-
-def _sent(total, w, windows: int):
-    """floor(total * w / windows) without overflow."""
-    whole, rest = divmod(total, windows)
-    return whole * w + (rest * w) // windows
-
-
-def place(start: np.ndarray, source: np.ndarray, length: np.ndarray, totals: np.ndarray, windows: int, sequence: int):
-    """Cuts queue ranges [start, start+length) of ``source`` at window and sequence ends.
+    A queue is in order of partition, then of source.
+    """
+    per = stored(tokens.groupBy("skey", "part").agg(F.sum("doc_tokens").alias("n")), "per")
+    few = per.select("skey").distinct().count() <= QUEUES
+    shared = F.concat(F.lit("#"), F.pmod(F.xxhash64("skey"), F.lit(QUEUES)).cast("string"))
+    queue = F.col("skey") if few else F.when(F.col("skey").isin(named), F.col("skey")).otherwise(shared)
+    before = Window.partitionBy("queue").orderBy("part", "skey").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("queue", queue).withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    per = stored(per, "offsets")
+    totals = per.groupBy("queue").agg(F.sum("n").alias("total")).orderBy("queue").collect()
+    return per.drop("n"), [(r["queue"], r["total"]) for r in totals]
+
+
+class Schedule:
+    """What each queue has sent by each window, exactly: queues weigh whole numbers."""
+
+    def __init__(self, totals: list[int], weights: list[int], window: int):
+        self.totals, self.weights, self.window, self.total = totals, weights, window, sum(totals)
+        self.windows = max(1, -(-self.total // window))
+        #: By turns in which queues run dry: tokens sent by then, tokens of queues dry before, weight of the others.
+        self.ends, self.dry, self.active, self.times = [], [], [], []
+        gone, weight = 0, sum(weights)
+        for s in sorted(range(len(totals)), key=lambda s: (Fraction(totals[s], weights[s]), s)):
+            time = Fraction(totals[s], weights[s])
+            self.ends.append(gone + time * weight)
+            self.dry.append(gone)
+            self.active.append(weight)
+            self.times.append(float(time))
+            gone, weight = gone + totals[s], weight - weights[s]
+        self._known: dict[int, np.ndarray] = {}
+        self._begin: dict[int, np.ndarray] = {}
+
+    def sent(self, w: int) -> np.ndarray:
+        """Tokens that each queue has sent before window ``w``."""
+        if w not in self._known:
+            if len(self._known) > 512:
+                self._known.clear()
+                self._begin.clear()
+            if w >= self.windows:
+                now = self.totals
+            else:
+                turn = bisect_left(self.ends, w * self.window)
+                part, of = w * self.window - self.dry[turn], self.active[turn]
+                now = [min(t, p * part // of) for t, p in zip(self.totals, self.weights)]
+            self._known[w] = np.array(now, dtype=np.int64)
+        return self._known[w]
+
+    def begin(self, w: int) -> np.ndarray:
+        """Where each queue's part of window ``w`` begins in the whole output."""
+        if w not in self._begin:
+            low = self.sent(w)
+            size = self.sent(w + 1) - low
+            self._begin[w] = low.sum() + np.cumsum(size) - size
+        return self._begin[w]
+
+    def window_of(self, s: int, at: int) -> int:
+        """The window in which queue ``s`` sends its token number ``at``."""
+        time = at / self.weights[s]
+        turn = min(bisect_left(self.times, time), len(self.times) - 1)
+        w = int((self.dry[turn] + time * self.active[turn]) // self.window)
+        w = max(0, min(w, self.windows - 1))
+        while w and self.sent(w)[s] > at:
+            w -= 1
+        while self.sent(w + 1)[s] <= at:
+            w += 1
+        return w
+
+
+def whole_weights(weights: list) -> list[int]:
+    """The same proportions in whole numbers."""
+    exact = [Fraction(str(w)) for w in weights]
+    if any(w <= 0 for w in exact):
+        raise ValueError("proportions must be above 0")
+    scale = lcm(*[w.denominator for w in exact])
+    return [int(w * scale) for w in exact]
+
+
+def place(start, queue, length, schedule: Schedule, sequence: int):
+    """Cuts queue ranges [start, start+length) at window and sequence ends.
 
     Returns (row, begin in the row, length, position in the whole output).
     """
     rows, begins, sizes, places = [], [], [], []
-    known: dict[int, tuple] = {}
-
-    def starts(w: int) -> tuple:
-        """Tokens each queue has sent before window w, and where each queue's part of w begins."""
-        if w not in known:
-            if len(known) > 4096:
-                known.clear()
-            low = _sent(totals, w, windows)
-            part = _sent(totals, w + 1, windows) - low
-            known[w] = low, int(low.sum()) + np.cumsum(part) - part
-        return known[w]
-
-    for r, (c, s, n) in enumerate(zip(start.tolist(), source.tolist(), length.tolist())):
-        total, end, at = int(totals[s]), c + n, c
-        w = min(windows - 1, at * windows // total)
+    for r, (c, s, n) in enumerate(zip(start, queue, length)):
+        end, at, w = c + n, c, schedule.window_of(s, c)
         while at < end:
-            while _sent(total, w + 1, windows) <= at:
+            while schedule.sent(w + 1)[s] <= at:
                 w += 1
-            stop = min(end, _sent(total, w + 1, windows))
-            low, begin = starts(w)
-            base = int(begin[s]) + at - int(low[s])
+            stop = min(end, int(schedule.sent(w + 1)[s]))
+            base = int(schedule.begin(w)[s]) + at - int(schedule.sent(w)[s])
             while at < stop:
                 size = min(stop - at, sequence - base % sequence)
                 rows.append(r)
@@ -168,31 +219,39 @@ def place(start: np.ndarray, source: np.ndarray, length: np.ndarray, totals: np.
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None, sequence: int = SEQUENCE, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None = None, sequence: int = SEQUENCE, window: int = WINDOW, proportions: dict | None = None) -> DataFrame:
     """One row a piece: where which ids of a document stand.
 
+    ``proportions`` are the sources' target shares of each window, in any
+    unit; sources without one share queues like the others and weigh 1 a queue.
+    Without any, the targets are the sources' shares of all tokens. Every
+    document is packed: once a queue is dry the others fill its place.
+
     Null text counts as empty: such a document is its end id alone. Null is a
     source of its own. Rows that repeat a doc_id are documents of their own
     and each is packed. An empty table gives no rows. Every sequence but the
-    last is full; the last is padded by its reader. Other columns are ignored.
+    last is full; the last is padded by its reader. A text is encoded whole,
+    in memory in proportion to it. Other columns, whatever their names, are
+    not looked at.
     """
     if json_path is None:
         json_path, ranks_path = default_vocabulary()
     tokens = tokenized(docs, json_path, ranks_path)
-    offsets, sources = queue_offsets(tokens)
-    if not sources:
+    asked = {"" if k is None else f"={k}": w for k, w in (proportions or {}).items()}
+    offsets, queues = queue_offsets(tokens, list(asked))
+    if not queues:
         return docs.sparkSession.createDataFrame([], OUT)
-    totals = np.array([t for _, t in sources], dtype=np.int64)
-    index = {k: i for i, (k, _) in enumerate(sources)}
-    windows = max(1, -(-int(totals.sum()) // window))
+    totals = [t for _, t in queues]
+    weights = whole_weights([asked.get(k, 1) for k, _ in queues]) if asked else totals
+    index = {k: i for i, (k, _) in enumerate(queues)}
 
     def run(batches):
+        schedule = Schedule(totals, weights, window)
         for b in batches:
             if not len(b):
                 continue
-            which = np.array([index[k] for k in b["skey"]], dtype=np.int64)
             start, length = (b["before"] + b["offset"]).to_numpy(), b["doc_tokens"].to_numpy()
-            rows, begins, sizes, places = place(start, which, length, totals, windows, sequence)
+            rows, begins, sizes, places = place(start.tolist(), [index[k] for k in b["queue"]], length.tolist(), schedule, sequence)
             rows = np.array(rows)
             blobs = [np.frombuffer(x, dtype="<u2" if len(x) == 2 * n else "<u4") for x, n in zip(b["ids"], length)]
             crcs = [zlib.crc32(blobs[r][p : p + n].astype("<u4").tobytes()) for r, p, n in zip(rows, begins, sizes)]
@@ -211,7 +270,7 @@ def pack(docs: DataFrame, json_path: str | None = None, ranks_path: str | None =
                 }
             )
 
-    return tokens.join(offsets, ["skey", "part"]).select("doc_id", "skey", "before", "offset", "doc_tokens", "ids").mapInPandas(run, OUT)
+    return tokens.join(offsets, ["skey", "part"]).select("doc_id", "skey", "queue", "before", "offset", "doc_tokens", "ids").mapInPandas(run, OUT)
 
 
 def op10_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
