@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, stored, table
+from .common import delete, delete_at_end, new_path, stored, table
 
 VERSION = b"WARC/1.1\r\n"
 VERSION_START = b"WARC/1."
@@ -53,7 +53,9 @@ def plan_records(pages: DataFrame) -> DataFrame:
     Null html is an empty payload. Of equal payloads the one with the largest
     page_id is the response and the others revisit it. Rows that repeat that
     page_id are responses too; null page_ids revisit like smaller ones, and
-    are responses only where every page_id of the group is null.
+    are responses only where every page_id of the group is null. An empty table
+    gives no records. A page's record is built and read whole. Columns but
+    page_id, url and html, whatever their names, are not looked at.
     """
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html).alias("payload_digest"))
@@ -209,6 +211,16 @@ def salvage(data: bytes):
     a damaged gzip member holds before its damage are given an empty range.
     """
     at, bad, reason = 0, None, ""
+    marks = {VERSION_START: -1, GZIP_START: -1}
+
+    def next_mark(after: int) -> int:
+        """Each mark is searched for from where it was last found, so all searches together pass the archive once."""
+        for mark, place in marks.items():
+            if place < after:
+                found = data.find(mark, after)
+                marks[mark] = found if found >= 0 else len(data)
+        return min(marks.values())
+
     while at < len(data):
         hit = None
         if data.startswith(GZIP_START, at):
@@ -241,20 +253,22 @@ def salvage(data: bytes):
             continue
         if bad is None:
             bad, reason = at, failed
-        marks = [x for x in (data.find(VERSION_START, at + 1), data.find(GZIP_START, at + 1)) if x >= 0]
-        at = min(marks, default=len(data))
+        at = next_mark(at + 1)
     if bad is not None:
         yield ("gap", bad, len(data), None, None, reason)
 
 
 READ_SCHEMA = (
-    "path string, kind string, start long, end long, reason string, record_id string, record_type string,"
-    " refers_to string, target_uri string, payload_digest string, payload_length long, block binary"
+    "path string, kind string, start long, end long, reason string, record_id string, record_type string, refers_to string,"
+    " target_uri string, payload_digest string, payload_length long, block_bytes long, block_sha1 string, block binary"
 )
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of every record and every quarantined gap of the archives under ``path``."""
+def read_archives(spark: SparkSession, path: str, blocks: bool = True) -> DataFrame:
+    """Rows of every record and every quarantined gap of the archives under ``path``.
+
+    Without ``blocks`` a block's length and digest are given alone.
+    """
 
     def parse(batches):
         for batch in batches:
@@ -264,23 +278,36 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     f = f or {}
                     digest = f.get("warc-payload-digest", "").partition(":")[2] or None
                     length = f.get("x-payload-length", "")
-                    rows.append((where, kind, start, end, reason, f.get("warc-record-id"), f.get("warc-type"), f.get("warc-refers-to"), f.get("warc-target-uri"), digest, int(length) if length.isdigit() else None, block))
-                    held += len(block or b"")
+                    about = (len(block), _sha1(block)) if block is not None else (None, None)
+                    rows.append((
+                        where, kind, start, end, reason, f.get("warc-record-id"), f.get("warc-type"), f.get("warc-refers-to"), f.get("warc-target-uri"),
+                        digest, int(length) if length.isdigit() else None, *about, block if blocks else None,
+                    ))
+                    held += len(block or b"") if blocks else 0
                     if len(rows) >= 2000 or held >= SEND_BYTES:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield frame(rows)
                         rows, held = [], 0
-                yield pd.DataFrame(rows, columns=names)
+                yield frame(rows)
 
-    names = [x.split()[0] for x in READ_SCHEMA.split(",")]
-    # one archive a batch: its size bounds what a worker holds
+    def frame(rows):
+        f = pd.DataFrame(rows, columns=[x.split()[0] for x in READ_SCHEMA.split(",")])
+        return f.astype({"payload_length": "Int64", "block_bytes": "Int64"})
+
+    # a batch holds archives up to the bytes that Arrow batches are bounded by, one at least
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(parse, READ_SCHEMA)
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """What the archives say of each page; a response is measured from its block."""
-    r = read_archives(spark, path).where("kind = 'record'")
-    block = F.col("block")
+def read_pages(spark: SparkSession, path: str, gaps_path: str | None = None) -> DataFrame:
+    """What the archives say of each page; a response is measured from its block.
+
+    A page whose record is damaged has no row; the byte ranges that were
+    quarantined are written to ``gaps_path`` (path, start, end, reason).
+    """
+    found = stored(read_archives(spark, path, blocks=False).drop("block"), "records")
+    if gaps_path:
+        found.where("kind = 'gap'").select("path", "start", "end", "reason").write.parquet(gaps_path)
+    r = found.where("kind = 'record'")
     response = F.col("record_type") == "response"
 
     def page(name: str) -> Column:
@@ -291,8 +318,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
     return r.select(
         number("record_id").alias("page_id"),
-        F.when(response, F.octet_length(block)).otherwise(F.col("payload_length")).cast("long").alias("payload_bytes"),
-        F.when(response, base32_sha1(block)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.when(response, F.col("block_bytes")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(response, F.col("block_sha1")).otherwise(F.col("payload_digest")).alias("payload_digest"),
         "record_type",
         number("refers_to").alias("refers_to"),
     )
@@ -301,7 +328,11 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def op5_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_pages(spark, path)
+    delete_at_end(spark, path)
+    pages = read_pages(spark, path, f"{path}-gaps")
+    delete_at_end(spark, f"{path}-gaps")
+    delete(spark, path)
+    return pages
 
 
 OP5_SQL = """

@@ -3,7 +3,9 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -65,6 +67,11 @@ def test_mixing_reaches_targets_and_copies_rows(spark, docs, none):
     for _, g in got.groupby("source", dropna=False):
         assert abs(g["taken"].sum() - g["target"].iloc[0]) <= g["size"].max()
         assert g["target"].iloc[0] <= 3 * g["source_size"].iloc[0]
+    same = spark.createDataFrame([(1, "w w w", "a")] * 700 + [(2, "w", "a")] * 40 + [(i, "w w", "b") for i in range(900)], "doc_id long, text string, source string").repartition(7)
+    rows = mixing.mix_sources(same).toPandas()
+    for _, g in rows.groupby("source"):
+        assert abs(g["taken"].sum() - g["target"].iloc[0]) <= 3
+    assert mixing.mixed_documents(same).count() == rows["times"].sum()
     assert mixing.mix_sources(none).count() == 0
     rows = mixing.mixed_documents(docs)
     assert rows.columns == docs.columns
@@ -93,7 +100,7 @@ def _brute_groups(rows):
     return sorted(((r[0], len(s), ids.get(c)) for r, s, c in zip(rows, sets, label)), key=str)
 
 
-def test_jaccard_equals_brute_force(spark, docs, none):
+def test_jaccard_equals_brute_force(spark, docs, none, monkeypatch):
     r = random.Random(1)
     rows = list(ROWS)
     for i in range(60):
@@ -103,6 +110,15 @@ def test_jaccard_equals_brute_force(spark, docs, none):
         rows.append((100 + i, " ".join(w), "a", "x", i))
     got = ngram_join.jaccard_groups(spark.createDataFrame(rows, DOCS))
     assert sorted(map(tuple, got.collect()), key=str) == _brute_groups(rows)
+    # null and repeated ids, texts of their own each, and many sets that share a passage
+    for i in range(500):
+        w = [*BASE[:30], *[r.choice(WORDS) for _ in range(r.randint(0, 12))]]
+        rows.append((None if i % 2 else 7000 + i % 9, " ".join(w), "a", "x", i))
+    rows += [(None, "the same five words here", "b", "y", 1)] * 40
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 64)
+    monkeypatch.setattr(ngram_join, "FLUSH_ENTRIES", 700)
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, DOCS).repartition(8))
+    assert sorted(map(tuple, got.collect()), key=str) == _brute_groups(rows)
     assert ngram_join.jaccard_groups(none).count() == 0
     kept = [x["doc_id"] for x in ngram_join.distinct_documents(docs).collect()]
     assert 1 in kept and not {2, 3, 4, 8} & set(kept) and {5, 6, 7, 9, None} <= set(kept)
@@ -122,8 +138,8 @@ def test_one_row_of_each_component_stays(spark):
 
 def test_line_dedup_removes_later_runs_alone(spark, docs, none):
     got = {r["doc_id"]: r for r in lines.dedup_lines(docs).collect()}
-    assert got[10]["text"] == ROWS[10][1] and got[11]["text"] == "other\nend" and got[11]["__removed"] == [1, 2, 3, 4]
-    assert got[4]["__empty"] and got[1]["text"] == ROWS[0][1] and got[7]["text"] == "one two"
+    assert got[10]["text"] == ROWS[10][1] and got[11]["text"] == "other\nend" and got[11]["removed"] == [1, 2, 3, 4]
+    assert got[4]["empty"] and got[1]["text"] == ROWS[0][1] and got[7]["text"] == "one two"
     assert got[5]["text"] is None and got[6]["text"] == "" and got[9]["text"] == LONG
     assert lines.dedup_lines(none).count() == 0 and lines.deduped_documents(docs).columns == docs.columns
     assert 4 not in [r["doc_id"] for r in lines.deduped_documents(docs).collect()]
@@ -210,6 +226,28 @@ def test_warc_salvages_damaged_archives_of_the_writer(spark, tmp_path, monkeypat
     assert len(sizes) > 3 and max(sizes) < 25_000 and warc.read_pages(spark, str(tmp_path / "s")).count() == 300
 
 
+def test_damaged_records_alone_are_lost_and_logged(spark, tmp_path):
+    rows = [(i, "u", f"page {i} " + "text " * (i % 40)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"), compression="none")
+    (tmp_path / "d").mkdir()
+    for k, data in enumerate(_archives(tmp_path / "w")):
+        for i in (3, 50, 51, 199):
+            data = data.replace(f"page {i} ".encode(), f"Page {i} ".encode())
+        (tmp_path / "d" / str(k)).write_bytes(data)
+    got = warc.read_pages(spark, str(tmp_path / "d"), str(tmp_path / "gaps"))
+    assert {r["page_id"] for r in got.collect()} == set(range(200)) - {3, 50, 51, 199}
+    gaps = spark.read.parquet(str(tmp_path / "gaps")).collect()
+    assert gaps and all(g["reason"] == "digest" and g["end"] > g["start"] for g in gaps)
+
+
+def test_salvage_is_linear():
+    bad = b"".join(b"WARC/1.1\r\nWARC-Block-Digest: sha1:X\r\nContent-Length: 2000\r\n\r\n" + b"x" * 2000 + b"\r\n\r\n" for _ in range(4000))
+    began = time.time()
+    found = list(warc.salvage(bad))
+    assert [x[0] for x in found] == ["gap"] and found[0][2] == len(bad) and time.time() - began < 2
+
+
 def test_damaged_member_gives_all_before_the_damage():
     def record(body):
         return b"WARC/1.1\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
@@ -358,10 +396,51 @@ def test_packing_round_trip(docs, none):
     assert got["length"].sum() == sum(len(packing.encode(r[1] or "", a, b)) + 1 for r in ROWS)
 
 
-def test_windows_hold_each_source_in_proportion():
-    totals = np.array([7000, 2000, 1000])
-    sent = np.stack([packing._sent(totals, w, 10) for w in range(11)])
-    assert (np.diff(sent, axis=0) == totals // 10).all() and (sent[-1] == totals).all()
+def _fluid(totals, weights, upto):
+    """Tokens sent by each queue when ``upto`` are out, by stepping from one dry queue to the next."""
+    left, sent, out = [Fraction(t) for t in totals], [Fraction(0)] * len(totals), Fraction(0)
+    while out < upto:
+        live = [s for s in range(len(totals)) if left[s] > 0]
+        weight = sum(weights[s] for s in live)
+        step = min(Fraction(upto) - out, min(left[s] * weight / weights[s] for s in live))
+        for s in live:
+            left[s] -= step * weights[s] / weight
+            sent[s] += step * weights[s] / weight
+        out += step
+    return [math.floor(x) for x in sent]
+
+
+def test_windows_hold_target_proportions_and_carry_deficits():
+    for totals, weights, window in (([7000, 2000, 1000], None, 1000), ([7013, 1999, 3, 511], None, 97), ([7013, 1999, 3, 511], [1, 2, 3, 4], 97), ([1, 5000], [999, 1], 64)):
+        plan = packing.Schedule(totals, weights or totals, window)
+        assert plan.sent(plan.windows).tolist() == totals
+        for w in range(plan.windows):
+            assert plan.sent(w).tolist() == _fluid(totals, weights or totals, w * window)
+        for s, t in enumerate(totals):
+            for at in {0, t // 3, t - 1}:
+                w = plan.window_of(s, at)
+                assert plan.sent(w)[s] <= at < plan.sent(w + 1)[s]
+        rows, begins, sizes, places = packing.place([0] * len(totals), list(range(len(totals))), totals, plan, 64)
+        taken = sorted((p, n) for p, n in zip(places, sizes))
+        assert [p for p, _ in taken] == [sum(n for _, n in taken[:k]) for k in range(len(taken))] and sum(sizes) == sum(totals)
+    assert packing.whole_weights([0.5, 0.25, "0.1"]) == [10, 5, 2]
+
+
+def test_pack_to_proportions_asked_for(spark, monkeypatch):
+    a, b = packing.default_vocabulary()
+    rows = [(i, "word " * (3 + i % 50), "abc"[i % 3] if i % 5 else None, str(i)) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, queue string").repartition(3)
+    whole = sum(len(packing.encode(r[1], a, b)) + 1 for r in rows)
+    for queues in (1024, 2):
+        monkeypatch.setattr(packing, "QUEUES", queues)
+        got = packing.pack(docs, a, b, sequence=64, window=512, proportions={"a": 0.5, None: 0.25}).toPandas()
+        at = got["sequence_id"] * 64 + got["offset"]
+        order = got.assign(at=at).sort_values("at")
+        assert (order["at"] == order["length"].cumsum() - order["length"]).all() and got["length"].sum() == whole
+        if queues == 1024:
+            first = got[at < 1024].groupby(got["source"].fillna("none"))["length"].sum() / got[at < 1024]["length"].sum()
+            # a 0.5, none 0.25, b and c 1 each, of 2.75
+            assert abs(first["a"] - 0.5 / 2.75) < 0.02 and abs(first["none"] - 0.25 / 2.75) < 0.02 and abs(first["b"] - 1 / 2.75) < 0.02
 
 
 def test_chain_marginals_equal_enumeration():
