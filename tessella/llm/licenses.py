@@ -8,7 +8,9 @@ longest common subsequence.
 
 A text is aligned only where it can reach the least coverage: a passage that
 does misses few template words, so it holds one of the template's words that
-are rarest in the text, and only windows about those are looked at.
+are rarest in the text, and only windows about those are looked at. A passage
+may be ``stretch`` times as long as its template: words that stand between
+its own; a licence drawn out further is taken for scattered words.
 """
 
 from __future__ import annotations
@@ -22,19 +24,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, table
+from .licence_texts import TEMPLATES
 
-#: Short public licence statements and notices.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "MIT": "Released under the MIT License.",
-    "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-}
-LEAST = 0.8
+#: Coverage of a licence at least, and how many times its template's length a passage may be.
+LEAST, STRETCH = 0.8, 2.0
 _WORD = re.compile(WORD)
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -107,10 +100,12 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 
 class Template:
-    def __init__(self, name: str, text: str, least: float):
+    def __init__(self, name: str, text: str, least: float, stretch: float = STRETCH):
         self.name, self.words = name, [w for w in map(plain, _WORD.findall(text)) if w]
         self.vocabulary = set(self.words)
         self.need = -(-len(self.words) * least // 1)
+        #: Words of a passage at most.
+        self.longest = int(len(self.words) * stretch)
         #: That many distinct words may be missing from a passage that is covered enough.
         self.spare = int(len(self.words) - self.need)
 
@@ -125,24 +120,24 @@ class Template:
             if w in self.vocabulary:
                 where.setdefault(w, []).append(p)
         rare = sorted(self.vocabulary, key=lambda w: (len(where.get(w, ())), w))[: self.spare + 1]
-        starts = sorted({max(0, p - 2 * m) for w in rare for p in where.get(w, ())})
+        # a passage that holds the word at p lies within its own length before and after
+        starts = sorted({max(0, p - self.longest) for w in rare for p in where.get(w, ())})
         for start in starts:
-            window = words[start : start + 4 * m]
+            window = words[start : start + 2 * self.longest]
             if not self.possible(set(window)):
                 continue
-            pairs = self._densest(align(self.words, window), m)
+            pairs = self._densest(align(self.words, window))
             if len(pairs) >= self.need and (found is None or len(pairs) > found[0]):
                 found = (len(pairs), start + pairs[0][1], start + pairs[-1][1])
                 if len(pairs) == m:
                     break
         return found
 
-    @staticmethod
-    def _densest(pairs, m):
-        """Of aligned pairs, most that lie within twice the template's length."""
+    def _densest(self, pairs):
+        """Of aligned pairs, most that lie within the longest passage."""
         best, low = [], 0
         for high in range(len(pairs)):
-            while pairs[high][1] - pairs[low][1] >= 2 * m:
+            while pairs[high][1] - pairs[low][1] >= self.longest:
                 low += 1
             if high - low + 1 > len(best):
                 best = pairs[low : high + 1]
@@ -172,7 +167,7 @@ def find_licence(text: str, templates: list[Template]):
 OUT = "licence string, coverage double, matched long, span_start long, span_end long, n_licences long"
 
 
-def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST) -> DataFrame:
+def scan_licences(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, stretch: float = STRETCH) -> DataFrame:
     """One row a document: doc_id, licence, coverage, matched, span_start, span_end, n_licences.
 
     The licence is the template with the largest coverage, of equal ones that

@@ -271,6 +271,54 @@ def test_patience_alignment():
     assert licenses.find_licence(twice, known)[:2] == ("CC-BY-NC-4.0", 1.0)
 
 
+def _common_length(a, b):
+    """Words of a longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            row[j + 1], before = (before + 1 if x == y else max(row[j + 1], row[j])), row[j + 1]
+    return row[-1]
+
+
+def test_licences_equal_a_full_search():
+    """A licence is found where, and only where, some passage of every text has it, by comparison of all passages."""
+    r = random.Random(11)
+    few = {k: licenses.TEMPLATES[k] for k in ("MIT", "GPL-3.0", "MPL-2.0-notice", "WTFPL", "Apache-2.0")}
+    known = [licenses.Template(k, v, 0.8) for k, v in few.items()]
+    seen = set()
+    for _ in range(60):
+        name, text = r.choice(list(few.items()))
+        words, broken = text.split(), r.choice((0.0, 0.1, 0.25))
+        words = [r.choice(["of", "the", "license", "zz"]) if r.random() < broken else w for w in words]
+        for _ in range(int(len(words) * r.choice((0, 0.3, 1.2)))):
+            words.insert(r.randrange(len(words)), r.choice(WORDS))
+        noise = lambda: [r.choice([*WORDS[:30], "the", "of", "is", "license", "version"]) for _ in range(r.randrange(40))]
+        whole = " ".join([*noise(), *words, *noise()])
+        plain = [w for w in map(licenses.plain, whole.split())]
+        want = {}
+        for t in known:
+            best = max(_common_length(t.words, plain[b : b + t.longest]) for b in range(len(plain)))
+            if best >= t.need:
+                want[t.name] = best
+        got = licenses.find_licence(whole, known)
+        # patience alignment never finds more than the longest common subsequence, and all of it here but for ties of common words
+        if got:
+            assert got[0] in want and got[2] <= want[got[0]]
+        else:
+            assert all(best - known_need < 2 for best, known_need in ((want[t.name], t.need) for t in known if t.name in want))
+        seen.add(bool(got))
+    assert seen == {True, False}
+
+
+def test_whole_licences_are_covered():
+    known = [licenses.Template(k, v, 0.8) for k, v in licenses.TEMPLATES.items()]
+    for k, v in licenses.TEMPLATES.items():
+        text = "Copyright 2020 someone\n" + v.replace(". ", ".\n * ") + "\nand more words after it"
+        name, coverage, matched, start, end, n = licenses.find_licence(text, known)
+        assert (name, coverage) == (k, 1.0) and start >= 22 and end <= len(text) - 24, k
+
+
 def test_licences_on_all_rows(docs, none):
     got = licenses.scan_licences(docs).collect()
     assert len(got) == len(ROWS) and all(r["licence"] is None for r in got) and licenses.scan_licences(none).count() == 0
