@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import lines, mixing, ngram_join, packing, toxicity
-from tessella.llm.common import stored, table
+from tessella.llm.common import drop_stored, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,9 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        kept = stored(stage(spark, docs, sf_dir), name)
+        drop_stored(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
