@@ -37,7 +37,7 @@ EXTRA = 0.125
 #: Bits of a bitmap for each hash of a tile's largest set, and the fewest of a bitmap.
 BITS_A_HASH, BITS = 4, 2048
 #: Sets and bytes of a tile's block, bytes that a task reads, and salts of joins that texts pass through.
-BLOCK_SETS, BLOCK_BYTES, TASK_BYTES, SALTS = 512, 8 << 20, 16 << 20, 8
+BLOCK_SETS, BLOCK_BYTES, TASK_BYTES, SALTS = 2048, 16 << 20, 16 << 20, 8
 FLUSH_ENTRIES = 2_000_000
 
 
