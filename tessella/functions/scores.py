@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.aggregates import by_district, perimeter
+from ..operators.aggregates import by_district, perimeter, population_deviation
 from ..operators.graph import cut_edges, symmetric
 
 
@@ -79,12 +77,21 @@ def population_delta(moves: DataFrame, nodes: DataFrame, assignment: DataFrame)
     return m.select("node_id", "old_color", "new_color", (2 * F.col("p") * (F.col("p_new") - F.col("p_old") + F.col("p"))).alias("score"))
 
 
-def weighted(scores: dict[str, tuple[float, Column]]) -> Column:
-    """Sum of weight times score over named scores."""
-    total = F.lit(0.0)
-    for weight, score in scores.values():
-        total = total + F.lit(weight) * score
-    return total
+def deviation_after(moves: DataFrame, nodes: DataFrame, assignment: DataFrame) -> DataFrame:
+    """The population deviation that a move leads to."""
+    now = population_deviation(by_district(nodes, assignment)).select("deviation")  # one row
+    m = population_delta(moves, nodes, assignment).join(F.broadcast(now), how="left")
+    after = F.sqrt(F.greatest(F.col("deviation") ** 2 + F.col("score"), F.lit(0.0)))
+    return m.select("node_id", "old_color", "new_color", after.alias("score"))
+
+
+def weighted(moves: DataFrame, scored: list[tuple[float, DataFrame]]) -> DataFrame:
+    """Sum of weight times score over several scores of the same moves; null where one is."""
+    keys, total, out = ["node_id", "old_color", "new_color"], F.lit(0.0), moves.select("node_id", "old_color", "new_color")
+    for k, (weight, frame) in enumerate(scored):
+        out = out.join(frame.withColumnRenamed("score", f"s{k}"), keys)
+        total = total + F.lit(weight) * F.col(f"s{k}")
+    return out.select(*keys, total.alias("score"))
 
 
 def centre_flow(moves: DataFrame, nodes: DataFrame, assignment: DataFrame, centre: tuple[float, float], involution: int = 1) -> DataFrame:
@@ -112,5 +119,13 @@ def orientation(edges: DataFrame, nodes: DataFrame, centre: tuple[float, float],
     return e.select("u", "v", (F.when(F.coalesce(turn, F.lit(0.0)) >= 0, 1).otherwise(-1) * involution).alias("sign"))
 
 
-def rotation_matrix(theta: float) -> list[list[float]]:
-    return [[math.cos(theta), math.sin(theta)], [-math.sin(theta), math.cos(theta)]]
+def rotation_matrix(theta: Column) -> list[Column]:
+    """The entries m00, m01, m10, m11 of the matrix that turns by ``theta``."""
+    entries = {"m00": F.cos(theta), "m01": F.sin(theta), "m10": -F.sin(theta), "m11": F.cos(theta)}
+    return [c.alias(n) for n, c in entries.items()]
+
+
+def is_square(n: Column) -> Column:
+    """Whether a whole number is a perfect square."""
+    root = F.rint(F.sqrt(n.cast("double"))).cast("long")
+    return root * root == n

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .replay import snapshots
@@ -32,10 +32,14 @@ def from_points(held: DataFrame, nodes: DataFrame, every: int, furthest: int, di
     last = held.groupBy("chain_id").agg(F.max("end_step").alias("steps"))
     locs = snapshots(held, every).join(last, "chain_id").where(F.col("step") < F.col("steps") - furthest)
     a = locs.select("chain_id", "node_id", F.col("color").alias("here"), F.col("step").alias("loc"))
-    # the intervals that meet [loc, loc + furthest) of the same node, by length of overlap
-    near = a.join(held, ["chain_id", "node_id"]).where((F.col("start_step") < F.col("loc") + furthest) & (F.col("end_step") > F.col("loc")) & (F.col("color") == F.col("here")))
-    low = F.greatest(F.col("start_step"), F.col("loc")) - F.col("loc")
-    high = F.least(F.col("end_step"), F.col("loc") + furthest) - 1 - F.col("loc")
+    # the intervals that meet [loc, loc + furthest) of the same node, by length of overlap within a bucket of steps
+    bucket = lambda c: F.floor(c / furthest)
+    a_in = a.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("loc")), bucket(F.col("loc") + furthest - 1)))))
+    held_in = held.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start_step")), bucket(F.col("end_step") - 1))))
+    near = a_in.join(held_in, ["chain_id", "node_id", "bucket"]).where(F.col("color") == F.col("here"))
+    low = F.greatest(F.col("start_step"), F.col("loc"), F.col("bucket") * furthest) - F.col("loc")
+    high = F.least(F.col("end_step"), F.col("loc") + furthest, (F.col("bucket") + 1) * furthest) - 1 - F.col("loc")
+    near = near.where(low <= high)
     agree = near.select("chain_id", F.explode(F.sequence(low, high)).alias("dist")).groupBy("chain_id", "dist").agg(F.count("*").alias("agree"))
     points = a.groupBy("chain_id").agg(F.countDistinct("loc").alias("locs"))
     chance = nodes.agg((F.count("*") / districts).alias("chance"))
@@ -50,9 +54,10 @@ def all_pairs(held: DataFrame, nodes: DataFrame, every: int, furthest: int, dist
     return _agreement(a, s, nodes, districts)
 
 
-def sample_steps(steps: DataFrame, k: int, seed: int) -> DataFrame:
-    """k steps of each chain without replacement, the same ones for the same seed."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("chain_id").orderBy(F.xxhash64("step", F.lit(seed)), "step")
-    return steps.select("chain_id", "step").distinct().withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= k).drop("turn")
+def sample_steps(steps: DataFrame, k: int, seed: int, block: int = 65_536) -> DataFrame:
+    """k steps of each chain without replacement, the same ones for the same seed; least hashes, by block and then by chain."""
+    rows = steps.select("chain_id", "step").distinct().withColumn("h", F.md5(F.concat_ws(":", F.col("step").cast("string"), F.lit(str(seed)))))
+    for part in (["chain_id", F.floor(F.col("step") / block)], ["chain_id"]):
+        turn = F.row_number().over(Window.partitionBy(*part).orderBy("h", "step"))
+        rows = rows.withColumn("turn", turn).where(F.col("turn") <= k).drop("turn")
+    return rows.drop("h")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import quantised
 from .replay import rejected
-from .scan import running_sum
+from .scan import BLOCK, neighbour, running_sum
+from .store import cut
 
 STATES = 6
 
@@ -23,18 +24,26 @@ def common_steps(trace: DataFrame) -> DataFrame:
 
 def pooled_histogram(trace: DataFrame, value: str, states: int = STATES) -> DataFrame:
     """(state, share) over all chains and common steps, states without rows as 0."""
-    rows = common_steps(trace)
-    counts = rows.groupBy(F.col(value).cast("long").alias("state")).agg(F.count("*").alias("c"))
-    total = rows.agg(F.count("*").alias("total"))
-    every = trace.sparkSession.range(states).withColumnRenamed("id", "state")
-    out = every.join(counts, "state", "left").join(F.broadcast(total), how="left")
-    return out.select("state", F.try_divide(F.coalesce("c", F.lit(0)), F.col("total")).alias("share"))
+    counted = _pooled(common_steps(trace), value, states)
+    return counted.select(F.posexplode("pooled").alias("state", "share")).select(F.col("state").cast("long"), "share")
+
+
+def _pooled(rows: DataFrame, value: str, states: int) -> DataFrame:
+    """One row: the share of each state."""
+    shares = [F.try_divide(F.count_if(F.col(value) == k), F.count("*")) for k in range(states)]
+    return rows.agg(F.array(*shares).alias("pooled"))
+
+
+def _counts(trace: DataFrame, value: str, states: int) -> DataFrame:
+    """(chain_id, step, counts): how often each state has been seen so far; one window for all states."""
+    names = [f"n{k}" for k in range(states)]
+    out = running_sum(trace.select("chain_id", "step", value), ["chain_id"], "step", {n: (F.col(value) == k).cast("int") for k, n in enumerate(names)})
+    return out.select("chain_id", "step", F.array(*names).alias("counts"))
 
 
 def running_counts(trace: DataFrame, value: str, states: int = STATES) -> DataFrame:
     """(chain_id, step, state, n): rows of the state up to the step."""
-    rows = trace.select("chain_id", "step", F.col(value).alias("v"), F.explode(F.sequence(F.lit(0), F.lit(states - 1))).alias("state"))
-    return running_sum(rows, ["chain_id", "state"], "step", {"n": (F.col("v") == F.col("state")).cast("int")}).select("chain_id", "step", "state", "n")
+    return _counts(trace, value, states).select("chain_id", "step", F.posexplode("counts").alias("state", "n"))
 
 
 def running_share(trace: DataFrame, value: str, states: int = STATES) -> DataFrame:
@@ -43,16 +52,20 @@ def running_share(trace: DataFrame, value: str, states: int = STATES) -> DataFra
 
 def running_distance(trace: DataFrame, value: str, states: int = STATES) -> DataFrame:
     """(step, phi_mean, phi_var): chains' largest distance from the pooled histogram so far."""
-    pooled = pooled_histogram(trace, value, states).withColumnRenamed("share", "pooled")
-    near = running_share(common_steps(trace), value, states).join(F.broadcast(pooled), "state")  # one row a state
-    phi = near.groupBy("chain_id", "step").agg(F.max(F.abs(F.col("share") - F.col("pooled"))).alias("phi"))
-    return phi.groupBy("step").agg(F.avg("phi").alias("phi_mean"), F.var_pop("phi").alias("phi_var"))
+    rows = cut(trace.select("chain_id", "step", value), "trace")
+    rows = common_steps(rows)
+    so_far = _counts(rows, value, states).join(F.broadcast(_pooled(rows, value, states)), how="left")  # one row
+    gap = F.zip_with("counts", "pooled", lambda n, share: F.abs(n / (F.col("step") + 1) - share))
+    phi = so_far.select("step", F.array_max(gap).alias("phi"))
+    # the mean does not depend on the order of its terms
+    mean = F.sum(F.col("phi").cast("decimal(18,12)")).cast("double") / F.count("*")
+    return phi.groupBy("step").agg(mean.alias("phi_mean"), F.var_pop("phi").alias("phi_var"))
 
 
 def waits(log: DataFrame) -> DataFrame:
     """(chain_id, step, wait): steps since the rejection before; an open end is dropped."""
-    before = F.lag("step").over(Window.partitionBy("chain_id").orderBy("step"))
-    return rejected(log).select("chain_id", "step", (F.col("step") - F.coalesce(before, F.lit(-1))).alias("wait"))
+    rows = neighbour(rejected(log).select("chain_id", "step"), ["chain_id"], "step", {"before": F.col("step")})
+    return rows.select("chain_id", "step", (F.col("step") - F.coalesce("before", F.lit(-1))).alias("wait"))
 
 
 def wait_histogram(log: DataFrame) -> DataFrame:
@@ -103,8 +116,8 @@ def unwrapped(trace: DataFrame, centre: DataFrame) -> DataFrame:
     """(chain_id, district_id, step, angle): angles about one centre (x, y), carried on over turns."""
     at = trace.join(F.broadcast(centre), how="left")
     at = at.withColumn("theta", F.atan2(F.col("cy") - F.col("y"), F.col("cx") - F.col("x")))
-    w = Window.partitionBy("chain_id", "district_id").orderBy("step")
-    before = F.lag("theta").over(w)
+    at = neighbour(at, ["chain_id", "district_id"], "step", {"before": F.col("theta")})
+    before = F.col("before")
     d = F.col("theta") - before
     crossed = (F.col("theta") * before < 0) & (F.abs(d) > math.pi)
     step = F.when(crossed & (F.col("theta") > 0), d - 2 * math.pi).when(crossed, d + 2 * math.pi).otherwise(d)
@@ -116,17 +129,24 @@ def unwrapped(trace: DataFrame, centre: DataFrame) -> DataFrame:
 def transitions(series: DataFrame, value: str) -> DataFrame:
     """(chain_id, step, value): step 0, then every value that differs from the one kept before; nulls go."""
     kept = series.where(F.col(value).isNotNull() | (F.col("step") == 0)).select("chain_id", "step", F.coalesce(value, F.lit(-1)).alias(value))
-    before = F.lag(value).over(Window.partitionBy("chain_id").orderBy("step"))
-    return kept.withColumn("before", before).where(F.col("before").isNull() | (F.col("before") != F.col(value))).drop("before")
-
-
-def autocorrelation(trace: DataFrame, value: str, lags: int) -> DataFrame:
-    """(chain_id, lag, acf): mean products of deviations from the chain's mean, over that of lag 0."""
-    mean = trace.groupBy("chain_id").agg(F.avg(value).alias("mean"))
-    x = trace.join(mean, "chain_id").select("chain_id", "step", (F.col(value) - F.col("mean")).alias("x"))
-    ahead = x.select("chain_id", "step", F.col("x").alias("x0"), F.explode(F.sequence(F.lit(0), F.lit(lags))).alias("lag"))
-    ahead = ahead.withColumn("to", F.col("step") + F.col("lag"))
-    pairs = ahead.join(x.select("chain_id", F.col("step").alias("to"), F.col("x").alias("x1")), ["chain_id", "to"])
-    cov = pairs.groupBy("chain_id", "lag").agg(F.avg(F.col("x0") * F.col("x1")).alias("cov"))
-    at0 = F.max(F.when(F.col("lag") == 0, F.col("cov"))).over(Window.partitionBy("chain_id"))
-    return cov.select("chain_id", "lag", F.try_divide(F.col("cov"), at0).alias("acf"))
+    kept = neighbour(kept, ["chain_id"], "step", {"before": F.col(value)})
+    return kept.where(F.col("before").isNull() | (F.col("before") != F.col(value))).drop("before")
+
+
+def autocorrelation(trace: DataFrame, value: str, lags: int, block: int = BLOCK) -> DataFrame:
+    """(chain_id, lag, acf): mean products of deviations from the chain's mean, over that of lag 0.
+
+    A trace has a row for every step. Blocks of steps take the first ``lags``
+    rows of the next one along, so all lags are leads within a block.
+    """
+    rows = cut(trace.select("chain_id", "step", value), "trace")
+    mean = rows.groupBy("chain_id").agg(F.avg(value).alias("mean"))
+    x = rows.join(mean, "chain_id").select("chain_id", "step", (F.col(value) - F.col("mean")).alias("x"), F.floor(F.col("step") / block).alias("own"))
+    lent = (F.col("step") % block < lags) & (F.col("own") > 0)
+    blocks = F.when(lent, F.array(F.col("own"), F.col("own") - 1)).otherwise(F.array("own"))
+    x = x.withColumn("blk", F.explode(blocks))
+    w = Window.partitionBy("chain_id", "blk").orderBy("step")
+    leads = x.select("chain_id", "x", "own", "blk", *[F.lead("x", k).over(w).alias(f"x{k}") for k in range(lags + 1)]).where("own = blk")
+    cov = leads.groupBy("chain_id").agg(F.array(*[F.avg(F.col("x") * F.col(f"x{k}")) for k in range(lags + 1)]).alias("cov"))
+    out = cov.select("chain_id", F.get("cov", F.lit(0)).alias("at0"), F.posexplode("cov").alias("lag", "c")).where("c is not null")
+    return out.select("chain_id", "lag", F.try_divide("c", "at0").alias("acf"))

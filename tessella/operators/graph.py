@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import cut, drop
+
 
 def coloured(edges: DataFrame, assignment: DataFrame) -> DataFrame:
     """Edges with the districts of both ends, cu and cv."""
@@ -18,10 +17,10 @@ def coloured(edges: DataFrame, assignment: DataFrame) -> DataFrame:
 
 
 def cut_edges(edges: DataFrame, assignment: DataFrame) -> DataFrame:
-    cut = coloured(edges, assignment).where("cu <> cv")
+    found = coloured(edges, assignment).where("cu <> cv")
     low, high = F.least("u", "v"), F.greatest("u", "v")
     swap = F.col("u") > F.col("v")
-    return cut.select(low.alias("u"), high.alias("v"), "border_length", F.when(swap, F.col("cv")).otherwise(F.col("cu")).alias("cu"), F.when(swap, F.col("cu")).otherwise(F.col("cv")).alias("cv"))
+    return found.select(low.alias("u"), high.alias("v"), "border_length", F.when(swap, F.col("cv")).otherwise(F.col("cu")).alias("cu"), F.when(swap, F.col("cu")).otherwise(F.col("cv")).alias("cv"))
 
 
 def directed_edges(cut: DataFrame) -> DataFrame:
@@ -54,32 +53,35 @@ def district_boundary(cut: DataFrame) -> DataFrame:
     return cut.groupBy(*pair).agg(F.count("*").alias("n_edges"), F.sum("border_length").alias("length"))
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(node_id, component_id): the least node that is reachable.
+def _stars(edges: DataFrame) -> DataFrame:
+    """(u, v): every node with an edge points at the least node of its component.
 
-    Labels are lowered over edges and then through labels themselves, which
-    halves distances; each round is written to the shared checkpoint folder.
+    Large stars, then small stars: the least neighbour of a node is a partial
+    aggregate, so no hub gathers its neighbours. Each round is written to the
+    shared folder, and goes when the next one is there.
     """
-    spark = nodes.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessella-")
-
-    def cut(df: DataFrame) -> DataFrame:
-        path = f"{folder.rstrip('/')}/components-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    links = cut(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = cut(nodes.select("node_id", F.col("node_id").alias("label")))
-    while True:
-        near = links.join(labels, links["v"] == labels["node_id"]).groupBy("u").agg(F.min("label").alias("near"))
-        lowered = labels.join(near, labels["node_id"] == near["u"], "left").select("node_id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        lowered = cut(lowered)
-        jump = lowered.select(F.col("node_id").alias("j"), F.col("new").alias("far"))
-        after = cut(lowered.join(jump, lowered["new"] == jump["j"]).select("node_id", "label", F.least("new", "far").alias("new")))
-        done = after.where("new <> label").isEmpty()
-        labels = after.select("node_id", F.col("new").alias("label"))
-        if done:
-            return labels.select("node_id", F.col("label").alias("component_id"))
+    e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    e, before = cut(e, "edges"), None
+    mark = (F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1_000_000_007))))
+    while (now := tuple(e.agg(*mark).first())) != before:
+        before = now
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = cut(large.distinct(), "large")
+        centre = cut(large.groupBy("u").agg(F.min("v").alias("m")), "centre")
+        small = large.join(centre, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = cut(small.unionByName(centre.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        drop(e, least, large, centre)
+        e = after
+    return e
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node_id, component_id): the least node that is reachable."""
+    stars = _stars(edges.select("u", "v"))
+    out = nodes.select("node_id").join(stars, F.col("node_id") == F.col("u"), "left")
+    return out.select("node_id", F.coalesce("v", "node_id").alias("component_id"))
 
 
 def cut_vertices(assignment: DataFrame, edges: DataFrame) -> DataFrame:
@@ -141,3 +143,22 @@ def feasible(moves: DataFrame, nodes: DataFrame, assignment: DataFrame, edges: D
     least, most = population_band(F.col("total"), districts, tolerance)
     m = m.where((F.col("p_old") - F.col("population") > least) & (F.col("p_new") + F.col("population") < most))
     return m.join(cut_vertices(assignment, edges).select("node_id"), "node_id", "left_anti").select("node_id", "old_color", "new_color")
+
+
+def step_proposals(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """(chain_id, node_id, old_color, new_color, score) of every chain's moves from its ``state``: change of cut edges."""
+    at = lambda node, colour: state.select("chain_id", F.col("node_id").alias(node), F.col("district_id").alias(colour))
+    near = symmetric(edges).select("node_id", "other").join(at("other", "cb"), "other").join(at("node_id", "ca"), ["chain_id", "node_id"])
+    counts = near.groupBy("chain_id", "node_id", "ca", "cb").agg(F.count("*").alias("n"))
+    own = counts.where("ca = cb").select("chain_id", "node_id", F.col("n").alias("own"))
+    moves = counts.where("ca <> cb").join(own, ["chain_id", "node_id"], "left")
+    return moves.select("chain_id", "node_id", F.col("ca").alias("old_color"), F.col("cb").alias("new_color"), (F.coalesce("own", F.lit(0)) - F.col("n")).alias("score"))
+
+
+def weighted_pick(moves: DataFrame, weight: Column, seed: int) -> DataFrame:
+    """One move of each chain, drawn in proportion to ``weight``: the least of exponential waits that are drawn from hashes."""
+    name = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in ("chain_id", "node_id", "old_color", "new_color")])
+    draw = (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") + 1) / float(1 << 48)
+    rows = moves.withColumn("wait", -F.log(draw) / weight)
+    best = F.min(F.struct("wait", "node_id", "old_color", "new_color", "score")).alias("b")
+    return rows.groupBy("chain_id").agg(best).select("chain_id", "b.node_id", "b.old_color", "b.new_color", "b.score")

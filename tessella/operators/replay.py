@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scan import running_sum
+from .graph import symmetric
+from .scan import neighbour, running_sum
 
 
 def lengths(log: DataFrame) -> DataFrame:
@@ -129,8 +130,8 @@ def district_intervals(log: DataFrame, assignment: DataFrame, values: DataFrame)
     sides = [moves.select("chain_id", F.col(side).alias("district_id"), *[(sign * F.col(c)).alias(c) for c in names], "step") for side, sign in (("old_color", -1), ("new_color", 1))]
     changes = start.unionByName(sides[0]).unionByName(sides[1])
     sums = running_sum(changes, ["chain_id", "district_id"], "step", {f"s_{c}": F.col(c) for c in names})
-    after = F.lead("step").over(Window.partitionBy("chain_id", "district_id").orderBy("step"))
-    out = sums.join(lengths(log), "chain_id").withColumn("end_step", F.coalesce(after, "steps"))
+    out = neighbour(sums, ["chain_id", "district_id"], "step", {"after": F.col("step")}, ahead=True)
+    out = out.join(lengths(log), "chain_id").withColumn("end_step", F.coalesce("after", "steps"))
     return out.select("chain_id", "district_id", F.col("step").alias("start_step"), "end_step", "steps", *[F.col(f"s_{c}").alias(c) for c in names])
 
 
@@ -146,8 +147,8 @@ def districts_won(log: DataFrame, assignment: DataFrame, votes: DataFrame) -> Da
     """(chain_id, step, wins): districts in which p1 is ahead, by changes of that alone."""
     held = district_intervals(log, assignment, votes.select("node_id", "p1", "p2"))
     ahead = (F.col("p1") > F.col("p2")).cast("int")
-    before = F.lag(ahead).over(Window.partitionBy("chain_id", "district_id").orderBy("start_step"))
-    change = held.select("chain_id", F.col("start_step").alias("step"), (ahead - F.coalesce(before, F.lit(0))).alias("d")).where("d <> 0")
+    held = neighbour(held, ["chain_id", "district_id"], "start_step", {"before": ahead})
+    change = held.select("chain_id", F.col("start_step").alias("step"), (ahead - F.coalesce("before", F.lit(0))).alias("d")).where("d <> 0")
     steps = log.select("chain_id", "step", F.lit(0).alias("d"))
     both = steps.unionByName(change).groupBy("chain_id", "step").agg(F.sum("d").alias("d"))
     return running_sum(both, ["chain_id"], "step", {"wins": F.col("d")}).where("step >= 0").select("chain_id", "step", "wins")
@@ -176,14 +177,116 @@ def centre_trace(log: DataFrame, assignment: DataFrame, nodes: DataFrame, strict
     return out.select("chain_id", "step", "district_id", (F.col("x") / F.col("n")).alias("cx"), (F.col("y") / F.col("n")).alias("cy"))
 
 
-def replay(log: DataFrame, assignment: DataFrame, metric, schema: str) -> DataFrame:
-    """Any metric of a chain's whole log: ``metric(pandas log, {node: colour})`` gives rows of ``schema``."""
-    start = {r["node_id"]: r["district_id"] for r in assignment.collect()}  # one graph's nodes
+#: Steps of a replayed stretch, and of the buckets in which steps meet intervals.
+STRETCH = 4096
+
+
+def replay(log: DataFrame, assignment: DataFrame, metric, schema: str, stretch: int = STRETCH) -> DataFrame:
+    """Any metric of the states: ``metric(chain, moves in order, {node: colour} before them)`` gives rows of ``schema``.
+
+    Chains are cut into stretches. The state before each is taken from the
+    intervals, so stretches replay apart: a task holds one state and one stretch.
+    """
+    held = intervals(log, assignment)
+    # an interval holds the state before stretch k if it is there at step k * stretch - 1
+    first = F.floor(F.col("start_step") / stretch) + 1
+    last = F.floor(F.col("end_step") / stretch)
+    later = held.where(first <= last).select("chain_id", F.explode(F.sequence(first, last)).alias("part"), "node_id", "color", "end_step")
+    later = later.join(lengths(log), "chain_id").where(F.col("part") * stretch < F.col("steps"))
+    start = each_chain(assignment, log).select("chain_id", F.lit(0).cast("long").alias("part"), "node_id", F.col("district_id").alias("color"))
+    none = F.lit(None)
+    state = start.unionByName(later.select("chain_id", "part", "node_id", "color"))
+    state = state.select("chain_id", "part", none.cast("long").alias("step"), "node_id", none.cast("int").alias("old_color"), F.col("color").cast("int").alias("new_color"))
+    moves = log.select("chain_id", F.floor(F.col("step") / stretch).alias("part"), "step", "node_id", "old_color", "new_color")
 
     def run(pdf):
-        return metric(pdf.sort_values("step"), dict(start))
+        before = pdf[pdf["step"].isna()]
+        colours = dict(zip(before["node_id"].astype("int64").tolist(), before["new_color"].astype("int64").tolist()))
+        return metric(int(pdf["chain_id"].iloc[0]), pdf[pdf["step"].notna()].sort_values("step"), colours)
+
+    return state.unionByName(moves).groupBy("chain_id", "part").applyInPandas(run, schema)
+
+
+def state_at_end(log: DataFrame, assignment: DataFrame) -> DataFrame:
+    """(chain_id, node_id, district_id): every chain's last state."""
+    held = intervals(log, assignment).join(lengths(log), "chain_id").where(F.col("end_step") == F.col("steps"))
+    return held.select("chain_id", "node_id", F.col("color").alias("district_id"))
+
 
-    return log.groupBy("chain_id").applyInPandas(run, schema)
+def _summed(changes: DataFrame, keys: list[str], names: list[str], log: DataFrame) -> DataFrame:
+    """Changes (keys, step, names) summed: keys, start_step, end_step, steps, names."""
+    changes = changes.groupBy(*keys, "step").agg(*[F.sum(c).alias(c) for c in names])
+    sums = running_sum(changes, keys, "step", {f"s_{c}": F.col(c) for c in names})
+    sums = neighbour(sums, keys, "step", {"after": F.col("step")}, ahead=True).join(lengths(log), "chain_id")
+    return sums.select(*keys, F.col("step").alias("start_step"), F.coalesce("after", "steps").alias("end_step"), "steps", *[F.col(f"s_{c}").alias(c) for c in names])
+
+
+def _on_off(held: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Each interval as its values at its start and their negatives at its end."""
+    on = held.select(*keys, F.col("start_step").alias("step"), *names)
+    return on.unionByName(held.select(*keys, F.col("end_step").alias("step"), *[(-F.col(c)).alias(c) for c in names]))
+
+
+def district_traces(log: DataFrame, assignment: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(chain_id, district_id, start_step, end_step, steps, perimeter, area, population, boundary_nodes, n).
+
+    The perimeter counts cut edges and outer borders. A district that has
+    lost its last node has zeros.
+    """
+    names = ["perimeter", "area", "population", "boundary_nodes", "n"]
+    about = nodes.select("node_id", F.col("external_border").cast("double").alias("perimeter"), "area", "population", F.col("boundary").cast("long").alias("boundary_nodes"), F.lit(1).cast("long").alias("n"))
+    held = intervals(log, assignment).join(about, "node_id").withColumnRenamed("color", "district_id")
+    own = _on_off(held, ["chain_id", "district_id"], names)
+    cut = edge_intervals(log, assignment, edges).where("cu <> cv").join(edges.select("u", "v", F.col("border_length").cast("double").alias("perimeter")), ["u", "v"])
+    sides = cut.select("chain_id", F.explode(F.array("cu", "cv")).alias("district_id"), "start_step", "end_step", "perimeter")
+    borders = _on_off(sides, ["chain_id", "district_id"], ["perimeter"])
+    zeros = {"area": F.lit(0.0), **{c: F.lit(0).cast("long") for c in names[2:]}}
+    changes = own.unionByName(borders.withColumns(zeros))
+    return _summed(changes, ["chain_id", "district_id"], names, log).where("start_step < steps")
+
+
+def boundary_traces(log: DataFrame, assignment: DataFrame, edges: DataFrame) -> DataFrame:
+    """(chain_id, c1, c2, start_step, end_step, steps, n_edges, length): what two districts have in common."""
+    lengths_of = edges.select("u", "v", F.col("border_length").alias("length"))
+    cut = edge_intervals(log, assignment, edges).where("cu <> cv").join(lengths_of, ["u", "v"])
+    pair = cut.select("chain_id", F.least("cu", "cv").alias("c1"), F.greatest("cu", "cv").alias("c2"), "start_step", "end_step", F.lit(1).cast("long").alias("n_edges"), "length")
+    keys = ["chain_id", "c1", "c2"]
+    return _summed(_on_off(pair, keys, ["n_edges", "length"]), keys, ["n_edges", "length"], log).where("n_edges > 0 and start_step < steps")
+
+
+def energy_trace(log: DataFrame, assignment: DataFrame, nodes: DataFrame, edges: DataFrame, districts: int, weights: tuple[float, float, float]) -> DataFrame:
+    """(chain_id, step, n_cut, compactness, population_sq, energy) after every step.
+
+    ``weights``: of cut edges, of the sum of squared perimeter over area, and
+    of the sum of squared deviations of the populations from their ideal.
+    """
+    at = by_step(district_traces(log, assignment, nodes, edges))
+    total = nodes.agg(F.sum("population").cast("double").alias("total"))  # one row
+    p = F.col("perimeter")
+    per = at.groupBy("chain_id", "step").agg(F.sum(F.try_divide(p * p, F.col("area"))).alias("compactness"), F.sum(F.col("population").cast("double") ** 2).alias("squares"))
+    per = per.join(F.broadcast(total), how="left").withColumn("population_sq", F.col("squares") - F.col("total") ** 2 / districts)
+    cut = edge_intervals(log, assignment, edges).where("cu <> cv").select("chain_id", "start_step", "end_step", F.lit(1).cast("long").alias("n_cut"))
+    n_cut = by_step(_summed(_on_off(cut, ["chain_id"], ["n_cut"]), ["chain_id"], ["n_cut"], log).where("start_step < steps"))
+    out = per.join(n_cut, ["chain_id", "step"], "left").withColumn("n_cut", F.coalesce("n_cut", F.lit(0)))
+    a, b, c = weights
+    energy = a * F.col("n_cut") + b * F.col("compactness") + c * F.col("population_sq")
+    return out.select("chain_id", "step", "n_cut", "compactness", "population_sq", energy.alias("energy"))
+
+
+def move_scores(log: DataFrame, assignment: DataFrame, edges: DataFrame, width: int = STRETCH) -> DataFrame:
+    """(chain_id, step, node_id, old_color, new_color, score) of accepted moves: change of the number of cut edges.
+
+    A move meets the interval of each neighbour that holds at its step (one
+    node moves in a step). Both are dealt to buckets of steps, so a long chain
+    is no group of its own.
+    """
+    bucket = lambda c: F.floor(c / width)
+    moves = accepted(log).join(symmetric(edges).select("node_id", "other"), "node_id").withColumn("bucket", bucket(F.col("step")))
+    held = intervals(log, assignment).select("chain_id", F.col("node_id").alias("other"), "color", "start_step", "end_step")
+    held = held.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start_step")), bucket(F.col("end_step") - 1))))
+    near = moves.join(held, ["chain_id", "other", "bucket"]).where("start_step <= step and step < end_step")
+    same = lambda c: F.count_if(F.col("color") == F.col(c))
+    return near.groupBy("chain_id", "step", "node_id", "old_color", "new_color").agg((same("old_color") - same("new_color")).alias("score"))
 
 
 def colour_of(held: DataFrame, probes: dict[str, Column | int]) -> DataFrame:

@@ -28,3 +28,20 @@ def position(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame
     """Adds the row's position from 0 in ``order`` within ``keys``; orders are distinct."""
     out = running_sum(df, keys, order, {name: F.lit(1)})
     return out.withColumn(name, (F.col(name) - 1).cast("long"))
+
+
+def neighbour(df: DataFrame, keys: list[str], order: str, values: dict[str, Column], ahead: bool = False, block: int = BLOCK) -> DataFrame:
+    """Adds ``values`` of the row before (or ``ahead``) in ``order`` within ``keys``; null at the end.
+
+    Only the first row of a block looks into another one: to the nearest block that has rows.
+    """
+    df = df.withColumns({"__blk": F.floor(F.col(order) / block), **{f"__v_{n}": c for n, c in values.items()}})
+    near, far = (F.lead, F.min_by) if ahead else (F.lag, F.max_by)
+    ends = df.groupBy(*keys, "__blk").agg(*[far(F.struct(f"__v_{n}"), F.col(order)).alias(f"__e_{n}") for n in values])
+    blocks = Window.partitionBy(*keys).orderBy("__blk")
+    ends = ends.select(*keys, "__blk", *[near(f"__e_{n}").over(blocks)[f"__v_{n}"].alias(f"__e_{n}") for n in values])
+    inside = Window.partitionBy(*keys, "__blk").orderBy(order)
+    out = df.withColumn("__end", near(F.lit(1)).over(inside).isNull())
+    out = out.withColumns({n: near(f"__v_{n}").over(inside) for n in values}).join(ends, [*keys, "__blk"])
+    out = out.withColumns({n: F.when(F.col("__end"), F.col(f"__e_{n}")).otherwise(F.col(n)) for n in values})
+    return out.drop("__blk", "__end", *[f"__v_{n}" for n in values], *[f"__e_{n}" for n in values])

@@ -7,11 +7,14 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import aggregates, autocorr, corners, diagnostics, graph, replay, sampler
-from ..sources import derived, lattice
+from ..operators import aggregates, autocorr, corners, diagnostics, graph, replay
+from ..operators.store import delete_at_end, shared_path
+from ..sources import derived, files, lattice
 
 TOLERANCE, EVERY, THIN, LAGS, FURTHEST = 0.9, 50, 100, 20, 500
 CENTRE = (4.5, 4.5)
+#: Weights of cut edges, compactness and squared population deviation.
+ENERGY = (1.0, 0.5, 1e-8)
 
 
 def relations(spark, sf_dir) -> SimpleNamespace:
@@ -23,11 +26,20 @@ def relations(spark, sf_dir) -> SimpleNamespace:
 
 
 def side(r) -> int:
-    """Side of the generated grid: it holds as many nodes as there are customers, about."""
+    """Side of the largest square grid that the customers' keys fill."""
     n = derived.table(r.spark, r.dir, "customer").count()
     return int(n**0.5)
 
 
+def ids(r, table, key):
+    return derived.table(r.spark, r.dir, table).select(F.col(key).cast("long").alias("id"))
+
+
+def scratch(r, tag):
+    """A path in the shared folder for a query that writes and reads again; deleted at the end."""
+    return shared_path(r.spark, tag)
+
+
 def r6(df, *names):
     return df.withColumns({c: F.round(c, 6) for c in names})
 
@@ -100,7 +112,14 @@ com AS (SELECT l.chain_id, l.step, district_id, sx / n AS cx, sy / n AS cy FROM
   UNION ALL SELECT chain_id, 0, district_id, cx, cy FROM dist, len),
 gridn AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n FROM customer),
 grid AS (SELECT CAST(i AS BIGINT) AS node_id, i // n AS x, i % n AS y, CAST((i // n = 0 OR i // n = n - 1)::INT + (i % n = 0 OR i % n = n - 1)::INT AS BIGINT) AS external_border, n
-  FROM (SELECT unnest(range(n * n)) AS i, n FROM gridn)),
+  FROM (SELECT c_custkey AS i, n FROM customer, gridn WHERE c_custkey < n * n)),
+eas AS (SELECT a.chain_id, a.step, u, v, border_length, a.color AS cu, b.color AS cv FROM edges JOIN at_step a ON a.node_id = u
+  JOIN at_step b ON b.node_id = v AND b.chain_id = a.chain_id AND b.step = a.step WHERE a.color <> b.color),
+pst AS (SELECT chain_id, step, district_id, CAST(sum(l) AS DOUBLE) AS perimeter FROM (SELECT chain_id, step, cu AS district_id, border_length AS l FROM eas
+  UNION ALL SELECT chain_id, step, cv, border_length FROM eas UNION ALL SELECT chain_id, step, color, external_border FROM at_step JOIN nodes USING (node_id)) GROUP BY ALL),
+dst AS (SELECT chain_id, step, color AS district_id, sum(area) AS area, CAST(sum(population) AS DOUBLE) AS population, count(*) FILTER (external_border > 0) AS boundary_nodes
+  FROM at_step JOIN nodes USING (node_id) GROUP BY ALL),
+fin AS (SELECT chain_id, node_id, color AS district_id FROM held JOIN len USING (chain_id) WHERE e = steps),
 gride AS (SELECT node_id AS u, node_id + 1 AS v FROM grid WHERE y < n - 1 UNION ALL SELECT node_id, node_id + n FROM grid WHERE x < n - 1),
 inner_e AS (SELECT u, v, cu FROM (SELECT e.u, e.v, a.district_id AS cu, b.district_id AS cv FROM edges e JOIN start a ON a.node_id = u JOIN start b ON b.node_id = v) WHERE cu = cv),
 """
@@ -109,22 +128,122 @@ inner_e AS (SELECT u, v, cu FROM (SELECT e.u, e.v, a.district_id AS cu, b.distri
 # -- generated grids ---------------------------------------------------------
 @query("s4_lattice_nodes", "z AS (SELECT 1) SELECT node_id, x, y, external_border FROM grid")
 def _(r):
-    return lattice.square_nodes(r.spark, side(r)).select("node_id", "x", "y", "external_border")
+    return lattice.square_nodes(ids(r, "customer", "c_custkey"), side(r)).select("node_id", "x", "y", "external_border")
 
 
 @query("s4_lattice_edges", "z AS (SELECT 1) SELECT u, v FROM gride")
 def _(r):
-    return lattice.square_edges(r.spark, side(r)).select("u", "v")
+    return lattice.square_edges(ids(r, "customer", "c_custkey"), side(r)).select("u", "v")
 
 
 @query("s5_angular_assignment", "z AS (SELECT 1) SELECT node_id, CAST(floor((atan2(y - (n - 1) / 2, x - (n - 1) / 2) + pi()) / (2 * pi() / 3)) AS INT) AS district_id FROM grid")
 def _(r):
-    return lattice.angular(lattice.square_nodes(r.spark, side(r)), side(r), 3)
+    return lattice.angular(lattice.square_nodes(ids(r, "customer", "c_custkey"), side(r)), side(r), 3)
 
 
 @query("s12_diagonal", "z AS (SELECT 1) SELECT node_id, CAST(x > y AS INT) AS district_id FROM grid")
 def _(r):
-    return lattice.diagonal(lattice.square_nodes(r.spark, side(r)))
+    return lattice.diagonal(lattice.square_nodes(ids(r, "customer", "c_custkey"), side(r)))
+
+
+STAR = """sz AS (SELECT (SELECT count(*) FROM region) AS p, (SELECT count(*) FROM supplier) // (SELECT count(*) FROM region) AS n),
+mid AS (SELECT s_suppkey + p AS node_id, s_suppkey // n AS a, s_suppkey % n AS k, n, p FROM supplier, sz WHERE s_suppkey < p * n)
+"""
+
+
+def _star(r):
+    rim, between = ids(r, "region", "r_regionkey"), ids(r, "supplier", "s_suppkey")
+    points = rim.count()
+    return lattice.star(rim, between, between.count() // points, points)
+
+
+@query("s7_star_nodes", STAR + """SELECT CAST(r_regionkey AS BIGINT) AS node_id, round(sin(r_regionkey * 2 * pi() / p), 6) AS x, round(cos(r_regionkey * 2 * pi() / p), 6) AS y FROM region, sz
+UNION ALL SELECT node_id, round((k + 1) / (n + 1) * sin((a + 0.5) * 2 * pi() / p), 6), round((k + 1) / (n + 1) * cos((a + 0.5) * 2 * pi() / p), 6) FROM mid""")
+def _(r):
+    return r6(_star(r)[0], "x", "y")
+
+
+@query("s7_star_links", STAR + "SELECT a AS u, node_id AS v FROM mid UNION ALL SELECT (a + 1) % p, node_id FROM mid")
+def _(r):
+    return _star(r)[1]
+
+
+# -- files: what the relations are written to is read again -------------------
+def _folder(r):
+    path = scratch(r, "graph")
+    files.save_graph(r.nodes, r.edges, path)
+    delete_at_end(r.spark, path)
+    return files.graph_folder(r.spark, path)
+
+
+@query("s1_graph_folder_nodes", """z AS (SELECT 1) SELECT node_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, population, area, CAST(external_border AS DOUBLE) AS external_border,
+external_border > 0 AS boundary FROM nodes""")
+def _(r):
+    return _folder(r)[0].select("node_id", "x", "y", "population", "area", "external_border", "boundary")
+
+
+@query("s2_graph_folder_edges", "z AS (SELECT 1) SELECT u, v, CAST(border_length AS DOUBLE) AS border_length FROM edges")
+def _(r):
+    return _folder(r)[1]
+
+
+@query("s13_vote_file", "z AS (SELECT 1) SELECT node_id, p1, p2, p1 + p2 AS total FROM votes")
+def _(r):
+    path = scratch(r, "votes")
+    r.votes.select("node_id", "p1", "p2", (F.col("p1") + F.col("p2")).alias("total"), F.lit("").alias("nothing")).write.option("sep", "\t").csv(path)
+    delete_at_end(r.spark, path)
+    return files.vote_file(r.spark, path)
+
+
+def _saved(r):
+    path = scratch(r, "runs")
+    files.save_log(r.log, path)
+    delete_at_end(r.spark, path)
+    return path
+
+
+@query("s14_restored_log", "z AS (SELECT 1) SELECT * FROM log")
+def _(r):
+    return files.load_log(r.spark, _saved(r)).select("chain_id", "step", "node_id", "old_color", "new_color")
+
+
+@query("s17_catalogue", """z AS (SELECT 1) SELECT chain_id, CASE WHEN chain_id = 0 THEN 'listed before' ELSE 'flip' END AS class, 2.0::DOUBLE AS measure_beta, steps AS run_length,
+(SELECT count(*) FROM nodes) AS graph_size, (SELECT CAST(count(DISTINCT district_id) AS INT) FROM start) AS num_districts, true AS dated FROM len""")
+def _(r):
+    found = files.found_runs(r.spark, _saved(r), r.nodes, r.start, {"class": "flip", "beta": 1.0, "measure_beta": 2.0, "score_weights": [1.0], "score_funcs": ["cut_length"]})
+    listed = found.where("filepath like '%chain_id=0'").withColumn("class", F.lit("listed before"))
+    chain = F.regexp_extract("filepath", "chain_id=(\\d+)$", 1).cast("long").alias("chain_id")
+    return files.new_runs(found, listed).select(chain, "class", "measure_beta", "run_length", "graph_size", "num_districts", (F.col("mod_time") > 0).alias("dated"))
+
+
+@query("s18_json_result", "z AS (SELECT 1) SELECT district_id, population FROM dist")
+def _(r):
+    path = scratch(r, "result")
+    files.save_result(aggregates.by_district(r.nodes, r.start).select("district_id", "population"), path, "json")
+    delete_at_end(r.spark, path)
+    return r.spark.read.schema("district_id int, population long").json(path)
+
+
+@query("s19_kept_result", "z AS (SELECT 1) SELECT district_id, area FROM dist")
+def _(r):
+    path = scratch(r, "result")
+    whole = aggregates.by_district(r.nodes, r.start).select("district_id", "area")
+    for df in (whole, whole.limit(0)):  # what is there already stays
+        files.save_result(df, path)
+    delete_at_end(r.spark, path)
+    return r.spark.read.parquet(path)
+
+
+@query("p14_new_runs", "z AS (SELECT 1) SELECT chain_id, steps, chain_id % 2 = 0 AS listed FROM len")
+def _(r):
+    found = replay.lengths(r.log).select("chain_id", "steps", F.col("chain_id").cast("string").alias("filepath"), F.lit(False).alias("listed"))
+    listed = found.where("chain_id % 2 = 0").withColumn("listed", F.lit(True))
+    return files.new_runs(found, listed).drop("filepath")
+
+
+@query("m14_json", "z AS (SELECT 1) SELECT node_id, x, y, population, area FROM nodes")
+def _(r):
+    return files.from_json(files.to_json(r.nodes), "node_id long, x long, y long, population long, area double")
 
 
 @query("s6_cut_edge_assignment", """cc AS (SELECT node_id AS a, node_id AS b FROM nodes UNION SELECT cc.a, s.other FROM cc JOIN sym s ON s.node_id = cc.b
@@ -172,33 +291,53 @@ def _(r):
     return graph.components(r.nodes, inner)
 
 
-CUTV = """wide AS (SELECT node_id, CAST(x * 2 // ((SELECT max(x) FROM nodes) + 1) AS INT) AS district_id FROM nodes),
+#: Every column of the grid is a district: all its nodes but the ends are cut vertices.
+CUTV = """wide AS (SELECT node_id, CAST(x AS INT) AS district_id FROM nodes),
 we AS (SELECT e.u, e.v FROM edges e JOIN wide a ON a.node_id = u JOIN wide b ON b.node_id = v WHERE a.district_id = b.district_id),
 ws AS (SELECT u AS a, v AS b FROM we UNION ALL SELECT v, u FROM we),
 reach AS (SELECT g.node_id AS gone, (SELECT min(s.b) FROM ws s WHERE s.a = g.node_id) AS here FROM wide g
   UNION SELECT r.gone, s.b FROM reach r JOIN ws s ON s.a = r.here WHERE s.b <> r.gone),
 cutv AS (SELECT g.node_id, g.district_id FROM wide g WHERE EXISTS (SELECT 1 FROM ws WHERE ws.a = g.node_id AND NOT EXISTS (SELECT 1 FROM reach r WHERE r.gone = g.node_id AND r.here = ws.b)))
 """
+NARROW = 0.03
 
 
-def _halves(r):
-    widest = r.nodes.agg(F.max("x").alias("m"))
-    return r.nodes.join(F.broadcast(widest), how="left").select("node_id", F.expr("x * 2 div (m + 1)").cast("int").alias("district_id"))
+def _columns(r):
+    return r.nodes.select("node_id", F.col("x").cast("int").alias("district_id"))
 
 
 @query("j8_cut_vertices", CUTV + "SELECT district_id, node_id FROM cutv")
 def _(r):
-    return graph.cut_vertices(_halves(r), r.edges)
+    return graph.cut_vertices(_columns(r), r.edges)
 
 
-@query("p5_feasible_proposals", CUTV + """, wc AS (SELECT e.u, e.v, a.district_id AS cu, b.district_id AS cv FROM edges e JOIN wide a ON a.node_id = u JOIN wide b ON b.node_id = v WHERE a.district_id <> b.district_id),
+@query("p5_feasible_proposals", CUTV + f""", wc AS (SELECT e.u, e.v, a.district_id AS cu, b.district_id AS cv FROM edges e JOIN wide a ON a.node_id = u JOIN wide b ON b.node_id = v WHERE a.district_id <> b.district_id),
 wm AS (SELECT DISTINCT * FROM (SELECT u AS node_id, cu AS old_color, cv AS new_color FROM wc UNION ALL SELECT v, cv, cu FROM wc)),
-wp AS (SELECT district_id, sum(population) AS p FROM nodes JOIN wide USING (node_id) GROUP BY 1), tot AS (SELECT sum(population) AS t FROM nodes)
+wp AS (SELECT district_id, sum(population) AS p FROM nodes JOIN wide USING (node_id) GROUP BY 1), tot AS (SELECT sum(population) AS t, max(x) + 1 AS k FROM nodes)
 SELECT wm.* FROM wm JOIN nodes USING (node_id) JOIN wp o ON o.district_id = old_color JOIN wp n ON n.district_id = new_color, tot
-WHERE o.p - population > t / 2 - t * 0.9 / 2 AND n.p + population < t / 2 + t * 0.9 / 2 AND node_id NOT IN (SELECT node_id FROM cutv)""")
+WHERE o.p - population > t / k - t * {NARROW} / 2 AND n.p + population < t / k + t * {NARROW} / 2 AND node_id NOT IN (SELECT node_id FROM cutv)""")
 def _(r):
-    a = _halves(r)
-    return graph.feasible(graph.proposals(graph.cut_edges(r.edges, a)), r.nodes, a, r.edges, 2, TOLERANCE)
+    a = _columns(r)
+    districts = r.nodes.agg(F.max("x") + 1).first()[0]
+    return graph.feasible(graph.proposals(graph.cut_edges(r.edges, a)), r.nodes, a, r.edges, districts, NARROW)
+
+
+@query("p4_population_band", """a AS (SELECT node_id % 3 AS district_id, population FROM nodes), t AS (SELECT sum(population) AS t FROM nodes)
+SELECT CAST(district_id AS INT) AS district_id, CAST(sum(population) AS BIGINT) AS population, round(max(t) / 3 - max(t) * 0.01 / 2, 6) AS least, round(max(t) / 3 + max(t) * 0.01 / 2, 6) AS most,
+sum(population) > max(t) / 3 - max(t) * 0.01 / 2 AND sum(population) < max(t) / 3 + max(t) * 0.01 / 2 AS inside FROM a, t GROUP BY district_id""")
+def _(r):
+    total = r.nodes.agg(F.sum("population").alias("total"))  # one row
+    per = r.nodes.groupBy((F.col("node_id") % 3).cast("int").alias("district_id")).agg(F.sum("population").alias("population")).join(F.broadcast(total), how="left")
+    least, most = graph.population_band(F.col("total"), 3, 0.01)
+    per = per.withColumns({"least": least, "most": most})
+    return r6(per.withColumn("inside", (F.col("population") > F.col("least")) & (F.col("population") < F.col("most"))).drop("total"), "least", "most")
+
+
+@query("p13_square_guard", "z AS (SELECT 1) SELECT district_id, n_nodes, CAST(floor(sqrt(n_nodes)) * floor(sqrt(n_nodes)) = n_nodes AS BOOLEAN) AS square FROM dist UNION ALL SELECT -1, n * n, true FROM gridn")
+def _(r):
+    grid = lattice.square_nodes(ids(r, "customer", "c_custkey"), side(r)).agg(F.lit(-1).alias("district_id"), F.count("*").alias("n_nodes"))
+    both = aggregates.by_district(r.nodes, r.start).select("district_id", "n_nodes").unionByName(grid)
+    return both.withColumn("square", scores.is_square(F.col("n_nodes")))
 
 
 for _name, _cols in (("g1_population", ["population"]), ("g3_area", ["area"]), ("g8_boundary_nodes", ["boundary_nodes"])):
@@ -284,18 +423,54 @@ def _(r):
     return scores.population_delta(_moves(r), r.nodes, r.start)
 
 
+M5 = """t AS (SELECT m.node_id, old_color, new_color, coalesce(sum(border_length) FILTER (district_id = old_color), 0) AS o, coalesce(sum(border_length) FILTER (district_id = new_color), 0) AS w,
+    coalesce(sum(border_length) FILTER (district_id NOT IN (old_color, new_color)), 0) AS th
+  FROM moves m JOIN sym s ON s.node_id = m.node_id JOIN start a ON a.node_id = s.other GROUP BY ALL),
+m5 AS (SELECT t.node_id, old_color, new_color, pow(po.perimeter + o - w - th - external_border, 2) / nullif(do_.area - n.area, 0) + pow(pn.perimeter + o - w + th + external_border, 2) / (dn.area + n.area)
+  - pow(po.perimeter, 2) / do_.area - pow(pn.perimeter, 2) / dn.area AS score
+FROM t JOIN nodes n USING (node_id) JOIN per po ON po.district_id = old_color JOIN per pn ON pn.district_id = new_color
+JOIN dist do_ ON do_.district_id = old_color JOIN dist dn ON dn.district_id = new_color),
+m6 AS (SELECT m.node_id, old_color, new_color, 2 * n.population * (b.population - a.population + n.population) AS score
+FROM moves m JOIN nodes n USING (node_id) JOIN dist a ON a.district_id = old_color JOIN dist b ON b.district_id = new_color)
+"""
+
+
+@query("m7_deviation_after_move", M5 + """, i AS (SELECT avg(population) AS i FROM dist), d AS (SELECT sum((population - i) * (population - i)) AS d FROM dist, i)
+SELECT node_id, old_color, new_color, round(sqrt(greatest(d + score, 0)), 3) AS score FROM m6, d""")
+def _(r):
+    out = scores.deviation_after(_moves(r), r.nodes, r.start)
+    return out.withColumn("score", F.round("score", 3))
+
+
+@query("m9_weighted_score", M3.rstrip() + ", " + M5 + f"""SELECT node_id, old_color, new_color, round({ENERGY[0]} * m3.score + {ENERGY[1]} * m5.score + {ENERGY[2]} * m6.score, 6) AS score
+FROM m3 JOIN m5 USING (node_id, old_color, new_color) JOIN m6 USING (node_id, old_color, new_color)""")
+def _(r):
+    m = _moves(r)
+    parts = [scores.cut_delta(m, r.edges, r.start), scores.compactness_delta(m, r.nodes, r.edges, r.start), scores.population_delta(m, r.nodes, r.start)]
+    return r6(scores.weighted(m, list(zip(ENERGY, parts))), "score")
+
+
+_turn = "(node_id % 8 + 0.5) * pi() / 4"
+
+
+@query("m12_rotation", f"z AS (SELECT 1) SELECT node_id, round(cos({_turn}), 6) AS m00, round(sin({_turn}), 6) AS m01, round(-sin({_turn}), 6) AS m10, round(cos({_turn}), 6) AS m11 FROM nodes")
+def _(r):
+    theta = (F.col("node_id") % 8 + 0.5) * F.pi() / 4
+    return r6(r.nodes.select("node_id", *scores.rotation_matrix(theta)), "m00", "m01", "m10", "m11")
+
+
 FLOW = """f AS (SELECT m.*, n.x, n.y, a.cx AS ax, a.cy AS ay, a.n_nodes AS an, b.cx AS bx, b.cy AS by_, b.n_nodes AS bn FROM moves m JOIN nodes n USING (node_id)
   JOIN dist a ON a.district_id = old_color JOIN dist b ON b.district_id = new_color),
 g AS (SELECT *, (ax * an - x) / nullif(an - 1, 0) AS ax2, (ay * an - y) / nullif(an - 1, 0) AS ay2, (bx * bn + x) / (bn + 1) AS bx2, (by_ * bn + y) / (bn + 1) AS by2 FROM f),
 h AS (SELECT node_id, old_color, new_color,
     ((ay2 - ay) * ((ax + ax2) / 2 - 4.5) - (ax2 - ax) * ((ay + ay2) / 2 - 4.5)) / nullif(sqrt(pow((ax + ax2) / 2 - 4.5, 2) + pow((ay + ay2) / 2 - 4.5, 2)) * sqrt(pow(ax2 - ax, 2) + pow(ay2 - ay, 2)), 0)
     + ((by2 - by_) * ((bx + bx2) / 2 - 4.5) - (bx2 - bx) * ((by_ + by2) / 2 - 4.5)) / nullif(sqrt(pow((bx + bx2) / 2 - 4.5, 2) + pow((by_ + by2) / 2 - 4.5, 2)) * sqrt(pow(bx2 - bx, 2) + pow(by2 - by_, 2)), 0) AS turn FROM g)
-SELECT node_id, old_color, new_color, round(turn, 6) AS turn FROM h"""
+SELECT node_id, old_color, new_color, round(turn, 6) AS turn, coalesce(turn > 0, true) AS kept FROM h"""
 
 
 @query("p7_centre_flow", FLOW)
 def _(r):
-    return r6(scores.centre_flow(_moves(r), r.nodes, r.start, CENTRE).drop("kept"), "turn")
+    return r6(scores.centre_flow(_moves(r), r.nodes, r.start, CENTRE), "turn")
 
 
 @query("p9_edge_orientation", """z AS (SELECT 1) SELECT u, v, CASE WHEN (b.y - a.y) * ((a.x + b.x) / 2 - 4.5) - (b.x - a.x) * ((a.y + b.y) / 2 - 4.5) >= 0 THEN 1 ELSE -1 END AS sign
@@ -400,13 +575,95 @@ def _(r):
     return r6(replay.centre_trace(r.log, r.start, r.nodes), "cx", "cy")
 
 
-@query("t15_energy_trace", """z AS (SELECT 1) SELECT a.chain_id, a.step, count(*) AS n_cut FROM edges JOIN at_step a ON a.node_id = u JOIN at_step b ON b.node_id = v AND b.chain_id = a.chain_id AND b.step = a.step
-WHERE a.color <> b.color AND a.step % 50 = 0 GROUP BY ALL""")
+@query("t15_energy_trace", f"""tot AS (SELECT CAST(sum(population) AS DOUBLE) AS t FROM nodes),
+nc AS (SELECT chain_id, step, count(*) AS n_cut FROM eas GROUP BY ALL),
+en AS (SELECT chain_id, step, sum(perimeter * perimeter / area) AS compactness, sum(population * population) - max(t) * max(t) / 5 AS population_sq FROM dst JOIN pst USING (chain_id, step, district_id), tot GROUP BY ALL)
+SELECT chain_id, step, coalesce(n_cut, 0) AS n_cut, round(compactness, 6) AS compactness, round(population_sq, 1) AS population_sq,
+  round({ENERGY[0]} * coalesce(n_cut, 0) + {ENERGY[1]} * compactness + {ENERGY[2]} * population_sq, 6) AS energy FROM en LEFT JOIN nc USING (chain_id, step)""")
 def _(r):
-    s = replay.snapshots(replay.intervals(r.log, r.start), EVERY)
-    u = s.select("chain_id", "step", F.col("node_id").alias("u"), F.col("color").alias("cu"))
-    v = s.select("chain_id", "step", F.col("node_id").alias("v"), F.col("color").alias("cv"))
-    return r.edges.join(u, "u").join(v, ["chain_id", "step", "v"]).where("cu <> cv").groupBy("chain_id", "step").agg(F.count("*").alias("n_cut"))
+    out = replay.energy_trace(r.log, r.start, r.nodes, r.edges, derived.DISTRICTS, ENERGY)
+    return r6(out, "compactness", "energy").withColumn("population_sq", F.round("population_sq", 1))
+
+
+def _at_steps(r, *names):
+    at = replay.by_step(replay.district_traces(r.log, r.start, r.nodes, r.edges).where("n > 0"))
+    return at.select("chain_id", "step", "district_id", *names)
+
+
+@query("v3_perimeter_area", "z AS (SELECT 1) SELECT chain_id, step, district_id, perimeter, area FROM dst JOIN pst USING (chain_id, step, district_id)")
+def _(r):
+    return _at_steps(r, "perimeter", "area")
+
+
+@query("v4_population", "z AS (SELECT 1) SELECT chain_id, step, district_id, CAST(population AS BIGINT) AS population FROM dst")
+def _(r):
+    return _at_steps(r, "population")
+
+
+@query("v7_boundary_nodes", "z AS (SELECT 1) SELECT chain_id, step, district_id, boundary_nodes FROM dst")
+def _(r):
+    return _at_steps(r, "boundary_nodes")
+
+
+@query("v6_district_boundary", "z AS (SELECT 1) SELECT chain_id, step, least(cu, cv) AS c1, greatest(cu, cv) AS c2, count(*) AS n_edges, CAST(sum(border_length) AS BIGINT) AS length FROM eas GROUP BY ALL")
+def _(r):
+    return replay.by_step(replay.boundary_traces(r.log, r.start, r.edges))
+
+
+@query("t14_acceptance_replay", """sc AS (SELECT l.chain_id, l.step, l.node_id, old_color, new_color, count(*) FILTER (a.color = old_color) - count(*) FILTER (a.color = new_color) AS score
+  FROM log l JOIN sym s ON s.node_id = l.node_id JOIN at_step a ON a.node_id = s.other AND a.chain_id = l.chain_id AND a.step = l.step WHERE l.node_id IS NOT NULL GROUP BY ALL)
+SELECT *, round(exp(least(-0.5 * 2 * score, 700)), 6) AS chance FROM sc""")
+def _(r):
+    return r6(replay.move_scores(r.log, r.start, r.edges).withColumn("chance", scores.chance(F.col("score"), 2.0)), "chance")
+
+
+def _colours(chain, moves, colour):
+    """(chain_id, step, zeros, colours): nodes of colour 0 and colours in use after each step."""
+    import pandas as pd
+
+    held, out = {}, []
+    for c in colour.values():
+        held[c] = held.get(c, 0) + 1
+    for step, node, new in zip(moves["step"].tolist(), moves["node_id"].tolist(), moves["new_color"].tolist()):
+        if node == node and node is not None:
+            held[colour[int(node)]] -= 1
+            colour[int(node)] = int(new)
+            held[int(new)] = held.get(int(new), 0) + 1
+        out.append((chain, int(step), held.get(0, 0), sum(n > 0 for n in held.values())))
+    return pd.DataFrame(out, columns=["chain_id", "step", "zeros", "colours"])
+
+
+@query("t1_generic_replay", "z AS (SELECT 1) SELECT chain_id, step, count(*) FILTER (color = 0) AS zeros, count(DISTINCT color) AS colours FROM at_step GROUP BY ALL")
+def _(r):
+    return replay.replay(r.log, r.start, _colours, "chain_id long, step long, zeros long, colours long", stretch=512)
+
+
+@query("x5_sample_steps", "o AS (SELECT chain_id, step, row_number() OVER (PARTITION BY chain_id ORDER BY md5(step || ':7'), step) AS k FROM log) SELECT chain_id, step FROM o WHERE k <= 20")
+def _(r):
+    return autocorr.sample_steps(r.log, 20, 7, block=1000)
+
+
+# -- one step of a sampler, for all chains at once -----------------------------
+PROPOSED = """pn AS (SELECT a.chain_id, a.node_id, a.district_id AS old_color, b.district_id AS other FROM fin a JOIN sym s ON s.node_id = a.node_id JOIN fin b ON b.node_id = s.other AND b.chain_id = a.chain_id),
+pr AS (SELECT chain_id, node_id, old_color, other AS new_color, count(*) AS n FROM pn WHERE other <> old_color GROUP BY ALL),
+ow AS (SELECT chain_id, node_id, count(*) AS own FROM pn WHERE other = old_color GROUP BY ALL),
+ps AS (SELECT pr.chain_id, pr.node_id, old_color, new_color, coalesce(own, 0) - n AS score FROM pr LEFT JOIN ow USING (chain_id, node_id))
+"""
+
+
+@query("k1_step_proposals", PROPOSED + "SELECT chain_id, node_id, old_color, new_color, score, round(exp(least(-0.5 * score, 700)), 6) AS weight FROM ps")
+def _(r):
+    moves = graph.step_proposals(replay.state_at_end(r.log, r.start), r.edges)
+    return r6(moves.withColumn("weight", scores.chance(F.col("score"), 1.0)), "weight")
+
+
+@query("k3_weighted_pick", PROPOSED + """, wt AS (SELECT *, -ln((CAST('0x' || substr(md5('7:' || chain_id || ':' || node_id || ':' || old_color || ':' || new_color), 1, 12) AS BIGINT) + 1) / 281474976710656) / exp(least(-0.5 * score, 700)) AS w FROM ps),
+bk AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY w, node_id, old_color, new_color) AS k FROM wt)
+SELECT chain_id, node_id, old_color, new_color, score, round(exp(least(-0.5 * 2 * score, 700)), 6) AS chance FROM bk WHERE k = 1""")
+def _(r):
+    moves = graph.step_proposals(replay.state_at_end(r.log, r.start), r.edges)
+    picked = graph.weighted_pick(moves, scores.chance(F.col("score"), 1.0), seed=7)
+    return r6(picked.withColumn("chance", scores.chance(F.col("score"), 2.0)), "chance")
 
 
 # -- diagnostics -------------------------------------------------------------
@@ -429,7 +686,7 @@ def _(r):
 
 
 @query("w2_phi", """f AS (SELECT chain_id, step, max(abs(n / (step + 1) - share)) AS phi FROM runs JOIN pibar USING (state) WHERE step < (SELECT min(steps) FROM len) GROUP BY ALL)
-SELECT step, round(avg(phi), 6) AS phi_mean, round(var_pop(phi), 6) AS phi_var FROM f GROUP BY step""")
+SELECT step, round(CAST(sum(CAST(phi AS DECIMAL(18,12))) AS DOUBLE) / count(*), 6) AS phi_mean, round(var_pop(phi), 6) AS phi_var FROM f GROUP BY step""")
 def _(r):
     return r6(diagnostics.running_distance(_wins(r), "wins"), "phi_mean", "phi_var")
 
@@ -541,14 +798,4 @@ def _(r):
     return corners.core_sets(replay.intervals(r.log, r.start), corners.probe_ids(r.nodes, strict_reference=False))
 
 
-# -- samplers: one chain a supplier, on one grid ------------------------------
-def _chains(r):
-    s = derived.table(r.spark, r.dir, "supplier")
-    return s.select(F.col("s_suppkey").alias("chain_id"), F.lit(50).alias("steps"), F.lit(1.0).alias("beta"), F.lit(2.0).alias("measure_beta"))
-
-
-for _kernel in sampler.KERNELS:
-    query(f"k_{_kernel}")(lambda r, k=_kernel: sampler.sample(_chains(r), sampler.Grid(6, 2, 0.9), k))
-
-
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(relations(spark, sf_dir))) for name, f in _B.items()}

@@ -49,8 +49,8 @@ def save_log(log: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def load_log(spark: SparkSession, path: str) -> DataFrame:
-    log = spark.read.schema("step long, node_id long, old_color int, new_color int, chain_id long").parquet(path)
-    return log.select("chain_id", "step", "node_id", "old_color", "new_color")
+    """step, node_id, old_color, new_color, chain_id, with the files' metadata."""
+    return spark.read.schema("step long, node_id long, old_color int, new_color int, chain_id long").parquet(path)
 
 
 def save_result(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool = False) -> None:
@@ -58,6 +58,45 @@ def save_result(df: DataFrame, path: str, fmt: str = "parquet", overwrite: bool
     df.write.mode("overwrite" if overwrite else "ignore").format(fmt).save(path)
 
 
+def save_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
+    """The four headerless files of a graph folder; outer borders are edges of node -1."""
+    outer = nodes.where("external_border > 0").select(F.lit(-1).cast("long").alias("a"), F.col("node_id").alias("b"), F.col("external_border").cast("double").alias("l"))
+    inner = edges.select(F.col("u").alias("a"), F.col("v").alias("b"), F.col("border_length").cast("double").alias("l"))
+    both = inner.unionByName(inner.select(F.col("b").alias("a"), F.col("a").alias("b"), "l"))
+    parts = {"BORDERLENGTHS": outer.unionByName(both), "CENTROIDS": nodes.select("node_id", "x", "y"), "POPULATION": nodes.select("node_id", "population"), "AREAS": nodes.select("node_id", "area")}
+    for name, df in parts.items():
+        df.write.option("sep", "\t").csv(f"{folder}/G_{name}.txt")
+
+
+def found_runs(spark: SparkSession, folder: str, nodes: DataFrame, assignment: DataFrame, settings: dict) -> DataFrame:
+    """The catalogue rows of the runs saved under ``folder``: one a chain folder, listed by Spark's own file index.
+
+    Length and modification time are of the files; size and population of
+    the graph; what a log does not hold (class, beta, ...) comes from ``settings``.
+    """
+    log = load_log(spark, folder).select("step", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_modification_time").alias("t"))
+    runs = log.groupBy(F.regexp_extract("f", "^(.*)/[^/]*$", 1).alias("filepath")).agg(F.count("*").alias("run_length"), F.max("t").cast("double").alias("mod_time"))
+    graph = nodes.join(assignment, "node_id").agg(F.count("*").alias("graph_size"), F.countDistinct("district_id").cast("int").alias("num_districts"))
+    runs = runs.join(F.broadcast(graph), how="left")  # one row
+    kinds = {f.split()[0]: f.split()[1] for f in CATALOGUE.replace(", ", ",").split(",")}
+    have = {"filepath", "run_length", "mod_time", "graph_size", "num_districts"}
+    return runs.select(*[F.col(c).cast(t).alias(c) if c in have else _literal(settings.get(c), t).alias(c) for c, t in kinds.items()])
+
+
+def _literal(value, kind: str):
+    column = F.lit(None) if value is None else F.array(*[F.lit(x) for x in value]) if isinstance(value, (list, tuple)) else F.lit(value)
+    return column.cast(kind)
+
+
 def new_runs(found: DataFrame, catalogue: DataFrame) -> DataFrame:
     """The catalogue with the runs found that it does not list yet."""
     return catalogue.unionByName(found.join(catalogue, "filepath", "left_anti").select(*catalogue.columns))
+
+
+def to_json(df: DataFrame) -> DataFrame:
+    """Rows as JSON text, one column ``json``."""
+    return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
+
+
+def from_json(text: DataFrame, schema: str) -> DataFrame:
+    return text.select(F.from_json("json", schema).alias("r")).select("r.*")

@@ -4,23 +4,23 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
 
 
-def square_nodes(spark: SparkSession, n: int) -> DataFrame:
-    """An n x n grid: node i*n+j at (i, j), population and area 1."""
+def square_nodes(ids: DataFrame, n: int) -> DataFrame:
+    """An n x n grid of the ids 0 to n*n-1: node i*n+j at (i, j), population and area 1."""
     x, y = F.expr(f"id div {n}"), F.col("id") % n
     ends = [(x == 0), (x == n - 1), (y == 0), (y == n - 1)]
     edge = (ends[0] | ends[1]).cast("long") + (ends[2] | ends[3]).cast("long")
-    out = spark.range(n * n).select(F.col("id").alias("node_id"), x.alias("x"), y.alias("y"), F.lit(1).cast("long").alias("population"), F.lit(1.0).alias("area"), edge.alias("external_border"))
+    out = ids.where(F.col("id").between(0, n * n - 1)).select(F.col("id").alias("node_id"), x.alias("x"), y.alias("y"), F.lit(1).cast("long").alias("population"), F.lit(1.0).alias("area"), edge.alias("external_border"))
     return out.withColumn("boundary", F.col("external_border") > 0)
 
 
-def square_edges(spark: SparkSession, n: int) -> DataFrame:
-    ids = spark.range(n * n)
+def square_edges(ids: DataFrame, n: int) -> DataFrame:
+    ids = ids.where(F.col("id").between(0, n * n - 1))
     right = ids.where(F.col("id") % n < n - 1).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     down = ids.where(F.col("id") < n * (n - 1)).select(F.col("id").alias("u"), (F.col("id") + n).alias("v"))
     return right.unionByName(down).withColumn("border_length", F.lit(1).cast("long"))
@@ -45,12 +45,13 @@ def from_cut_edges(nodes: DataFrame, edges: DataFrame, removed: DataFrame) -> Da
     return components(nodes, left).withColumnRenamed("component_id", "district_id")
 
 
-def star(spark: SparkSession, n: int, points: int, districts: int = 2) -> tuple[DataFrame, DataFrame]:
-    """``points`` on a circle, n nodes between each pair of neighbours, linked to both."""
-    rim = spark.range(points).select(F.col("id").alias("node_id"), F.sin(F.col("id") * 2 * math.pi / points).alias("x"), F.cos(F.col("id") * 2 * math.pi / points).alias("y"))
-    between = spark.range(points * n).select((F.col("id") + points).alias("node_id"), F.expr(f"id div {n}").alias("a"), (F.col("id") % n).alias("k"))
+def star(rim: DataFrame, between: DataFrame, n: int, points: int) -> tuple[DataFrame, DataFrame]:
+    """``points`` on a circle (ids 0 to points-1), and n nodes (ids from 0) between each pair of neighbours, linked to both."""
+    turn = 2 * math.pi / points
+    rim = rim.where(F.col("id").between(0, points - 1)).select(F.col("id").alias("node_id"), F.sin(F.col("id") * turn).alias("x"), F.cos(F.col("id") * turn).alias("y"))
+    between = between.where(F.col("id").between(0, points * n - 1)).select((F.col("id") + points).alias("node_id"), F.expr(f"id div {n}").alias("a"), (F.col("id") % n).alias("k"))
     b = (F.col("a") + 1) % points
-    angle = (F.col("a") + 0.5) * 2 * math.pi / points
+    angle = (F.col("a") + 0.5) * turn
     radius = (F.col("k") + 1) / (n + 1)
     inner = between.select("node_id", (radius * F.sin(angle)).alias("x"), (radius * F.cos(angle)).alias("y"))
     links = between.select(F.col("a").alias("u"), F.col("node_id").alias("v")).unionByName(between.select(b.alias("u"), F.col("node_id").alias("v")))

@@ -37,7 +37,11 @@ def running_flips(stream: DataFrame) -> DataFrame:
 
 
 def dwell(stream: DataFrame) -> DataFrame:
-    """(chain_id, node_id, color, dwell): a stretch of one colour, sent when the node leaves it."""
+    """(chain_id, node_id, color, dwell): a stretch of one colour, sent when the node leaves it.
+
+    The stretch that a node is still in is not sent, so sums lack what the
+    batch operator adds for it up to the end of the log.
+    """
 
     def run(key, frames, state):
         since = state.get[0] if state.exists else 0

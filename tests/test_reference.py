@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import scores
-from tessella.operators import diagnostics, graph, replay, sampler, scan
+from tessella.operators import aggregates, autocorr, diagnostics, graph, replay, scan
 from tessella.plans import registry
 from tessella.sources import derived, files, lattice
 from tessella.streaming import replay as streaming
@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.mark.parametrize("n,k,sizes", [(40, 2, [800, 800]), (40, 3, [515, 570, 515]), (41, 2, [820, 841, 20]), (5, 3, [7, 9, 7, 2])])
 def test_angular_sizes(spark, n, k, sizes):
-    got = lattice.angular(lattice.square_nodes(spark, n), n, k).groupBy("district_id").count().orderBy("district_id").collect()
+    got = lattice.angular(lattice.square_nodes(spark.range(n * n), n), n, k).groupBy("district_id").count().orderBy("district_id").collect()
     assert [r["count"] for r in got] == sizes
 
 
@@ -77,25 +77,60 @@ def test_quantised_halves_go_to_even(spark):
     assert [r["q"] for r in got] == [round(0.41 * 100) / 100 / 2, 0.5]
 
 
-def test_same_seed_gives_the_same_log(spark):
-    chains = spark.createDataFrame([(i, 40, 1.0, 2.0) for i in range(3)], "chain_id long, steps int, beta double, measure_beta double")
-    for kernel in sampler.KERNELS:
-        a = sampler.sample(chains, sampler.Grid(5, 2, 0.9), kernel).orderBy("chain_id", "step").collect()
-        b = sampler.sample(chains.repartition(2), sampler.Grid(5, 2, 0.9), kernel).orderBy("chain_id", "step").collect()
-        assert a == b and len(a) == 120
+def test_weighted_pick_respects_the_weights(spark):
+    moves = spark.range(4000).select(F.col("id").alias("chain_id"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("node_id"), F.lit(0).alias("old_color"), F.lit(1).alias("new_color"), F.lit(0).alias("score"))
+    got = graph.weighted_pick(moves, F.col("node_id") + 1.0, seed=3)
+    share = {r["node_id"]: r["count"] / 4000 for r in got.groupBy("node_id").count().collect()}
+    assert all(math.isclose(share[k], (k + 1) / 6, abs_tol=0.03) for k in range(3))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, graph.weighted_pick(moves.repartition(3), F.col("node_id") + 1.0, seed=3).collect()))
 
 
-def test_tempered_chain_respects_the_measure():
-    """On the 3x3 grid states by cut length 2, 3, 4, 5 have chances 0.3081, 0.4534, 0.1772, 0.0614."""
-    grid = sampler.Grid(3, 2, 0.8)
-    state, seen = sampler._State(grid), {}
-    for m in sampler.run_chain(grid, "tempered_flip", 0, 12000, 1.0, 2.0, 1):
-        if m[0] is not None:
-            state.flip(m[0], m[2])
-        cut = sum(state.colour[v] != state.colour[w] for v in range(9) for w in state.near[v]) // 2
-        seen[cut] = seen.get(cut, 0) + 1
-    for cut, want in {2: 0.3081, 3: 0.4534, 4: 0.1772, 5: 0.0614}.items():
-        assert math.isclose(seen[cut] / 12000, want, abs_tol=0.06)
+def test_neighbour_over_empty_blocks(spark):
+    rows = [(k, s) for k in (0, 1) for s in (0, 3, 4, 41, 42, 90)] + [(2, 7)]
+    df = spark.createDataFrame(rows, "k int, s long")
+    for ahead in (False, True):
+        got = scan.neighbour(df, ["k"], "s", {"x": F.col("s")}, ahead=ahead, block=10).collect()
+        own = [0, 3, 4, 41, 42, 90]
+        near = dict(zip(own, own[1:] + [None])) if ahead else dict(zip(own, [None] + own[:-1]))
+        assert {(r["k"], r["s"]): r["x"] for r in got} == {**{(k, s): near[s] for k in (0, 1) for s in own}, (2, 7): None}
+
+
+def test_acf_in_blocks_equals_one_block(spark):
+    df = spark.range(300).select((F.col("id") % 2).alias("chain_id"), F.expr("id div 2").alias("step"), (F.col("id") * 37 % 11).alias("v"))
+    one = {(r["chain_id"], r["lag"]): r["acf"] for r in diagnostics.autocorrelation(df, "v", 5).collect()}
+    many = {(r["chain_id"], r["lag"]): r["acf"] for r in diagnostics.autocorrelation(df, "v", 5, block=16).collect()}
+    assert one.keys() == many.keys() and len(one) == 12 and all(math.isclose(one[k], many[k], abs_tol=1e-9) for k in one)
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    path = [(i, i + 1) for i in range(0, 90)] + [(200, i) for i in range(201, 260)] + [(300, 300)]
+    e = spark.createDataFrame(path, "u long, v long")
+    n = spark.createDataFrame([(i,) for i in [*range(0, 91), *range(200, 260), 300, 301]], "node_id long")
+    got = {r["node_id"]: r["component_id"] for r in graph.components(n, e).collect()}
+    assert got == {**dict.fromkeys(range(91), 0), **dict.fromkeys(range(200, 260), 200), 300: 300, 301: 301}
+
+
+def test_lists_make_a_state(spark):
+    n, e, a = files.from_lists(spark, [(1, 0.0, 0.0, 5, 1.0), (2, 1.0, 0.0, 7, 1.0)], [(1, 2, 3.0)], {1: 0, 2: 1})
+    assert aggregates.by_district(n, a).agg(F.sum("population")).first()[0] == 12
+    assert [tuple(r) for r in graph.cut_edges(e, a).collect()] == [(1, 2, 3.0, 0, 1)]
+
+
+def test_points_in_buckets_equal_plain_agreement(spark):
+    r = registry.relations(spark, SF)
+    held, nodes = replay.intervals(r.log, r.start), r.nodes
+    near = {(x["chain_id"], x["dist"]): x["g"] for x in autocorr.from_points(held, nodes, 50, 37, 5).collect()}
+    log, start = r.log.toPandas(), {x["node_id"]: x["district_id"] for x in r.start.collect()}
+    for chain in (0, 3):
+        colour, states = dict(start), []
+        for _, m in log[log["chain_id"] == chain].sort_values("step").iterrows():
+            if not pd.isna(m["node_id"]):
+                colour[int(m["node_id"])] = int(m["new_color"])
+            states.append(dict(colour))
+        for dist in (0, 5, 36):
+            locs = [k for k in range(0, len(states), 50) if k < len(states) - 37]
+            want = sum(sum(states[k][v] == states[k + dist][v] for v in start) for k in locs) / len(locs) - len(start) / 5
+            assert math.isclose(near[(chain, dist)], want, abs_tol=1e-9)
 
 
 def test_folder_votes_and_catalogue(spark, tmp_path):
@@ -120,3 +155,25 @@ def test_streamed_waits_equal_batch(spark, tmp_path):
     q = streaming.waits(streaming.log_stream(spark, str(tmp_path / "log"))).writeStream.format("memory").queryName("waits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("waits").collect())) == sorted(map(tuple, diagnostics.waits(log).collect()))
+
+
+def _streamed(spark, query, name, mode, tmp_path):
+    q = query.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return spark.table(name)
+
+
+def test_streamed_flips_and_dwell_equal_batch(spark, tmp_path):
+    r = registry.relations(spark, SF)
+    log = r.log.cache()
+    for low in (0, 120):
+        part = log.where((F.col("step") >= low) & (F.col("step") < low + 120 + 1000 * (low > 0)))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    flips = _streamed(spark, streaming.running_flips(streaming.log_stream(spark, str(tmp_path / "log"))), "flips", "complete", tmp_path)
+    assert sorted(map(tuple, flips.collect())) == sorted(map(tuple, replay.flips(log).collect()))
+    sent = _streamed(spark, streaming.dwell(streaming.log_stream(spark, str(tmp_path / "log"))), "dwells", "append", tmp_path)
+    # the stretch that a node is in has not ended: batch has it, the stream not yet
+    got = {(x[0], x[1], x[2]): x[3] for x in sent.groupBy("chain_id", "node_id", "color").agg(F.sum("dwell")).collect() if x[3]}
+    held = replay.intervals(log, r.start).join(replay.lengths(log), "chain_id").where("end_step < steps")
+    want = {(x[0], x[1], x[2]): x[3] for x in held.groupBy("chain_id", "node_id", "color").agg(F.sum(F.col("end_step") - F.col("start_step"))).collect()}
+    assert got == want
