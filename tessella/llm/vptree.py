@@ -147,8 +147,8 @@ def nearest(embeddings: DataFrame, k: int = 20, factor: float = 1.0, every: int
     shards = max(1, min(at_once, n // SHARD), -(-8 * (length or 0) // SHARD_BYTES))
     candidates = vectors.select("*", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"))
     asked = vectors.where(is_query).select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"))
-    # a shard's candidates come before its queries, which then pass by in batches
-    dealt = candidates.unionByName(asked).repartition(shards, "shard").sortWithinPartitions("shard", "query", "rid")
+    # a shard's candidates come before its queries, which then pass by in batches; spare partitions keep shards apart
+    dealt = candidates.unionByName(asked).repartition(4 * shards, "shard").sortWithinPartitions("shard", "query", "rid")
     names = ["query_id", "query_rid", "vec_id", "score"]
 
     def run(batches):
