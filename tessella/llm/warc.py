@@ -37,8 +37,11 @@ PIECE, SEND_BYTES = 4096, 8 << 20
 
 def base32_sha1(data: Column) -> Column:
     """Upper-case base32 of the SHA-1: each five hex digits are four base32 digits."""
+    return base32_of(F.sha1(data))
+
+
+def base32_of(whole: Column) -> Column:
     digits = F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-    whole = F.sha1(data)
 
     def four(i: Column) -> Column:
         n = F.conv(F.substring(whole, i * 5 + 1, F.lit(5)), 16, 10).cast("int")
@@ -58,10 +61,10 @@ def plan_records(pages: DataFrame) -> DataFrame:
     page_id, url and html, whatever their names, are not looked at.
     """
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), base32_sha1(html).alias("payload_digest"))
-    groups = rows.groupBy("payload_digest", "payload_bytes").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
-    shared = stored(groups.where("n > 1").select("payload_digest", "payload_bytes", "first_id"), "payloads").hint("merge")
-    out = rows.join(shared, ["payload_digest", "payload_bytes"], "left")
+    rows = pages.select("page_id", "url", html.alias("payload"), F.octet_length(html).cast("long").alias("payload_bytes"), F.sha1(html).alias("hex"))
+    groups = rows.groupBy("hex", "payload_bytes").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n"))
+    shared = stored(groups.where("n > 1").select("hex", "payload_bytes", "first_id"), "payloads").hint("merge")
+    out = rows.join(shared, ["hex", "payload_bytes"], "left").withColumn("payload_digest", base32_of(F.col("hex")))
     revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id"))
     return out.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id")))
 
