@@ -24,7 +24,8 @@ def common_steps(trace: DataFrame) -> DataFrame:
 
 def pooled_histogram(trace: DataFrame, value: str, states: int = STATES) -> DataFrame:
     """(state, share) over all chains and common steps, states without rows as 0."""
-    counted = _pooled(common_steps(trace), value, states)
+    rows = cut(trace.select("chain_id", "step", value), "trace")
+    counted = _pooled(common_steps(rows), value, states)
     return counted.select(F.posexplode("pooled").alias("state", "share")).select(F.col("state").cast("long"), "share")
 
 
@@ -47,7 +48,8 @@ def running_counts(trace: DataFrame, value: str, states: int = STATES) -> DataFr
 
 
 def running_share(trace: DataFrame, value: str, states: int = STATES) -> DataFrame:
-    return running_counts(trace, value, states).select("chain_id", "step", "state", (F.col("n") / (F.col("step") + 1)).alias("share"))
+    rows = cut(trace.select("chain_id", "step", value), "trace")
+    return running_counts(rows, value, states).select("chain_id", "step", "state", (F.col("n") / (F.col("step") + 1)).alias("share"))
 
 
 def running_distance(trace: DataFrame, value: str, states: int = STATES) -> DataFrame:
@@ -81,6 +83,7 @@ def rank_histogram(marginals: DataFrame) -> DataFrame:
 def rank_distances(marginals: DataFrame, thin: int) -> DataFrame:
     """(chain_id, rank, window, tv): after each full window of ``thin`` steps, the total variation
     between the chain so far and the pooled histogram."""
+    marginals = cut(marginals, "marginals")
     rows = marginals.where("share is not null").select("chain_id", "rank", F.floor(F.col("step") / thin).alias("window"), quantised(F.col("share")).alias("key"))
     full = marginals.groupBy("chain_id").agg(F.floor((F.max("step") + 1) / thin).alias("windows")).where("windows > 0")
     counts = rows.groupBy("chain_id", "rank", "window", "key").agg(F.count("*").alias("n"))
@@ -108,13 +111,14 @@ def farthest_chain(marginals: DataFrame, thin: int) -> DataFrame:
 
 def running_spread(trace: DataFrame, value: str, states: int = STATES) -> DataFrame:
     """(step, spread): the largest difference between two chains' counts of a state, over steps."""
-    per = running_counts(common_steps(trace), value, states).groupBy("step", "state").agg((F.max("n") - F.min("n")).alias("d"))
+    rows = cut(trace.select("chain_id", "step", value), "trace")
+    per = running_counts(common_steps(rows), value, states).groupBy("step", "state").agg((F.max("n") - F.min("n")).alias("d"))
     return per.groupBy("step").agg((F.max("d") / (F.first("step") + 1)).alias("spread"))
 
 
 def unwrapped(trace: DataFrame, centre: DataFrame) -> DataFrame:
     """(chain_id, district_id, step, angle): angles about one centre (x, y), carried on over turns."""
-    at = trace.join(F.broadcast(centre), how="left")
+    at = cut(trace.select("chain_id", "district_id", "step", "cx", "cy"), "trace").join(F.broadcast(centre), how="left")
     at = at.withColumn("theta", F.atan2(F.col("cy") - F.col("y"), F.col("cx") - F.col("x")))
     at = neighbour(at, ["chain_id", "district_id"], "step", {"before": F.col("theta")})
     before = F.col("before")
@@ -128,6 +132,7 @@ def unwrapped(trace: DataFrame, centre: DataFrame) -> DataFrame:
 
 def transitions(series: DataFrame, value: str) -> DataFrame:
     """(chain_id, step, value): step 0, then every value that differs from the one kept before; nulls go."""
+    series = cut(series.select("chain_id", "step", value), "series")
     kept = series.where(F.col(value).isNotNull() | (F.col("step") == 0)).select("chain_id", "step", F.coalesce(value, F.lit(-1)).alias(value))
     kept = neighbour(kept, ["chain_id"], "step", {"before": F.col(value)})
     return kept.where(F.col("before").isNull() | (F.col("before") != F.col(value))).drop("before")

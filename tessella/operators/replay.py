@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .graph import symmetric
 from .scan import neighbour, running_sum
+from .store import cut as stored
 
 
 def lengths(log: DataFrame) -> DataFrame:
@@ -129,8 +130,7 @@ def district_intervals(log: DataFrame, assignment: DataFrame, values: DataFrame)
     moves = accepted(log).join(values, "node_id")
     sides = [moves.select("chain_id", F.col(side).alias("district_id"), *[(sign * F.col(c)).alias(c) for c in names], "step") for side, sign in (("old_color", -1), ("new_color", 1))]
     changes = start.unionByName(sides[0]).unionByName(sides[1])
-    sums = running_sum(changes, ["chain_id", "district_id"], "step", {f"s_{c}": F.col(c) for c in names})
-    out = neighbour(sums, ["chain_id", "district_id"], "step", {"after": F.col("step")}, ahead=True)
+    out = running_sum(changes, ["chain_id", "district_id"], "step", {f"s_{c}": F.col(c) for c in names}, after="after")
     out = out.join(lengths(log), "chain_id").withColumn("end_step", F.coalesce("after", "steps"))
     return out.select("chain_id", "district_id", F.col("step").alias("start_step"), "end_step", "steps", *[F.col(f"s_{c}").alias(c) for c in names])
 
@@ -145,7 +145,7 @@ def by_step(held: DataFrame, shift: int = 0) -> DataFrame:
 
 def districts_won(log: DataFrame, assignment: DataFrame, votes: DataFrame) -> DataFrame:
     """(chain_id, step, wins): districts in which p1 is ahead, by changes of that alone."""
-    held = district_intervals(log, assignment, votes.select("node_id", "p1", "p2"))
+    held = stored(district_intervals(log, assignment, votes.select("node_id", "p1", "p2")), "districts")
     ahead = (F.col("p1") > F.col("p2")).cast("int")
     held = neighbour(held, ["chain_id", "district_id"], "start_step", {"before": ahead})
     change = held.select("chain_id", F.col("start_step").alias("step"), (ahead - F.coalesce("before", F.lit(0))).alias("d")).where("d <> 0")
@@ -215,9 +215,8 @@ def state_at_end(log: DataFrame, assignment: DataFrame) -> DataFrame:
 
 def _summed(changes: DataFrame, keys: list[str], names: list[str], log: DataFrame) -> DataFrame:
     """Changes (keys, step, names) summed: keys, start_step, end_step, steps, names."""
-    changes = changes.groupBy(*keys, "step").agg(*[F.sum(c).alias(c) for c in names])
-    sums = running_sum(changes, keys, "step", {f"s_{c}": F.col(c) for c in names})
-    sums = neighbour(sums, keys, "step", {"after": F.col("step")}, ahead=True).join(lengths(log), "chain_id")
+    changes = stored(changes.groupBy(*keys, "step").agg(*[F.sum(c).alias(c) for c in names]), "changes")
+    sums = running_sum(changes, keys, "step", {f"s_{c}": F.col(c) for c in names}, after="after").join(lengths(log), "chain_id")
     return sums.select(*keys, F.col("step").alias("start_step"), F.coalesce("after", "steps").alias("end_step"), "steps", *[F.col(f"s_{c}").alias(c) for c in names])
 
 
@@ -227,17 +226,23 @@ def _on_off(held: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return on.unionByName(held.select(*keys, F.col("end_step").alias("step"), *[(-F.col(c)).alias(c) for c in names]))
 
 
-def district_traces(log: DataFrame, assignment: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def cut_intervals(log: DataFrame, assignment: DataFrame, edges: DataFrame) -> DataFrame:
+    """(chain_id, u, v, cu, cv, start_step, end_step): edges while they are cut."""
+    return edge_intervals(log, assignment, edges).where("cu <> cv")
+
+
+def district_traces(log: DataFrame, assignment: DataFrame, nodes: DataFrame, edges: DataFrame, cut: DataFrame | None = None) -> DataFrame:
     """(chain_id, district_id, start_step, end_step, steps, perimeter, area, population, boundary_nodes, n).
 
     The perimeter counts cut edges and outer borders. A district that has
-    lost its last node has zeros.
+    lost its last node has zeros. ``cut``: the cut intervals, where the caller has them.
     """
     names = ["perimeter", "area", "population", "boundary_nodes", "n"]
     about = nodes.select("node_id", F.col("external_border").cast("double").alias("perimeter"), "area", "population", F.col("boundary").cast("long").alias("boundary_nodes"), F.lit(1).cast("long").alias("n"))
     held = intervals(log, assignment).join(about, "node_id").withColumnRenamed("color", "district_id")
     own = _on_off(held, ["chain_id", "district_id"], names)
-    cut = edge_intervals(log, assignment, edges).where("cu <> cv").join(edges.select("u", "v", F.col("border_length").cast("double").alias("perimeter")), ["u", "v"])
+    cut = cut_intervals(log, assignment, edges) if cut is None else cut
+    cut = cut.join(edges.select("u", "v", F.col("border_length").cast("double").alias("perimeter")), ["u", "v"])
     sides = cut.select("chain_id", F.explode(F.array("cu", "cv")).alias("district_id"), "start_step", "end_step", "perimeter")
     borders = _on_off(sides, ["chain_id", "district_id"], ["perimeter"])
     zeros = {"area": F.lit(0.0), **{c: F.lit(0).cast("long") for c in names[2:]}}
@@ -248,7 +253,7 @@ def district_traces(log: DataFrame, assignment: DataFrame, nodes: DataFrame, edg
 def boundary_traces(log: DataFrame, assignment: DataFrame, edges: DataFrame) -> DataFrame:
     """(chain_id, c1, c2, start_step, end_step, steps, n_edges, length): what two districts have in common."""
     lengths_of = edges.select("u", "v", F.col("border_length").alias("length"))
-    cut = edge_intervals(log, assignment, edges).where("cu <> cv").join(lengths_of, ["u", "v"])
+    cut = cut_intervals(log, assignment, edges).join(lengths_of, ["u", "v"])
     pair = cut.select("chain_id", F.least("cu", "cv").alias("c1"), F.greatest("cu", "cv").alias("c2"), "start_step", "end_step", F.lit(1).cast("long").alias("n_edges"), "length")
     keys = ["chain_id", "c1", "c2"]
     return _summed(_on_off(pair, keys, ["n_edges", "length"]), keys, ["n_edges", "length"], log).where("n_edges > 0 and start_step < steps")
@@ -260,12 +265,13 @@ def energy_trace(log: DataFrame, assignment: DataFrame, nodes: DataFrame, edges:
     ``weights``: of cut edges, of the sum of squared perimeter over area, and
     of the sum of squared deviations of the populations from their ideal.
     """
-    at = by_step(district_traces(log, assignment, nodes, edges))
+    cut = stored(cut_intervals(log, assignment, edges), "cuts")
+    at = by_step(district_traces(log, assignment, nodes, edges, cut))
     total = nodes.agg(F.sum("population").cast("double").alias("total"))  # one row
     p = F.col("perimeter")
     per = at.groupBy("chain_id", "step").agg(F.sum(F.try_divide(p * p, F.col("area"))).alias("compactness"), F.sum(F.col("population").cast("double") ** 2).alias("squares"))
     per = per.join(F.broadcast(total), how="left").withColumn("population_sq", F.col("squares") - F.col("total") ** 2 / districts)
-    cut = edge_intervals(log, assignment, edges).where("cu <> cv").select("chain_id", "start_step", "end_step", F.lit(1).cast("long").alias("n_cut"))
+    cut = cut.select("chain_id", "start_step", "end_step", F.lit(1).cast("long").alias("n_cut"))
     n_cut = by_step(_summed(_on_off(cut, ["chain_id"], ["n_cut"]), ["chain_id"], ["n_cut"], log).where("start_step < steps"))
     out = per.join(n_cut, ["chain_id", "step"], "left").withColumn("n_cut", F.coalesce("n_cut", F.lit(0)))
     a, b, c = weights

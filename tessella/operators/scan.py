@@ -13,15 +13,22 @@ from pyspark.sql import functions as F
 BLOCK = 65_536
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], block: int = BLOCK) -> DataFrame:
-    """Adds the running sums ``sums`` over ``order`` within ``keys``; rows of equal order count together."""
+def running_sum(df: DataFrame, keys: list[str], order: str, sums: dict[str, Column], after: str | None = None, block: int = BLOCK) -> DataFrame:
+    """Adds the running sums ``sums`` over ``order`` within ``keys``; rows of equal order count together.
+
+    ``after`` names a column for the order of the next row, null at the end. ``df`` is read twice.
+    """
     df = df.withColumn("__blk", F.floor(F.col(order) / block))
-    per = df.groupBy(*keys, "__blk").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select(*keys, "__blk", *[F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums])
+    per = df.groupBy(*keys, "__blk").agg(*[F.sum(c).alias(f"__{n}") for n, c in sums.items()], F.min(order).alias("__first"))
+    blocks = Window.partitionBy(*keys).orderBy("__blk")
+    before = blocks.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = [F.coalesce(F.sum(f"__{n}").over(before), F.lit(0)).alias(f"__{n}") for n in sums]
+    per = per.select(*keys, "__blk", *offsets, *([F.lead("__first").over(blocks).alias("__next")] if after else []))
     inside = Window.partitionBy(*keys, "__blk").orderBy(order)
-    out = df.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()}).join(per, [*keys, "__blk"])
-    return out.withColumns({n: F.col(n) + F.col(f"__{n}") for n in sums}).drop("__blk", *[f"__{n}" for n in sums])
+    ahead = {after: F.lead(order).over(inside)} if after else {}
+    out = df.withColumns({**{n: F.sum(c).over(inside) for n, c in sums.items()}, **ahead}).join(per, [*keys, "__blk"])
+    out = out.withColumns({**{n: F.col(n) + F.col(f"__{n}") for n in sums}, **({after: F.coalesce(after, "__next")} if after else {})})
+    return out.drop("__blk", "__next", *[f"__{n}" for n in sums])
 
 
 def position(df: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:

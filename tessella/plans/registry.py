@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from functools import cached_property
 from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..operators import aggregates, autocorr, corners, diagnostics, graph, replay
-from ..operators.store import delete_at_end, shared_path
+from ..operators.store import cut, delete_at_end, shared_path
 from ..sources import derived, files, lattice
 
 TOLERANCE, EVERY, THIN, LAGS, FURTHEST = 0.9, 50, 100, 20, 500
@@ -17,9 +18,16 @@ CENTRE = (4.5, 4.5)
 ENERGY = (1.0, 0.5, 1e-8)
 
 
-def relations(spark, sf_dir) -> SimpleNamespace:
+class Relations(SimpleNamespace):
+    @cached_property
+    def stored_log(self):
+        """The log, written once: for queries that read it many times."""
+        return cut(self.log, "log")
+
+
+def relations(spark, sf_dir) -> Relations:
     d = derived
-    return SimpleNamespace(
+    return Relations(
         spark=spark, dir=sf_dir, nodes=d.nodes(spark, sf_dir), edges=d.edges(spark, sf_dir), start=d.assignment(spark, sf_dir),
         votes=d.votes(spark, sf_dir), log=d.move_log(spark, sf_dir),
     )
@@ -534,7 +542,7 @@ def _(r):
 @query("t4_contested_edges", """z AS (SELECT 1) SELECT a.chain_id, u, v, count(*) AS contested FROM edges JOIN at_step a ON a.node_id = u JOIN at_step b ON b.node_id = v AND b.chain_id = a.chain_id AND b.step = a.step
 WHERE a.color <> b.color GROUP BY ALL""")
 def _(r):
-    return replay.contested_edges(r.log, r.start, r.edges)
+    return replay.contested_edges(r.stored_log, r.start, r.edges)
 
 
 CONTESTED = """con AS (SELECT a.chain_id, s.node_id, count(DISTINCT a.step) AS contested FROM sym s JOIN at_step a ON a.node_id = s.node_id JOIN at_step b ON b.node_id = s.other AND b.chain_id = a.chain_id AND b.step = a.step
@@ -544,7 +552,7 @@ CONTESTED = """con AS (SELECT a.chain_id, s.node_id, count(DISTINCT a.step) AS c
 
 @query("g10_contested_nodes", CONTESTED + "SELECT * FROM con")
 def _(r):
-    return replay.contested_nodes(r.log, r.start, r.edges)
+    return replay.contested_nodes(r.stored_log, r.start, r.edges)
 
 
 @query("g13_heatmap", CONTESTED + """, fl AS (SELECT chain_id, node_id, count(*) AS f FROM log WHERE node_id IS NOT NULL GROUP BY ALL),
@@ -552,27 +560,27 @@ dw AS (SELECT chain_id, node_id, sum(e - s) AS d FROM held WHERE color = 1 GROUP
 SELECT chain_id, node_id, x, y, round(coalesce(f / (SELECT sum(f) FROM fl g WHERE g.chain_id = len.chain_id), 0), 6) AS flip_share, round(coalesce(d, 0) / steps, 6) AS colour_share, coalesce(contested, 0) AS contested
 FROM nodes CROSS JOIN len LEFT JOIN fl USING (chain_id, node_id) LEFT JOIN dw USING (chain_id, node_id) LEFT JOIN con USING (chain_id, node_id)""")
 def _(r):
-    return r6(replay.heat_map(r.log, r.start, r.edges, r.nodes), "flip_share", "colour_share")
+    return r6(replay.heat_map(r.stored_log, r.start, r.edges, r.nodes), "flip_share", "colour_share")
 
 
 @query("t5_districts_won", "z AS (SELECT 1) SELECT * FROM wins")
 def _(r):
-    return replay.districts_won(r.log, r.start, r.votes)
+    return replay.districts_won(r.stored_log, r.start, r.votes)
 
 
 @query("t6_marginals", "z AS (SELECT 1) SELECT chain_id, step, rank, round(share, 6) AS share FROM marg")
 def _(r):
-    return r6(replay.marginals(r.log, r.start, r.votes), "share")
+    return r6(replay.marginals(r.stored_log, r.start, r.votes), "share")
 
 
 @query("t7_apd_trace", "i AS (SELECT sum(population) / 5 AS i FROM nodes) SELECT chain_id, step, round(max(abs(population - i) / i), 6) AS apd FROM full_d, i GROUP BY ALL")
 def _(r):
-    return r6(replay.deviation_trace(r.log, r.start, r.nodes, derived.DISTRICTS), "apd")
+    return r6(replay.deviation_trace(r.stored_log, r.start, r.nodes, derived.DISTRICTS), "apd")
 
 
 @query("t9_com_trace", "z AS (SELECT 1) SELECT chain_id, step, district_id, round(cx, 6) AS cx, round(cy, 6) AS cy FROM com")
 def _(r):
-    return r6(replay.centre_trace(r.log, r.start, r.nodes), "cx", "cy")
+    return r6(replay.centre_trace(r.stored_log, r.start, r.nodes), "cx", "cy")
 
 
 @query("t15_energy_trace", f"""tot AS (SELECT CAST(sum(population) AS DOUBLE) AS t FROM nodes),
@@ -581,12 +589,12 @@ en AS (SELECT chain_id, step, sum(perimeter * perimeter / area) AS compactness,
 SELECT chain_id, step, coalesce(n_cut, 0) AS n_cut, round(compactness, 6) AS compactness, round(population_sq, 1) AS population_sq,
   round({ENERGY[0]} * coalesce(n_cut, 0) + {ENERGY[1]} * compactness + {ENERGY[2]} * population_sq, 6) AS energy FROM en LEFT JOIN nc USING (chain_id, step)""")
 def _(r):
-    out = replay.energy_trace(r.log, r.start, r.nodes, r.edges, derived.DISTRICTS, ENERGY)
+    out = replay.energy_trace(r.stored_log, r.start, r.nodes, r.edges, derived.DISTRICTS, ENERGY)
     return r6(out, "compactness", "energy").withColumn("population_sq", F.round("population_sq", 1))
 
 
 def _at_steps(r, *names):
-    at = replay.by_step(replay.district_traces(r.log, r.start, r.nodes, r.edges).where("n > 0"))
+    at = replay.by_step(replay.district_traces(r.stored_log, r.start, r.nodes, r.edges).where("n > 0"))
     return at.select("chain_id", "step", "district_id", *names)
 
 
@@ -607,14 +615,14 @@ def _(r):
 
 @query("v6_district_boundary", "z AS (SELECT 1) SELECT chain_id, step, least(cu, cv) AS c1, greatest(cu, cv) AS c2, count(*) AS n_edges, CAST(sum(border_length) AS BIGINT) AS length FROM eas GROUP BY ALL")
 def _(r):
-    return replay.by_step(replay.boundary_traces(r.log, r.start, r.edges))
+    return replay.by_step(replay.boundary_traces(r.stored_log, r.start, r.edges))
 
 
 @query("t14_acceptance_replay", """sc AS (SELECT l.chain_id, l.step, l.node_id, old_color, new_color, count(*) FILTER (a.color = old_color) - count(*) FILTER (a.color = new_color) AS score
   FROM log l JOIN sym s ON s.node_id = l.node_id JOIN at_step a ON a.node_id = s.other AND a.chain_id = l.chain_id AND a.step = l.step WHERE l.node_id IS NOT NULL GROUP BY ALL)
 SELECT *, round(exp(least(-0.5 * 2 * score, 700)), 6) AS chance FROM sc""")
 def _(r):
-    return r6(replay.move_scores(r.log, r.start, r.edges).withColumn("chance", scores.chance(F.col("score"), 2.0)), "chance")
+    return r6(replay.move_scores(r.stored_log, r.start, r.edges).withColumn("chance", scores.chance(F.col("score"), 2.0)), "chance")
 
 
 def _colours(chain, moves, colour):
@@ -635,7 +643,7 @@ def _colours(chain, moves, colour):
 
 @query("t1_generic_replay", "z AS (SELECT 1) SELECT chain_id, step, count(*) FILTER (color = 0) AS zeros, count(DISTINCT color) AS colours FROM at_step GROUP BY ALL")
 def _(r):
-    return replay.replay(r.log, r.start, _colours, "chain_id long, step long, zeros long, colours long", stretch=512)
+    return replay.replay(r.stored_log, r.start, _colours, "chain_id long, step long, zeros long, colours long", stretch=512)
 
 
 @query("x5_sample_steps", "o AS (SELECT chain_id, step, row_number() OVER (PARTITION BY chain_id ORDER BY md5(step || ':7'), step) AS k FROM log) SELECT chain_id, step FROM o WHERE k <= 20")
@@ -653,7 +661,7 @@ ps AS (SELECT pr.chain_id, pr.node_id, old_color, new_color, coalesce(own, 0) -
 
 @query("k1_step_proposals", PROPOSED + "SELECT chain_id, node_id, old_color, new_color, score, round(exp(least(-0.5 * score, 700)), 6) AS weight FROM ps")
 def _(r):
-    moves = graph.step_proposals(replay.state_at_end(r.log, r.start), r.edges)
+    moves = graph.step_proposals(replay.state_at_end(r.stored_log, r.start), r.edges)
     return r6(moves.withColumn("weight", scores.chance(F.col("score"), 1.0)), "weight")
 
 
@@ -661,18 +669,18 @@ def _(r):
 bk AS (SELECT *, row_number() OVER (PARTITION BY chain_id ORDER BY w, node_id, old_color, new_color) AS k FROM wt)
 SELECT chain_id, node_id, old_color, new_color, score, round(exp(least(-0.5 * 2 * score, 700)), 6) AS chance FROM bk WHERE k = 1""")
 def _(r):
-    moves = graph.step_proposals(replay.state_at_end(r.log, r.start), r.edges)
+    moves = graph.step_proposals(replay.state_at_end(r.stored_log, r.start), r.edges)
     picked = graph.weighted_pick(moves, scores.chance(F.col("score"), 1.0), seed=7)
     return r6(picked.withColumn("chance", scores.chance(F.col("score"), 2.0)), "chance")
 
 
 # -- diagnostics -------------------------------------------------------------
 def _wins(r):
-    return replay.districts_won(r.log, r.start, r.votes)
+    return replay.districts_won(r.stored_log, r.start, r.votes)
 
 
 def _marginals(r):
-    return replay.marginals(r.log, r.start, r.votes)
+    return replay.marginals(r.stored_log, r.start, r.votes)
 
 
 @query("g14_pibar", "z AS (SELECT 1) SELECT state, round(share, 6) AS share FROM pibar")
@@ -727,7 +735,7 @@ d AS (SELECT *, CASE WHEN p IS NULL THEN th WHEN th * p < 0 AND abs(th - p) > pi
 SELECT chain_id, district_id, step, CASE WHEN abs(sum(d) OVER w) < 5e-7 THEN 0 ELSE round(sum(d) OVER w, 6) END AS angle FROM d
 WINDOW w AS (PARTITION BY chain_id, district_id ORDER BY step)""")
 def _(r):
-    out = r6(diagnostics.unwrapped(replay.centre_trace(r.log, r.start, r.nodes), aggregates.global_centre(r.nodes)), "angle")
+    out = r6(diagnostics.unwrapped(replay.centre_trace(r.stored_log, r.start, r.nodes), aggregates.global_centre(r.nodes)), "angle")
     return out.withColumn("angle", F.when(F.col("angle") == 0, 0.0).otherwise(F.col("angle")))  # no negative zero
 
 
@@ -756,17 +764,17 @@ SELECT chain_id, dist, count(*) AS locs, round(avg(agree) - (SELECT count(*) / 5
 
 @query("t10_autocorr_agreement", G.format(m=50, b="s", far=500, cond="WHERE a.step < steps - 500"))
 def _(r):
-    return r6(autocorr.at_distances(replay.intervals(r.log, r.start), r.nodes, EVERY, FURTHEST, derived.DISTRICTS), "g")
+    return r6(autocorr.at_distances(replay.intervals(r.stored_log, r.start), r.nodes, EVERY, FURTHEST, derived.DISTRICTS), "g")
 
 
 @query("t11_autocorr_points", G.format(m=250, b="at_step", far=100, cond="WHERE a.step < steps - 100"))
 def _(r):
-    return r6(autocorr.from_points(replay.intervals(r.log, r.start), r.nodes, 250, 100, derived.DISTRICTS), "g")
+    return r6(autocorr.from_points(replay.intervals(r.stored_log, r.start), r.nodes, 250, 100, derived.DISTRICTS), "g")
 
 
 @query("t12_autocorr_pairs", G.format(m=100, b="s", far=500, cond=""))
 def _(r):
-    return r6(autocorr.all_pairs(replay.intervals(r.log, r.start), r.nodes, 100, FURTHEST, derived.DISTRICTS), "g")
+    return r6(autocorr.all_pairs(replay.intervals(r.stored_log, r.start), r.nodes, 100, FURTHEST, derived.DISTRICTS), "g")
 
 
 SIDES = """e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM nodes),
@@ -778,7 +786,7 @@ _corner = {"sw": "x = x0 AND y = y0", "nw": "x = x0 AND y = y1", "se": "x = x1 A
 @query("t8_corner_ownership", SIDES.format(flags=", ".join(f"coalesce(max((color = 0)::INT) FILTER ({c}), 0) AS {k}" for k, c in _corner.items())) + """
 SELECT chain_id, step, CASE WHEN sw = nw THEN CASE WHEN se = ne THEN 2 * sw END WHEN sw = se AND nw = ne THEN 1 + 2 * sw END AS side FROM o""")
 def _(r):
-    return corners.corner_ownership(replay.intervals(r.log, r.start), corners.corner_ids(r.nodes))
+    return corners.corner_ownership(replay.intervals(r.stored_log, r.start), corners.corner_ids(r.nodes))
 
 
 def _probe(across, end, axis, high):
@@ -795,7 +803,7 @@ _probes = {"sw_h": _probe("x", 0, "y", False), "nw_h": _probe("x", 0, "y", True)
 @query("t13_coreset", SIDES.format(flags=", ".join(f"coalesce(max((color = 0)::INT) FILTER ({c}), 0) AS {k}" for k, c in _probes.items())) + """
 SELECT chain_id, step, CASE WHEN sw_h <> nw_h AND se_h <> ne_h THEN 2 * sw_h WHEN sw_v <> se_v AND ne_v <> nw_v THEN 1 + 2 * sw_v END AS core FROM o""")
 def _(r):
-    return corners.core_sets(replay.intervals(r.log, r.start), corners.probe_ids(r.nodes, strict_reference=False))
+    return corners.core_sets(replay.intervals(r.stored_log, r.start), corners.probe_ids(r.nodes, strict_reference=False))
 
 
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(relations(spark, sf_dir))) for name, f in _B.items()}

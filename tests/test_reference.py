@@ -26,6 +26,14 @@ def test_running_sum_blocks_equal_plain_window(spark):
     assert (want.groupby("k")["v"].cumsum().to_numpy() == got["s"].to_numpy()).all()
 
 
+def test_running_sum_tells_the_next_order_across_blocks(spark):
+    df = spark.range(1000).where("id % 200 < 7").withColumns({"k": F.col("id") % 3, "v": F.lit(1)})
+    got = scan.running_sum(df, ["k"], "id", {"s": F.col("v")}, after="next", block=64).toPandas().sort_values("id")
+    want = df.toPandas().sort_values("id").groupby("k")["id"].shift(-1)
+    assert got["next"].fillna(-1).astype(int).tolist() == want.fillna(-1).astype(int).tolist()
+    assert set(got.columns) == {"id", "k", "v", "s", "next"}
+
+
 def test_dwell_sums_to_steps(spark):
     r = registry.relations(spark, SF)
     per = replay.dwell(r.log, r.start).groupBy("chain_id", "node_id").agg(F.sum("dwell").alias("t")).join(replay.lengths(r.log), "chain_id")
