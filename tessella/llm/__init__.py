@@ -1,6 +1,6 @@
 """Operators that prepare training data."""
 
-from . import licenses, lines, mixing, ngram_join, packing, secrets, toxicity, vectors, vptree, warc
+from . import divergence, licenses, lines, mixing, ngram_join, packing, periodic, pieces, secrets, toxicity, vectors, vptree, warc
 
 QUERIES = {
     "op1_source_mixing": mixing.op1_source_mixing,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_secret_ownership": secrets.op8_secret_ownership,
     "op9_ngram_jaccard": ngram_join.op9_ngram_jaccard,
     "op10_mixture_packing": packing.op10_mixture_packing,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_piece_encoding": pieces.op12_piece_encoding,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLES = {
     "op1_source_mixing": mixing.OP1_SQL,
@@ -22,4 +25,6 @@ ORACLES = {
     "op7_vptree_ann": vptree.OP7_SQL,
     "op8_secret_ownership": secrets.OP8_SQL,
     "op9_ngram_jaccard": ngram_join.OP9_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
+    "op13_periodic_runs": periodic.OP13_SQL,
 }
