@@ -16,13 +16,14 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
 
 #: Documents in which a term must occur, ranks of terms, units of a share, bytes of text sorted at a time.
-LEAST_DOCS, TOP, UNITS, CHUNK = 3, 200, 1_000_000_000, 16 << 20
+LEAST_DOCS, TOP, UNITS, CHUNK = 3, 200, 1_000_000_000, 8 << 20
 #: Cells (sources x terms) of a tile, terms of a tile at most where sources are many, and parts of a hot source in joins.
 CELLS, TILE_TERMS, SALTS = 65_536, 1024, 64
 
@@ -136,18 +137,22 @@ def _counted(batches, chunk: int):
 
     held, size = [], 0
     for batch in batches:
-        held.append(batch)
-        size += batch.column(2).nbytes
-        if size >= chunk:
-            yield from flush(held)
-            held, size = [], 0
+        sizes, low = pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False).astype(np.int64), 0
+        while low < batch.num_rows:
+            ends = size + np.cumsum(sizes[low:])
+            high = low + min(int(np.searchsorted(ends, chunk)) + 1, len(ends))
+            held.append(batch.slice(low, high - low))
+            size, low = int(ends[high - low - 1]), high
+            if size >= chunk:
+                yield from flush(held)
+                held, size = [], 0
     yield from flush(held)
 
 
 def term_counts(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and documents with one, as many rows a term as chunks hold it.
 
-    Null text, lang and source count as ''. A chunk is at least one Arrow batch; a text is looked at whole.
+    Null text, lang and source count as ''. A chunk is of whole texts and has ``chunk`` bytes, or one text more.
     """
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
     return rows.mapInArrow(lambda batches: _counted(batches, chunk), "lang string, source string, term string, n long, docs long")
