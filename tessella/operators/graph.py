@@ -53,7 +53,7 @@ def district_boundary(cut: DataFrame) -> DataFrame:
     return cut.groupBy(*pair).agg(F.count("*").alias("n_edges"), F.sum("border_length").alias("length"))
 
 
-def _stars(edges: DataFrame) -> DataFrame:
+def stars(edges: DataFrame) -> DataFrame:
     """(u, v): every node with an edge points at the least node of its component.
 
     Large stars, then small stars: the least neighbour of a node is a partial
@@ -79,11 +79,38 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, component_id): the least node that is reachable."""
-    stars = _stars(edges.select("u", "v"))
-    out = nodes.select("node_id").join(stars, F.col("node_id") == F.col("u"), "left")
+    found = stars(edges.select("u", "v"))
+    out = nodes.select("node_id").join(found, F.col("node_id") == F.col("u"), "left")
     return out.select("node_id", F.coalesce("v", "node_id").alias("component_id"))
 
 
+def low_points(near: dict, root, seen: dict) -> set:
+    """Cut vertices of the component of ``root``, depth first by low points; its nodes are added to ``seen``."""
+    found, low, clock, children = set(), {root: 0}, 1, 0
+    seen[root] = 0
+    stack = [(root, None, iter(near.get(root, ())))]
+    while stack:
+        node, parent, rest = stack[-1]
+        step = next(rest, None)
+        if step is None:
+            stack.pop()
+            if stack:
+                up = stack[-1][0]
+                low[up] = min(low[up], low[node])
+                if up != root and low[node] >= seen[up]:
+                    found.add(up)
+        elif step not in seen:
+            seen[step] = low[step] = clock
+            clock += 1
+            children += node == root
+            stack.append((step, node, iter(near[step])))
+        elif step != parent:
+            low[node] = min(low[node], seen[step])
+    if children > 1:
+        found.add(root)
+    return found
+
+
 def cut_vertices(assignment: DataFrame, edges: DataFrame) -> DataFrame:
     """(district_id, node_id): nodes whose removal disconnects their part of a district.
 
@@ -96,32 +123,10 @@ def cut_vertices(assignment: DataFrame, edges: DataFrame) -> DataFrame:
         for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
             near.setdefault(u, []).append(v)
             near.setdefault(v, []).append(u)
-        found, turn, low, clock = set(), {}, {}, 0
+        found, seen = set(), {}
         for root in near:
-            if root in turn:
-                continue
-            turn[root] = low[root] = clock
-            clock += 1
-            children, stack = 0, [(root, None, iter(near[root]))]
-            while stack:
-                node, parent, rest = stack[-1]
-                step = next(rest, None)
-                if step is None:
-                    stack.pop()
-                    if stack:
-                        up = stack[-1][0]
-                        low[up] = min(low[up], low[node])
-                        if up != root and low[node] >= turn[up]:
-                            found.add(up)
-                elif step not in turn:
-                    turn[step] = low[step] = clock
-                    clock += 1
-                    children += node == root
-                    stack.append((step, node, iter(near[step])))
-                elif step != parent:
-                    low[node] = min(low[node], turn[step])
-            if children > 1:
-                found.add(root)
+            if root not in seen:
+                found |= low_points(near, root, seen)
         return pd.DataFrame({"district_id": pdf["district_id"].iloc[0], "node_id": sorted(found)}).astype({"district_id": "int32", "node_id": "int64"})
 
     return inner.groupBy("district_id").applyInPandas(search, "district_id int, node_id long")

@@ -279,8 +279,8 @@ def energy_trace(log: DataFrame, assignment: DataFrame, nodes: DataFrame, edges:
     return out.select("chain_id", "step", "n_cut", "compactness", "population_sq", energy.alias("energy"))
 
 
-def move_scores(log: DataFrame, assignment: DataFrame, edges: DataFrame, width: int = STRETCH) -> DataFrame:
-    """(chain_id, step, node_id, old_color, new_color, score) of accepted moves: change of the number of cut edges.
+def near_moves(log: DataFrame, assignment: DataFrame, edges: DataFrame, width: int = STRETCH) -> DataFrame:
+    """(chain_id, step, node_id, old_color, new_color, other, color): accepted moves with the node's neighbours and their colours then.
 
     A move meets the interval of each neighbour that holds at its step (one
     node moves in a step). Both are dealt to buckets of steps, so a long chain
@@ -290,7 +290,12 @@ def move_scores(log: DataFrame, assignment: DataFrame, edges: DataFrame, width:
     moves = accepted(log).join(symmetric(edges).select("node_id", "other"), "node_id").withColumn("bucket", bucket(F.col("step")))
     held = intervals(log, assignment).select("chain_id", F.col("node_id").alias("other"), "color", "start_step", "end_step")
     held = held.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start_step")), bucket(F.col("end_step") - 1))))
-    near = moves.join(held, ["chain_id", "other", "bucket"]).where("start_step <= step and step < end_step")
+    return moves.join(held, ["chain_id", "other", "bucket"]).where("start_step <= step and step < end_step")
+
+
+def move_scores(log: DataFrame, assignment: DataFrame, edges: DataFrame, width: int = STRETCH) -> DataFrame:
+    """(chain_id, step, node_id, old_color, new_color, score) of accepted moves: change of the number of cut edges."""
+    near = near_moves(log, assignment, edges, width)
     same = lambda c: F.count_if(F.col("color") == F.col(c))
     return near.groupBy("chain_id", "step", "node_id", "old_color", "new_color").agg((same("old_color") - same("new_color")).alias("score"))
 

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import aggregates, autocorr, corners, diagnostics, graph, replay
+from ..operators import aggregates, autocorr, connectivity, corners, diagnostics, graph, replay
 from ..operators.store import cut, delete_at_end, shared_path
 from ..sources import derived, files, lattice
 
@@ -806,4 +806,33 @@ def _(r):
     return corners.core_sets(replay.intervals(r.stored_log, r.start), corners.probe_ids(r.nodes, strict_reference=False))
 
 
+# -- connectivity along the log ----------------------------------------------
+@query("j10_reconnection", """acc AS (SELECT * FROM log WHERE node_id IS NOT NULL),
+ask AS (SELECT l.chain_id, l.step, l.old_color, s.other FROM acc l JOIN sym s ON s.node_id = l.node_id
+  JOIN at_step a ON a.chain_id = l.chain_id AND a.step = l.step AND a.node_id = s.other AND a.color = l.old_color),
+reach AS (SELECT chain_id, step, old_color, min(other) AS here FROM ask GROUP BY ALL
+  UNION SELECT r.chain_id, r.step, r.old_color, s.other FROM reach r JOIN sym s ON s.node_id = r.here
+  JOIN at_step a ON a.chain_id = r.chain_id AND a.step = r.step AND a.node_id = s.other AND a.color = r.old_color),
+got AS (SELECT q.chain_id, q.step, bool_and(r.here IS NOT NULL) AS ok FROM ask q LEFT JOIN reach r ON r.chain_id = q.chain_id AND r.step = q.step AND r.here = q.other GROUP BY ALL)
+SELECT chain_id, step, coalesce(ok, false) AS still_connected FROM acc LEFT JOIN got USING (chain_id, step)""")
+def _(r):
+    return connectivity.reconnection(r.stored_log, r.start, r.edges)
+
+
+@query("v8_cut_vertices", """touch AS (SELECT chain_id, district_id, 0 AS step FROM start, len UNION SELECT chain_id, old_color, step FROM log WHERE node_id IS NOT NULL
+  UNION SELECT chain_id, new_color, step FROM log WHERE node_id IS NOT NULL),
+ver AS (SELECT chain_id, district_id, step, coalesce(lead(step) OVER (PARTITION BY chain_id, district_id ORDER BY step), steps) AS end_step FROM touch JOIN len USING (chain_id)),
+vn AS MATERIALIZED (SELECT v.chain_id, v.district_id, v.step, a.node_id FROM ver v JOIN at_step a ON a.chain_id = v.chain_id AND a.step = v.step AND a.color = v.district_id),
+ve AS MATERIALIZED (SELECT x.chain_id, x.district_id, x.step, x.node_id AS a, y.node_id AS b FROM vn x JOIN sym s ON s.node_id = x.node_id
+  JOIN vn y ON y.chain_id = x.chain_id AND y.district_id = x.district_id AND y.step = x.step AND y.node_id = s.other),
+cand AS MATERIALIZED (SELECT chain_id, district_id, step, a AS gone, min(b) AS here FROM ve GROUP BY ALL HAVING count(*) > 1),
+reach AS (SELECT * FROM cand UNION SELECT r.chain_id, r.district_id, r.step, r.gone, e.b FROM reach r
+  JOIN ve e ON e.chain_id = r.chain_id AND e.district_id = r.district_id AND e.step = r.step AND e.a = r.here WHERE e.b <> r.gone),
+lost AS (SELECT DISTINCT e.chain_id, e.district_id, e.step, e.a FROM cand c JOIN ve e ON e.chain_id = c.chain_id AND e.district_id = c.district_id AND e.step = c.step AND e.a = c.gone
+  LEFT JOIN reach r ON r.chain_id = e.chain_id AND r.district_id = e.district_id AND r.step = e.step AND r.gone = e.a AND r.here = e.b WHERE r.here IS NULL)
+SELECT chain_id, district_id, step AS start_step, end_step, a AS node_id FROM lost JOIN ver USING (chain_id, district_id, step)""")
+def _(r):
+    return connectivity.cut_vertex_versions(r.stored_log, r.start, r.edges)
+
+
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(relations(spark, sf_dir))) for name, f in _B.items()}
