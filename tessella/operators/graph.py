@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -111,45 +110,11 @@ def low_points(near: dict, root, seen: dict) -> set:
     return found
 
 
-def cut_vertices(assignment: DataFrame, edges: DataFrame) -> DataFrame:
-    """(district_id, node_id): nodes whose removal disconnects their part of a district.
-
-    Each district is searched by itself, depth first, by low points.
-    """
-    inner = coloured(edges, assignment).where("cu = cv").select(F.col("cu").alias("district_id"), "u", "v")
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
-            near.setdefault(u, []).append(v)
-            near.setdefault(v, []).append(u)
-        found, seen = set(), {}
-        for root in near:
-            if root not in seen:
-                found |= low_points(near, root, seen)
-        return pd.DataFrame({"district_id": pdf["district_id"].iloc[0], "node_id": sorted(found)}).astype({"district_id": "int32", "node_id": "int64"})
-
-    return inner.groupBy("district_id").applyInPandas(search, "district_id int, node_id long")
-
-
 def population_band(total: Column, districts: int, tolerance: float) -> tuple[Column, Column]:
     """Least and most population; the tolerance is of the total."""
     return total / districts - total * tolerance / 2, total / districts + total * tolerance / 2
 
 
-def feasible(moves: DataFrame, nodes: DataFrame, assignment: DataFrame, edges: DataFrame, districts: int, tolerance: float) -> DataFrame:
-    """Proposals that keep both districts within the population band and the old one connected."""
-    pop = nodes.join(assignment, "node_id").groupBy("district_id").agg(F.sum("population").alias("p"))
-    total = nodes.agg(F.sum("population").alias("total"))  # one row
-    m = moves.join(nodes.select("node_id", "population"), "node_id")
-    m = m.join(pop.select(F.col("district_id").alias("old_color"), F.col("p").alias("p_old")), "old_color")
-    m = m.join(pop.select(F.col("district_id").alias("new_color"), F.col("p").alias("p_new")), "new_color")
-    m = m.join(F.broadcast(total), how="left")
-    least, most = population_band(F.col("total"), districts, tolerance)
-    m = m.where((F.col("p_old") - F.col("population") > least) & (F.col("p_new") + F.col("population") < most))
-    return m.join(cut_vertices(assignment, edges).select("node_id"), "node_id", "left_anti").select("node_id", "old_color", "new_color")
-
-
 def step_proposals(state: DataFrame, edges: DataFrame) -> DataFrame:
     """(chain_id, node_id, old_color, new_color, score) of every chain's moves from its ``state``: change of cut edges."""
     at = lambda node, colour: state.select("chain_id", F.col("node_id").alias(node), F.col("district_id").alias(colour))

@@ -8,7 +8,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import aggregates, autocorr, connectivity, corners, diagnostics, graph, replay
+from ..operators import aggregates, autocorr, biconnected, connectivity, corners, diagnostics, graph, replay
 from ..operators.store import cut, delete_at_end, shared_path
 from ..sources import derived, files, lattice
 
@@ -299,8 +299,8 @@ def _(r):
     return graph.components(r.nodes, inner)
 
 
-#: Every column of the grid is a district: all its nodes but the ends are cut vertices.
-CUTV = """wide AS (SELECT node_id, CAST(x AS INT) AS district_id FROM nodes),
+#: Districts are bands of two columns; every fourth row a band lends a node to the next one, so that it hangs together there by one node.
+CUTV = """wide AS (SELECT node_id, CAST((x + (x % 2 = 1 AND y % 4 = 3)::INT) // 2 AS INT) AS district_id FROM nodes),
 we AS (SELECT e.u, e.v FROM edges e JOIN wide a ON a.node_id = u JOIN wide b ON b.node_id = v WHERE a.district_id = b.district_id),
 ws AS (SELECT u AS a, v AS b FROM we UNION ALL SELECT v, u FROM we),
 reach AS (SELECT g.node_id AS gone, (SELECT min(s.b) FROM ws s WHERE s.a = g.node_id) AS here FROM wide g
@@ -310,24 +310,25 @@ cutv AS (SELECT g.node_id, g.district_id FROM wide g WHERE EXISTS (SELECT 1 FROM
 NARROW = 0.03
 
 
-def _columns(r):
-    return r.nodes.select("node_id", F.col("x").cast("int").alias("district_id"))
+def _bands(r):
+    lent = ((F.col("x") % 2 == 1) & (F.col("y") % 4 == 3)).cast("long")
+    return r.nodes.select("node_id", F.call_function("div", F.col("x") + lent, F.lit(2).cast("long")).cast("int").alias("district_id"))
 
 
 @query("j8_cut_vertices", CUTV + "SELECT district_id, node_id FROM cutv")
 def _(r):
-    return graph.cut_vertices(_columns(r), r.edges)
+    return biconnected.cut_vertices(_bands(r), r.edges)
 
 
 @query("p5_feasible_proposals", CUTV + f""", wc AS (SELECT e.u, e.v, a.district_id AS cu, b.district_id AS cv FROM edges e JOIN wide a ON a.node_id = u JOIN wide b ON b.node_id = v WHERE a.district_id <> b.district_id),
 wm AS (SELECT DISTINCT * FROM (SELECT u AS node_id, cu AS old_color, cv AS new_color FROM wc UNION ALL SELECT v, cv, cu FROM wc)),
-wp AS (SELECT district_id, sum(population) AS p FROM nodes JOIN wide USING (node_id) GROUP BY 1), tot AS (SELECT sum(population) AS t, max(x) + 1 AS k FROM nodes)
+wp AS (SELECT district_id, sum(population) AS p FROM nodes JOIN wide USING (node_id) GROUP BY 1), tot AS (SELECT sum(population) AS t, (SELECT count(DISTINCT district_id) FROM wide) AS k FROM nodes)
 SELECT wm.* FROM wm JOIN nodes USING (node_id) JOIN wp o ON o.district_id = old_color JOIN wp n ON n.district_id = new_color, tot
 WHERE o.p - population > t / k - t * {NARROW} / 2 AND n.p + population < t / k + t * {NARROW} / 2 AND node_id NOT IN (SELECT node_id FROM cutv)""")
 def _(r):
-    a = _columns(r)
-    districts = r.nodes.agg(F.max("x") + 1).first()[0]
-    return graph.feasible(graph.proposals(graph.cut_edges(r.edges, a)), r.nodes, a, r.edges, districts, NARROW)
+    a = _bands(r)
+    districts = a.select("district_id").distinct().count()
+    return biconnected.feasible(graph.proposals(graph.cut_edges(r.edges, a)), r.nodes, a, r.edges, districts, NARROW)
 
 
 @query("p4_population_band", """a AS (SELECT node_id % 3 AS district_id, population FROM nodes), t AS (SELECT sum(population) AS t FROM nodes)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import scores
-from tessella.operators import aggregates, autocorr, diagnostics, graph, replay, scan
+from tessella.operators import aggregates, autocorr, biconnected, diagnostics, graph, replay, scan
 from tessella.plans import registry
 from tessella.sources import derived, files, lattice
 from tessella.streaming import replay as streaming
@@ -75,7 +75,7 @@ def test_waits_and_open_end(spark):
 def test_cut_vertices_of_a_path_and_a_ring(spark):
     e = spark.createDataFrame([(0, 1, 1), (1, 2, 1), (3, 4, 1), (4, 5, 1), (3, 5, 1)], "u long, v long, border_length long")
     a = spark.createDataFrame([(i, 0 if i < 3 else 1) for i in range(6)], "node_id long, district_id int")
-    assert [r["node_id"] for r in graph.cut_vertices(a, e).collect()] == [1]
+    assert [r["node_id"] for r in biconnected.cut_vertices(a, e).collect()] == [1]
     got = {r["node_id"]: r["component_id"] for r in graph.components(a, e).collect()}
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3}
 
