@@ -100,3 +100,14 @@ software. If you use this software in a product, an acknowledgment in the produc
 is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the
 original software. 3. This notice may not be removed or altered from any source distribution.""",
 }
+
+#: What names a licence and its version in these texts.
+PHRASES = {
+    "Apache-2.0": ("Apache License, Version 2.0",),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0",),
+    "GPL-3.0": ("GNU General Public License, version 3",),
+    "MIT": ("MIT License",),
+    "Apache-2.0-notice": ("Apache License, Version 2.0",),
+    "GPL-3.0-notice": ("GNU General Public License", "version 3"),
+    "MPL-2.0-notice": ("Mozilla Public License, v. 2.0",),
+}
