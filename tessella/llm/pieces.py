@@ -11,7 +11,8 @@ covers the character.
 
 Merges never join characters that stand side by side in no piece. So text is
 cut where no piece goes over, above all before the mark of a word's begin, and
-equal parts are encoded once.
+equal parts are encoded once. What the merges of a part come to is found from
+pairs of pieces, whose merges are remembered.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 import struct
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -167,7 +169,7 @@ class _Parts(dict):
         self.encode, self.sizes = encode, {}
 
     def __missing__(self, part: str) -> bytes:
-        ids, sizes = (np.array(x, np.int32).tobytes() for x in self.encode(part))
+        ids, sizes = (array("i", x).tobytes() for x in self.encode(part))
         if len(self) >= KEPT_PARTS:
             self.clear()
             self.sizes.clear()
@@ -209,6 +211,7 @@ class PieceModel:
         rest = alone[1:-2] if alone else ""
         self.part = re.compile("(?s).+" if inner else f"{alone}{mark}+[^{mark}{rest}]*|[^{mark}{rest}]+")
         self.parts = _Parts(self._encode_part)
+        self.longest, self.fitting = max(map(len, self.ids)), {}
 
     def _merged(self, word: str) -> list[str]:
         """Symbols after all merges of a word: best score first, then leftmost."""
@@ -235,21 +238,62 @@ class PieceModel:
                 offer(before[i], i)
         return [s for s in symbols if s]
 
+    def _fits(self, left: str, right: str) -> bool:
+        """Whether no merge goes over the border of two pieces that stand side by side; with no left one, whether the right one is whole."""
+        key = left, right
+        found = self.fitting.get(key)
+        if found is None:
+            if len(self.fitting) >= KEPT_PARTS:
+                self.fitting.clear()
+            if left and left[-1] + right[0] not in self.pairs:
+                found = self._fits("", right)
+            else:
+                found = self._merged(left + right) == ([left, right] if left else [right])
+            self.fitting[key] = found
+        return found
+
+    def pieces_of(self, part: str) -> list[str]:
+        """What the merges of a part come to, without merging it.
+
+        It is the one sequence of pieces in which every two neighbours merge
+        to themselves alone: up to its first merge over a border a longer
+        sequence behaves as the two pieces at that border do. So pieces are
+        laid longest first, and taken back where nothing fits on; a place that
+        was left is not tried again, as no other sequence leads there.
+        """
+        out, at, n, dead, known, fits = [], 0, len(part), set(), self.ids, self.fitting
+        size = min(n, self.longest)
+        while at < n:
+            left = out[-1] if out else ""
+            while size:
+                piece = part[at : at + size]
+                if (piece in known or size == 1) and at + size not in dead:
+                    good = fits.get((left, piece))
+                    if self._fits(left, piece) if good is None else good:
+                        break
+                size -= 1
+            if size:
+                out.append(piece)
+                at += size
+                size = min(n - at, self.longest)
+            else:
+                dead.add(at)
+                size = len(out.pop())
+                at -= size
+                size -= 1
+        return out
+
     def _encode_part(self, part: str) -> tuple[list[int], list[int]]:
-        ids, sizes, begin = [], [], 0
-        for k in range(1, len(part) + 1):
-            if k < len(part) and part[k - 1 : k + 1] in self.pairs:
-                continue
-            for piece in self._merged(part[begin:k]):
-                found = self.ids.get(piece)
-                if found is None:  # one character without a piece
-                    raw = piece.encode()
-                    ids += [self.bytes[b] for b in raw]
-                    sizes += [0] * (len(raw) - 1) + [1]
-                else:
-                    ids.append(found)
-                    sizes.append(len(piece))
-            begin = k
+        ids, sizes = [], []
+        for piece in self.pieces_of(part):
+            found = self.ids.get(piece)
+            if found is None:  # one character without a piece
+                raw = piece.encode()
+                ids += [self.bytes[b] for b in raw]
+                sizes += [0] * (len(raw) - 1) + [1]
+            else:
+                ids.append(found)
+                sizes.append(len(piece))
         return ids, sizes
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -261,8 +305,8 @@ class PieceModel:
         for part in self.part.findall(made):
             if len(part) > KEPT_LENGTH:
                 new = self._encode_part(part)
-                ids.append(np.array(new[0], np.int32).tobytes())
-                sizes.append(np.array(new[1], np.int32).tobytes())
+                ids.append(array("i", new[0]).tobytes())
+                sizes.append(array("i", new[1]).tobytes())
             else:
                 ids.append(parts[part])
                 sizes.append(parts.sizes[part])

@@ -113,6 +113,12 @@ def test_pieces_and_places_equal_the_library():
         assert list(zip(offsets[:-1].tolist(), offsets[1:].tolist())) == [(p.begin, p.end) for p in want.pieces]
 
 
+def test_pieces_equal_the_merges():
+    own = pieces.PieceModel(pieces.default_model())
+    parts = ["".join(rnd.choice("▁abcdeinorst,.é日") for _ in range(rnd.randrange(1, 40))) for _ in range(3000)] + ["a" * 500, "ab" * 300, "▁" * 70, "=" * 90, "🧿" * 3]
+    assert all(own.pieces_of(p) == own._merged(p) for p in parts)
+
+
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "identity"])
 @pytest.mark.parametrize("flags", [{}, {"add_dummy_prefix": True}, {"add_dummy_prefix": True, "escape_whitespaces": True, "remove_extra_whitespaces": True}])
 def test_character_maps_equal_the_library(rule, flags):
