@@ -21,6 +21,7 @@ import heapq
 import re
 import struct
 from array import array
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -162,19 +163,19 @@ class Normaliser:
 
 
 class _Parts(dict):
-    """Parts of normalised text to their ids, as bytes; ``sizes`` has the characters of each piece."""
+    """Parts of normalised text to their ids, as bytes; long ones are not kept, and of the others those that were met lately."""
 
     def __init__(self, encode):
         super().__init__()
-        self.encode, self.sizes = encode, {}
+        self.encode, self.before = encode, {}
 
     def __missing__(self, part: str) -> bytes:
-        ids, sizes = (array("i", x).tobytes() for x in self.encode(part))
-        if len(self) >= KEPT_PARTS:
-            self.clear()
-            self.sizes.clear()
-        self[part] = ids
-        self.sizes[part] = sizes
+        ids = self.before.get(part) or array("i", self.encode(part)).tobytes()
+        if len(part) <= KEPT_LENGTH:
+            if len(self) >= KEPT_PARTS // 2:
+                self.before = dict(self)
+                self.clear()
+            self[part] = ids
         return ids
 
 
@@ -211,10 +212,21 @@ class PieceModel:
         rest = alone[1:-2] if alone else ""
         self.part = re.compile("(?s).+" if inner else f"{alone}{mark}+[^{mark}{rest}]*|[^{mark}{rest}]+")
         self.parts = _Parts(self._encode_part)
-        self.longest, self.fitting = max(map(len, self.ids)), {}
-
-    def _merged(self, word: str) -> list[str]:
-        """Symbols after all merges of a word: best score first, then leftmost."""
+        #: Pieces that fit each other, halves of pieces, their order of merging, and the longest piece by its first three characters.
+        self.fitting, self.split, self.reach = {}, {}, {}
+        self.rank = {p: k for k, p in enumerate(sorted((p for p in self.ids if len(p) > 1), key=lambda p: -self.scores[p]))}
+        often = Counter(self.scores[p] for p in self.rank)
+        #: Pieces that share their score with others: there the order of merges depends on places.
+        self.tied = {p for p in self.rank if often[self.scores[p]] > 1}
+        for p in self.rank:
+            self.reach[p[:3]] = max(len(p), self.reach.get(p[:3], 2))
+        #: Characters of each piece; those of byte pieces are told from their neighbours.
+        self.sizes, self.byte = np.ones(len(self.ids) + len(special), np.int64), np.full(len(self.ids) + len(special), -1)
+        self.sizes[list(self.ids.values())] = [len(p) for p in self.ids]
+        self.byte[self.bytes] = np.arange(256)
+
+    def _merged(self, word: str, most: int | None = None) -> list[str]:
+        """Symbols after all merges of a word, best score first, then leftmost; or before its merge number ``most``."""
         symbols, after, before = list(word), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
         heap, scores = [], self.scores
 
@@ -225,10 +237,14 @@ class PieceModel:
 
         for i in range(len(word) - 1):
             offer(i, i + 1)
+        done = 0
         while heap:
             _, i, j, new = heapq.heappop(heap)
             if not symbols[i] or not symbols[j] or symbols[i] + symbols[j] != new:
                 continue
+            done += 1
+            if done == most:
+                break
             symbols[i], symbols[j] = new, ""
             after[i] = after[j]
             if after[i] < len(symbols):
@@ -238,19 +254,37 @@ class PieceModel:
                 offer(before[i], i)
         return [s for s in symbols if s]
 
+    def _halves(self, piece: str):
+        """What the last merge of a piece joins; None where its merges do not lead to it."""
+        if piece not in self.split:
+            symbols = self._merged(piece, len(piece) - 1)
+            self.split[piece] = symbols if len(symbols) == 2 and self._merged(piece) == [piece] else None
+        return self.split[piece]
+
     def _fits(self, left: str, right: str) -> bool:
-        """Whether no merge goes over the border of two pieces that stand side by side; with no left one, whether the right one is whole."""
-        key = left, right
-        found = self.fitting.get(key)
-        if found is None:
-            if len(self.fitting) >= KEPT_PARTS:
-                self.fitting.clear()
-            if left and left[-1] + right[0] not in self.pairs:
-                found = self._fits("", right)
+        """Whether no merge goes over the border of two pieces that stand side by side; with no left one, whether the right one is whole.
+
+        The pieces are taken apart again, the later merge first: what stands
+        at the border then must not merge earlier than what was taken apart.
+        """
+        if len(right) > 1 and not self._halves(right):
+            return False
+        if not left or left[-1] + right[0] not in self.pairs:
+            return True
+        if left in self.tied or right in self.tied:
+            return self._merged(left + right) == [left, right]
+        rank, limit = self.rank, len(self.rank)
+        while True:
+            if rank.get(left + right, limit) < limit:
+                return False
+            a, b = (rank[x] if len(x) > 1 else -1 for x in (left, right))
+            if a < 0 and b < 0:
+                return True
+            # of equal merges the left one comes first
+            if a > b:
+                limit, left = a, self._halves(left)[1]
             else:
-                found = self._merged(left + right) == ([left, right] if left else [right])
-            self.fitting[key] = found
-        return found
+                limit, right = b + 1, self._halves(right)[0]
 
     def pieces_of(self, part: str) -> list[str]:
         """What the merges of a part come to, without merging it.
@@ -261,21 +295,26 @@ class PieceModel:
         laid longest first, and taken back where nothing fits on; a place that
         was left is not tried again, as no other sequence leads there.
         """
-        out, at, n, dead, known, fits = [], 0, len(part), set(), self.ids, self.fitting
-        size = min(n, self.longest)
+        out, at, n, dead, known, fits, reach = [], 0, len(part), set(), self.ids, self.fitting, self.reach
+        size = min(n, reach.get(part[:3], 2))
         while at < n:
             left = out[-1] if out else ""
             while size:
                 piece = part[at : at + size]
                 if (piece in known or size == 1) and at + size not in dead:
-                    good = fits.get((left, piece))
-                    if self._fits(left, piece) if good is None else good:
+                    key = left, piece
+                    good = fits.get(key)
+                    if good is None:
+                        if len(fits) >= KEPT_PARTS:
+                            fits.clear()
+                        good = fits[key] = self._fits(left, piece)
+                    if good:
                         break
                 size -= 1
             if size:
                 out.append(piece)
                 at += size
-                size = min(n - at, self.longest)
+                size = min(n - at, reach.get(part[at : at + 3], 2))
             else:
                 dead.add(at)
                 size = len(out.pop())
@@ -283,35 +322,27 @@ class PieceModel:
                 size -= 1
         return out
 
-    def _encode_part(self, part: str) -> tuple[list[int], list[int]]:
-        ids, sizes = [], []
+    def _encode_part(self, part: str) -> list[int]:
+        ids = []
         for piece in self.pieces_of(part):
             found = self.ids.get(piece)
             if found is None:  # one character without a piece
-                raw = piece.encode()
-                ids += [self.bytes[b] for b in raw]
-                sizes += [0] * (len(raw) - 1) + [1]
+                ids += [self.bytes[b] for b in piece.encode()]
             else:
                 ids.append(found)
-                sizes.append(len(piece))
-        return ids, sizes
+        return ids
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of a text; offsets are bytes of it, one more than ids."""
         made, places = self.normalise(text)
         if not made:
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        ids, sizes, parts = [], [], self.parts
-        for part in self.part.findall(made):
-            if len(part) > KEPT_LENGTH:
-                new = self._encode_part(part)
-                ids.append(array("i", new[0]).tobytes())
-                sizes.append(array("i", new[1]).tobytes())
-            else:
-                ids.append(parts[part])
-                sizes.append(parts.sizes[part])
-        ends = np.cumsum(np.frombuffer(b"".join(sizes), np.int32))
-        return np.frombuffer(b"".join(ids), np.int32), places[np.concatenate([[0], ends])]
+        ids = np.frombuffer(b"".join(map(self.parts.__getitem__, self.part.findall(made))), np.int32)
+        sizes, byte = self.sizes[ids], self.byte[ids]
+        if (byte >= 0).any():  # a character ends where no byte of its follows
+            follows = np.append((byte[1:] & 0xC0) == 0x80, False) & (np.append(byte[1:], -1) >= 0)
+            sizes[(byte >= 0) & follows] = 0
+        return ids, places[np.concatenate([[0], np.cumsum(sizes)])]
 
 
 @lru_cache(maxsize=2)
