@@ -8,7 +8,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import aggregates, autocorr, biconnected, connectivity, corners, diagnostics, graph, replay
+from ..operators import aggregates, autocorr, biconnected, connectivity, corners, diagnostics, graph, proposals, replay
 from ..operators.store import cut, delete_at_end, shared_path
 from ..sources import derived, files, lattice
 
@@ -836,4 +836,68 @@ def _(r):
     return connectivity.cut_vertex_versions(r.stored_log, r.start, r.edges)
 
 
+# -- proposals along the log --------------------------------------------------
+#: Time t is the state before step t. All proposals of every time, by brute force.
+TIMES = """bst AS MATERIALIZED (SELECT chain_id, 0 AS t, node_id, CAST(district_id AS INT) AS color FROM start, len UNION ALL SELECT chain_id, step + 1, node_id, color FROM at_step),
+bn AS (SELECT a.chain_id, a.t, a.node_id, a.color AS old_color, b.color AS c, count(*) AS n FROM bst a JOIN sym s ON s.node_id = a.node_id
+  JOIN bst b ON b.chain_id = a.chain_id AND b.t = a.t AND b.node_id = s.other GROUP BY ALL),
+bp AS MATERIALIZED (SELECT x.chain_id, x.t, x.node_id, x.old_color, x.c AS new_color, coalesce(o.n, 0) - x.n AS score FROM bn x
+  LEFT JOIN bn o ON o.chain_id = x.chain_id AND o.t = x.t AND o.node_id = x.node_id AND o.c = x.old_color WHERE x.c <> x.old_color),
+"""
+
+
+def _proposals(r):
+    return proposals.proposal_intervals(r.stored_log, r.start, r.edges)
+
+
+@query("k3_normalisers", TIMES + """z AS (SELECT chain_id, t, sum(exp(-0.5 * score)) AS w FROM bp GROUP BY ALL),
+sc AS (SELECT l.*, (SELECT count(*) FILTER (a.color = old_color) - count(*) FILTER (a.color = new_color) FROM sym s JOIN at_step a ON a.node_id = s.other WHERE s.node_id = l.node_id AND a.chain_id = l.chain_id AND a.step = l.step) AS score
+  FROM log l WHERE node_id IS NOT NULL)
+SELECT l.chain_id, l.step, round(f.w, 6) AS forward, round(g.w, 6) AS reverse,
+  round(CASE WHEN p.node_id IS NOT NULL THEN CASE WHEN q.node_id IS NULL THEN 0 ELSE exp(0.5 * l.score) / g.w / (exp(-0.5 * l.score) / f.w) END END, 6) AS ratio
+FROM sc l JOIN z f ON f.chain_id = l.chain_id AND f.t = l.step JOIN z g ON g.chain_id = l.chain_id AND g.t = l.step + 1
+LEFT JOIN bp p ON p.chain_id = l.chain_id AND p.t = l.step AND p.node_id = l.node_id AND p.old_color = l.old_color AND p.new_color = l.new_color
+LEFT JOIN bp q ON q.chain_id = l.chain_id AND q.t = l.step + 1 AND q.node_id = l.node_id AND q.old_color = l.new_color AND q.new_color = l.old_color""")
+def _(r):
+    scored = replay.move_scores(r.stored_log, r.start, r.edges).select("chain_id", "step", "node_id", "old_color", "new_color", "score")
+    return r6(proposals.normalisers(r.stored_log, cut(_proposals(r), "proposals"), scored, 1.0), "forward", "reverse", "ratio")
+
+
+@query("v9_pair_totals", TIMES + """h AS (SELECT chain_id, least(old_color, new_color) AS c1, greatest(old_color, new_color) AS c2, t, score, count(*) AS n FROM bp GROUP BY ALL),
+g AS (SELECT chain_id, c1, c2, t, string_agg(score || ':' || n, ',' ORDER BY score) AS sig, sum(n * exp(-0.5 * score)) AS total FROM h GROUP BY ALL),
+m AS (SELECT *, lag(sig) OVER w IS DISTINCT FROM sig OR lag(t) OVER w < t - 1 AS new FROM g WINDOW w AS (PARTITION BY chain_id, c1, c2 ORDER BY t)),
+k AS (SELECT *, sum(new::INT) OVER (PARTITION BY chain_id, c1, c2 ORDER BY t) AS part FROM m)
+SELECT chain_id, c1, c2, min(t) AS start_step, least(max(t) + 1, any_value(steps)) AS end_step, round(max(total), 6) AS total FROM k JOIN len USING (chain_id) GROUP BY chain_id, c1, c2, part HAVING min(t) < any_value(steps)""")
+def _(r):
+    return r6(proposals.pair_totals(_proposals(r), r.stored_log, 1.0), "total")
+
+
+@query("t14_rejected_draws", TIMES + """rej AS (SELECT chain_id, step FROM log WHERE node_id IS NULL),
+rp AS (SELECT r.chain_id, r.step, p.node_id, old_color, new_color, score, p.node_id % 16 AS cell FROM rej r JOIN bp p ON p.chain_id = r.chain_id AND p.t = r.step WHERE score > 0),
+rc AS (SELECT chain_id, step, score, cell, -ln((CAST('0x' || substr(md5('11:' || chain_id || ':' || step || ':' || score || ':' || cell), 1, 12) AS BIGINT) + 1) / 281474976710656)
+  / (count(*) * exp(-0.5 * score) * (1 - exp(-0.5 * 2 * score))) AS w FROM rp GROUP BY chain_id, step, score, cell),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, step ORDER BY w, score, cell) AS k FROM rc) WHERE k = 1),
+cand AS (SELECT p.*, -ln((CAST('0x' || substr(md5('11:' || p.chain_id || ':' || p.step || ':' || node_id || ':' || old_color || ':' || new_color), 1, 12) AS BIGINT) + 1) / 281474976710656) AS w
+  FROM best b JOIN rp p ON p.chain_id = b.chain_id AND p.step = b.step AND p.score = b.score AND p.cell = b.cell),
+one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY chain_id, step ORDER BY w, node_id, old_color, new_color) AS k FROM cand) WHERE k = 1)
+SELECT r.chain_id, r.step, node_id, old_color, new_color, score, round(exp(-0.5 * 2 * score), 6) AS chance FROM rej r LEFT JOIN one USING (chain_id, step)""")
+def _(r):
+    return r6(proposals.rejected_draws(r.stored_log, _proposals(r), 1.0, 2.0, seed=11), "chance")
+
+
+@query("k2_flow_signs", f"""sg AS (SELECT chain_id, step, node_id, old_color, new_color, 1 - 2 * (sum((node_id IS NULL)::INT) OVER (PARTITION BY chain_id ORDER BY step) % 2) AS sign FROM log),
+cb AS MATERIALIZED (SELECT chain_id, step + 1 AS step, color AS d, sum(x) AS sx, sum(y) AS sy, count(*) AS n FROM at_step JOIN nodes USING (node_id) GROUP BY ALL
+  UNION ALL SELECT chain_id, 0, district_id, sum(x), sum(y), count(*) FROM start JOIN nodes USING (node_id), len GROUP BY ALL),
+e AS (SELECT s.chain_id, s.step, s.sign, o.sx / o.n AS ax, o.sy / o.n AS ay, (o.sx - x) / nullif(o.n - 1, 0) AS bx, (o.sy - y) / nullif(o.n - 1, 0) AS byy,
+  w.sx / w.n AS cx, w.sy / w.n AS cy, (w.sx + x) / (w.n + 1) AS dx, (w.sy + y) / (w.n + 1) AS dy
+  FROM sg s JOIN nodes USING (node_id) LEFT JOIN cb o ON o.chain_id = s.chain_id AND o.step = s.step AND o.d = old_color LEFT JOIN cb w ON w.chain_id = s.chain_id AND w.step = s.step AND w.d = new_color),
+f AS (SELECT chain_id, step, sign, round(((byy - ay) * ((ax + bx) / 2 - {CENTRE[0]}) - (bx - ax) * ((ay + byy) / 2 - {CENTRE[1]})) / nullif(sqrt(pow((ax + bx) / 2 - {CENTRE[0]}, 2) + pow((ay + byy) / 2 - {CENTRE[1]}, 2)) * sqrt(pow(bx - ax, 2) + pow(byy - ay, 2)), 0)
+  + ((dy - cy) * ((cx + dx) / 2 - {CENTRE[0]}) - (dx - cx) * ((cy + dy) / 2 - {CENTRE[1]})) / nullif(sqrt(pow((cx + dx) / 2 - {CENTRE[0]}, 2) + pow((cy + dy) / 2 - {CENTRE[1]}, 2)) * sqrt(pow(dx - cx, 2) + pow(dy - cy, 2)), 0), 6) AS turn FROM e)
+SELECT chain_id, step, turn, CAST(sign AS INT) AS sign, coalesce(turn * sign > 0, true) AS agrees FROM f""")
+def _(r):
+    out = r6(proposals.flow_signs(r.stored_log, r.start, r.nodes, CENTRE), "turn")
+    # compared as rounded, so that both sides round before they take the direction
+    return out.withColumn("agrees", F.coalesce(F.col("turn") * F.col("sign") > 0, F.lit(True)))
+
+
 QUERIES = {name: (lambda spark, sf_dir, f=f: f(relations(spark, sf_dir))) for name, f in _B.items()}
