@@ -5,26 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .matrix import packed, sampled
 from .replay import snapshots
 
 
-def _agreement(a: DataFrame, b: DataFrame, nodes: DataFrame, districts: int) -> DataFrame:
-    """a: (chain_id, node_id, color, loc, dist); b: snapshots. Mean over locs by distance."""
-    there = b.select("chain_id", "node_id", F.col("step").alias("to"), F.col("color").alias("other"))
-    pairs = a.withColumn("to", F.col("loc") + F.col("dist")).join(there, ["chain_id", "node_id", "to"])
-    per = pairs.groupBy("chain_id", "dist", "loc").agg(F.count_if(F.col("color") == F.col("other")).alias("agree"))
-    chance = nodes.agg((F.count("*") / districts).alias("chance"))
-    per = per.groupBy("chain_id", "dist").agg(F.count("*").alias("locs"), F.avg("agree").alias("mean_agree"))
-    return per.join(F.broadcast(chance), how="left").select("chain_id", "dist", "locs", (F.col("mean_agree") - F.col("chance")).alias("g"))
+#: Samples of a block: they meet the ones ahead of them in one row.
+BLOCK = 64
+
+
+def _agreement(held: DataFrame, nodes: DataFrame, every: int, furthest: int, districts: int, whole: bool, block: int) -> DataFrame:
+    """Mean agreement at each distance between samples every ``every`` steps.
 
+    Samples come from the packed matrix and stand as arrays of a block and of
+    the distances ahead of it, so all distances are counted within a row.
+    ``whole``: only from samples that have all distances ahead.
+    """
+    ahead = (furthest - 1) // every
+    steps = held.groupBy("chain_id").agg(F.max("end_step").alias("steps"))
+    points = sampled(packed(held), every)
+    points = points.withColumn("block", F.explode(F.sequence(F.greatest(F.floor((F.col("k") - ahead) / block), F.lit(0)), F.floor(F.col("k") / block))))
+    rows = points.groupBy("chain_id", "node_id", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "color"))), lambda p: p["color"]).alias("c"))
+    # samples from which distance d is counted: those with a sample there, or with all steps below ``furthest`` ahead
+    last = F.floor((F.col("steps") - 1) / every)
+    from_ = lambda d: F.ceil((F.col("steps") - furthest) / every) - 1 if whole else last - d
+    inside = lambda d: F.least(F.lit(block), from_(d) - F.col("block") * block + 1)
+    equal = lambda d: F.size(F.filter(F.slice("c", 1, F.greatest(inside(d), F.lit(0)).cast("int")), lambda x, i: x == F.get("c", (i + d).cast("int"))))
+    rows = rows.join(steps, "chain_id")
+    per = rows.select("chain_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(ahead)), equal)).alias("d", "agree"))
+    per = per.groupBy("chain_id", "d").agg(F.sum("agree").alias("agree")).join(steps, "chain_id").withColumn("locs", from_(F.col("d")) + 1).where("locs > 0")
+    chance = nodes.agg((F.count("*") / districts).alias("chance"))  # one row
+    out = per.join(F.broadcast(chance), how="left")
+    return out.select("chain_id", (F.col("d") * every).cast("long").alias("dist"), F.col("locs").cast("long").alias("locs"), (F.col("agree") / F.col("locs") - F.col("chance")).alias("g"))
 
-def at_distances(held: DataFrame, nodes: DataFrame, every: int, furthest: int, districts: int) -> DataFrame:
+
+def at_distances(held: DataFrame, nodes: DataFrame, every: int, furthest: int, districts: int, block: int = BLOCK) -> DataFrame:
     """G(d) for d = 0, every, ... below ``furthest``, from every ``every``-th step that has all of them."""
-    s = snapshots(held, every)
-    last = held.groupBy("chain_id").agg(F.max("end_step").alias("steps"))
-    locs = s.join(last, "chain_id").where(F.col("step") < F.col("steps") - furthest)
-    a = locs.select("chain_id", "node_id", "color", F.col("step").alias("loc"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(furthest - 1).cast("long"), F.lit(every).cast("long"))).alias("dist"))
-    return _agreement(a, s, nodes, districts)
+    return _agreement(held, nodes, every, furthest, districts, True, block)
 
 
 def from_points(held: DataFrame, nodes: DataFrame, every: int, furthest: int, districts: int) -> DataFrame:
@@ -47,11 +63,9 @@ def from_points(held: DataFrame, nodes: DataFrame, every: int, furthest: int, di
     return out.select("chain_id", "dist", "locs", (F.col("agree") / F.col("locs") - F.col("chance")).alias("g"))
 
 
-def all_pairs(held: DataFrame, nodes: DataFrame, every: int, furthest: int, districts: int) -> DataFrame:
+def all_pairs(held: DataFrame, nodes: DataFrame, every: int, furthest: int, districts: int, block: int = BLOCK) -> DataFrame:
     """G(d) over all pairs of sampled steps less than ``furthest`` apart."""
-    s = snapshots(held, every)
-    a = s.select("chain_id", "node_id", "color", F.col("step").alias("loc"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(furthest - 1).cast("long"), F.lit(every).cast("long"))).alias("dist"))
-    return _agreement(a, s, nodes, districts)
+    return _agreement(held, nodes, every, furthest, districts, False, block)
 
 
 def sample_steps(steps: DataFrame, k: int, seed: int, block: int = 65_536) -> DataFrame:

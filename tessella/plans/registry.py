@@ -8,7 +8,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import aggregates, autocorr, biconnected, connectivity, corners, diagnostics, graph, proposals, replay
+from ..operators import aggregates, autocorr, biconnected, connectivity, corners, diagnostics, graph, matrix, proposals, replay
 from ..operators.store import cut, delete_at_end, shared_path
 from ..sources import derived, files, lattice
 
@@ -540,6 +540,20 @@ def _(r):
     return held.groupBy("chain_id", "color").agg(F.sum(F.col("end_step") - F.col("start_step")).alias("node_steps"))
 
 
+@query("t2_colour_matrix", """g AS (SELECT chain_id, node_id, s // 512 AS part, min(s) AS first, max(e) AS after, count(*) AS n_runs, string_agg(s || ':' || color, ',' ORDER BY s) AS runs FROM held GROUP BY ALL)
+SELECT chain_id, node_id, first, after, n_runs, runs FROM g""")
+def _(r):
+    m = matrix.packed(replay.intervals(r.log, r.start), 512)
+    runs = F.array_join(F.zip_with("starts", "colors", lambda s, c: F.concat_ws(":", s, c)), ",")
+    return m.select("chain_id", "node_id", "first", "after", F.size("starts").cast("long").alias("n_runs"), runs.alias("runs"))
+
+
+@query("t2_colour_lookup", "z AS (SELECT 1) SELECT a.chain_id, a.step, a.node_id, a.color FROM log l JOIN sym s ON s.node_id = l.node_id JOIN at_step a ON a.chain_id = l.chain_id AND a.step = l.step AND a.node_id = s.other")
+def _(r):
+    asked = replay.accepted(r.stored_log).join(graph.symmetric(r.edges), "node_id").select("chain_id", "step", F.col("other").alias("node_id"))
+    return matrix.lookup(matrix.packed(replay.intervals(r.stored_log, r.start), 512), asked, 512)
+
+
 @query("t4_contested_edges", """z AS (SELECT 1) SELECT a.chain_id, u, v, count(*) AS contested FROM edges JOIN at_step a ON a.node_id = u JOIN at_step b ON b.node_id = v AND b.chain_id = a.chain_id AND b.step = a.step
 WHERE a.color <> b.color GROUP BY ALL""")
 def _(r):
