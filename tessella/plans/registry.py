@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..operators import aggregates, autocorr, biconnected, connectivity, corners, diagnostics, graph, matrix, proposals, replay
 from ..operators.store import cut, delete_at_end, shared_path
-from ..sources import derived, files, lattice
+from ..sources import derived, files, lattice, runs
 
 TOLERANCE, EVERY, THIN, LAGS, FURTHEST = 0.9, 50, 100, 20, 500
 CENTRE = (4.5, 4.5)
@@ -224,6 +224,23 @@ def _(r):
     return files.new_runs(found, listed).select(chain, "class", "measure_beta", "run_length", "graph_size", "num_districts", (F.col("mod_time") > 0).alias("dated"))
 
 
+@query("s17_run_features", f"""a AS (SELECT min(population) AS low, max(population) AS high FROM dist)
+SELECT chain_id, 'flip' AS class, 1.0::DOUBLE AS beta, 2.0::DOUBLE AS measure_beta, steps AS run_length, (SELECT count(*) FROM nodes) AS graph_size, (SELECT CAST(count(*) AS INT) FROM dist) AS num_districts,
+  '1.0' AS score_weights, 'cut_length' AS score_funcs, CAST(low AS DOUBLE) AS minimum_population, CAST(high AS DOUBLE) AS maximum_population, 1 AS involution_max, {CENTRE[0]}::DOUBLE AS center_x, {CENTRE[1]}::DOUBLE AS center_y,
+  CAST(1 - 2 * (chain_id % 2) AS INT) AS starting_involution, true AS dated FROM len, a""")
+def _(r):
+    path = scratch(r, "runs")
+    d = aggregates.by_district(r.nodes, r.start)
+    graph_of = d.agg(F.min("population").alias("minimum_population"), F.max("population").alias("maximum_population"), F.sum("n_nodes").alias("graph_size"), F.count("*").alias("num_districts"))  # one row
+    settings = replay.lengths(r.log).select("chain_id", F.lit("flip").alias("class"), F.lit(1.0).alias("beta"), F.lit(2.0).alias("measure_beta"), F.array(F.lit(1.0)).alias("score_weights"), F.array(F.lit("cut_length")).alias("score_funcs"),
+        F.lit(1).alias("involution_max"), F.array(*[F.lit(c) for c in CENTRE]).alias("center"), (1 - 2 * (F.col("chain_id") % 2)).alias("starting_involution"))
+    runs.save_runs(r.log, settings.join(F.broadcast(graph_of.select("graph_size", "num_districts", *[F.col(c).cast("double").alias(c) for c in ("minimum_population", "maximum_population")])), how="left"), path)
+    delete_at_end(r.spark, path)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    return runs.runs(r.spark, path).select("chain_id", "class", "beta", "measure_beta", "run_length", "graph_size", "num_districts", text("score_weights"), text("score_funcs"), "minimum_population", "maximum_population", "involution_max",
+        F.col("center")[0].alias("center_x"), F.col("center")[1].alias("center_y"), "starting_involution", (F.col("mod_time") > 0).alias("dated"))
+
+
 @query("s18_json_result", "z AS (SELECT 1) SELECT district_id, population FROM dist")
 def _(r):
     path = scratch(r, "result")
