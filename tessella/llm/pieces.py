@@ -11,8 +11,8 @@ covers the character.
 
 Merges never join characters that stand side by side in no piece. So text is
 cut where no piece goes over, above all before the mark of a word's begin, and
-equal parts are encoded once. What the merges of a part come to is found from
-pairs of pieces, whose merges are remembered.
+equal parts are encoded once. New short parts are merged side by side in numpy;
+what the merges of a long one come to is found from pairs of pieces.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import struct
 from array import array
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,8 +37,8 @@ SPACE = "▁"
 #: Kinds of pieces, kind of model and fields in the model file's format: fixed values.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
-#: Parts that are remembered, and characters of one at most.
-KEPT_PARTS, KEPT_LENGTH = 1 << 18, 64
+#: Parts that are remembered, and characters of one at most; characters of texts that are encoded together.
+KEPT_PARTS, KEPT_LENGTH, TOGETHER = 1 << 19, 64, 2 << 20
 
 
 def default_model() -> str:
@@ -173,11 +174,14 @@ class _Parts(dict):
         ids = self.before.get(part) or array("i", self.encode(part)).tobytes()
         if len(part) <= KEPT_LENGTH:
             if len(self) >= KEPT_PARTS // 2:
-                self.before = dict(self)
-                self.clear()
+                self.turn()
             self[part] = ids
         return ids
 
+    def turn(self) -> None:
+        self.before = dict(self)
+        self.clear()
+
 
 class PieceModel:
     def __init__(self, path: str):
@@ -221,6 +225,7 @@ class PieceModel:
         for p in self.rank:
             self.reach[p[:3]] = max(len(p), self.reach.get(p[:3], 2))
         #: Characters of each piece; those of byte pieces are told from their neighbours.
+        self.table = self._pairs()
         self.sizes, self.byte = np.ones(len(self.ids) + len(special), np.int64), np.full(len(self.ids) + len(special), -1)
         self.sizes[list(self.ids.values())] = [len(p) for p in self.ids]
         self.byte[self.bytes] = np.arange(256)
@@ -332,17 +337,91 @@ class PieceModel:
                 ids.append(found)
         return ids
 
+    def _pairs(self):
+        """Symbols of characters and of pieces, and what two of them join to: sorted keys and the joined symbol."""
+        number = {p: k for k, p in enumerate(dict.fromkeys([*(c for p in self.ids for c in p), *self.rank]))}
+        joined = sorted((number[p[:k]] * len(number) + number[p[k:]], number[p]) for p in self.rank for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        rank = np.full(len(number) + 1, len(number), np.int64)  # the last is no symbol
+        first: dict = {}  # pieces of one score have one rank
+        for p, k in self.rank.items():
+            rank[number[p]] = first.setdefault(self.scores[p], k)
+        chars = np.full(0x110000, len(number), np.int64)
+        for c, k in number.items():
+            if len(c) == 1:
+                chars[ord(c)] = k
+        ids = np.array([*(self.ids.get(p, -1) for p in number), -1], np.int64)
+        return len(number), np.array([k for k, _ in joined], np.int64), np.array([v for _, v in joined], np.int64), rank, chars, ids
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The symbols that pairs join to; the number of symbols for those that do not join."""
+        none, keys, values = self.table[:3]
+        key = np.where((a < none) & (b < none) & (a >= 0) & (b >= 0), a * none + b, -1)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, values[at], none)
+
+    def learn(self, parts: list[str]) -> None:
+        """Encodes parts side by side, one merge of each at a time, and keeps them."""
+        none, _, _, rank, chars, ids = self.table
+        codes = chars[np.frombuffer("".join(parts).encode("utf-32-le"), "<u4")]
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        symbols = np.full((len(parts), int(lengths.max()) + 1), -1, np.int64)
+        symbols[np.arange(symbols.shape[1]) < lengths[:, None]] = codes
+        row, done = np.arange(len(parts)), np.full_like(symbols, -1)
+        joined = self._joined(symbols[:, :-1], symbols[:, 1:])
+        cols = np.arange(joined.shape[1])
+        while len(row):
+            order = rank[joined]
+            j = order.argmin(axis=1)  # the leftmost of equal ones
+            go = order[np.arange(len(row)), j] < none
+            done[row[~go]] = symbols[~go]
+            row, symbols, joined, j = row[go], symbols[go], joined[go], j[go]
+            r = np.arange(len(row))
+            new = joined[r, j]
+            later = cols > j[:, None]
+            symbols[:, :-1] = np.where(later, symbols[:, 1:], symbols[:, :-1])
+            symbols[:, -1] = -1
+            symbols[r, j] = new
+            joined[:, :-1] = np.where(later[:, :-1], joined[:, 1:], joined[:, :-1])
+            joined[:, -1] = none
+            joined[r, j] = self._joined(new, symbols[r, j + 1])
+            has = np.flatnonzero(j > 0)
+            joined[has, j[has] - 1] = self._joined(symbols[has, j[has] - 1], new[has])
+        there = done >= 0
+        found = ids[np.where(there, done, none)]
+        whole = ((found >= 0) | ~there).all(axis=1)
+        counts = np.where(whole, there.sum(axis=1), 0)
+        ends = (4 * np.cumsum(counts)).tolist()
+        raw = found[there & whole[:, None]].astype(np.int32).tobytes()
+        low = 0
+        for part, end, ok in zip(parts, ends, whole.tolist()):
+            if ok:  # characters without a piece are left to the way of single parts
+                self.parts[part] = raw[low:end]
+            low = end
+
+    def encode_many(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(ids, offsets) of each text; offsets are bytes of it, one more than ids."""
+        made = [self.normalise(t) for t in texts]
+        split = [self.part.findall(m) for m, _ in made]
+        parts = self.parts
+        new = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in parts and p not in parts.before]
+        if len(parts) + len(new) > KEPT_PARTS // 2:
+            parts.turn()
+        for low, high in ((1, 8), (8, 12), (12, 20), (20, 32)):
+            some = [p for p in new if low < len(p) <= high]
+            for k in range(0, len(some), 1 << 14):
+                self.learn(some[k : k + (1 << 14)])
+        out = []
+        for (text, places), found in zip(made, split):
+            ids = np.frombuffer(b"".join(map(parts.__getitem__, found)), np.int32)
+            sizes, byte = self.sizes[ids], self.byte[ids]
+            if (byte >= 0).any():  # a character ends where no byte of its follows
+                follows = np.append((byte[1:] & 0xC0) == 0x80, False) & (np.append(byte[1:], -1) >= 0)
+                sizes[(byte >= 0) & follows] = 0
+            out.append((ids, places[np.concatenate([[0], np.cumsum(sizes)])] if text else np.zeros(1, np.int64)))
+        return out
+
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, offsets) of a text; offsets are bytes of it, one more than ids."""
-        made, places = self.normalise(text)
-        if not made:
-            return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        ids = np.frombuffer(b"".join(map(self.parts.__getitem__, self.part.findall(made))), np.int32)
-        sizes, byte = self.sizes[ids], self.byte[ids]
-        if (byte >= 0).any():  # a character ends where no byte of its follows
-            follows = np.append((byte[1:] & 0xC0) == 0x80, False) & (np.append(byte[1:], -1) >= 0)
-            sizes[(byte >= 0) & follows] = 0
-        return ids, places[np.concatenate([[0], np.cumsum(sizes)])]
+        return self.encode_many([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -379,12 +458,11 @@ def encode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
         for batch in batches:
             low = 0
             while low < batch.num_rows:
-                ids, offsets, size, high = [], [], 0, low
-                while high < batch.num_rows and size < 1 << 20:  # pieces of a batch that goes back
-                    found = known.encode(batch.column(1)[high].as_py() or "")
-                    ids.append(found[0])
-                    offsets.append(found[1])
-                    size, high = size + len(found[0]), high + 1
+                texts, size, high = [], 0, low
+                while high < batch.num_rows and size < TOGETHER:
+                    texts.append(batch.column(1)[high].as_py() or "")
+                    size, high = size + len(texts[-1]), high + 1
+                ids, offsets = zip(*known.encode_many(texts))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), _lists(ids, pa.int32()), _lists(offsets, pa.int64())], ["doc_id", "ids", "offsets"])
                 low = high
 

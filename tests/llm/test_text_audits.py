@@ -106,8 +106,8 @@ ODD += ["".join(rnd.choice("abe \n\t.,▁éñ日本😀́ﬁ0123_-<>x") for _ in
 
 def test_pieces_and_places_equal_the_library():
     own, library = pieces.PieceModel(pieces.default_model()), sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
-    for text in [*ODD, LONG[:20_000]]:
-        ids, offsets = own.encode(text)
+    texts = [*ODD, LONG[:20_000], *ODD[:40]]
+    for text, (ids, offsets) in zip(texts, own.encode_many(texts)):
         want = library.encode(text, out_type="proto")
         assert ids.tolist() == [p.id for p in want.pieces] and offsets[0] == 0 and offsets[-1] == len(text.encode())
         assert list(zip(offsets[:-1].tolist(), offsets[1:].tolist())) == [(p.begin, p.end) for p in want.pieces]
@@ -117,6 +117,9 @@ def test_pieces_equal_the_merges():
     own = pieces.PieceModel(pieces.default_model())
     parts = ["".join(rnd.choice("▁abcdeinorst,.é日") for _ in range(rnd.randrange(1, 40))) for _ in range(3000)] + ["a" * 500, "ab" * 300, "▁" * 70, "=" * 90, "🧿" * 3]
     assert all(own.pieces_of(p) == own._merged(p) for p in parts)
+    own.learn([p for p in parts if len(p) > 1])
+    got = {p: np.frombuffer(x, np.int32).tolist() for p, x in own.parts.items()}
+    assert len(got) > 2500 and all(ids == own._encode_part(p) for p, ids in got.items())
 
 
 @pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "identity"])
