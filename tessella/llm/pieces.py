@@ -38,7 +38,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
 #: Parts that are remembered, and characters of one at most; characters of texts that are encoded together.
-KEPT_PARTS, KEPT_LENGTH, TOGETHER = 1 << 19, 64, 2 << 20
+KEPT_PARTS, KEPT_LENGTH, TOGETHER = 1 << 18, 64, 1 << 20
 
 
 def default_model() -> str:
@@ -402,17 +402,23 @@ class PieceModel:
         """(ids, offsets) of each text; offsets are bytes of it, one more than ids."""
         made = [self.normalise(t) for t in texts]
         split = [self.part.findall(m) for m, _ in made]
-        parts = self.parts
-        new = [p for p in dict.fromkeys(chain.from_iterable(split)) if p not in parts and p not in parts.before]
-        if len(parts) + len(new) > KEPT_PARTS // 2:
+        parts, known, new = self.parts, {}, []
+        for p in dict.fromkeys(chain.from_iterable(split)):
+            if (ids := parts.get(p) or parts.before.get(p)) is None:
+                new.append(p)
+            else:
+                known[p] = ids
+        if len(parts) + len(known) + len(new) > KEPT_PARTS // 2:
             parts.turn()
         for low, high in ((1, 8), (8, 12), (12, 20), (20, 32)):
             some = [p for p in new if low < len(p) <= high]
-            for k in range(0, len(some), 1 << 14):
-                self.learn(some[k : k + (1 << 14)])
+            for k in range(0, len(some), 1 << 13):
+                self.learn(some[k : k + (1 << 13)])
+        known |= {p: parts[p] for p in new}
+        parts |= {p: ids for p, ids in known.items() if len(p) <= KEPT_LENGTH}
         out = []
         for (text, places), found in zip(made, split):
-            ids = np.frombuffer(b"".join(map(parts.__getitem__, found)), np.int32)
+            ids = np.frombuffer(b"".join(map(known.__getitem__, found)), np.int32)
             sizes, byte = self.sizes[ids], self.byte[ids]
             if (byte >= 0).any():  # a character ends where no byte of its follows
                 follows = np.append((byte[1:] & 0xC0) == 0x80, False) & (np.append(byte[1:], -1) >= 0)
