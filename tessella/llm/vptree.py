@@ -2,10 +2,12 @@
 
 Inner products become Euclidean distances by one more component: with
 (x, sqrt(M^2 - |x|^2)) and (q, 0) the nearest point has the largest product.
-Candidates are dealt to shards at random; a task builds the tree of a shard
-once and sends the queries down it in batches as they pass by. A subtree is skipped for a
-query when the triangle inequality puts it beyond the query's k-th distance.
-That test is relaxed by a factor: one is the exact search, more skips more.
+Candidates are dealt to shards at random, a partition each; a task builds the
+tree of its shard once and sends the queries down it in batches as they pass
+by. Of a few drawn rows the one with the widest spread of distances becomes
+the vantage point. A subtree is skipped for a query when the triangle
+inequality puts it beyond the query's k-th distance. That test is relaxed by a
+factor: one is the exact search, more skips more.
 """
 
 from __future__ import annotations
@@ -19,7 +21,9 @@ from .common import table
 from .vectors import numbered
 
 #: Rows of a shard while there are cores to spare, bytes of one at most, and rows of a tree's leaf.
-SHARD, SHARD_BYTES, LEAF = 2048, 32 << 20, 256
+SHARD, SHARD_BYTES, LEAF = 128, 32 << 20, 256
+#: Rows drawn as possible vantage points, and rows that their distances are spread over.
+DRAWN, SPREAD = 16, 128
 EVERY = 20
 
 
@@ -33,13 +37,20 @@ class VPTree:
     def _build(self, at: np.ndarray):
         if len(at) <= self.leaf:
             return at
-        vantage = int(self.draw.choice(at))
-        d = np.sqrt(np.maximum(0, ((self.x[at] - self.x[vantage]) ** 2).sum(axis=1)))
+        vantage = self._vantage(at)
+        d = self._distances(vantage, at)
         near = np.zeros(len(at), bool)
         near[np.argsort(d, kind="stable")[: len(at) // 2]] = True
         children = [(d[m].min(), d[m].max(), self._build(at[m])) for m in (near, ~near)]
         return vantage, children
 
+    def _distances(self, row: int, at: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0, ((self.x[at] - self.x[row]) ** 2).sum(axis=1)))
+
+    def _vantage(self, at: np.ndarray) -> int:
+        drawn, over = (self.draw.choice(at, min(n, len(at)), replace=False) for n in (DRAWN, SPREAD))
+        return int(max(drawn, key=lambda row: self._distances(row, over).std()))
+
 
 class _Best:
     """The k best candidates of each query so far, by score and then by order."""
@@ -67,7 +78,9 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Shard:
     """The candidates of one shard in order of id, and the tree over their distinct vectors; built once."""
 
-    def __init__(self, candidates: pd.DataFrame, k: int):
+    def __init__(self, candidates: pd.DataFrame, k: int, leaf: int = LEAF):
+        #: products computed so far, those with vantage points included
+        self.computed = 0
         last = np.iinfo(np.int64).max
         c = candidates.assign(order_id=candidates["vec_id"].fillna(last).astype("int64")).sort_values(["order_id", "rid"])
         x = np.stack(c["v"])
@@ -82,7 +95,7 @@ class Shard:
         self.x, self.rank = x[first], first
         norms = (self.x * self.x).sum(axis=1)
         self.bound = norms.max()
-        self.tree = VPTree(np.concatenate((self.x, np.sqrt(np.maximum(0, self.bound - norms))[:, None]), axis=1))
+        self.tree = VPTree(np.concatenate((self.x, np.sqrt(np.maximum(0, self.bound - norms))[:, None]), axis=1), leaf)
 
     def search(self, q: np.ndarray, k: int, factor: float = 1.0):
         """(scores, rows) of the k best distinct vectors for each query; ties by ``rank``."""
@@ -96,6 +109,7 @@ class Shard:
             if not len(rows):
                 return
             if isinstance(node, np.ndarray):
+                self.computed += len(rows) * len(node)
                 fast = q[rows] @ x[node].T
                 # rows that may enter: the exact sums are taken for these alone
                 some = (fast >= best.score[rows, -1][:, None] - 1e-9 * (1 + np.abs(fast))).any(axis=0)
@@ -103,6 +117,7 @@ class Shard:
                     best.add(rows, products(q[rows], x[node[some]]), node[some], self.rank)
                 return
             vantage, children = node
+            self.computed += len(rows)
             d = np.sqrt(np.maximum(0, q_norms[rows] + self.bound - 2 * (q[rows] @ x[vantage])))
             gaps = [np.maximum(0, np.maximum(low - d, d - high)) for low, high, _ in children]
             first = gaps[0] <= gaps[1]
@@ -127,7 +142,7 @@ class Shard:
         return out
 
 
-def nearest(embeddings: DataFrame, k: int = 20, factor: float = 1.0, every: int = EVERY) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 20, factor: float = 1.0, every: int = EVERY, leaf: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest products of each query.
 
     Queries are the usable vectors whose vec_id is divisible by ``every``;
@@ -138,7 +153,10 @@ def nearest(embeddings: DataFrame, k: int = 20, factor: float = 1.0, every: int
     An empty table gives no rows. Long vectors make shards of fewer rows.
     Other columns, whatever their names, are not looked at. With ``factor``
     1 the search is exact; a larger one skips more and may miss neighbours.
+    Smaller leaves (``leaf`` rows) skip more for the same recall, but take
+    more steps a query.
     """
+    leaf = leaf or LEAF
     vectors = numbered(embeddings).where("ok").select("vec_id", "rid", "v")
     is_query = F.coalesce(F.col("vec_id") % every == 0, F.lit(False))
     n, length = vectors.agg(F.count("*"), F.sum(F.size("v"))).first()
@@ -147,8 +165,8 @@ def nearest(embeddings: DataFrame, k: int = 20, factor: float = 1.0, every: int
     shards = max(1, min(at_once, n // SHARD), -(-8 * (length or 0) // SHARD_BYTES))
     candidates = vectors.select("*", F.pmod(F.xxhash64("rid"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("query"))
     asked = vectors.where(is_query).select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("query"))
-    # a shard's candidates come before its queries, which then pass by in batches; spare partitions keep shards apart
-    dealt = candidates.unionByName(asked).repartition(4 * shards, "shard").sortWithinPartitions("shard", "query", "rid")
+    # a shard's candidates come before its queries, which then pass by in batches
+    dealt = candidates.unionByName(asked).repartitionById(shards, "shard").sortWithinPartitions("shard", "query", "rid")
     names = ["query_id", "query_rid", "vec_id", "score"]
 
     def run(batches):
@@ -163,7 +181,7 @@ def nearest(embeddings: DataFrame, k: int = 20, factor: float = 1.0, every: int
                     continue
                 if trees is None:
                     own = pd.concat(held)
-                    trees, held = {d: Shard(c, k) for d, c in own.groupby(own["v"].map(len))}, []
+                    trees, held = {d: Shard(c, k, leaf) for d, c in own.groupby(own["v"].map(len))}, []
                 out = []
                 for d, q in queries.groupby(queries["v"].map(len)):
                     if d in trees:

@@ -8,6 +8,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -439,6 +440,27 @@ def test_recall_falls_as_the_factor_grows(spark):
     assert recall[0] == 1.0 and recall[1] >= 0.9 and recall[1] >= recall[2]
 
 
+def test_products_computed_and_recall_on_the_given_vectors():
+    """Nearly orthogonal vectors in 64 dimensions: the exact search skips nothing, a factor trades products for recall."""
+    given = pd.read_parquet("/root/testdata/sf0.1/embeddings.parquet")
+    frame = pd.DataFrame({"vec_id": given["vec_id"], "rid": range(len(given)), "v": [np.asarray(e, float) for e in given["embedding"]]})
+    found = {}
+    for factor in (1.0, 8.0, 16.0):
+        shard = vptree.Shard(frame, 20, leaf=32)
+        queries = frame[frame["vec_id"] % 20 == 0]
+        found[factor] = {(q, v) for q, _, v, _ in shard.answers(queries, factor)}, shard.computed / len(queries) / len(shard.x)
+    x = np.stack(frame["v"])
+    own = np.flatnonzero(frame["vec_id"] % 20 == 0)
+    products = x[own] @ x.T
+    products[np.arange(len(own)), own] = -np.inf
+    ids = frame["vec_id"].to_numpy()
+    best = {(ids[q], ids[c]) for q, row in zip(own, np.argsort(-products, axis=1, kind="stable")[:, :20]) for c in row}
+    recall = {factor: len(best & got) / len(best) for factor, (got, _) in found.items()}
+    share = {factor: part for factor, (_, part) in found.items()}
+    assert recall[1.0] == 1 and recall[8.0] >= 0.85 and recall[8.0] > recall[16.0]
+    assert share[1.0] <= 1.1 and share[8.0] < 0.9 and share[16.0] < 0.4
+
+
 def test_exact_search_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(vptree, "SHARD", 100)
     monkeypatch.setattr(vptree, "LEAF", 16)
