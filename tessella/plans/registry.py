@@ -733,12 +733,12 @@ def _(r):
 
 @query("w3_waits", "z AS (SELECT 1) SELECT * FROM wait")
 def _(r):
-    return diagnostics.waits(r.log)
+    return diagnostics.waits(r.stored_log)
 
 
 @query("g15_wait_hist", "z AS (SELECT 1) SELECT chain_id, wait, count(*) AS n FROM wait GROUP BY ALL")
 def _(r):
-    return diagnostics.wait_histogram(r.log)
+    return diagnostics.wait_histogram(r.stored_log)
 
 
 @query("g16_rank_histogram", "z AS (SELECT 1) SELECT rank, round(key, 6) AS key, n, round(share, 6) AS share FROM rhist")
