@@ -1,7 +1,7 @@
 """N-gram Jaccard join: exact links between documents' sets of word shingles.
 
-A set is kept as sorted 64-bit hashes and named by a hash of the whole set,
-so equal sets are one from the start. In hash order, the first
+A set is kept as sorted 64-bit hashes and named by 126 bits of a digest of the
+whole set, so equal sets are one from the start. In hash order, the first
 |A| - ceil(t|A|) + l hashes of A and likewise of B have at least l in common
 if their Jaccard similarity is t or more. Prefixes with l = |A|/8 are dealt by
 hash, packed. A partner has at least t|A| hashes, so a set goes on only
@@ -23,7 +23,7 @@ import hashlib
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, shuffle_partitions, stored, table, whole_rows
@@ -73,9 +73,14 @@ def shingle_set(text: str | None, cache: _WordHashes, n: int = WORDS) -> np.ndar
     return np.unique(mix)
 
 
-def set_name(s: np.ndarray) -> int:
-    """A 63-bit name of a set; equal sets have equal names."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1
+def set_name(s: np.ndarray) -> tuple[int, int]:
+    """(name, mark) of a set, 63 bits each; equal sets have equal ones.
+
+    Prefix hashes are sent with the name alone; a set whose name is another's
+    too is told from it by its mark and goes on under a name of its own.
+    """
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little") >> 1, int.from_bytes(digest[8:], "little") >> 1
 
 
 def prefix_length(n: int, share: int) -> int:
@@ -138,14 +143,14 @@ def _by_part(names: np.ndarray, values: np.ndarray, parts: int) -> list[tuple[in
     return [(k, names[a:b].astype("<i8").tobytes() + values[a:b].astype("<i8").tobytes()) for k, a, b in _cut(part)]
 
 
-SCANNED = "doc_id long, key long, rid long, n long, name long, bucket long, pairs binary, counts binary"
+SCANNED = "doc_id long, key long, rid long, n long, name long, mark long, bucket long, pairs binary, counts binary"
 
 
 def scan_sets(docs: DataFrame, buckets: int) -> DataFrame:
     """One pass over the texts of (doc_id, key, rid, text), stored.
 
-    Rows with a bucket null: n (set size) and name of each document, null for
-    empty sets. Rows with a bucket: packed pairs of the longer prefixes, and
+    Rows with a bucket null: n (set size), name and mark of each document, null
+    for empty sets. Rows with a bucket: packed pairs of the longer prefixes, and
     counts of prefix hashes that a task's own sets share. A task sends equal sets once.
     """
     columns = [x.split()[0] for x in SCANNED.split(",")]
@@ -155,23 +160,24 @@ def scan_sets(docs: DataFrame, buckets: int) -> DataFrame:
         own, counts = np.unique(f[shared], return_counts=True)
         rows = [(k, blob, None) for k, blob in _pack(h, f, shared, buckets)] + [(k, None, blob) for k, blob in _by_part(own, counts, buckets)]
         frame = pd.DataFrame(rows, columns=["bucket", "pairs", "counts"])
-        return frame.assign(doc_id=None, key=None, rid=None, n=None, name=None).astype({c: "Int64" for c in columns[:5]})[columns]
+        return frame.assign(doc_id=None, key=None, rid=None, n=None, name=None, mark=None).astype({c: "Int64" for c in columns[:6]})[columns]
 
     def run(batches):
         cache, seen = _WordHashes(), set()
         hashes, names, held = [], [], 0
         for b in batches:
-            n, found = [], []
+            n, found, marks = [], [], []
             for text in b["text"]:
                 s = shingle_set(text, cache)
-                name = set_name(s) if len(s) else None
+                name, mark = set_name(s) if len(s) else (None, None)
                 n.append(len(s))
                 found.append(name)
-                if name is None or name in seen:
+                marks.append(mark)
+                if name is None or (whole := name << 63 | mark) in seen:
                     continue
                 if len(seen) > 1_000_000:
                     seen.clear()
-                seen.add(name)
+                seen.add(whole)
                 p = s[: prefix_length(len(s), extra(len(s)))]
                 hashes.append(p)
                 names.append(np.full(len(p), name, dtype=np.int64))
@@ -179,7 +185,7 @@ def scan_sets(docs: DataFrame, buckets: int) -> DataFrame:
                 if held > FLUSH_ENTRIES:
                     yield settle(hashes, names)
                     hashes, names, held = [], [], 0
-            out = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": b["key"], "rid": b["rid"], "n": n, "name": pd.array(found, dtype="Int64")})
+            out = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": b["key"], "rid": b["rid"], "n": n, "name": pd.array(found, dtype="Int64"), "mark": pd.array(marks, dtype="Int64")})
             yield out.assign(bucket=pd.array([None] * len(b), dtype="Int64"), pairs=None, counts=None)[columns]
         if held:
             yield settle(hashes, names)
@@ -231,25 +237,25 @@ def _bitmaps(arrays: list[np.ndarray], largest: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, tasks: int) -> DataFrame:
-    """(name, n, hashes) of each wanted (name, key), from one document of it, stored."""
+    """(name, n, hashes) of each wanted (id, name, mark, key), its id as name, from one document of it; stored."""
 
     def run(batches):
         cache = _WordHashes()
         for b in batches:
             rows = []
-            for name, text in zip(b["name"], b["text"]):
+            for own, name, mark, text in zip(b["id"], b["name"], b["mark"], b["text"]):
                 s = shingle_set(text, cache)
-                if set_name(s) == name:  # keys are hashes: another text may have the same
-                    rows.append((name, len(s), s.tobytes()))
+                if set_name(s) == (name, mark):  # keys are hashes: another text may have the same
+                    rows.append((own, len(s), s.tobytes()))
                 if len(rows) >= 500:
                     yield pd.DataFrame(rows, columns=["name", "n", "hashes"])
                     rows = []
             yield pd.DataFrame(rows, columns=["name", "n", "hashes"])
 
     # rows that repeat a document share its key: they are dealt to salts, and the narrow side to all of them
-    salted = wanted.select("name", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
+    salted = wanted.select("id", "name", "mark", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
     rows = docs.select("key", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), "text").repartition(tasks, "key", "salt")
-    found = rows.join(salted, ["key", "salt"]).select("name", "text").mapInPandas(run, "name long, n long, hashes binary")
+    found = rows.join(salted, ["key", "salt"]).select("id", "name", "mark", "text").mapInPandas(run, "name long, n long, hashes binary")
     return stored(found.dropDuplicates(["name"]), "sets")
 
 
@@ -349,11 +355,13 @@ def _verify(sets: DataFrame, groups: DataFrame) -> DataFrame:
     rows = rows_stored = stored(rows.withColumn("band", band), "banded")
     tiles = rows.groupBy("root", "band").agg(F.count("*").alias("m"), F.sum(F.col("n") * (8 + BITS_A_HASH // 4) + BITS // 8).alias("bytes"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    tiles = stored(tiles.select("root", "band", blocks.alias("blocks")), "tiles")
+    tiles = stored(tiles.select("root", "band", "m", blocks.alias("blocks")), "tiles")
     lower = tiles.select("root", (F.col("band") + 1).alias("band"), F.col("blocks").alias("lower"))
     higher = tiles.select("root", (F.col("band") - 1).alias("band"), F.col("blocks").alias("higher"))
     rows = rows.join(tiles, ["root", "band"]).join(lower, ["root", "band"], "left").join(higher, ["root", "band"], "left")
     rows = rows.withColumn("mine", F.pmod("name", F.col("blocks").cast("long")).cast("int"))
+    # a set without another in its band and the next meets nothing there
+    alone = (F.col("m") == 1) & F.col("higher").isNull()
     shape = "array<struct<band:bigint,a:int,z:int,guests:int>>"
     task = lambda d, a, z, g: F.struct((F.col("band") - d).alias("band"), a.alias("a"), z.alias("z"), g.alias("guests"))
     # each block meets itself and every other block of its tile, and each block of the band above
@@ -361,8 +369,9 @@ def _verify(sets: DataFrame, groups: DataFrame) -> DataFrame:
     more = F.when(F.col("higher") > 1, F.transform(F.sequence(F.lit(1), F.col("higher") - 1), lambda g: task(0, F.col("mine"), F.col("mine"), g)))
     above = F.transform(F.sequence(F.lit(0), F.col("lower") - 1), lambda o: task(1, o, o, F.col("mine")))
     none = F.array().cast(shape)
-    targets = F.concat(home, F.coalesce(more, none), F.coalesce(above, none))
-    plan = stored(rows.select("name", "n", "root", F.col("band").alias("own_band"), "mine", targets.alias("targets")), "plan")
+    targets = F.concat(F.when(alone, none).otherwise(home), F.coalesce(more, none), F.coalesce(above, none))
+    plan = rows.select("name", "n", "root", F.col("band").alias("own_band"), "mine", targets.alias("targets"))
+    plan = stored(plan.where(F.size("targets") > 0), "plan")
     dealt_bytes = plan.agg(F.sum(F.size("targets") * (8 * F.col("n") + 64))).first()[0] or 0
     tasks = max(shuffle_partitions(sets.sparkSession), -(-dealt_bytes // TASK_BYTES))
     narrow = plan.select("name", "root", "own_band", "mine", "targets").hint("merge")
@@ -385,29 +394,34 @@ def _verify(sets: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Names of all documents, and (name, doc_id, root) of every set: its least doc_id and its component; both stored.
+    """Names and marks of all documents, and (name, mark, doc_id, root) of every set: its least doc_id and its component; both stored.
 
     ``docs``: doc_id, text, rid. A document is looked up again by a hash of its doc_id and text.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "rid", "text")
     buckets = max(shuffle_partitions(docs.sparkSession), docs.count() // 4000)
     scanned = scan_sets(docs, buckets)
-    names = scanned.where("bucket is null").select("doc_id", "key", "rid", "n", "name")
+    names = stored(scanned.where("bucket is null").select("doc_id", "key", "rid", "n", "name", "mark"), "names")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
-    reps = stored(names.where("name is not null").groupBy("name").agg(F.min("n").alias("n"), first).select("name", "n", "first.doc_id", "first.key"), "reps")
+    reps = names.where("name is not null").groupBy("name", "mark").agg(F.min("n").alias("n"), first)
+    nth = F.row_number().over(Window.partitionBy("name").orderBy("mark"))
+    own = F.when(nth == 1, F.col("name")).otherwise(F.xxhash64("name", "mark").bitwiseAND(F.lit((1 << 63) - 1)))
+    reps = stored(reps.select(own.alias("id"), "name", "mark", "n", "first.doc_id", "first.key"), "reps")
     smallest = F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}")
     need = F.greatest(F.lit(1), F.floor(smallest * EXTRA))
-    wanted = stored(reps.join(_shared_counts(scanned, buckets), "name").where(F.col("c") >= need).select("name", "key"), "wanted")
+    wanted = reps.join(_shared_counts(scanned, buckets), "name").where(F.col("c") >= need)
+    wanted = stored(wanted.select("id", "name", "mark", "key"), "wanted")
+    drop_stored(scanned)  # the prefixes go before the sets are written
     words = names.agg(F.sum("n")).first()[0] or 0
     sets = _sets(docs, wanted, max(shuffle_partitions(docs.sparkSession), -(-8 * words // TASK_BYTES)))
     groups = connected_components(_group_edges(sets, buckets))
     edges = _verify(sets, groups)
+    drop_stored(sets)
     roots = connected_components(edges)
-    by_set = reps.join(roots.withColumnRenamed("node", "name"), "name", "left")
-    by_set = stored(by_set.select("name", "doc_id", F.coalesce("root", "name").alias("root")), "roots")
-    narrow = stored(names, "names")
-    drop_stored(scanned, reps, wanted, sets, groups, edges, roots)
-    return narrow, by_set
+    by_set = reps.join(roots.withColumnRenamed("node", "id"), "id", "left")
+    by_set = stored(by_set.select("name", "mark", "doc_id", F.coalesce("root", "id").alias("root")), "roots")
+    drop_stored(reps, wanted, groups, edges, roots)
+    return names, by_set
 
 
 def jaccard_groups(docs: DataFrame) -> DataFrame:
@@ -422,9 +436,9 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     """
     names, by_set = _rooted(docs.select("doc_id", "text", F.lit(0).cast("long").alias("rid")))
     least = stored(by_set.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
-    final = stored(by_set.join(least, "root").select(F.col("name").alias("set_name"), "component_id"), "final")
+    final = stored(by_set.join(least, "root").select(F.col("name").alias("set_name"), F.col("mark").alias("set_mark"), "component_id"), "final")
     drop_stored(by_set, least)
-    out = names.join(final, names["name"] == final["set_name"], "left")
+    out = names.join(final, (names["name"] == final["set_name"]) & (names["mark"] == final["set_mark"]), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
@@ -439,8 +453,8 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     rows = stored(whole_rows(docs).withColumn("rid", F.monotonically_increasing_id()), "numbered")
     names, by_set = _rooted(rows.select("row.doc_id", "row.text", "rid"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
-    first = names.where("name is not null").groupBy("name").agg(F.min(order).alias("first"))
-    first = first.join(by_set.select("name", "root"), "name").groupBy("root").agg(F.min("first").alias("first"))
+    first = names.where("name is not null").groupBy("name", "mark").agg(F.min(order).alias("first"))
+    first = first.join(by_set.select("name", "mark", "root"), ["name", "mark"]).groupBy("root").agg(F.min("first").alias("first"))
     kept = first.select("first.rid").unionByName(names.where("name is null").select("rid"))
     kept = stored(kept, "kept").hint("merge")
     drop_stored(names, by_set)

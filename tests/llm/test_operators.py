@@ -125,6 +125,22 @@ def test_jaccard_equals_brute_force(spark, docs, none, monkeypatch):
     assert 1 in kept and not {2, 3, 4, 8} & set(kept) and {5, 6, 7, 9, None} <= set(kept)
 
 
+def test_sets_of_one_name_are_told_apart(spark, monkeypatch):
+    exact = ngram_join.set_name
+
+    def clashing(s):
+        return (1 if len(s) in (36, 46) else exact(s)[0]), exact(s)[1]
+
+    monkeypatch.setattr(ngram_join, "set_name", clashing)
+    long, short = [f"p{i}" for i in range(50)], [f"q{i}" for i in range(40)]
+    rows = [(5, " ".join(long), "a", "x", 1), (3, " ".join([*long, "more"]), "a", "x", 2), (9, " ".join(short), "a", "x", 3)]
+    rows += [(7, " ".join([*short, "more"]), "a", "x", 4), (8, " ".join(short), "b", "x", 5), (6, " ".join(long), "b", "x", 6)]
+    got = ngram_join.jaccard_groups(spark.createDataFrame(rows, DOCS))
+    assert sorted(map(tuple, got.collect())) == [(3, 47, 3), (5, 46, 3), (6, 46, 3), (7, 37, 7), (8, 36, 7), (9, 36, 7)]
+    kept = ngram_join.distinct_documents(spark.createDataFrame(rows, DOCS))
+    assert sorted(x["doc_id"] for x in kept.collect()) == [3, 7]
+
+
 def test_one_row_of_each_component_stays(spark):
     base, far = " ".join(BASE), " ".join(f"x{i}" for i in range(60))
     rows = [(None, _near(3), "a", "null copy", 1), (None, base, "a", "null copy", 2), (4, base, "b", "kept", 3), (9, _near(7), "a", "copy", 4)]
