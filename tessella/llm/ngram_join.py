@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,9 @@ EXTRA = 0.125
 BITS_A_HASH, BITS = 4, 2048
 #: Sets and bytes of a tile's block, bytes that a task reads, and salts of joins that texts pass through.
 BLOCK_SETS, BLOCK_BYTES, TASK_BYTES, SALTS = 2048, 16 << 20, 16 << 20, 8
-FLUSH_ENTRIES = 2_000_000
+FLUSH_ENTRIES = 1_000_000
+#: Rows whose texts a task holds as strings at a time.
+ROWS_AT_ONCE = 256
 
 
 class _WordHashes(dict):
@@ -144,6 +147,13 @@ def _by_part(names: np.ndarray, values: np.ndarray, parts: int) -> list[tuple[in
 
 
 SCANNED = "doc_id long, key long, rid long, n long, name long, mark long, bucket long, pairs binary, counts binary"
+_SCANNED = [(c, pa.binary() if kind == "binary" else pa.int64()) for c, kind in (x.split() for x in SCANNED.split(","))]
+
+
+def _scan_rows(size: int, /, **given) -> pa.RecordBatch:
+    """Rows of SCANNED; columns that are not given are null."""
+    columns = [pa.array(given[c], kind) if c in given else pa.nulls(size, kind) for c, kind in _SCANNED]
+    return pa.RecordBatch.from_arrays(columns, [c for c, _ in _SCANNED])
 
 
 def scan_sets(docs: DataFrame, buckets: int) -> DataFrame:
@@ -153,21 +163,21 @@ def scan_sets(docs: DataFrame, buckets: int) -> DataFrame:
     for empty sets. Rows with a bucket: packed pairs of the longer prefixes, and
     counts of prefix hashes that a task's own sets share. A task sends equal sets once.
     """
-    columns = [x.split()[0] for x in SCANNED.split(",")]
 
     def settle(hashes, names):
         h, f, shared = _sorted_pairs(np.concatenate(hashes), np.concatenate(names))
         own, counts = np.unique(f[shared], return_counts=True)
         rows = [(k, blob, None) for k, blob in _pack(h, f, shared, buckets)] + [(k, None, blob) for k, blob in _by_part(own, counts, buckets)]
-        frame = pd.DataFrame(rows, columns=["bucket", "pairs", "counts"])
-        return frame.assign(doc_id=None, key=None, rid=None, n=None, name=None, mark=None).astype({c: "Int64" for c in columns[:6]})[columns]
+        bucket, pairs, counted = zip(*rows)
+        return _scan_rows(len(rows), bucket=bucket, pairs=pairs, counts=counted)
 
     def run(batches):
         cache, seen = _WordHashes(), set()
         hashes, names, held = [], [], 0
-        for b in batches:
+        for part in (b.slice(low, ROWS_AT_ONCE) for b in batches for low in range(0, b.num_rows, ROWS_AT_ONCE)):
+            doc_id, key, rid, texts = (c.to_pylist() for c in part.columns)
             n, found, marks = [], [], []
-            for text in b["text"]:
+            for text in texts:
                 s = shingle_set(text, cache)
                 name, mark = set_name(s) if len(s) else (None, None)
                 n.append(len(s))
@@ -178,19 +188,18 @@ def scan_sets(docs: DataFrame, buckets: int) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 seen.add(whole)
-                p = s[: prefix_length(len(s), extra(len(s)))]
+                p = s[: prefix_length(len(s), extra(len(s)))].copy()
                 hashes.append(p)
                 names.append(np.full(len(p), name, dtype=np.int64))
                 held += len(p)
                 if held > FLUSH_ENTRIES:
                     yield settle(hashes, names)
                     hashes, names, held = [], [], 0
-            out = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "key": b["key"], "rid": b["rid"], "n": n, "name": pd.array(found, dtype="Int64"), "mark": pd.array(marks, dtype="Int64")})
-            yield out.assign(bucket=pd.array([None] * len(b), dtype="Int64"), pairs=None, counts=None)[columns]
+            yield _scan_rows(len(n), doc_id=doc_id, key=key, rid=rid, n=n, name=found, mark=marks)
         if held:
             yield settle(hashes, names)
 
-    return stored(docs.select("doc_id", "key", "rid", "text").mapInPandas(run, SCANNED), "scanned")
+    return stored(docs.select("doc_id", "key", "rid", "text").mapInArrow(run, SCANNED), "scanned")
 
 
 def _shared_counts(scanned: DataFrame, buckets: int) -> DataFrame:
@@ -241,21 +250,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, tasks: int) -> DataFrame:
 
     def run(batches):
         cache = _WordHashes()
-        for b in batches:
+        for part in (b.slice(low, ROWS_AT_ONCE) for b in batches for low in range(0, b.num_rows, ROWS_AT_ONCE)):
             rows = []
-            for own, name, mark, text in zip(b["id"], b["name"], b["mark"], b["text"]):
+            for own, name, mark, text in zip(*(c.to_pylist() for c in part.columns)):
                 s = shingle_set(text, cache)
                 if set_name(s) == (name, mark):  # keys are hashes: another text may have the same
                     rows.append((own, len(s), s.tobytes()))
-                if len(rows) >= 500:
-                    yield pd.DataFrame(rows, columns=["name", "n", "hashes"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["name", "n", "hashes"])
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "n", "hashes"])
 
     # rows that repeat a document share its key: they are dealt to salts, and the narrow side to all of them
     salted = wanted.select("id", "name", "mark", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
     rows = docs.select("key", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), "text").repartition(tasks, "key", "salt")
-    found = rows.join(salted, ["key", "salt"]).select("id", "name", "mark", "text").mapInPandas(run, "name long, n long, hashes binary")
+    found = rows.join(salted, ["key", "salt"]).select("id", "name", "mark", "text").mapInArrow(run, "name long, n long, hashes binary")
     return stored(found.dropDuplicates(["name"]), "sets")
 
 
