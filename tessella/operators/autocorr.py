@@ -5,67 +5,55 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matrix import packed, sampled
-from .replay import snapshots
+from .store import cut as stored
 
 
-#: Samples of a block: they meet the ones ahead of them in one row.
-BLOCK = 64
+def _agreement(held: DataFrame, nodes: DataFrame, every: int, furthest: int, districts: int, distances: range, whole: bool) -> DataFrame:
+    """Mean agreement at each of ``distances``, counted from samples every ``every`` steps.
 
-
-def _agreement(held: DataFrame, nodes: DataFrame, every: int, furthest: int, districts: int, whole: bool, block: int) -> DataFrame:
-    """Mean agreement at each distance between samples every ``every`` steps.
-
-    Samples come from the packed matrix and stand as arrays of a block and of
-    the distances ahead of it, so all distances are counted within a row.
-    ``whole``: only from samples that have all distances ahead.
+    No sample is laid out: two runs of one node in one colour agree at a
+    distance at as many samples as the first one has in common with the second
+    one moved back by it. A run meets itself and the runs that begin less than
+    ``furthest`` after its last sample, which two buckets of steps hold. So
+    work grows with the runs, not with nodes times samples.
+    ``whole``: only from samples that have all steps below ``furthest`` ahead.
     """
-    ahead = (furthest - 1) // every
+    held = stored(held.select("chain_id", "node_id", "color", "start_step", "end_step"), "runs")
     steps = held.groupBy("chain_id").agg(F.max("end_step").alias("steps"))
-    points = sampled(packed(held), every)
-    points = points.withColumn("block", F.explode(F.sequence(F.greatest(F.floor((F.col("k") - ahead) / block), F.lit(0)), F.floor(F.col("k") / block))))
-    rows = points.groupBy("chain_id", "node_id", "block").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "color"))), lambda p: p["color"]).alias("c"))
-    # samples from which distance d is counted: those with a sample there, or with all steps below ``furthest`` ahead
-    last = F.floor((F.col("steps") - 1) / every)
-    from_ = lambda d: F.ceil((F.col("steps") - furthest) / every) - 1 if whole else last - d
-    inside = lambda d: F.least(F.lit(block), from_(d) - F.col("block") * block + 1)
-    equal = lambda d: F.size(F.filter(F.slice("c", 1, F.greatest(inside(d), F.lit(0)).cast("int")), lambda x, i: x == F.get("c", (i + d).cast("int"))))
-    rows = rows.join(steps, "chain_id")
-    per = rows.select("chain_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(ahead)), equal)).alias("d", "agree"))
-    per = per.groupBy("chain_id", "d").agg(F.sum("agree").alias("agree")).join(steps, "chain_id").withColumn("locs", from_(F.col("d")) + 1).where("locs > 0")
+    stop = F.col("steps") - furthest if whole else F.col("steps")
+    first = lambda c: F.ceil(c / every)
+    runs = held.join(steps, "chain_id").withColumn("until", F.least("end_step", stop)).where(first(F.col("start_step")) * every < F.col("until"))
+    runs = runs.select("chain_id", "node_id", "color", F.col("start_step").alias("a"), "until", (F.floor((F.col("until") - 1) / every) * every).alias("last"), "end_step")
+    bucket = lambda c: F.floor(c / furthest)
+    ahead = held.select("chain_id", "node_id", "color", F.col("start_step").alias("b"), F.col("end_step").alias("e"), bucket(F.col("start_step")).alias("bucket"))
+    if distances.step % every == 0:  # then the later step is a sample as well
+        ahead = ahead.where(first(F.col("b")) * every < F.col("e"))
+    pairs = runs.withColumn("bucket", F.explode(F.sequence(bucket(F.col("last")), bucket(F.col("last")) + 1))).join(ahead, ["chain_id", "node_id", "color", "bucket"])
+    pairs = pairs.where((F.col("b") >= F.col("end_step")) & (F.col("b") < F.col("last") + furthest)).select("chain_id", "a", "until", "b", "e")
+    pairs = pairs.unionByName(runs.select("chain_id", "a", "until", F.col("a").alias("b"), F.col("end_step").alias("e")))
+    common = lambda d: F.greatest(first(F.least("until", F.col("e") - d)) - first(F.greatest("a", F.col("b") - d)), F.lit(0))
+    sums = F.array(*[F.struct(F.lit(d).cast("long").alias("dist"), F.sum(common(d)).alias("agree")) for d in distances])
+    per = pairs.groupBy("chain_id").agg(sums.alias("per")).select("chain_id", F.explode("per").alias("p")).select("chain_id", "p.dist", "p.agree")
+    locs = first(F.col("steps") - (furthest if whole else F.col("dist"))).cast("long")
+    per = per.join(steps, "chain_id").withColumn("locs", locs).where("locs > 0")
     chance = nodes.agg((F.count("*") / districts).alias("chance"))  # one row
     out = per.join(F.broadcast(chance), how="left")
-    return out.select("chain_id", (F.col("d") * every).cast("long").alias("dist"), F.col("locs").cast("long").alias("locs"), (F.col("agree") / F.col("locs") - F.col("chance")).alias("g"))
+    return out.select("chain_id", "dist", "locs", (F.col("agree") / F.col("locs") - F.col("chance")).alias("g"))
 
 
-def at_distances(held: DataFrame, nodes: DataFrame, every: int, furthest: int, districts: int, block: int = BLOCK) -> DataFrame:
-    """G(d) for d = 0, every, ... below ``furthest``, from every ``every``-th step that has all of them."""
-    return _agreement(held, nodes, every, furthest, districts, True, block)
+def at_distances(held: DataFrame, nodes: DataFrame, every: int, furthest: int, districts: int, block: int | None = None) -> DataFrame:
+    """G(d) for d = 0, every, ... below ``furthest``, from every ``every``-th step that has all of them; ``block`` has no effect any more."""
+    return _agreement(held, nodes, every, furthest, districts, range(0, furthest, every), True)
 
 
 def from_points(held: DataFrame, nodes: DataFrame, every: int, furthest: int, districts: int) -> DataFrame:
     """G(d) for every d below ``furthest``, from every ``every``-th step that has all of them."""
-    last = held.groupBy("chain_id").agg(F.max("end_step").alias("steps"))
-    locs = snapshots(held, every).join(last, "chain_id").where(F.col("step") < F.col("steps") - furthest)
-    a = locs.select("chain_id", "node_id", F.col("color").alias("here"), F.col("step").alias("loc"))
-    # the intervals that meet [loc, loc + furthest) of the same node, by length of overlap within a bucket of steps
-    bucket = lambda c: F.floor(c / furthest)
-    a_in = a.withColumn("bucket", F.explode(F.array_distinct(F.array(bucket(F.col("loc")), bucket(F.col("loc") + furthest - 1)))))
-    held_in = held.withColumn("bucket", F.explode(F.sequence(bucket(F.col("start_step")), bucket(F.col("end_step") - 1))))
-    near = a_in.join(held_in, ["chain_id", "node_id", "bucket"]).where(F.col("color") == F.col("here"))
-    low = F.greatest(F.col("start_step"), F.col("loc"), F.col("bucket") * furthest) - F.col("loc")
-    high = F.least(F.col("end_step"), F.col("loc") + furthest, (F.col("bucket") + 1) * furthest) - 1 - F.col("loc")
-    near = near.where(low <= high)
-    agree = near.select("chain_id", F.explode(F.sequence(low, high)).alias("dist")).groupBy("chain_id", "dist").agg(F.count("*").alias("agree"))
-    points = a.groupBy("chain_id").agg(F.countDistinct("loc").alias("locs"))
-    chance = nodes.agg((F.count("*") / districts).alias("chance"))
-    out = agree.join(points, "chain_id").join(F.broadcast(chance), how="left")
-    return out.select("chain_id", "dist", "locs", (F.col("agree") / F.col("locs") - F.col("chance")).alias("g"))
+    return _agreement(held, nodes, every, furthest, districts, range(furthest), True)
 
 
-def all_pairs(held: DataFrame, nodes: DataFrame, every: int, furthest: int, districts: int, block: int = BLOCK) -> DataFrame:
-    """G(d) over all pairs of sampled steps less than ``furthest`` apart."""
-    return _agreement(held, nodes, every, furthest, districts, False, block)
+def all_pairs(held: DataFrame, nodes: DataFrame, every: int, furthest: int, districts: int, block: int | None = None) -> DataFrame:
+    """G(d) over all pairs of sampled steps less than ``furthest`` apart; ``block`` has no effect any more."""
+    return _agreement(held, nodes, every, furthest, districts, range(0, furthest, every), False)
 
 
 def sample_steps(steps: DataFrame, k: int, seed: int, block: int = 65_536) -> DataFrame:
