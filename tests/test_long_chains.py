@@ -25,3 +25,16 @@ def test_agreement_at_distances(held, nodes):
     got = {r["dist"]: (r["locs"], r["g"]) for r in autocorr.at_distances(held, nodes, 50, 500, 5).collect()}
     assert got.keys() == set(range(0, 500, 50))
     assert all(n == locs and math.isclose(g, (2 * locs - d // 50) / locs - 2 / 5) for d, (n, g) in got.items())
+
+
+def test_agreement_from_points(held, nodes):
+    got = {r["dist"]: (r["locs"], r["g"]) for r in autocorr.from_points(held, nodes, 250, 100, 5).collect()}
+    locs = -(-(END - 100) // 250)
+    assert got.keys() == set(range(100)) and {n for n, _ in got.values()} == {locs}
+    assert all(math.isclose(g, 2 - 2 / 5) for _, g in got.values())
+
+
+def test_points_where_no_node_agrees_have_a_row(spark, nodes):
+    moved = spark.createDataFrame([(0, n, c, s, e) for n in (1, 2) for c, s, e in ((0, 0, 1), (1, 1, 20))], "chain_id long, node_id long, color int, start_step long, end_step long")
+    got = {r["dist"]: r["g"] for r in autocorr.from_points(moved, nodes, 100, 3, 2).collect()}
+    assert got == {0: 1.0, 1: -1.0, 2: -1.0}
