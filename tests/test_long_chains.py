@@ -38,3 +38,9 @@ def test_points_where_no_node_agrees_have_a_row(spark, nodes):
     moved = spark.createDataFrame([(0, n, c, s, e) for n in (1, 2) for c, s, e in ((0, 0, 1), (1, 1, 20))], "chain_id long, node_id long, color int, start_step long, end_step long")
     got = {r["dist"]: r["g"] for r in autocorr.from_points(moved, nodes, 100, 3, 2).collect()}
     assert got == {0: 1.0, 1: -1.0, 2: -1.0}
+
+
+def test_agreement_of_all_pairs(held, nodes):
+    got = {r["dist"]: (r["locs"], r["g"]) for r in autocorr.all_pairs(held, nodes, 100, 500, 5).collect()}
+    assert {d: n for d, (n, _) in got.items()} == {d: END // 100 - d // 100 for d in range(0, 500, 100)}
+    assert all(math.isclose(g, 2 - 2 / 5, rel_tol=1e-9) for _, g in got.values())
