@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .replay import STRETCH
+from .scan import latest
 
 
 def packed(held: DataFrame, stretch: int = STRETCH) -> DataFrame:
@@ -27,11 +28,13 @@ def colour_at(step: Column) -> Column:
 
 
 def lookup(matrix: DataFrame, asked: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """``asked`` (chain_id, step, node_id, ...) with the colour then; steps that no row covers are left out."""
-    part = F.explode(F.sequence(F.floor(F.col("first") / stretch), F.floor((F.col("after") - 1) / stretch)))
-    rows = matrix.withColumn("part", part)
-    found = asked.withColumn("part", F.floor(F.col("step") / stretch)).join(rows, ["chain_id", "node_id", "part"]).where("first <= step and step < after")
-    return found.select(*asked.columns, colour_at(F.col("step")).alias("color"))
+    """``asked`` (chain_id, step, node_id, ...) with the colour then; steps that no row covers are left out.
+
+    The row of a step is the last one of its node that begins by then, whatever the ``stretch`` of the matrix.
+    """
+    rows = matrix.select("chain_id", "node_id", F.col("first").alias("step"), F.struct("after", "starts", "colors").alias("__row"))
+    found = latest(rows, asked, ["chain_id", "node_id"], "step", "__row").where("step < __row.after")
+    return found.select(*asked.columns, "__row.*").select(*asked.columns, colour_at(F.col("step")).alias("color"))
 
 
 def sampled(matrix: DataFrame, every: int) -> DataFrame:

@@ -52,3 +52,15 @@ def neighbour(df: DataFrame, keys: list[str], order: str, values: dict[str, Colu
     out = out.withColumns({n: near(f"__v_{n}").over(inside) for n in values}).join(ends, [*keys, "__blk"])
     out = out.withColumns({n: F.when(F.col("__end"), F.col(f"__e_{n}")).otherwise(F.col(n)) for n in values})
     return out.drop("__blk", "__end", *[f"__v_{n}" for n in values], *[f"__e_{n}" for n in values])
+
+
+def latest(rows: DataFrame, asked: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
+    """``asked`` with the struct ``name`` of the last of ``rows`` (keys, order, name) at or before it; null where there is none.
+
+    Rows and questions are put in one order, so a row that holds for long is
+    there once and not once for every stretch that it covers. ``rows`` have
+    distinct orders within ``keys``.
+    """
+    both = rows.select(*keys, order, name, F.lit(False).alias("__asks")).unionByName(asked.withColumn("__asks", F.lit(True)), allowMissingColumns=True)
+    at = Window.partitionBy(*keys).orderBy(order, "__asks").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn(name, F.last(name, ignorenulls=True).over(at)).where("__asks").select(*asked.columns, name)

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from tessella.operators import autocorr
+from tessella.operators import autocorr, matrix
 
 END = 10**14
 
@@ -44,3 +44,9 @@ def test_agreement_of_all_pairs(held, nodes):
     got = {r["dist"]: (r["locs"], r["g"]) for r in autocorr.all_pairs(held, nodes, 100, 500, 5).collect()}
     assert {d: n for d, (n, _) in got.items()} == {d: END // 100 - d // 100 for d in range(0, 500, 100)}
     assert all(math.isclose(g, 2 - 2 / 5, rel_tol=1e-9) for _, g in got.values())
+
+
+def test_lookup_in_rows_that_cover_long_times(spark, held):
+    asked = spark.createDataFrame([(0, s, n) for n in (1, 2) for s in (0, 499, 500, END - 1, END)], "chain_id long, step long, node_id long")
+    got = {(r["node_id"], r["step"]): r["color"] for r in matrix.lookup(matrix.packed(held, 512), asked, 512).collect()}
+    assert got == {(1, s): 0 for s in (0, 499, 500, END - 1)} | {(2, 0): 1, (2, 499): 1, (2, 500): 0, (2, END - 1): 0}
