@@ -39,6 +39,10 @@ def cut(df: DataFrame, tag: str = "cut") -> DataFrame:
     return again
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def drop(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_cut_path", None)

@@ -625,24 +625,26 @@ def _(r):
     return r6(out, "compactness", "energy").withColumn("population_sq", F.round("population_sq", 1))
 
 
-def _at_steps(r, *names):
-    at = replay.by_step(replay.district_traces(r.stored_log, r.start, r.nodes, r.edges).where("n > 0"))
-    return at.select("chain_id", "step", "district_id", *names)
+def _of_nodes(r, name, value):
+    """Sums over a district's nodes by step; they need no edges."""
+    at = replay.by_step(replay.district_intervals(r.stored_log, r.start, r.nodes.select("node_id", value.alias(name))).where("n > 0"))
+    return at.select("chain_id", "step", "district_id", name)
 
 
 @query("v3_perimeter_area", "z AS (SELECT 1) SELECT chain_id, step, district_id, perimeter, area FROM dst JOIN pst USING (chain_id, step, district_id)")
 def _(r):
-    return _at_steps(r, "perimeter", "area")
+    at = replay.by_step(replay.district_traces(r.stored_log, r.start, r.nodes, r.edges).where("n > 0"))
+    return at.select("chain_id", "step", "district_id", "perimeter", "area")
 
 
 @query("v4_population", "z AS (SELECT 1) SELECT chain_id, step, district_id, CAST(population AS BIGINT) AS population FROM dst")
 def _(r):
-    return _at_steps(r, "population")
+    return _of_nodes(r, "population", F.col("population"))
 
 
 @query("v7_boundary_nodes", "z AS (SELECT 1) SELECT chain_id, step, district_id, boundary_nodes FROM dst")
 def _(r):
-    return _at_steps(r, "boundary_nodes")
+    return _of_nodes(r, "boundary_nodes", F.col("boundary").cast("long"))
 
 
 @query("v6_district_boundary", "z AS (SELECT 1) SELECT chain_id, step, least(cu, cv) AS c1, greatest(cu, cv) AS c2, count(*) AS n_edges, CAST(sum(border_length) AS BIGINT) AS length FROM eas GROUP BY ALL")

@@ -3,8 +3,10 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.operators import autocorr, matrix, proposals, replay
+from tessella.plans import registry
 
 END = 10**14
 LOG = "chain_id long, step long, node_id long, old_color int, new_color int"
@@ -78,3 +80,32 @@ def test_proposals_that_hold_for_long(spark):
     totals = sorted((r["start_step"], r["end_step"], round(r["total"], 6)) for r in proposals.pair_totals(held, log, 1.0).collect())
     assert {x[2] for x in totals} == {round(weight, 6)} and totals[0][0] == 0 and totals[-1][1] == END + 1
     assert all(a[1] == b[0] for a, b in zip(totals, totals[1:]))
+
+
+def test_states_are_no_more_than_the_moves(spark):
+    log = spark.createDataFrame([(c, s, s % 100, s % 2, 1 - s % 2) for c in (0, 1) for s in range(200)], LOG)
+    start = spark.createDataFrame([(n, n % 2) for n in range(100)], "node_id long, district_id int")
+
+    def size(chain, moves, colours):
+        import pandas as pd
+
+        return pd.DataFrame({"chain_id": [chain], "moves": [len(moves)], "nodes": [len(colours)]})
+
+    got = [tuple(r) for r in replay.replay(log, start, size, "chain_id long, moves long, nodes long", stretch=1).collect()]
+    assert sorted(got) == [(0, 100, 100)] * 2 + [(1, 100, 100)] * 2
+
+
+@pytest.mark.parametrize("name", ["v3_perimeter_area", "v4_population", "v7_boundary_nodes", "g10_contested_nodes"])
+def test_traces_come_without_intervals_of_edges(spark, monkeypatch, name):
+    def no(*_):
+        raise AssertionError("intervals of every edge")
+
+    monkeypatch.setattr(replay, "edge_intervals", no)
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_probes_are_laid_out_block_by_block(spark):
+    held = spark.createDataFrame([(0, 1, 0, 0, 1000), (0, 2, 1, 0, 500), (0, 2, 0, 500, 1000), (0, 3, 1, 0, 1000)], "chain_id long, node_id long, color int, start_step long, end_step long")
+    got = replay.colour_of(held, {"a": 1, "b": 2, "none": None}, block=10).withColumn("task", F.spark_partition_id()).cache()
+    assert [(r["step"], r["a"], r["b"], r["none"]) for r in got.orderBy("step").collect()] == [(s, 0, int(s < 500), None) for s in range(1000)]
+    assert max(r["count"] for r in got.groupBy("task").count().collect()) <= 300
