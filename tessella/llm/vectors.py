@@ -28,6 +28,8 @@ from .components import connected_components
 MIN_PIVOTS, MAX_PIVOTS, CELL, SAMPLE = 8, 4096, 8192, 8192
 #: Bytes of a block's own rows; its visitors come in parts of four times that.
 BLOCK_BYTES = 4 << 20
+#: Distances to pivots that are computed at a time, and bytes of copies that a task deals at a time.
+DISTANCES, DEAL_BYTES = 1 << 20, 32 << 20
 #: Similarities this close to the threshold are computed again, in double precision.
 NEAR = 1e-4
 
@@ -90,6 +92,11 @@ class Cells:
         # other dimensions: a cell of their own behind the others
         return np.full(len(x), self.n), np.empty(0, int), np.empty(0, int)
 
+    def slices(self, rows: int) -> list[slice]:
+        """Rows that are placed at a time: their distances to all pivots are held at once."""
+        size = max(1, DISTANCES // max(1, self.n))
+        return [slice(low, low + size) for low in range(0, rows, size)]
+
     def count(self, points: DataFrame) -> dict[int, tuple[int, int, int]]:
         """(rows, visitors, dimensions) of each cell; there are MAX_PIVOTS + 1 cells at most."""
 
@@ -97,8 +104,12 @@ class Cells:
             for b in batches:
                 dims, rows = b["v"].map(len).to_numpy(), []
                 for dim in np.unique(dims):
-                    home, _, to = self.place(units(b["v"][dims == dim]))
-                    own, guests = np.bincount(home, minlength=self.n + 1), np.bincount(to, minlength=self.n + 1)
+                    x = units(b["v"][dims == dim])
+                    own, guests = np.zeros(self.n + 1, np.int64), np.zeros(self.n + 1, np.int64)
+                    for some in self.slices(len(x)):
+                        home, _, to = self.place(x[some])
+                        own += np.bincount(home, minlength=self.n + 1)
+                        guests += np.bincount(to, minlength=self.n + 1)
                     rows += [(c, int(own[c]), int(guests[c]), int(dim)) for c in np.flatnonzero(own + guests)]
                 yield pd.DataFrame(rows, columns=["cell", "rows", "guests", "dim"])
 
@@ -126,43 +137,58 @@ def deal(points: DataFrame, cells: Cells, blocks: dict[int, int], parts: dict[in
     n_blocks = np.array([blocks.get(c, 0) for c in range(cells.n + 1)])
     n_parts = np.array([parts.get(c, 1) for c in range(cells.n + 1)])
 
+    def bounded(x, rid):
+        """Slices of rows whose copies are ``DEAL_BYTES`` together; one row may have more."""
+        for some in cells.slices(len(x)):
+            home, row, to = cells.place(x[some])
+            mixed = rid[some].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+            copies = n_parts[home] + (mixed % n_blocks[home].astype(np.uint64)).astype(int)
+            copies += np.bincount(row, weights=n_blocks[to], minlength=len(home)).astype(int)
+            group = np.cumsum(copies) * 8 * x.shape[1] // DEAL_BYTES
+            ends = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(home)]
+            yield from (slice(some.start + low, some.start + high) for low, high in zip(ends, ends[1:]))
+
+    def dealt(x, rid, weight, dim):
+        home, row, to = cells.place(x)
+        mixed = rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+        mine = (mixed % n_blocks[home].astype(np.uint64)).astype(int)
+        some = mixed.astype(np.int64) >> 7
+        at = np.arange(len(x))
+        # own rows: a copy for each part of their block
+        copies = n_parts[home]
+        own_row = np.repeat(at, copies)
+        own_part = np.arange(len(own_row)) - np.repeat(np.cumsum(copies) - copies, copies)
+        # visitors: one for each block of the cells visited, and for each earlier block of their own cell
+        row, to = np.concatenate((row, at)), np.concatenate((to, home))
+        times = np.concatenate((n_blocks[to[: len(to) - len(at)]], mine))
+        guest, cell = np.repeat(row, times), np.repeat(to, times)
+        block = np.arange(len(guest)) - np.repeat(np.cumsum(times) - times, times)
+        who = np.concatenate((own_row, guest))
+        key = np.stack((
+            np.concatenate((home[own_row], cell)),
+            np.concatenate((mine[own_row], block)),
+            np.concatenate((own_part, some[guest] % n_parts[cell])),
+            np.concatenate((np.ones(len(own_row), int), np.zeros(len(guest), int))),
+        ))
+        order = np.lexsort(key[::-1])
+        key, who = key[:, order], who[order]
+        cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        rows = []
+        for low, high in zip([0, *cut], [*cut, len(who)]):
+            if high > low:
+                c, k, p, is_home = key[:, low].tolist()
+                w = who[low:high]
+                rows.append((c, k, p, bool(is_home), rid[w].tobytes(), weight[w].tobytes(), x[w].tobytes(), int(dim)))
+        return pd.DataFrame(rows, columns=["cell", "block", "part", "home", "ids", "counts", "vecs", "dim"])
+
     def run(batches):
         for b in batches:
             dims = b["v"].map(len).to_numpy()
             for dim in np.unique(dims):
                 own = b[dims == dim]
                 x, rid, weight = units(own["v"]), own["rid"].to_numpy(), own["m"].to_numpy()
-                home, row, to = cells.place(x)
-                mixed = rid.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
-                mine = (mixed % n_blocks[home].astype(np.uint64)).astype(int)
-                some = mixed.astype(np.int64) >> 7
-                at = np.arange(len(x))
-                # own rows: a copy for each part of their block
-                copies = n_parts[home]
-                own_row = np.repeat(at, copies)
-                own_part = np.arange(len(own_row)) - np.repeat(np.cumsum(copies) - copies, copies)
-                # visitors: one for each block of the cells visited, and for each earlier block of their own cell
-                row, to = np.concatenate((row, at)), np.concatenate((to, home))
-                times = np.concatenate((n_blocks[to[: len(to) - len(at)]], mine))
-                guest, cell = np.repeat(row, times), np.repeat(to, times)
-                block = np.arange(len(guest)) - np.repeat(np.cumsum(times) - times, times)
-                who = np.concatenate((own_row, guest))
-                key = np.stack((
-                    np.concatenate((home[own_row], cell)),
-                    np.concatenate((mine[own_row], block)),
-                    np.concatenate((own_part, some[guest] % n_parts[cell])),
-                    np.concatenate((np.ones(len(own_row), int), np.zeros(len(guest), int))),
-                ))
-                order = np.lexsort(key[::-1])
-                key, who = key[:, order], who[order]
-                cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-                rows = []
-                for low, high in zip([0, *cut], [*cut, len(who)]):
-                    if high > low:
-                        c, k, p, is_home = key[:, low].tolist()
-                        w = who[low:high]
-                        rows.append((c, k, p, bool(is_home), rid[w].tobytes(), weight[w].tobytes(), x[w].tobytes(), int(dim)))
-                yield pd.DataFrame(rows, columns=["cell", "block", "part", "home", "ids", "counts", "vecs", "dim"])
+                for some in bounded(x, rid):
+                    yield dealt(x[some], rid[some], weight[some], dim)
 
     return points.select("rid", "m", "v").mapInPandas(run, PACKED)
 
