@@ -7,6 +7,8 @@ if their Jaccard similarity is t or more. Prefixes with l = |A|/8 are dealt by
 hash, packed. A partner has at least t|A| hashes, so a set goes on only
 if t|A|/8 of its prefix hashes occur in other prefixes. What is left is joined
 by its shortest prefixes (l = 1) into groups that hold all possible links.
+There hashes stand in order of how many sets have them, rarest first: by that
+order, passages that many texts quote do not chain those texts into one group.
 Before anything is dealt a task settles what it holds itself: of a hash that
 many of its sets share it sends one name, so no common hash fills a group.
 
@@ -23,7 +25,9 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,10 @@ BITS_A_HASH, BITS = 4, 2048
 #: Sets and bytes of a tile's block, bytes that a task reads, and salts of joins that texts pass through.
 BLOCK_SETS, BLOCK_BYTES, TASK_BYTES, SALTS = 2048, 16 << 20, 16 << 20, 8
 FLUSH_ENTRIES = 1_000_000
+#: Hashes that are counted in one group; sets from which on a hash counts as equally common; bits of a sieve for each key and at most.
+COUNTED_ENTRIES, COMMON, SIEVE_BITS, SIEVE_MOST = 2 << 20, 256, 16, 1 << 26
+#: The bits of a name that prefix hashes are sent with.
+SHORT = (1 << 47) - 1
 #: Rows whose texts a task holds as strings at a time.
 ROWS_AT_ONCE = 256
 
@@ -79,8 +87,8 @@ def shingle_set(text: str | None, cache: _WordHashes, n: int = WORDS) -> np.ndar
 def set_name(s: np.ndarray) -> tuple[int, int]:
     """(name, mark) of a set, 63 bits each; equal sets have equal ones.
 
-    Prefix hashes are sent with the name alone; a set whose name is another's
-    too is told from it by its mark and goes on under a name of its own.
+    Prefix hashes are sent with 47 bits of the name alone; a set whose name is
+    another's too is told from it by its mark and goes on under a name of its own.
     """
     digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
     return int.from_bytes(digest[:8], "little") >> 1, int.from_bytes(digest[8:], "little") >> 1
@@ -139,6 +147,34 @@ def _unpack(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(h), np.concatenate(f), np.concatenate(known)
 
 
+def _code(h: np.ndarray) -> np.ndarray:
+    """32 bits that stand for a hash within its bucket; where two hashes have the same, sets may only seem to share one."""
+    with np.errstate(over="ignore"):
+        return (h * np.uint64(0x9E3779B97F4A7C15)).astype("<u4")
+
+
+def _pack_short(h, f, shared, buckets: int) -> list[tuple[int, bytes]]:
+    """As ``_pack``, in ten bytes a pair: the hash's code, 47 bits of the name and the mark."""
+    first = np.concatenate(([True], h[1:] != h[:-1]))
+    h, f, shared = h[first], f[first], shared[first]
+    bucket = _bucket(h, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, code, marked = bucket[order], _code(h[order]), (f | shared.astype(np.int64) << 47)[order].astype("<i8")
+    return [(k, code[a:b].tobytes() + marked[a:b].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for k, a, b in _cut(bucket)]
+
+
+def _unpack_short(blobs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    code, marked = [], []
+    for x in blobs:
+        n = len(x) // 10
+        code.append(np.frombuffer(x, dtype="<u4", count=n))
+        wide = np.zeros((n, 8), dtype=np.uint8)
+        wide[:, :6] = np.frombuffer(x, dtype=np.uint8, offset=4 * n).reshape(n, 6)
+        marked.append(wide.view("<i8")[:, 0])
+    marked = np.concatenate(marked)
+    return np.concatenate(code), marked & SHORT, marked >> 47 == 1
+
+
 def _by_part(names: np.ndarray, values: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
     part = names % parts
     order = np.argsort(part, kind="stable")
@@ -146,7 +182,8 @@ def _by_part(names: np.ndarray, values: np.ndarray, parts: int) -> list[tuple[in
     return [(k, names[a:b].astype("<i8").tobytes() + values[a:b].astype("<i8").tobytes()) for k, a, b in _cut(part)]
 
 
-SCANNED = "doc_id long, key long, rid long, n long, name long, mark long, bucket long, pairs binary, counts binary"
+NAMES = "doc_id long, key long, rid long, n long, name long, mark long"
+SCANNED = f"{NAMES}, bucket long, pairs binary, counts binary"
 _SCANNED = [(c, pa.binary() if kind == "binary" else pa.int64()) for c, kind in (x.split() for x in SCANNED.split(","))]
 
 
@@ -157,24 +194,28 @@ def _scan_rows(size: int, /, **given) -> pa.RecordBatch:
 
 
 def scan_sets(docs: DataFrame, buckets: int) -> DataFrame:
-    """One pass over the texts of (doc_id, key, rid, text), stored.
+    """One pass over the texts of (doc_id, key, rid, text), stored: NAMES, part, counts.
 
-    Rows with a bucket null: n (set size), name and mark of each document, null
-    for empty sets. Rows with a bucket: packed pairs of the longer prefixes, and
-    counts of prefix hashes that a task's own sets share. A task sends equal sets once.
+    Rows with a part null: n (set size), name and mark of each document, null
+    for empty sets. Rows with a part: how many prefix hashes of sets of that
+    part occur in other sets, packed. A task sends equal sets once. The rows of
+    documents go through the same shuffle as the prefixes, in any bucket: so
+    texts are read once and prefixes are not written besides.
     """
 
     def settle(hashes, names):
         h, f, shared = _sorted_pairs(np.concatenate(hashes), np.concatenate(names))
         own, counts = np.unique(f[shared], return_counts=True)
-        rows = [(k, blob, None) for k, blob in _pack(h, f, shared, buckets)] + [(k, None, blob) for k, blob in _by_part(own, counts, buckets)]
+        rows = [(k, blob, None) for k, blob in _pack_short(h, f, shared, buckets)] + [(k, None, blob) for k, blob in _by_part(own, counts, buckets)]
         bucket, pairs, counted = zip(*rows)
         return _scan_rows(len(rows), bucket=bucket, pairs=pairs, counts=counted)
 
     def run(batches):
         cache, seen = _WordHashes(), set()
         hashes, names, held = [], [], 0
+        turn = TaskContext.get().partitionId() * 7919
         for part in (b.slice(low, ROWS_AT_ONCE) for b in batches for low in range(0, b.num_rows, ROWS_AT_ONCE)):
+            turn += 1
             doc_id, key, rid, texts = (c.to_pylist() for c in part.columns)
             n, found, marks = [], [], []
             for text in texts:
@@ -190,28 +231,21 @@ def scan_sets(docs: DataFrame, buckets: int) -> DataFrame:
                 seen.add(whole)
                 p = s[: prefix_length(len(s), extra(len(s)))].copy()
                 hashes.append(p)
-                names.append(np.full(len(p), name, dtype=np.int64))
+                names.append(np.full(len(p), name & SHORT, dtype=np.int64))
                 held += len(p)
                 if held > FLUSH_ENTRIES:
                     yield settle(hashes, names)
                     hashes, names, held = [], [], 0
-            yield _scan_rows(len(n), doc_id=doc_id, key=key, rid=rid, n=n, name=found, mark=marks)
+            yield _scan_rows(len(n), doc_id=doc_id, key=key, rid=rid, n=n, name=found, mark=marks, bucket=[turn % buckets] * len(n))
         if held:
             yield settle(hashes, names)
 
-    return stored(docs.select("doc_id", "key", "rid", "text").mapInArrow(run, SCANNED), "scanned")
-
-
-def _shared_counts(scanned: DataFrame, buckets: int) -> DataFrame:
-    """(name, c): how many prefix hashes of each set occur in other sets, or more; none at all: no row.
-
-    A hash that tasks settled for a set on their own may be counted twice; only too few would matter.
-    """
-
-    def count(pdf):
-        rows = [(int(pdf["bucket"].iloc[0]), x) for x in pdf["counts"].dropna()]
-        if pdf["pairs"].notna().any():
-            h, f, known = _unpack(pdf["pairs"].dropna())
+    def count(rows):
+        named = rows.filter(pc.is_valid(rows["n"])).select([c for c, _ in _SCANNED[:6]])
+        found = [(k, x) for k, x in zip(rows["bucket"].to_pylist(), rows["counts"].to_pylist()) if x is not None]
+        pairs = [x for x in rows["pairs"].to_pylist() if x is not None]
+        if pairs:
+            h, f, known = _unpack_short(pairs)
             order = np.lexsort((~known, f, h))
             h, f, known = h[order], f[order], known[order]
             new = np.concatenate(([True], (h[1:] != h[:-1]) | (f[1:] != f[:-1])))
@@ -220,18 +254,32 @@ def _shared_counts(scanned: DataFrame, buckets: int) -> DataFrame:
             size = np.diff(np.append(starts, len(h)))
             shared = np.repeat((size > 1) | np.logical_or.reduceat(known, starts), size)
             names, counts = np.unique(f[shared & ~known], return_counts=True)
-            rows += _by_part(names, counts, buckets)
-        return pd.DataFrame(rows, columns=["part", "counts"])
+            found += _by_part(names, counts, buckets)
+        size = named.num_rows
+        named = named.append_column("part", pa.nulls(size, pa.int64())).append_column("counts", pa.nulls(size, pa.binary()))
+        part, counts = (pa.array([x[k] for x in found], kind) for k, kind in enumerate((pa.int64(), pa.binary())))
+        none = [pa.nulls(len(found), pa.int64())] * 6
+        return pa.concat_tables([named, pa.Table.from_arrays([*none, part, counts], named.column_names)])
+
+    sent = docs.select("doc_id", "key", "rid", "text").mapInArrow(run, SCANNED)
+    counted = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(count, f"{NAMES}, part long, counts binary")
+    return stored(counted, "scanned")
+
+
+def _shared_counts(scanned: DataFrame) -> DataFrame:
+    """(short, c): how many prefix hashes of each set occur in other sets, or more; none at all: no row.
+
+    A set is named by 47 bits of its name. A hash that tasks settled for a set
+    on their own may be counted twice; only too few would matter.
+    """
 
     def add(pdf):
         halves = [np.frombuffer(x, dtype="<i8").reshape(2, -1) for x in pdf["counts"]]
         names, counts = np.concatenate(halves, axis=1)
         names, at = np.unique(names, return_inverse=True)
-        return pd.DataFrame({"name": names, "c": np.bincount(at, weights=counts).astype("int64")})
+        return pd.DataFrame({"short": names, "c": np.bincount(at, weights=counts).astype("int64")})
 
-    sent = scanned.where("bucket is not null").select("bucket", "pairs", "counts")
-    counted = sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(count, "part long, counts binary")
-    return counted.groupBy("part").applyInPandas(add, "name long, c long")
+    return scanned.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(add, "short long, c long")
 
 
 def _bitmaps(arrays: list[np.ndarray], largest: int) -> np.ndarray:
@@ -245,6 +293,20 @@ def _bitmaps(arrays: list[np.ndarray], largest: int) -> np.ndarray:
     return out
 
 
+def _sieved(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``docs`` whose key may be wanted: all that are and a few others, so that few texts are dealt.
+
+    Keys are hashes; one bit of a map of bounded size, sent to every task, stands for some of them.
+    """
+    bits = 64
+    while bits < min(SIEVE_BITS * wanted.count(), SIEVE_MOST):
+        bits *= 2
+    slot = F.pmod("key", F.lit(bits))
+    word, bit = F.floor(slot / 64).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(key, {bits}) % 64 as int))")
+    sieve = wanted.groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    return docs.join(F.broadcast(sieve), F.floor(slot / 64) == F.col("word")).where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, tasks: int) -> DataFrame:
     """(name, n, hashes) of each wanted (id, name, mark, key), its id as name, from one document of it; stored."""
 
@@ -261,13 +323,111 @@ def _sets(docs: DataFrame, wanted: DataFrame, tasks: int) -> DataFrame:
 
     # rows that repeat a document share its key: they are dealt to salts, and the narrow side to all of them
     salted = wanted.select("id", "name", "mark", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")).hint("merge")
-    rows = docs.select("key", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), "text").repartition(tasks, "key", "salt")
+    rows = _sieved(docs, wanted).select("key", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt"), "text").repartition(tasks, "key", "salt")
     found = rows.join(salted, ["key", "salt"]).select("id", "name", "mark", "text").mapInArrow(run, "name long, n long, hashes binary")
     return stored(found.dropDuplicates(["name"]), "sets")
 
 
+def _pack_sets(part: np.ndarray, names: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
+    """(part, packed): of each part the names, each once with its number of entries, and the columns in their order."""
+    order = np.lexsort((names, part))
+    part, names, columns = part[order], names[order], [c[order] for c in columns]
+    rows = []
+    for k, a, b in _cut(part):
+        own, counts = np.unique(names[a:b], return_counts=True)
+        sizes = np.array([len(own), b - a], dtype="<i8")
+        rows.append((k, b"".join([sizes.tobytes(), own.astype("<i8").tobytes(), counts.astype("<i4").tobytes(), *(c[a:b].tobytes() for c in columns)])))
+    return rows
+
+
+def _unpack_sets(blobs, *kinds: str) -> list[np.ndarray]:
+    """What ``_pack_sets`` packed: names, one an entry, and columns of ``kinds``."""
+    found: list[list] = [[np.empty(0, dtype=k)] for k in ("<i8", *kinds)]
+    for x in blobs:
+        m, n = np.frombuffer(x, dtype="<i8", count=2).tolist()
+        own = np.frombuffer(x, dtype="<i8", offset=16, count=m)
+        found[0].append(np.repeat(own, np.frombuffer(x, dtype="<i4", offset=16 + 8 * m, count=m)))
+        at = 16 + 12 * m
+        for out, kind in zip(found[1:], kinds):
+            out.append(np.frombuffer(x, dtype=kind, offset=at, count=n))
+            at += out[-1].nbytes
+    return [np.concatenate(x) for x in found]
+
+
+def _rarest(sets: DataFrame, buckets: int) -> DataFrame:
+    """(name, hashes): the shortest prefix of each set in order of how many sets have a hash, rarest first.
+
+    A hash is named by bucket and code. Those of one set alone come first and
+    are not listed: they link nothing. Hashes of ``COMMON`` sets or more are
+    equally common, so a task that meets as many of one need not ask.
+    """
+
+    def ask(batches):
+        hashes, names, sizes, held = [], [], [], 0
+
+        def settle():
+            h, f = np.concatenate(hashes), np.concatenate(names)
+            bucket, code = _bucket(h, buckets), _code(h)
+            whole = bucket << 32 | code
+            _, at, counts = np.unique(whole, return_inverse=True, return_counts=True)
+            common = counts[at] >= COMMON
+            rows = [(k, None, blob, None, None) for k, blob in _pack_sets(bucket[~common], f[~common], code[~common])]
+            # one bucket gets how many sets were not asked for, the sets' parts get the hashes themselves
+            one = np.unique(whole[common])
+            rows += [(k, None, None, one[a:b].astype("<i8").tobytes(), None) for k, a, b in _cut(one >> 32)]
+            known = np.full(int(common.sum()), COMMON - 1, dtype=np.uint8)
+            rows += [(k, k, None, None, blob) for k, blob in _pack_sets(f[common] % buckets, f[common], whole[common], known)]
+            own = np.array(sizes, dtype="<i8").reshape(-1, 2)
+            rows += [(k, k, None, own[own[:, 0] % buckets == k].tobytes(), None) for k in np.unique(own[:, 0] % buckets).tolist()]
+            return pd.DataFrame(rows, columns=["bucket", "part", "asked", "common", "passed"])
+
+        for b in batches:
+            for name, blob in zip(b["name"], b["hashes"]):
+                s = np.frombuffer(blob, dtype=np.uint64)
+                hashes.append(s)
+                names.append(np.full(len(s), name, dtype=np.int64))
+                sizes.append((name, len(s)))
+                held += len(s)
+                if held > FLUSH_ENTRIES:
+                    yield settle()
+                    hashes, names, sizes, held = [], [], [], 0
+        if held:
+            yield settle()
+
+    def count(pdf):
+        through = pdf["part"].notna()
+        rows = [(int(k), c, x) for k, c, x in zip(pdf["part"][through], pdf["common"][through], pdf["passed"][through])]
+        names, code = _unpack_sets(pdf["asked"].dropna(), "<u4")
+        if len(names):
+            whole = code.astype("<i8") | int(pdf["bucket"].iloc[0]) << 32
+            _, at, counts = np.unique(whole, return_inverse=True, return_counts=True)
+            rank = np.minimum(counts[at], COMMON) - 1
+            for x in pdf["common"][~through].dropna():
+                rank[np.isin(whole, np.frombuffer(x, dtype="<i8"))] = COMMON - 1
+            seen = rank > 0
+            rows += [(k, None, x) for k, x in _pack_sets(names[seen] % buckets, names[seen], whole[seen], rank[seen].astype(np.uint8))]
+        return pd.DataFrame(rows, columns=["part", "sizes", "shared"])
+
+    def cut(pdf):
+        sizes = np.concatenate([np.frombuffer(x, dtype="<i8").reshape(-1, 2) for x in pdf["sizes"].dropna()])
+        names, whole, rank = _unpack_sets(pdf["shared"].dropna(), "<i8", "u1")
+        order = np.lexsort((whole, rank, names))
+        names, whole = names[order], whole[order]
+        low, high = np.searchsorted(names, sizes[:, 0]), np.searchsorted(names, sizes[:, 0], side="right")
+        rows = []
+        for (name, n), a, b in zip(sizes.tolist(), low.tolist(), high.tolist()):
+            left = prefix_length(n, 1) - (n - (b - a))
+            if left > 0:
+                rows.append((name, whole[a : a + left].astype(np.uint64).tobytes()))
+        return pd.DataFrame(rows, columns=["name", "hashes"])
+
+    asked = sets.select("name", "hashes").mapInPandas(ask, "bucket long, part long, asked binary, common binary, passed binary")
+    counted = asked.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(count, "part long, sizes binary, shared binary")
+    return counted.repartition(buckets, "part").groupBy("part").applyInPandas(cut, "name long, hashes binary")
+
+
 def _group_edges(sets: DataFrame, buckets: int) -> DataFrame:
-    """(src, dst): sets that share a prefix hash, as chains."""
+    """(src, dst): sets that share a hash of their shortest prefixes, rarest hashes first, as chains."""
 
     def chains(h, f):
         both = h[1:] == h[:-1]
@@ -285,8 +445,7 @@ def _group_edges(sets: DataFrame, buckets: int) -> DataFrame:
         hashes, names, held = [], [], 0
         for b in batches:
             for name, blob in zip(b["name"], b["hashes"]):
-                s = np.frombuffer(blob, dtype=np.uint64)
-                p = s[: prefix_length(len(s), 1)].copy()
+                p = np.frombuffer(blob, dtype=np.uint64)
                 hashes.append(p)
                 names.append(np.full(len(p), name, dtype=np.int64))
                 held += len(p)
@@ -305,7 +464,9 @@ def _group_edges(sets: DataFrame, buckets: int) -> DataFrame:
         every = np.unique(np.concatenate(pairs), axis=0)
         return pd.DataFrame({"src": every[:, 0], "dst": every[:, 1]})
 
-    sent = sets.select("name", "hashes").mapInPandas(send, "bucket long, pairs binary, edges binary")
+    entries = sets.agg(F.sum("n")).first()[0] or 0
+    rarest = _rarest(sets, max(shuffle_partitions(sets.sparkSession), -(-entries // COUNTED_ENTRIES)))
+    sent = rarest.mapInPandas(send, "bucket long, pairs binary, edges binary")
     return sent.repartition(buckets, "bucket").groupBy("bucket").applyInPandas(chain, "src long, dst long")
 
 
@@ -408,7 +569,8 @@ def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("key"), "rid", "text")
     buckets = max(shuffle_partitions(docs.sparkSession), docs.count() // 4000)
     scanned = scan_sets(docs, buckets)
-    names = stored(scanned.where("bucket is null").select("doc_id", "key", "rid", "n", "name", "mark"), "names")
+    names = scanned.where("part is null").select("doc_id", "key", "rid", "n", "name", "mark")
+    names._tessella_path = scanned._tessella_path  # goes with the scan
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
     reps = names.where("name is not null").groupBy("name", "mark").agg(F.min("n").alias("n"), first)
     nth = F.row_number().over(Window.partitionBy("name").orderBy("mark"))
@@ -416,10 +578,9 @@ def _rooted(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     reps = stored(reps.select(own.alias("id"), "name", "mark", "n", "first.doc_id", "first.key"), "reps")
     smallest = F.expr(f"(n * {NUM} + {DEN - 1}) div {DEN}")
     need = F.greatest(F.lit(1), F.floor(smallest * EXTRA))
-    wanted = reps.join(_shared_counts(scanned, buckets), "name").where(F.col("c") >= need)
-    wanted = stored(wanted.select("id", "name", "mark", "key"), "wanted")
-    drop_stored(scanned)  # the prefixes go before the sets are written
-    words = names.agg(F.sum("n")).first()[0] or 0
+    wanted = reps.withColumn("short", F.col("name").bitwiseAND(F.lit(SHORT))).join(_shared_counts(scanned), "short").where(F.col("c") >= need)
+    wanted = stored(wanted.select("id", "name", "mark", "key", "n"), "wanted")
+    words = wanted.agg(F.sum("n")).first()[0] or 0
     sets = _sets(docs, wanted, max(shuffle_partitions(docs.sparkSession), -(-8 * words // TASK_BYTES)))
     groups = connected_components(_group_edges(sets, buckets))
     edges = _verify(sets, groups)
@@ -449,15 +610,18 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def distinct_documents(docs: DataFrame) -> DataFrame:
+def distinct_documents(docs: DataFrame, spent: bool = False) -> DataFrame:
     """One row of ``docs`` of each component: that with the least doc_id, nulls last.
 
     Rows are told apart by their number, so rows that repeat a doc_id or have
     none are documents of their own; of equal doc_ids the first row stays.
     Rows with an empty set are components of their own and all stay. All
-    columns are kept, whatever their names.
+    columns are kept, whatever their names. ``spent``: ``docs``, if ``stored``
+    wrote it, is deleted once its rows are numbered.
     """
     rows = stored(whole_rows(docs).withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    if spent:
+        drop_stored(docs)
     names, by_set = _rooted(rows.select("row.doc_id", "row.text", "rid"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     first = names.where("name is not null").groupBy("name", "mark").agg(F.min(order).alias("first"))

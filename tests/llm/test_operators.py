@@ -141,6 +141,37 @@ def test_sets_of_one_name_are_told_apart(spark, monkeypatch):
     assert sorted(x["doc_id"] for x in kept.collect()) == [3, 7]
 
 
+def test_quoted_passages_do_not_chain_sets(spark, monkeypatch):
+    r = random.Random(4)
+    passages = [[f"p{k}x{i}" for i in range(30)] for k in range(40)]
+    texts = [[*passages[i % 40], *[f"own{i}x{j}" for j in range(60)], *passages[(i * 7 + 1) % 40]] for i in range(200)]
+    texts += [[*t[:100], f"end{i}"] for i, t in enumerate(texts[:50])]
+    cache = ngram_join._WordHashes()
+    sets = [ngram_join.shingle_set(" ".join(t), cache) for t in texts]
+    order = r.sample(range(250), 250)
+    rows = [(i, len(sets[i]), bytearray(sets[i].tobytes())) for i in order]
+    monkeypatch.setattr(ngram_join, "FLUSH_ENTRIES", 3000)
+    for common in (256, 3):  # with few sets a task, hashes that are common there are not asked for
+        monkeypatch.setattr(ngram_join, "COMMON", common)
+        df = spark.createDataFrame(rows, "name long, n long, hashes binary").repartition(3)
+        groups = components.connected_components(ngram_join._group_edges(df, 4)).collect()
+        root = {g["node"]: g["root"] for g in groups}
+        # all links are within groups; passages alone made one group of all before
+        assert all(root[i] == root[200 + i] for i in range(50))
+        if common == 256:
+            assert len(root) == 100 and len(set(root.values())) == 50
+
+
+def test_texts_are_sieved_by_keys(spark, monkeypatch):
+    docs = spark.range(2000).select(F.xxhash64("id").alias("key"), "id")
+    wanted = docs.where("id % 50 = 0").select("key")
+    kept = {x["id"] for x in ngram_join._sieved(docs, wanted).collect()}
+    assert set(range(0, 2000, 50)) <= kept and len(kept) < 400
+    monkeypatch.setattr(ngram_join, "SIEVE_MOST", 64)
+    kept = {x["id"] for x in ngram_join._sieved(docs, wanted).collect()}
+    assert set(range(0, 2000, 50)) <= kept
+
+
 def test_one_row_of_each_component_stays(spark):
     base, far = " ".join(BASE), " ".join(f"x{i}" for i in range(60))
     rows = [(None, _near(3), "a", "null copy", 1), (None, base, "a", "null copy", 2), (4, base, "b", "kept", 3), (9, _near(7), "a", "copy", 4)]
