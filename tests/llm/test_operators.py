@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -12,7 +13,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import components, licenses, lines, mixing, ngram_join, packing, secrets, toxicity, vectors, vptree, warc
+from tessella.llm import common, components, licenses, lines, mixing, ngram_join, packing, secrets, toxicity, vectors, vptree, warc
 
 DOCS = "doc_id long, text string, source string, extra string, n long"
 rnd = random.Random(7)
@@ -162,6 +163,14 @@ def test_quoted_passages_do_not_chain_sets(spark, monkeypatch):
             assert len(root) == 100 and len(set(root.values())) == 50
 
 
+def test_spent_input_of_the_near_copies_stage_is_deleted(spark):
+    rows = [(i, " ".join(BASE[: 30 + i % 3]), "a", "x", i) for i in range(6)]
+    docs = common.stored(spark.createDataFrame(rows, DOCS), "spent")
+    out = ngram_join.distinct_documents(docs, spent=True)
+    assert not os.path.exists(docs._tessella_path)
+    assert [x["doc_id"] for x in out.collect()] == [0]
+
+
 def test_texts_are_sieved_by_keys(spark, monkeypatch):
     docs = spark.range(2000).select(F.xxhash64("id").alias("key"), "id")
     wanted = docs.where("id % 50 = 0").select("key")
