@@ -22,7 +22,7 @@ def _agreement(held: DataFrame, nodes: DataFrame, every: int, furthest: int, dis
     steps = held.groupBy("chain_id").agg(F.max("end_step").alias("steps"))
     stop = F.col("steps") - furthest if whole else F.col("steps")
     first = lambda c: F.ceil(c / every)
-    runs = held.join(steps, "chain_id").withColumn("until", F.least("end_step", stop)).where(first(F.col("start_step")) * every < F.col("until"))
+    runs = held.join(F.broadcast(steps), "chain_id").withColumn("until", F.least("end_step", stop)).where(first(F.col("start_step")) * every < F.col("until"))
     runs = runs.select("chain_id", "node_id", "color", F.col("start_step").alias("a"), "until", (F.floor((F.col("until") - 1) / every) * every).alias("last"), "end_step")
     bucket = lambda c: F.floor(c / furthest)
     ahead = held.select("chain_id", "node_id", "color", F.col("start_step").alias("b"), F.col("end_step").alias("e"), bucket(F.col("start_step")).alias("bucket"))
