@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of the Arrow batches that rows go to Python in, within ``small_batches``.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +76,23 @@ def drop_stored(*frames: DataFrame) -> None:
             delete(df.sparkSession, path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that run inside send rows to Python in batches of ``BATCH_BYTES``, or a row more.
+
+    Otherwise a batch has 10000 rows: as many texts stand in a task's memory, in the JVM and in Python.
+    """
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(BATCH)
+        else:
+            spark.conf.set(BATCH, before)
+
+
 def whole_rows(docs: DataFrame) -> DataFrame:
     """Each row as one struct column, row: names of its columns cannot clash with an operator's own."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))

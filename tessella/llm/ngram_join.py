@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, shuffle_partitions, stored, table, whole_rows
+from .common import drop_stored, shuffle_partitions, small_batches, stored, table, whole_rows
 from .components import connected_components
 
 WORDS = 5
@@ -43,7 +43,8 @@ EXTRA = 0.125
 BITS_A_HASH, BITS = 4, 2048
 #: Sets and bytes of a tile's block, bytes that a task reads, and salts of joins that texts pass through.
 BLOCK_SETS, BLOCK_BYTES, TASK_BYTES, SALTS = 2048, 16 << 20, 16 << 20, 8
-FLUSH_ENTRIES = 1_000_000
+#: Hashes that a task holds before it sends them, and words whose hashes it keeps.
+FLUSH_ENTRIES, KEPT_WORDS = 500_000, 131_072
 #: Hashes that are counted in one group; sets from which on a hash counts as equally common; bits of a sieve for each key and at most.
 COUNTED_ENTRIES, COMMON, SIEVE_BITS, SIEVE_MOST = 2 << 20, 256, 16, 1 << 26
 #: The bits of a name that prefix hashes are sent with.
@@ -56,7 +57,7 @@ class _WordHashes(dict):
     """Word -> 64-bit hash, emptied when it has grown large."""
 
     def __missing__(self, word):
-        if len(self) > 400_000:
+        if len(self) >= KEPT_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -602,7 +603,8 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     An empty table gives no rows. A text is shingled whole, in memory in
     proportion to it. Other columns, whatever their names, are not looked at.
     """
-    names, by_set = _rooted(docs.select("doc_id", "text", F.lit(0).cast("long").alias("rid")))
+    with small_batches(docs.sparkSession):
+        names, by_set = _rooted(docs.select("doc_id", "text", F.lit(0).cast("long").alias("rid")))
     least = stored(by_set.groupBy("root").agg(F.min("doc_id").alias("component_id")), "least")
     final = stored(by_set.join(least, "root").select(F.col("name").alias("set_name"), F.col("mark").alias("set_mark"), "component_id"), "final")
     drop_stored(by_set, least)
@@ -622,7 +624,8 @@ def distinct_documents(docs: DataFrame, spent: bool = False) -> DataFrame:
     rows = stored(whole_rows(docs).withColumn("rid", F.monotonically_increasing_id()), "numbered")
     if spent:
         drop_stored(docs)
-    names, by_set = _rooted(rows.select("row.doc_id", "row.text", "rid"))
+    with small_batches(docs.sparkSession):
+        names, by_set = _rooted(rows.select("row.doc_id", "row.text", "rid"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")
     first = names.where("name is not null").groupBy("name", "mark").agg(F.min(order).alias("first"))
     first = first.join(by_set.select("name", "mark", "root"), ["name", "mark"]).groupBy("root").agg(F.min("first").alias("first"))
