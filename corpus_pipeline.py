@@ -20,7 +20,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by shingle Jaccard, the one with the smallest doc_id stays."""
-    return ngram_join.distinct_documents(docs, spent=True)
+    return ngram_join.distinct_documents(docs, in_files=True)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -612,16 +613,32 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def distinct_documents(docs: DataFrame, spent: bool = False) -> DataFrame:
+def _placed(docs: DataFrame) -> DataFrame | None:
+    """(row, rid) of rows read from Parquet files, rid by file and place there; None where rows do not tell their place."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        rows = whole_rows(docs, at["file_path"].alias("file"), at["row_index"].alias("place"))
+    except AnalysisException:
+        return None
+    files = sorted(r["file"] for r in rows.select("file").distinct().collect())
+    numbers = docs.sparkSession.createDataFrame([(f, i) for i, f in enumerate(files)], "file string, number long")
+    return rows.join(F.broadcast(numbers), "file").select("row", (F.shiftleft("number", 40) + F.col("place")).alias("rid"))
+
+
+def distinct_documents(docs: DataFrame, spent: bool = False, in_files: bool = False) -> DataFrame:
     """One row of ``docs`` of each component: that with the least doc_id, nulls last.
 
     Rows are told apart by their number, so rows that repeat a doc_id or have
     none are documents of their own; of equal doc_ids the first row stays.
     Rows with an empty set are components of their own and all stay. All
     columns are kept, whatever their names. ``spent``: ``docs``, if ``stored``
-    wrote it, is deleted once its rows are numbered.
+    wrote it, is deleted once its rows are numbered. ``in_files``: ``docs`` is
+    as read from Parquet files, so its rows have numbers there and are not
+    written again; the files must stay until the result is written.
     """
-    rows = stored(whole_rows(docs).withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    rows = _placed(docs) if in_files else None
+    if rows is None:
+        rows = stored(whole_rows(docs).withColumn("rid", F.monotonically_increasing_id()), "numbered")
     if spent:
         drop_stored(docs)
     with small_batches(docs.sparkSession):

@@ -47,3 +47,17 @@ def test_few_hashes_of_words_are_kept():
     for i in range(300_000):
         cache[b"%d" % i]
     assert len(cache) <= 1 << 17
+
+
+def test_rows_in_files_are_not_written_again(spark, tmp_path, tags):
+    docs = _texts(spark, 400).withColumn("_metadata", F.col("doc_id") % 7)
+    twice = docs.unionByName(docs.where("doc_id < 3")).unionByName(docs.limit(2).withColumn("text", F.lit(None).cast("string")))
+    twice.repartition(5).write.parquet(str(tmp_path / "a b"))
+    read = spark.read.parquet(str(tmp_path / "a b"))
+    tags.clear()
+    got = ngram_join.distinct_documents(read, in_files=True)
+    assert got.columns == docs.columns and "numbered" not in [tag for tag, _ in tags]
+    assert sorted((r["doc_id"], r["text"] is None) for r in got.collect()) == sorted([(i, False) for i in range(40)] + [(i, True) for i in range(2)])
+    # rows without a place in a file are numbered in a copy
+    assert ngram_join.distinct_documents(docs, in_files=True).count() == 40
+    assert "numbered" in [tag for tag, _ in tags]
