@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import lines, mixing, ngram_join, packing, toxicity
-from tessella.llm.common import drop_stored, stored, table
+from tessella.llm.common import drop_stored, keep_small_batches, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain predicts toxic go."""
+    # workers stay on between stages with the memory that they took for batches of texts
+    keep_small_batches(spark)
     return toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
 
 
@@ -30,6 +32,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of tokens."""
+    keep_small_batches(spark)
     return packing.pack(docs)
 
 

@@ -61,3 +61,18 @@ def test_rows_in_files_are_not_written_again(spark, tmp_path, tags):
     # rows without a place in a file are numbered in a copy
     assert ngram_join.distinct_documents(docs, in_files=True).count() == 40
     assert "numbered" in [tag for tag, _ in tags]
+
+
+def test_the_pipeline_sends_bounded_batches_to_python(spark, monkeypatch):
+    import corpus_pipeline
+
+    before = spark.conf.get(common.BATCH, None)
+    monkeypatch.setattr(common, "BATCH_BYTES", 1 << 14)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "clean_documents", lambda docs, labels: docs)
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    size = F.pandas_udf(lambda texts: texts.str.len().sum() + 0 * texts.str.len(), "long")
+    try:
+        docs = corpus_pipeline.drop_toxic(spark, _texts(spark, 2000), "")
+        assert docs.select(size("text").alias("n")).agg(F.max("n")).first()[0] < 1 << 15
+    finally:
+        spark.conf.unset(common.BATCH) if before is None else spark.conf.set(common.BATCH, before)
