@@ -63,22 +63,38 @@ def _words(texts: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b"".join(texts), dtype="<u4").reshape(len(texts), 16).T)
 
 
+class Tails:
+    """Ends of names, laid out in words once for each place at which they begin."""
+
+    def __init__(self, texts: list[bytes]):
+        self.texts, self.longest, self.laid = texts, max(map(len, texts), default=0), {}
+
+    def words(self, at: int) -> list:
+        """Words of the blocks of names whose heads have ``at`` bytes, those left empty; None for words without any byte."""
+        if at not in self.laid:
+            found = _words([(bytes(at) + x + b"\x80").ljust(56, b"\0") + (8 * (at + len(x))).to_bytes(8, "little") for x in self.texts])
+            self.laid[at] = [w if w.any() else None for w in found]
+        return self.laid[at]
+
+    def numbers(self, heads: list[bytes], h: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """First 48 bits of the MD5 of each ``heads[h]`` with the end ``t``; heads are of one length."""
+        at = len(heads[0]) if heads else 0
+        if at + self.longest > LONGEST:
+            found = (hashlib.md5(heads[i] + self.texts[j]).digest()[:6] for i, j in zip(h.tolist(), t.tolist()))
+            return np.fromiter((int.from_bytes(x, "big") for x in found), dtype=np.uint64, count=len(h))
+        back = self.words(at)
+        front = [w if k <= at // 4 else None for k, w in enumerate(_words([x.ljust(64, b"\0") for x in heads]))]
+        out = np.empty(len(h), dtype=np.uint64)
+        for low in range(0, len(h), PAIRS):
+            i, j = h[low : low + PAIRS], t[low : low + PAIRS]
+            words = [f[i] | b[j] if f is not None and b is not None else f[i] if f is not None else b[j] if b is not None else None for f, b in zip(front, back)]
+            out[low : low + PAIRS] = digests(words, len(i))
+        return out
+
+
 def numbers(heads: list[bytes], tails: list[bytes], h: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """First 48 bits of the MD5 of ``heads[h] + tails[t]``; heads are of one length."""
-    at = len(heads[0]) if heads else 0
-    if at + max(map(len, tails), default=0) > LONGEST:
-        found = (hashlib.md5(heads[i] + tails[j]).digest()[:6] for i, j in zip(h.tolist(), t.tolist()))
-        return np.fromiter((int.from_bytes(x, "big") for x in found), dtype=np.uint64, count=len(h))
-    front = _words([x.ljust(64, b"\0") for x in heads])
-    back = _words([(bytes(at) + x + b"\x80").ljust(56, b"\0") + (8 * (at + len(x))).to_bytes(8, "little") for x in tails])
-    # where only one of the two has bytes, the other adds none
-    some = [(front[j].any(), back[j].any()) for j in range(16)]
-    out = np.empty(len(h), dtype=np.uint64)
-    for low in range(0, len(h), PAIRS):
-        i, j = h[low : low + PAIRS], t[low : low + PAIRS]
-        words = [front[k][i] | back[k][j] if f and b else front[k][i] if f else back[k][j] if b else None for k, (f, b) in enumerate(some)]
-        out[low : low + PAIRS] = digests(words, len(i))
-    return out
+    """First 48 bits of the MD5 of each ``heads[h] + tails[t]``; heads are of one length."""
+    return Tails(tails).numbers(heads, h, t)
 
 
 def _least(by: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,7 +139,7 @@ def draw(name: str, steps: np.ndarray, held: dict[str, np.ndarray], weight: dict
         for k in np.unique(c[best]).tolist():
             mine = of[at[c[best] == k]]
             a, b = int(begin[k]), int(end[k])
-            names = [f"{x}:{y}:{z}".encode() for x, y, z in zip(node[a:b].tolist(), old[a:b].tolist(), new[a:b].tolist())]
+            names = Tails([f"{x}:{y}:{z}".encode() for x, y, z in zip(node[a:b].tolist(), old[a:b].tolist(), new[a:b].tolist())])
             most = max(1, TABLE // (b - a))
             many = np.cumsum(there[mine, k])
             low = 0
@@ -133,8 +149,8 @@ def draw(name: str, steps: np.ndarray, held: dict[str, np.ndarray], weight: dict
                 asked = steps[mine[low:high]]
                 near = np.flatnonzero((first[a:b] <= asked[-1]) & (after[a:b] > asked[0]))
                 h, p = np.nonzero((first[a:b][near] <= asked[:, None]) & (asked[:, None] < after[a:b][near]))
-                found = numbers([heads[i] for i in mine[low:high].tolist()], [names[i] for i in near.tolist()], h, p)
-                which, place = _least(h, (np.uint64(1 << 48) - found))
-                out[mine[low:high][which]] = order[a + near[p[place]]]
+                p = near[p]
+                which, place = _least(h, np.uint64(1 << 48) - names.numbers([heads[i] for i in mine[low:high].tolist()], h, p))
+                out[mine[low:high][which]] = order[a + p[place]]
                 low = high
     return out
